@@ -196,3 +196,22 @@ def classify(docs: DataFrame, labels: DataFrame, training: Column, id_col: str =
     model, prior = learn(docs, labels.where(training), id_col, text_col)
     rows = docs.select(F.col(id_col), F.coalesce(~training, F.lit(True)).alias("held_out"), F.col(text_col))
     return score(rows, model, prior, text_col).withColumn("predicted", (F.col("score") >= CUT).cast("int"))
+
+
+def screen(docs: DataFrame, labels: DataFrame, training: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows, all columns kept, of the documents that the classifier does not reject (score >= CUT)."""
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    model, prior = learn(docs, labels.where(training), id_col, text_col)
+    held = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = np.full(batch.num_rows, prior)
+            x, owner = passages(batch.column(at))
+            if len(x) and held.value is not None:
+                some, head = np.unique(owner, return_index=True)
+                out[some] = held.value.forward(x, head)[0]
+            yield batch.filter(pa.array(out >= CUT))
+
+    return docs.mapInArrow(run, docs.schema)
