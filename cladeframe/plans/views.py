@@ -27,8 +27,7 @@ TRACKS_SQL = f"""tracks AS (
          regexp_replace(translate(lower(text), '{LETTERS}', '{MAPPED}'), '[^ACGT]', '-', 'g') AS seq,
          CAST(CAST(floor(doc_id / {TRACKS}) AS BIGINT) % 3 AS INTEGER) AS phase
   FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL),
-sites AS (SELECT block, track, phase, CAST(i - 1 AS INTEGER) AS col, s[i] AS sym
-  FROM (SELECT *, string_split(seq, '') AS s, unnest(range(1, length(seq) + 1)) AS i FROM tracks WHERE seq <> '')),
+sites AS (SELECT block, track, phase, unnest(string_split(seq, '')) AS sym, unnest(range(0, length(seq)))::INTEGER AS col FROM tracks WHERE seq <> ''),
 wide AS (SELECT block, phase, col, coalesce(max(CASE WHEN track = 0 THEN sym END), '~') AS t0, coalesce(max(CASE WHEN track = 1 THEN sym END), '~') AS t1,
          coalesce(max(CASE WHEN track = 2 THEN sym END), '~') AS t2, coalesce(max(CASE WHEN track = 3 THEN sym END), '~') AS t3
   FROM sites GROUP BY block, phase, col)"""
