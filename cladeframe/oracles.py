@@ -145,7 +145,7 @@ ORACLES = {
     "identity_windows": f"{_WITH} SELECT block, CAST(col // 100 AS BIGINT) AS win, CAST(sum(CASE WHEN {_RESIDUE.format('t0')} AND {_RESIDUE.format('t1')} THEN 1 ELSE 0 END) AS BIGINT) AS compared, CAST(sum(CASE WHEN {_RESIDUE.format('t0')} AND t0 = t1 THEN 1 ELSE 0 END) AS BIGINT) AS matches FROM wide GROUP BY ALL",
     "nmer_counts": f"""{_WITH}, m AS (SELECT track, sym || lead(sym, 1) OVER w || lead(sym, 2) OVER w AS nmer FROM sites WINDOW w AS (PARTITION BY block, track ORDER BY col)),
       c AS (SELECT track, nmer, count(*) AS n FROM m WHERE nmer IS NOT NULL GROUP BY ALL)
-      SELECT track, nmer, n, CASE WHEN nmer NOT LIKE '%-%' THEN CAST(16 * (strpos('ACGT', nmer[1]) - 1) + 4 * (strpos('ACGT', nmer[2]) - 1) + strpos('ACGT', nmer[3]) - 1 AS BIGINT) END AS code,
+      SELECT track, nmer, n, CASE WHEN nmer NOT LIKE '%-%' THEN CAST(16 * (strpos('ACGT', nmer[1]) - 1) + 4 * (strpos('ACGT', nmer[2]) - 1) + strpos('ACGT', nmer[3]) - 1 AS BIGINT) ELSE -1 END AS code,
              translate(nmer, 'ACGT', 'TGCA') AS comp, nmer LIKE '%-%' AS gapped, (nmer[1] IN ('A', '-') AND nmer[2] IN ('C', '-') AND nmer[3] IN ('G', '-')) AS like_acg,
              CAST((nmer[1] <> 'A')::INT + (nmer[2] <> 'C')::INT + (nmer[3] <> 'G')::INT AS INTEGER) AS far_acg FROM c""",
     "target_contexts": f"{_WITH} SELECT ctx, count(*) AS n FROM (SELECT {_CTX} AS ctx FROM wide WINDOW w AS (PARTITION BY block ORDER BY col)) GROUP BY ctx",

@@ -127,7 +127,7 @@ def identity_windows(spark, sf_dir):
 def nmer_counts(spark, sf_dir):
     df = al.nmers(tracks(spark, sf_dir), 3)
     x = F.col("nmer")
-    return df.select("track", "nmer", "n", residues.encode_nmer(x).alias("code"), residues.complement(x).alias("comp"), residues.contains_gap(x).alias("gapped"), residues.degenerate_match(x, F.lit("ACG")).alias("like_acg"), residues.hamming(x, F.lit("ACG")).cast("int").alias("far_acg"))
+    return df.select("track", "nmer", "n", F.coalesce(residues.encode_nmer(x), F.lit(-1)).cast("long").alias("code"), residues.complement(x).alias("comp"), residues.contains_gap(x).alias("gapped"), residues.degenerate_match(x, F.lit("ACG")).alias("like_acg"), residues.hamming(x, F.lit("ACG")).cast("int").alias("far_acg"))
 
 
 def target_contexts(spark, sf_dir):
