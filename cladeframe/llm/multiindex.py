@@ -2,7 +2,7 @@
 
 Each half of the vectors is quantised by its own K centroids (k-means on a bounded sample); a cell is a pair of
 centroids, so there are K * K cells. A query walks the cells by rising sum of its two half-distances, with a heap over
-the two sorted lists, until the cells it has met hold the share `visit` of all distinct vectors; those entries are
+the two sorted lists, until the cells it has met hold the share `visit` of all distinct vectors (LEAST at least); those entries are
 reranked by exact Euclidean distance in double precision. Every vector is indexed; K * K cell sizes are all that the
 driver sees of them.
 
@@ -26,6 +26,8 @@ K = 16
 SAMPLE = 10_000
 BLOCK = 4096
 VISIT = 0.6
+#: Entries that a query meets at least, where there are as many.
+LEAST = 1000
 SALTS = 64
 ROUNDS = 12
 
@@ -129,7 +131,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec
     asked = asking.groupBy("v").agg(F.min("query_id").alias("query"))
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted = visit * sizes.sum()
+        wanted = max(visit * sizes.sum(), LEAST, k + 1)
         for batch in batches:
             _, a, b = halves(batch)
             row, cell, block = [], [], []
