@@ -126,7 +126,8 @@ def _bit_map(nodes: DataFrame) -> np.ndarray:
             bits[mix(batch.column(0).to_numpy().view(np.uint64)) >> np.uint64(64 - MAP_BITS)] = True
         yield pa.RecordBatch.from_arrays([pa.array(range(CHUNKS), pa.int32()), pa.array(_chunk_rows(np.packbits(bits)), pa.binary())], names=["chunk", "counts"])
 
-    return merged(nodes.mapInArrow(run, "chunk int, counts binary"), np.uint8, np.bitwise_or)
+    found = merged(nodes.mapInArrow(run, "chunk int, counts binary"), np.uint8, np.bitwise_or)
+    return found if len(found) else np.zeros(1 << MAP_BITS - 3, np.uint8)  # no pair at all
 
 
 def _texts_of(docs: DataFrame, width: int, wanted) -> DataFrame:
