@@ -96,11 +96,17 @@ def average(models: list[Model]) -> Model:
     return Model(models[0].kind, mean([m.params for m in models]), mean([m.eq for m in models]))
 
 
+def eigen(q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Eigenvalues and real vectors; a conjugate pair, which rounding makes of a repeated value, gives its two parts."""
+    values, right = np.linalg.eig(q)
+    return values, np.where(values.imag < 0, -right.imag, right.real)
+
+
 def exponential(q: np.ndarray, t: float) -> np.ndarray:
     """e^(Qt) by eigenvectors; by scaling and squaring where those are complex or nearly dependent."""
-    values, right = np.linalg.eig(q)
+    values, right = eigen(q)
     if np.abs(values.imag).max() < 1e-12 and np.linalg.cond(right) < 1e8:
-        out = (right.real * np.exp(values.real * t)) @ np.linalg.inv(right.real)
+        out = (right * np.exp(values.real * t)) @ np.linalg.inv(right)
     else:
         a = q * t
         k = max(0, int(np.ceil(np.log2(max(1e-300, np.abs(a).sum(1).max())))) + 4)
@@ -124,8 +130,8 @@ class Decomposed:
 
     @classmethod
     def of(cls, q: np.ndarray) -> Decomposed:
-        values, vectors = np.linalg.eig(q)
-        return cls(vectors.real, values.real, np.linalg.inv(vectors.real))
+        values, right = eigen(q)
+        return cls(right, values.real, np.linalg.inv(right))
 
     def at(self, t: float) -> np.ndarray:
         return (self.left * np.exp(self.values * t)) @ self.right

@@ -5,7 +5,7 @@ from __future__ import annotations
 from cladeframe.functions.models import Model
 from cladeframe.operators.tree import Node
 from cladeframe.plans.views import TRACKS_SQL
-from cladeframe.queries import ADDITIVE, CONTEXTS, HKY, JC, NAMES, ORDER, TREE
+from cladeframe.queries import ADDITIVE, CONTEXTS, HKY, JC, NAMES, ORDER, PHASES, TREE
 
 BASES = "ACGT"
 _WITH = f"WITH {TRACKS_SQL}"
@@ -72,6 +72,45 @@ def _contextual(engine: str) -> str:
     return f"{_WITH}, c AS (SELECT *, {ctx} AS ctx FROM wide WINDOW w AS (PARTITION BY block ORDER BY col)) SELECT ctx, count(*) AS n_cols, round(sum(CASE ctx {cases} END), 4) AS ll FROM c WHERE {_USABLE} GROUP BY ctx"
 
 
+def _own_contexts() -> str:
+    """Pruning where the left context of a leaf chooses the model of its branch."""
+    plain = CONTEXTS.lookup("")
+
+    def leaf(name: str, a: int, d: float) -> str:
+        cases = " ".join(f"WHEN '{c}' THEN {_leaf(name, m.at(d), a)}" for (_, c), m in CONTEXTS.models.items() if c)
+        return f"(CASE {name}_ctx {cases} ELSE {_leaf(name, plain.at(d), a)} END)"
+
+    def below(node: Node, a: int) -> str:
+        parts = [leaf(c.name, a, d) if not c.children else "(" + " + ".join(f"{_num(plain.at(d)[a, b])} * {below(c, b)}" for b in range(4)) + ")" for c, d in node.children]
+        return "(" + " * ".join(parts) + ")"
+
+    ll = "CASE t0 " + " ".join(f"WHEN '{b}' THEN ln({below(TREE.root, a)})" for a, b in enumerate(BASES)) + " END"
+    ctx = ", ".join(f"regexp_extract(coalesce(lag({k}, 1) OVER w, ''), '([ACGT]*)$', 1) AS {k}_ctx" for k in NAMES[1:])
+    return f"{_WITH}, c AS (SELECT *, {ctx} FROM wide WINDOW w AS (PARTITION BY block ORDER BY col)) SELECT t1_ctx AS ctx, count(*) AS n_cols, round(sum({ll}), 4) AS ll FROM c WHERE {_USABLE} GROUP BY 1"
+
+
+def _phases() -> str:
+    by_frame = ", ".join(f"sum({_ll(_plain(m))}) AS m{k}" for k, m in enumerate(PHASES))
+    total = " + ".join(f"(SELECT m{k} FROM f WHERE frame = ({k} + 3 - phase) % 3)" for k in range(3))
+    return f"{_WITH}, f AS (SELECT col % 3 AS frame, {by_frame} FROM wide WHERE {_USABLE} GROUP BY 1), p AS (SELECT phase, {total} AS total FROM (VALUES (0), (1), (2)) x(phase)) SELECT CAST(phase AS INTEGER) AS phase, round(total, 4) AS total FROM p ORDER BY total DESC, phase LIMIT 1"
+
+
+def _mode(counts: str, otherwise: str) -> str:
+    """The base of the unique highest of four counts."""
+    top = f"list_max({counts})"
+    return f"CASE WHEN {top} > 0 AND len(list_filter({counts}, lambda v: v = {top})) = 1 THEN substr('{BASES}', CAST(list_position({counts}, {top}) AS INTEGER), 1) ELSE {otherwise} END"
+
+
+def _majority() -> str:
+    counts = lambda names: "[" + ", ".join(" + ".join(f"(CASE WHEN {t} = '{b}' THEN 1 ELSE 0 END)" for t in names) for b in BASES) + "]"
+    return f"""{_WITH}, c AS (SELECT t0, {counts(NAMES[1:])} AS c1, {counts(NAMES[1:3])} AS c2 FROM wide WHERE {_USABLE}),
+      x AS (SELECT c2, {_mode('c1', 't0')} AS "A1" FROM c), y AS (SELECT "A1", {_mode('c2', '"A1"')} AS "A2" FROM x) SELECT "A1", "A2", count(*) AS n FROM y GROUP BY ALL"""
+
+
+def _leaf_pairs(names: str) -> str:
+    return f"{_UP}, l AS (SELECT u.ancestor, n.name, u.dist FROM up u JOIN nodes n ON n.node_id = u.node WHERE n.kind = 'LEAF' AND n.name IN ({names})) SELECT x.name AS a, y.name AS b, round(min(x.dist + y.dist), 9) AS d FROM l x JOIN l y ON x.ancestor = y.ancestor AND x.name < y.name GROUP BY ALL"
+
+
 def _mask(x: str) -> str:
     return f"(CASE {x} WHEN 'A' THEN 1 WHEN 'C' THEN 2 WHEN 'G' THEN 4 WHEN 'T' THEN 8 ELSE 0 END)"
 
@@ -167,4 +206,24 @@ ORACLES = {
     "tree_graph": f"WITH {_NODES} SELECT n.kind, n.name, p.name AS parent, n.branch_len FROM nodes n LEFT JOIN nodes p ON p.node_id = n.parent_id",
     "tree_leaf_counts": f"{_UP} SELECT CAST(u.ancestor AS INTEGER) AS node_id, count(*) AS n_leaves FROM up u JOIN nodes n ON n.node_id = u.node WHERE n.kind = 'LEAF' GROUP BY ALL",
     "transition_table": _transitions(),
+    "maf_round_trip": f"{_WITH} SELECT 'b' || block || '.t' || track AS name, phase, CAST(length(seq) AS BIGINT) AS n, md5(seq) AS seq_md5 FROM tracks WHERE seq <> ''",
+    "track_accuracy": f"""{_WITH}, m AS (SELECT track, CAST(count(*) AS DOUBLE) AS n, CAST(sum(CASE WHEN block % 2 = 1 AND sym = 'T' THEN 0 ELSE 1 END) AS DOUBLE) AS m FROM sites GROUP BY track)
+      SELECT track, floor(m / n * 1000 + 5e0 / 9) / 10 AS accuracy FROM m""",
+    "renamed_target": f"{_WITH} SELECT CASE WHEN track = 0 THEN 'target' ELSE 't' || track END AS name, count(*) AS n FROM tracks GROUP BY 1",
+    "range_sums": f"""{_WITH}, c AS (SELECT block, col, {_ll(_plain(JC))} AS ll FROM wide), r AS (SELECT block, b AS begin, CAST(least(200, max(col) + 1) AS INTEGER) AS stop FROM c, (VALUES (0), (10)) v(b) GROUP BY block, b)
+      SELECT r.block, CAST(r.begin AS INTEGER) AS begin, r.stop AS "end", round(sum(c.ll), 6) AS total FROM r JOIN c ON c.block = r.block AND c.col >= r.begin AND c.col < r.stop GROUP BY ALL""",
+    "phase_prediction": _phases(),
+    "lco_likelihood": _own_contexts(),
+    "majority_states": _majority(),
+    "nmer_likelihood": f"""{_WITH}, c AS (SELECT *, lag(t0, 1) OVER (PARTITION BY block ORDER BY col) AS before FROM wide)
+      SELECT before || t0 AS pair, count(*) AS n_cols, round(sum({_ll(_plain(JC))}), 4) AS ll FROM c WHERE {_USABLE} AND before IN ('A', 'C', 'G', 'T') GROUP BY 1""",
+    "context_priors": f"""{_WITH}, m AS (SELECT sym || lead(sym, 1) OVER w || lead(sym, 2) OVER w AS nmer FROM sites WINDOW w AS (PARTITION BY block, track ORDER BY col)),
+      c AS (SELECT regexp_extract(nmer, '([ACGT]*)$', 1) AS ctx, count(*) AS n FROM m WHERE nmer IS NOT NULL GROUP BY 1)
+      SELECT ctx, n, round(pow(0.3e0, length(regexp_replace(ctx, '[CG]', '', 'g'))) * pow(0.2e0, length(regexp_replace(ctx, '[AT]', '', 'g'))), 9) AS prior FROM c""",
+    "probability_maps": """WITH r AS (SELECT DISTINCT CAST(l_discount AS DOUBLE) AS a, CAST(l_tax AS DOUBLE) AS b FROM lineitem)
+      SELECT a, b, round(atan(a) / pi() + 0.5e0, 9) AS p, round(tan((b - 0.25e0) * pi()), 9) AS x, round(ln(exp(a) + exp(b)), 9) AS lse, round(CASE WHEN a > 0.05e0 THEN 0e0 ELSE exp(a + b) END, 9) AS added FROM r""",
+    "gamma_density": "SELECT round(k * 0.01e0, 2) AS x, round(4 * (k * 0.01e0) * exp(-2 * (k * 0.01e0)), 9) AS p FROM range(1, 2000) t(k) WHERE k <= 50 OR 4 * (k * 0.01e0) * exp(-2 * (k * 0.01e0)) >= 1e-4",
+    "rerooted_distances": _leaf_pairs("'b', 'c', 'd', 'e'"),
+    "pruned_distances": _leaf_pairs("'a', 'c', 'd', 'e'"),
+    "stream_composition": f"""{_WITH} SELECT track, count(*) AS n, CAST(sum(length(seq)) AS BIGINT) AS symbols, {', '.join(f"CAST(sum(length(seq) - length(replace(seq, '{b}', ''))) AS BIGINT) AS {chr(34)}{b}{chr(34)}" for b in BASES)} FROM tracks GROUP BY track""",
 }

@@ -16,7 +16,17 @@ TRACKS = 4
 
 def tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(block, track, seq, phase); track 0 is the target."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").where("text is not null and doc_id is not null")
+    return tracks_of(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def track_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same rows as a stream of the table's files."""
+    schema = spark.read.parquet(f"{sf_dir}/documents.parquet").schema
+    return tracks_of(spark.readStream.schema(schema).parquet(f"{sf_dir}/documents.parque[t]"))
+
+
+def tracks_of(docs: DataFrame) -> DataFrame:
+    docs = docs.select("doc_id", "text").where("text is not null and doc_id is not null")
     seq = F.regexp_replace(F.translate(F.lower("text"), LETTERS, MAPPED), "[^ACGT]", "-")
     block = F.floor(F.col("doc_id") / TRACKS).cast("long")
     return docs.select(block.alias("block"), (F.col("doc_id") % TRACKS).cast("int").alias("track"), seq.alias("seq"), (block % 3).cast("int").alias("phase"))

@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import numpy as np
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from cladeframe.functions import residues
-from cladeframe.functions.models import ContextModel, Model
+from cladeframe.functions.models import ContextModel, Model, gamma_table, nmer_rates
 from cladeframe.operators import alignment as al
-from cladeframe.operators import distance, likelihood, parsimony
+from cladeframe.operators import distance, likelihood, parsimony, training
 from cladeframe.operators import tree as tr
 from cladeframe.operators.tree import Node, Tree
-from cladeframe.plans.views import TRACKS, tracks
+from cladeframe.plans.shared import new_folder
+from cladeframe.plans.views import TRACKS, track_stream, tracks
 from cladeframe.sources import formats
+from cladeframe.streaming import blocks as streaming
 
 NAMES = [f"t{k}" for k in range(TRACKS)]
 #: The target t0 is the root taxon; t1 and t2 are sisters, t3 their outgroup.
@@ -22,6 +26,8 @@ JC = Model("JC", (0.25,))
 HKY = Model("HKY", (0.4, 0.2), (0.3, 0.2, 0.2, 0.3))
 CONTEXTS = ContextModel(1, {(0, ""): JC, (0, "A"): Model("JC", (0.3,)), (0, "C"): Model("FEL", (0.5,), (0.3, 0.2, 0.2, 0.3)), (0, "G"): HKY, (0, "T"): Model("KIM", (0.4, 0.2))})
 ORDER = 2
+#: Models of the three codon positions.
+PHASES = (JC, HKY, Model("FEL", (0.2,), (0.3, 0.2, 0.2, 0.3)))
 
 
 def _blocks(spark, sf_dir):
@@ -238,12 +244,117 @@ def transition_table(spark, sf_dir):
     return spark.createDataFrame(rows, "model string, t double, a string, b string, p double")
 
 
+def maf_round_trip(spark, sf_dir):
+    """Tracks written as MAF and read again."""
+    folder = new_folder(spark, "maf")
+    named = tracks(spark, sf_dir).where("seq <> ''").withColumn("name", F.format_string("b%d.t%d", "block", "track"))
+    formats.write_maf(named, folder)
+    df = formats.read_maf(spark, folder)
+    return df.select("name", "phase", F.length("seq").cast("long").alias("n"), F.md5(F.col("seq").cast("binary")).alias("seq_md5"))
+
+
+def track_accuracy(spark, sf_dir):
+    """The tracks against themselves with T read as C in every other block."""
+    one = tracks(spark, sf_dir).where("seq <> ''").select("block", "track", "seq")
+    two = one.withColumn("seq", F.when(F.col("block") % 2 == 1, F.translate("seq", "T", "C")).otherwise(F.col("seq")))
+    return al.track_accuracy(one, two)
+
+
+def renamed_target(spark, sf_dir):
+    named = tracks(spark, sf_dir).withColumn("name", F.format_string("t%d", "track"))
+    return al.rename_target(named, "target").groupBy("name").agg(F.count("*").alias("n"))
+
+
+def range_sums(spark, sf_dir):
+    """Log-likelihood of the columns [begin, end) of each block: from the start, and from the tenth column."""
+    sites = _sites(spark, sf_dir)
+    ll = likelihood.pattern_likelihood(al.patterns(sites, NAMES).select(*NAMES), TREE, JC, F.col)
+    sums = likelihood.prefix_sums(sites.join(ll, NAMES).select("block", "col", "ll"))
+    length = sites.groupBy("block").agg(F.max("col").alias("last"))
+    ranges = length.select("block", F.explode(F.array(F.lit(0), F.lit(10))).alias("begin"), F.least(F.lit(200), F.col("last") + 1).alias("end")).where("begin < end")
+    return likelihood.range_sum(sums, ranges).select("block", "begin", "end", F.round("total", 6).alias("total"))
+
+
+def phase_prediction(spark, sf_dir):
+    """The reading frame of all blocks under three models, one per codon position."""
+    counts = al.patterns(_usable(spark, sf_dir).withColumn("frame", (F.col("col") % 3).cast("int")), NAMES, ["frame"])
+    for k, model in enumerate(PHASES):
+        counts = likelihood.pattern_likelihood(counts, TREE, model, F.col, f"ll{k}")
+    totals = counts.groupBy("frame").agg(*(F.sum(F.col("n") * F.col(f"ll{k}")).alias(f"m{k}") for k in range(3)))
+    each = totals.select("frame", F.explode(F.array(*(F.struct(F.lit(k).alias("model"), F.col(f"m{k}").alias("total")) for k in range(3)))).alias("x")).select("frame", "x.*")
+    return likelihood.predict_phase(each).select("phase", F.round("total", 4).alias("total"))
+
+
+def lco_likelihood(spark, sf_dir):
+    """Each leaf's own left context on its branch, by the leaf t1's context."""
+    sites = _sites(spark, sf_dir)
+    for name in NAMES[1:]:
+        sites = al.with_context(sites, name, CONTEXTS.order, f"{name}_ctx")
+    contexts = [f"{name}_ctx" for name in NAMES[1:]]
+    counts = al.patterns(sites.where(F.col("t0").isin(*"ACGT")), NAMES, contexts)
+    df = likelihood.leaf_context_likelihood(counts, TREE, CONTEXTS, F.col, lambda name: F.col(f"{name}_ctx"))
+    return df.groupBy(F.col("t1_ctx").alias("ctx")).agg(F.sum("n").cast("long").alias("n_cols"), F.round(F.sum(F.col("n") * F.col("ll")), 4).alias("ll"))
+
+
+def nmer_likelihood(spark, sf_dir):
+    """Pairs of columns under a pair model of two independent JC sites, so that the SQL can be plain pruning."""
+    left = Window.partitionBy("block").orderBy("col")
+    pair = lambda c: F.regexp_replace(F.concat(F.lag(c, 1).over(left), F.col(c)), "[^ACGT]", "-").alias(c)
+    pairs = _sites(spark, sf_dir).select("block", "col", *map(pair, NAMES)).where(F.col("t0").rlike("^[ACGT]{2}$"))
+    counts = al.patterns(pairs, NAMES)
+    even = np.full(16, 1 / 16)
+    df = likelihood.nmer_likelihood(counts, TREE, 2, nmer_rates(2, even, lambda a, b: 4.0), even)
+    return df.groupBy(F.col("t0").alias("pair")).agg(F.sum("n").cast("long").alias("n_cols"), F.round(F.sum(F.col("n") * F.col("ll")), 4).alias("ll"))
+
+
+def context_priors(spark, sf_dir):
+    """Trimmed contexts of all 3-mers with the product of their symbols' frequencies."""
+    kept = residues.trim_context(F.col("nmer"))
+    df = al.nmers(tracks(spark, sf_dir), 3).select(kept.alias("ctx"), "n")
+    return df.groupBy("ctx").agg(F.sum("n").cast("long").alias("n")).withColumn("prior", F.round(residues.context_prior(F.col("ctx"), dict(zip("ACGT", HKY.eq, strict=True))), 9))
+
+
+def probability_maps(spark, sf_dir):
+    """Scalar functions of logs and probabilities over the distinct rates of lineitem."""
+    df = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.col("l_discount").cast("double").alias("a"), F.col("l_tax").cast("double").alias("b")).distinct()
+    a, b = F.col("a"), F.col("b")
+    endless = F.when(a > 0.05, F.lit(float("-inf"))).otherwise(a)
+    values = {"p": residues.to_probability(a), "x": residues.from_probability(b + 0.25), "lse": residues.log_sum_exp(F.array(a, b)), "added": F.exp(residues.safe_add(endless, b))}
+    return df.select("a", "b", *(F.round(v, 9).alias(k) for k, v in values.items()))
+
+
+def gamma_density(spark, sf_dir):
+    return spark.createDataFrame([(round(x, 2), round(p, 9)) for x, p in gamma_table(2.0, 0.5)], "x double, p double")
+
+
+def rerooted_distances(spark, sf_dir):
+    """Rerooting at a leaf leaves the other leaves' distances as they are."""
+    return tr.leaf_distances(ADDITIVE.rerooted("a").table(spark))
+
+
+def pruned_distances(spark, sf_dir):
+    return tr.leaf_distances(ADDITIVE.pruned({"a", "c", "d", "e"}).table(spark))
+
+
+def stream_composition(spark, sf_dir):
+    """Running statistics once the stream of the table's files is drained."""
+    return streaming.drained(streaming.running_composition(track_stream(spark, sf_dir)), new_folder(spark, "stream"))
+
+
+def trained_tree(spark, sf_dir):
+    """Branch lengths of the best likelihood found in two rounds from TREE, on counted patterns."""
+    counts = al.patterns(_usable(spark, sf_dir), NAMES)
+    tree, _, best = training.train(counts, TREE, JC, F.col, rounds=2)
+    return spark.createDataFrame([(c.name, float(d), best) for _, c, d in tree.branches()], "name string, branch_len double, minus_ll double")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         block_likelihood, summary, track_stats, composition, filter_count, filter_species, drop_target_gaps, codon_trim, column_range, padded, phase_projection,
         first_blocks, sample_blocks, concatenation, nj_distances, upgma_distances, closest_pair, nj_tree, upgma_tree, identity_windows, nmer_counts, target_contexts,
         frame_likelihood, best_frame, rco_likelihood, trco_likelihood, prefix_sums, fitch_states, single_gain_states, majority_states, fitch_likelihood, indel_runs,
-        fasta, tree_leaf_distances, tree_clades, tree_graph, tree_leaf_counts, transition_table,
+        fasta, tree_leaf_distances, tree_clades, tree_graph, tree_leaf_counts, transition_table, maf_round_trip, track_accuracy, renamed_target, range_sums,
+        phase_prediction, lco_likelihood, nmer_likelihood, context_priors, probability_maps, gamma_density, rerooted_distances, pruned_distances, stream_composition, trained_tree,
     )
 }

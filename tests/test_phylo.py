@@ -59,6 +59,14 @@ def test_model_properties():
     assert m.from_text(m.to_text(gap)) == gap
 
 
+def test_repeated_eigenvalues():
+    for x in np.random.default_rng(1).uniform(0.001, 0.999, 2000):
+        p = m.Model("JC", (x,)).at(0.7)
+        off = 0.25 - 0.25 * math.exp(-4 * x * 0.7)
+        assert np.allclose(p, np.where(np.eye(4) == 1, 1 - 3 * off, off))
+        assert np.allclose(m.Decomposed.of(m.Model("JC", (x,)).rates()).at(0.7), p)
+
+
 def test_nmer_models():
     eq = m.nmer_frequencies(2, EQ)
     q = m.nmer_rates(2, eq, lambda a, b: 0.5)
@@ -205,6 +213,16 @@ def test_training_climbs(sites):
     assert best < start and model.kind == "HKY"
 
 
+def test_drained_stream(spark, tmp_path):
+    from cladeframe.streaming import blocks
+
+    rows = spark.createDataFrame(ROWS, "block long, track int, seq string, phase int")
+    rows.write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(rows.schema).parquet(f"{tmp_path}/in")
+    got = blocks.drained(blocks.running_composition(stream), f"file://{tmp_path}/out")
+    assert sorted(map(tuple, got.collect())) == [(0, 1, 6, 2, 2, 1, 1), (1, 1, 6, 1, 2, 1, 2), (2, 1, 6, 2, 2, 1, 0)]
+
+
 def test_queries_have_oracles():
     from cladeframe.oracles import ORACLES
     from cladeframe.queries import QUERIES
