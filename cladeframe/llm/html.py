@@ -1,66 +1,69 @@
-"""Main text of web pages: markup decides where it can, and a suffix array over each host decides the rest.
+"""Main text of web pages: markup drops what names itself as no content, and a suffix array over each host decides the rest.
 
-Markup: scripts, menus, forms and the like, and elements whose class, id or role names them so, never count; blocks inside
-an article or main element do. A page without such an element has open blocks. For these the token streams of the
-host's pages (open blocks, and blocks that markup set aside) are one text, and a block's words go where they lie in a
-substring of RUN tokens or more that occurs on another page of the host too; unique runs stay. A page whose open
-words are nearly all repeated is a copy of another page, not boilerplate, and stays whole.
+Markup: scripts, menus, forms and the like, and elements whose class, id or role names them so, never count. All other
+blocks, inside an article or main element or not, are the page's body. The token streams of a host's pages (bodies, and
+blocks that markup set aside) are one text, and words of a body go where they lie in a substring of RUN tokens or more
+that occurs in another body of the host too; unique runs stay. Pages of one host with equal bodies are one body. A body
+whose words are nearly all repeated is a copy of another, not boilerplate, and stays whole.
 
-The suffix array is distributed: suffixes are sorted into intervals by their first RUN tokens (by hash), all that tells
-whether neighbours share RUN tokens; an interval with two distinct pages is a repeat. Only minima and maxima of page
-keys per interval are shuffled on, so a menu on a third of all pages is no hot group.
+The suffix array is distributed: suffixes go by ranges of their key (of the host and their first RUN tokens), are sorted,
+and neighbours are compared; an interval of one key with two distinct bodies is a repeat. That is done twice: first
+with 48 bits of each suffix and no page, which leaves the few that may be repeated, then with whole keys and bodies for
+those alone. An interval shared by many pages is streamed, so a menu on a third of all pages needs no memory.
 """
 
 from __future__ import annotations
 
-import hashlib
 import html
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cladeframe.llm.common import materialise
+from cladeframe.llm.common import _STEP, materialise, mix, text_bytes, word_hashes, words
 
 RUN = 8
-#: Share of a page's open words that, repeated elsewhere, makes the page a copy.
+#: Share of a body's words that, repeated elsewhere, makes it a copy.
 COPY = 0.8
+#: Suffixes are sent in this many ranges of their key's first byte, with five more bytes of it.
+RANGES = 256
+#: Suffixes that a task holds before it sends them on.
+HELD = 4_000_000
+#: Bits of the map of suffixes that may be repeated: 8 MB.
+MAP_BITS = 26
 
 SKIP = frozenset("head title script style noscript template nav header footer aside form button select textarea iframe svg canvas object dialog menu".split())
 RAW = frozenset("script style textarea title noscript iframe".split())
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 CLOSES_ITSELF = frozenset("p li dt dd td th tr option".split())
-MAIN = frozenset(("article", "main"))
 _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
 _UNWANTED = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|notices?|alert|side-?bar|menu|nav\w*|breadcrumbs?|footer|header|masthead|comments?|replies|reply|disqus|social|share|sharing|related|recommend\w*|newsletter|subscribe|sign-?up|popup|modal|widget|pagination|complementary|contentinfo|search)(?:$|[\s_-])",
     re.I,
 )
-_WANTED = re.compile(r"(?:^|[\s_-])(?:main|article(?:[_-]?(?:body|content|text))?|(?:post|entry|story|main)[_-]?(?:body|content|text))(?:$|\s)", re.I)
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|</[^>]*(?:>|\Z)", re.S)
 
 
 def blocks(page: str) -> list[tuple[str, str]]:
-    """(role, text) of the page's blocks in order; role: main, open or aside. White space is one space, none around."""
+    """(role, text) of the page's blocks in order; role: open or aside. White space is one space, none around."""
     out: list[list] = []
-    stack: list[tuple[str, bool, bool]] = []
+    stack: list[tuple[str, bool]] = []
     parts: list[str] = []
-    skip = main = 0
+    skip = 0
 
     def end_block() -> None:
         text = " ".join(html.unescape("".join(parts)).split()) if parts else ""
         parts.clear()
         if text:
-            out.append(["aside" if skip else "main" if main else "open", text])
+            out.append(["aside" if skip else "open", text])
 
     def pop() -> None:
-        nonlocal skip, main
-        _, s, m = stack.pop()
-        skip -= s
-        main -= m
+        nonlocal skip
+        skip -= stack.pop()[1]
 
     at = 0
     while m := _TAG.search(page, at):
@@ -89,73 +92,186 @@ def blocks(page: str) -> list[tuple[str, str]]:
             continue
         named = " ".join(x or y or z for x, y, z in _NAMES.findall(m[3]))
         unwanted = name in SKIP or bool(named and _UNWANTED.search(named))
-        wanted = not unwanted and (name in MAIN or bool(named and _WANTED.search(named)))
-        if name in BLOCK or name in SKIP or unwanted or wanted:
-            if unwanted or wanted:
+        if name in BLOCK or unwanted:
+            if unwanted:
                 end_block()
-            stack.append((name, unwanted, wanted))
+            stack.append((name, unwanted))
             skip += unwanted
-            main += wanted
     tail = page[at:]
     parts.append(tail)
     end_block()
-    if any(role == "main" for role, _ in out):
-        return [("main" if role == "main" else "aside", text) for role, text in out]
     return [(role, text) for role, text in out]
 
 
-def suffixes(tokens: list[str]) -> list[int]:
-    """Key of the first RUN tokens of every suffix that has as many."""
-    return [int.from_bytes(hashlib.blake2b(" ".join(tokens[k : k + RUN]).encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True) for k in range(len(tokens) - RUN + 1)]
+def suffixes(texts: pa.Array, hosts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Key of the host and the first RUN tokens of every suffix that has as many, its text, and its token's place there.
+
+    Tokens are compared without the case of A-Z."""
+    data, bounds = text_bytes(texts)
+    starts, ends, owner = words(data, bounds)
+    hashes = word_hashes(data, starts, ends)
+    n = max(0, len(hashes) - RUN + 1)
+    total = np.zeros(n, np.uint64)
+    for k in range(RUN):
+        total += hashes[k : k + n] * _STEP[k % 5] * np.uint64(2 * (k // 5) + 1)
+    place = np.arange(len(owner)) - np.searchsorted(owner, np.arange(len(bounds)))[owner]
+    whole = np.flatnonzero(owner[:n] == owner[RUN - 1 :])
+    seed = mix(hosts.to_numpy(zero_copy_only=False).view(np.uint64))
+    return mix(total[whole] + seed[owner[whole]]), owner[whole], place[whole]
 
 
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        text, open_, mine, other = [], [], [], []
-        for page in batch.column(4).to_pylist():
-            found = blocks(page or "")
-            main = [t for role, t in found if role == "main"]
-            loose = [t for role, t in found if role == "open"]
-            text.append(" ".join(main))
-            open_.append(loose or None)
-            mine.append(suffixes(" ".join(loose).split()))
-            other.append(suffixes(" ".join(t for role, t in found if role == "aside").split()))
-        kinds = (pa.string(), pa.list_(pa.string()), pa.list_(pa.int64()), pa.list_(pa.int64()))
-        yield pa.RecordBatch.from_arrays([*batch.columns[:4], *(pa.array(x, k) for x, k in zip((text, open_, mine, other), kinds, strict=True))], names=["page_id", "url", "key", "host", "text", "open", "mine", "other"])
+        found = [blocks(page or "") for page in batch.column(3).to_pylist()]
+        both = [pa.array([" ".join(t for role, t in x if role == wanted) for x in found], pa.string()) for wanted in ("open", "aside")]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], *both], names=["page_id", "url", "host", "text", "aside"])
+
+
+def _sorted_ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(range, keys): 48 bits of the suffixes' keys, sorted; one that several pages hold comes twice."""
+
+    def sent(parts):
+        keys, times = np.unique(np.concatenate(parts), return_counts=True)
+        keys = np.repeat(keys, np.minimum(times, 2))
+        cuts = np.searchsorted(keys, np.arange(RANGES + 1, dtype=np.uint64) << np.uint64(40))
+        low = keys.view(np.uint8).reshape(-1, 8)[:, :5]
+        rows = [(k, low[a:b].tobytes()) for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a]
+        return pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int32()), pa.array([x for _, x in rows], pa.binary())], names=["range", "keys"])
+
+    held, size = [], 0
+    for batch in batches:
+        pages = [suffixes(batch.column(k), batch.column(0))[:2] for k in (1, 2)]
+        keys, owner = (np.concatenate([x[k] for x in pages]) for k in (0, 1))
+        order = np.lexsort((owner, keys))
+        keys, owner = keys[order], owner[order]
+        fresh = np.ones(len(keys), bool)
+        fresh[1:] = (keys[1:] != keys[:-1]) | (owner[1:] != owner[:-1])
+        held.append(keys[fresh] >> np.uint64(16))
+        size += len(held[-1])
+        if size > HELD:
+            yield sent(held)
+            held, size = [], 0
+    if size:
+        yield sent(held)
+
+
+def _slots(keys: np.ndarray) -> np.ndarray:
+    """A 48-bit key's bit of the map; each range has its own stretch of it."""
+    return keys >> np.uint64(48 - MAP_BITS)
+
+
+def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(range, bits): the range's stretch of the map, with the bits of keys that neighbour an equal one."""
+
+    def marked(k, parts):
+        raw = np.frombuffer(b"".join(parts), np.uint8).reshape(-1, 5)
+        keys = np.zeros((len(raw), 8), np.uint8)
+        keys[:, :5] = raw
+        keys = np.sort(keys.view(np.uint64).ravel())
+        bits = np.zeros((1 << MAP_BITS) // RANGES, bool)
+        bits[_slots(keys[1:][keys[1:] == keys[:-1]])] = True
+        return pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([np.packbits(bits).tobytes()], pa.binary())], names=["range", "bits"])
+
+    at, parts = None, []
+    for batch in batches:
+        for k, keys in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            if k != at and parts:
+                yield marked(at, parts)
+                parts = []
+            at = k
+            parts.append(keys)
+    if parts:
+        yield marked(at, parts)
+
+
+def _occurrences(maybe):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = maybe.value
+        for batch in batches:
+            key = batch.column(3).to_numpy()
+            out = []
+            for k in (1, 2):
+                keys, owner, _ = suffixes(batch.column(k), batch.column(0))
+                slot = _slots(keys >> np.uint64(16))
+                seen = ((bits[slot >> np.uint64(3)] >> (np.uint64(7) - (slot & np.uint64(7))).astype(np.uint8)) & 1).astype(bool)
+                out.append((keys[seen].view(np.int64), key[owner[seen]], np.full(seen.sum(), k == 1)))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], names=["suffix", "key", "mine"])
+
+    return run
+
+
+def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of sorted suffixes, those whose key neighbours the same key of another body. The first body's rows wait."""
+    wait = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        table = pa.Table.from_batches([batch])
+        if wait is not None:
+            table = pa.concat_tables([wait, table])
+        suffix, key = table.column(0).to_numpy(), table.column(1).to_numpy()
+        new = np.r_[True, suffix[1:] != suffix[:-1]]
+        start = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
+        other = key != key[start]
+        good = np.zeros(len(new), bool)
+        good[start[other]] = True
+        good = good[start]
+        # the last interval goes on: keep its first body's rows if no other body came yet, else one row of it to compare with
+        last = start[-1]
+        done = np.ones(len(new), bool)
+        done[last:] = good[last]
+        if wait is not None and open_ and suffix[0] == wait.column(0)[0].as_py():
+            done[0] = False
+        open_ = bool(good[last])
+        yield from table.filter(pa.array(good & done)).combine_chunks().to_batches()
+        wait = table.slice(last, 1) if open_ else table.slice(last)
 
 
 def _unique_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
+        keys, owner, place = suffixes(batch.column(2), batch.column(3))
+        bad = [np.array(x or (), np.int64).view(np.uint64) for x in batch.column(4).to_pylist()]
+        cuts = np.searchsorted(owner, np.arange(batch.num_rows + 1))
         text = []
-        for loose, starts in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-            words = " ".join(loose).split()
-            gone = {k + i for k in starts or () for i in range(RUN)}
-            if len(gone) >= COPY * len(words):
+        for k, page in enumerate(batch.column(2).to_pylist()):
+            if not len(bad[k]):
+                text.append(page)
+                continue
+            a, b = cuts[k], cuts[k + 1]
+            tokens = page.split()
+            gone = {i + j for i in place[a:b][np.isin(keys[a:b], bad[k])].tolist() for j in range(RUN)}
+            if len(gone) >= COPY * len(tokens):
                 gone = set()
-            text.append(" ".join(w for k, w in enumerate(words) if k not in gone))
+            text.append(" ".join(w for i, w in enumerate(tokens) if i not in gone))
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(text, pa.string())], names=["page_id", "url", "text"])
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Per row: id, url, text (main text, empty if none), n_chars.
 
-    A null page has the empty text; a null url belongs to the host without a name; equal rows count as one page when
-    repeats are looked for, and each is returned; unclosed tags, comments and scripts reach to the end of the page;
-    other columns are not read. An empty table gives an empty table.
+    A null page has the empty text; a null url belongs to the host without a name; pages of a host with equal bodies count
+    as one when repeats are looked for, and each is returned; unclosed tags, comments and scripts reach to the end of the
+    page; other columns are not read. An empty table gives an empty table.
     """
-    pages.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "200")
+    spark = pages.sparkSession
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
     url = F.col(url_col).cast("string")
     host = F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@]*@)?(?:www\.)?([^/:?#]+)", 1))
     page = F.col(html_col).cast("string")
     kind = dict(pages.dtypes)[id_col]
-    rows = pages.select(F.col(id_col).alias("page_id"), url.alias("url"), F.xxhash64(id_col, url_col, html_col).alias("key"), host.alias("host"), page.alias("html"))
-    parsed = materialise(rows.mapInArrow(_parse, f"page_id {kind}, url string, key long, host string, text string, open array<string>, mine array<long>, other array<long>"), "parsed")
-    settled = parsed.where("open is null").select("page_id", "url", "text")
-    loose = parsed.where("open is not null")
-
-    every = parsed.select("host", "key", F.explode(F.concat("mine", "other")).alias("suffix"))
-    repeated = every.groupBy("host", "suffix").agg(F.min("key").alias("a"), F.max("key").alias("b")).where("a <> b").select("host", "suffix")
-    mine = loose.select("key", "host", F.posexplode("mine").alias("pos", "suffix")).distinct()
-    covered = mine.join(repeated, ["host", "suffix"]).groupBy("key").agg(F.collect_list("pos").alias("starts"))  # at most a page's words
-    left = loose.join(covered, "key", "left").select("page_id", "url", "open", "starts").mapInArrow(_unique_runs, f"page_id {kind}, url string, text string")
-    return settled.union(left).select(F.col("page_id").alias(id_col), F.col("url").alias(url_col), "text", F.length("text").cast("long").alias("n_chars"))
+    rows = pages.select(F.col(id_col).alias("page_id"), url.alias("url"), F.xxhash64(host).alias("host"), page.alias("html"))
+    parsed = rows.mapInArrow(_parse, f"page_id {kind}, url string, host long, text string, aside string")
+    parsed = materialise(parsed.withColumn("key", F.xxhash64("host", "text")), "parsed")
+
+    ranges = parsed.select("host", "text", "aside").mapInArrow(_sorted_ranges, "range int, keys binary")
+    found = np.zeros((RANGES, (1 << MAP_BITS - 3) // RANGES), np.uint8)
+    for r in ranges.repartition("range").sortWithinPartitions("range").mapInArrow(_neighbours, "range int, bits binary").collect():
+        found[r.range] = np.frombuffer(r.bits, np.uint8)
+    maybe = spark.sparkContext.broadcast(found.ravel())
+    every = parsed.select("host", "text", "aside", "key").mapInArrow(_occurrences(maybe), "suffix long, key long, mine boolean")
+    repeated = every.groupBy("suffix", "key").agg(F.max("mine").alias("mine"))
+    repeated = repeated.repartitionByRange("suffix").sortWithinPartitions("suffix", "key").mapInArrow(_repeated, "suffix long, key long, mine boolean")
+    repeated = materialise(repeated, "repeated")
+    gone = repeated.where("mine").groupBy("key").agg(F.collect_list("suffix").alias("gone"))  # at most a page's words
+    left = parsed.join(gone, "key", "left").select("page_id", "url", "text", "host", "gone").mapInArrow(_unique_runs, f"page_id {kind}, url string, text string")
+    return left.select(F.col("page_id").alias(id_col), F.col("url").alias(url_col), "text", F.length("text").cast("long").alias("n_chars"))

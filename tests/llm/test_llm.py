@@ -281,3 +281,23 @@ def test_pipeline(spark, tmp_path, docs):
             assert not any("@" in r.text for r in df.collect())
         if n == 4:
             assert df.count() == before.count() and all(r.n_tokens == len(r.ids) for r in df.collect())
+
+
+def test_html_repeats_inside_articles(spark):
+    note, own = "Please read our terms before you copy any of this", [prose(700 + k, 40) for k in range(6)]
+    rows = [(k, f"http://a.x/{k}", f"<article><p>{own[k]}</p><p>{note}</p></article>") for k in range(4)]
+    rows += [(4, "http://b.x/4", f'<h1 class="main">Title</h1><div>{own[4]}</div>'), (5, "http://b.x/5", f"<article>teaser</article><div>{own[5]}</div>")]
+    rows += [(6, "http://a.x/mirror", rows[0][2]), (7, "http://c.x/7", rows[1][2]), (8, "http://c.x/8", rows[1][2])]
+    got = {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert [got[k] for k in range(4)] == own[:4] and got[6] == own[0]
+    assert got[4] == "Title " + own[4] and got[5] == "teaser " + own[5]
+    assert got[7] == got[8] == f"{own[1]} {note}"
+
+
+def test_html_neighbours_across_batches():
+    rows = [(1, 5), (2, 5), (2, 5), (2, 6), (2, 6), (2, 7), (3, 1), (3, 1), (4, 1), (4, 2), (5, 1)]
+    want = [x for x in rows if len({k for s, k in rows if s == x[0]}) > 1]
+    for size in range(1, 12):
+        table = html.pa.table({"suffix": [s for s, _ in rows], "key": [k for _, k in rows]})
+        got = [tuple(r.values()) for b in html._repeated(iter(table.to_batches(size))) for r in b.to_pylist()]
+        assert got == want, size
