@@ -3,8 +3,12 @@
 Markup: scripts, menus, forms and the like, and elements whose class, id or role names them so, never count. All other
 blocks, inside an article or main element or not, are the page's body. The token streams of a host's pages (bodies, and
 blocks that markup set aside) are one text, and words of a body go where they lie in a substring of RUN tokens or more
-that occurs in another body of the host too; unique runs stay. Pages of one host with equal bodies are one body. A body
-whose words are nearly all repeated is a copy of another, not boilerplate, and stays whole.
+that occurs in another body of the host too; unique runs stay. Pages of one host with equal bodies are one body, and
+edited copies are one group: runs go if they recur across groups, and stay if they recur within one group only.
+
+Bodies are linked as copies where they share half of the smaller one's suffixes, or more, apart from the host's frame:
+suffixes that more than half of its bodies, three at least, hold. Each body is compared with the least and the greatest
+body of its repeated suffixes, so the work is linear, and groups are what links reach.
 
 The suffix array is distributed: suffixes go by ranges of their key (of the host and their first RUN tokens), are sorted,
 and neighbours are compared; an interval of one key with two distinct bodies is a repeat. That is done twice: first
@@ -24,10 +28,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cladeframe.llm.common import _STEP, materialise, mix, text_bytes, word_hashes, words
+from cladeframe.llm.jaccard import components
 
 RUN = 8
-#: Share of a body's words that, repeated elsewhere, makes it a copy.
-COPY = 0.8
+#: Share of the smaller body's suffixes outside the host's frame that, shared, makes two bodies copies.
+COPY = 0.5
 #: Suffixes are sent in this many ranges of their key's first byte, with five more bytes of it.
 RANGES = 256
 #: Suffixes that a task holds before it sends them on.
@@ -123,8 +128,11 @@ def suffixes(texts: pa.Array, hosts: pa.Array) -> tuple[np.ndarray, np.ndarray,
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         found = [blocks(page or "") for page in batch.column(3).to_pylist()]
-        both = [pa.array([" ".join(t for role, t in x if role == wanted) for x in found], pa.string()) for wanted in ("open", "aside")]
-        yield pa.RecordBatch.from_arrays([*batch.columns[:3], *both], names=["page_id", "url", "host", "text", "aside"])
+        text, aside = (pa.array([" ".join(t for role, t in x if role == wanted) for x in found], pa.string()) for wanted in ("open", "aside"))
+        keys, owner, _ = suffixes(text, batch.column(2))
+        cuts = np.searchsorted(owner, np.arange(batch.num_rows + 1))
+        size = [len(np.unique(keys[a:b])) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], text, aside, pa.array(size, pa.int64())], names=["page_id", "url", "host", "text", "aside", "size"])
 
 
 def _sorted_ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -240,12 +248,28 @@ def _unique_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             a, b = cuts[k], cuts[k + 1]
             tokens = page.split()
             gone = {i + j for i in place[a:b][np.isin(keys[a:b], bad[k])].tolist() for j in range(RUN)}
-            if len(gone) >= COPY * len(tokens):
-                gone = set()
             text.append(" ".join(w for i, w in enumerate(tokens) if i not in gone))
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(text, pa.string())], names=["page_id", "url", "text"])
 
 
+def _groups(repeated: DataFrame, parsed: DataFrame) -> DataFrame:
+    """(node, label): the copy group of every body that is linked with another."""
+    bodies = parsed.select("key", "host", "size").distinct()
+    bodies = materialise(bodies.join(bodies.groupBy("host").agg(F.count("*").alias("bodies")), "host"), "bodies")
+    mine = repeated.where("mine").select("suffix", "key")
+    held = mine.groupBy("suffix").agg(F.count("*").alias("held"), F.min("key").alias("low"), F.max("key").alias("high")).where("held > 1")
+    placed = mine.join(held, "suffix").join(bodies.select("key", "bodies"), "key")
+    placed = materialise(placed.withColumn("frame", (F.col("held") > 2) & (2 * F.col("held") > F.col("bodies"))), "placed")
+    frame = placed.where("frame").groupBy("key").agg(F.count("*").alias("n"))
+    own = bodies.join(frame, "key", "left").select("key", (F.col("size") - F.coalesce("n", F.lit(0))).alias("own"))
+    # a suffix of two bodies gives its pair once, others one with the least and one with the greatest body
+    pairs = placed.where("not frame and key <> low").select(F.col("low").alias("a"), F.col("key").alias("b"))
+    pairs = pairs.union(placed.where("not frame and key <> high and key <> low").select(F.col("key").alias("a"), F.col("high").alias("b")))
+    pairs = pairs.groupBy("a", "b").agg(F.count("*").alias("shared"))
+    sized = pairs.join(own.select(F.col("key").alias("a"), F.col("own").alias("own_a")), "a").join(own.select(F.col("key").alias("b"), F.col("own").alias("own_b")), "b")
+    return components(sized.where(F.col("shared") >= COPY * F.least("own_a", "own_b")).select("a", "b"))
+
+
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Per row: id, url, text (main text, empty if none), n_chars.
 
@@ -260,7 +284,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     page = F.col(html_col).cast("string")
     kind = dict(pages.dtypes)[id_col]
     rows = pages.select(F.col(id_col).alias("page_id"), url.alias("url"), F.xxhash64(host).alias("host"), page.alias("html"))
-    parsed = rows.mapInArrow(_parse, f"page_id {kind}, url string, host long, text string, aside string")
+    parsed = rows.mapInArrow(_parse, f"page_id {kind}, url string, host long, text string, aside string, size long")
     parsed = materialise(parsed.withColumn("key", F.xxhash64("host", "text")), "parsed")
 
     ranges = parsed.select("host", "text", "aside").mapInArrow(_sorted_ranges, "range int, keys binary")
@@ -272,6 +296,9 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     repeated = every.groupBy("suffix", "key").agg(F.max("mine").alias("mine"))
     repeated = repeated.repartitionByRange("suffix").sortWithinPartitions("suffix", "key").mapInArrow(_repeated, "suffix long, key long, mine boolean")
     repeated = materialise(repeated, "repeated")
-    gone = repeated.where("mine").groupBy("key").agg(F.collect_list("suffix").alias("gone"))  # at most a page's words
+    label = _groups(repeated, parsed)
+    grouped = repeated.join(label, repeated.key == label.node, "left").withColumn("label", F.coalesce("label", "key"))
+    across = grouped.groupBy("suffix").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("suffix")
+    gone = repeated.where("mine").join(across, "suffix").groupBy("key").agg(F.collect_list("suffix").alias("gone"))  # at most a page's words
     left = parsed.join(gone, "key", "left").select("page_id", "url", "text", "host", "gone").mapInArrow(_unique_runs, f"page_id {kind}, url string, text string")
     return left.select(F.col("page_id").alias(id_col), F.col("url").alias(url_col), "text", F.length("text").cast("long").alias("n_chars"))

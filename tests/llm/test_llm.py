@@ -301,3 +301,15 @@ def test_html_neighbours_across_batches():
         table = html.pa.table({"suffix": [s for s, _ in rows], "key": [k for _, k in rows]})
         got = [tuple(r.values()) for b in html._repeated(iter(table.to_batches(size))) for r in b.to_pylist()]
         assert got == want, size
+
+
+def test_html_repeats_across_copy_groups(spark):
+    frame, own = prose(800, 100), [prose(801 + k, 20) for k in range(6)]
+    note, story = "Please read our terms before you copy any of this", prose(900, 70)
+    page = "<div>%s</div><p>%s</p>"
+    rows = [(k, f"http://short.x/{k}", page % (frame, own[k])) for k in range(6)] + [(6, "http://short.x/copy", page % (frame, own[0]))]
+    edits = [f"{story} {prose(910 + k, 30)}" for k in range(2)]
+    rows += [(10 + k, f"http://edit.x/{k}", page % (note, edits[k])) for k in range(2)] + [(12 + k, f"http://edit.x/o{k}", page % (note, prose(920 + k, 60))) for k in range(3)]
+    got = {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert [got[k] for k in range(7)] == [*own, own[0]]
+    assert [got[10], got[11]] == edits and [got[12 + k] for k in range(3)] == [prose(920 + k, 60) for k in range(3)]
