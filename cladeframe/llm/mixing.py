@@ -49,14 +49,14 @@ def golden(t: np.ndarray) -> np.ndarray:
 class Mix:
     """The sized documents, the sources with their targets, and the slots that take them."""
 
-    def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source"):
+    def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", row_col: str | None = None):
         spark = docs.sparkSession
         size = F.coalesce(F.regexp_count(F.col(text_col).cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
         source = F.col(source_col).cast("string")
         key = F.when(source.isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), source))
         shuffled = F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary"))
-        sized = docs.select(F.col(id_col).alias("id"), key.alias("key"), size.alias("size"), shuffled.alias("place"))
-        self.sized = sized = materialise(sized.withColumn("bucket", F.substring("place", 1, 3)).withColumn("row", F.monotonically_increasing_id()), "sized")
+        sized = docs.select(F.col(id_col).alias("id"), key.alias("key"), size.alias("size"), shuffled.alias("place"), (F.col(row_col) if row_col else F.monotonically_increasing_id()).alias("row"))
+        self.sized = sized = materialise(sized.withColumn("bucket", F.substring("place", 1, 3)), "sized")
 
         found = sized.groupBy("key").agg(F.sum("size").alias("size")).limit(MAX_SOURCES + 1).collect()
         if len(found) > MAX_SOURCES:
@@ -105,7 +105,9 @@ class Mix:
         return self.sized.withColumn("within", within).join(offsets, ["key", "bucket"]).select("row", "id", "key", "size", (F.col("before") + F.col("within")).alias("at"))
 
     def parts(self) -> DataFrame:
-        """(slot, row, epoch, first, last): the words [first, last) of a document that a slot takes."""
+        """(slot, row, epoch, first, last, begin, _size): the words [first, last) of a document that a slot takes.
+
+        begin is the document's place in its source's line, _size its words."""
         df = self.placed().where("size > 0").join(self.sources, "key")
         df = df.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(EPOCHS - 1))))
         begin = F.col("at") + F.col("epoch") * F.col("source_size")
@@ -113,8 +115,8 @@ class Mix:
         df = df.withColumn("nth", F.explode(F.sequence(F.floor(F.col("begin") / BLOCK), F.floor((F.col("end") - 1) / BLOCK))))
         first = F.greatest(F.col("begin"), F.col("nth") * BLOCK) - F.col("begin")
         last = F.least(F.col("end"), (F.col("nth") + 1) * BLOCK) - F.col("begin")
-        df = df.select("row", "key", "epoch", "nth", first.alias("first"), last.alias("last"))
-        return self.schedule().join(df, ["key", "nth"]).select("slot", "row", "epoch", "first", "last")
+        df = df.select("row", "key", "epoch", "nth", first.alias("first"), last.alias("last"), "begin", F.col("size").alias("_size"))
+        return self.schedule().join(df, ["key", "nth"]).select("slot", "row", "epoch", "first", "last", "begin", "_size")
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
@@ -129,16 +131,23 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     return out.select(F.col("id").alias(id_col), "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 
-def take(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """The mix itself: each document as many times as it is taken, the last time perhaps its first words only.
+def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """The mix in its order: slot, epoch, first, last and the columns of docs, range-partitioned and sorted by slot.
 
-    Rows keep their columns; a part's text is its words up to the cut. Rows that share an id are taken alike (the sum
-    over them is shared out evenly in words, rounded down). Documents that the mix does not take are left out.
+    A row is what one slot takes of one document: the words [first, last), as the text. A part that is the whole document
+    keeps its text as it is. Documents that the mix does not take are left out.
     """
-    taken = mix(docs, id_col, text_col, source_col).groupBy(id_col).agg(F.sum("taken").alias("_taken"), F.sum("size").alias("_size"), F.first("size").alias("_words"))
-    df = docs.join(taken, docs[id_col].eqNullSafe(taken[id_col])).drop(taken[id_col]).where("_taken > 0")
-    df = df.withColumn("_words", F.regexp_count(text_col, F.lit(WORD)).cast("long")).withColumn("_taken", F.floor(F.col("_taken") * F.col("_words") / F.col("_size")).cast("long"))
-    full = F.floor(F.col("_taken") / F.col("_words"))
-    df = df.where("_words > 0").withColumn("_left", F.explode(F.transform(F.sequence(F.lit(0), full), lambda e: F.least(F.col("_words"), F.col("_taken") - e * F.col("_words"))))).where("_left > 0")
-    head = F.array_join(F.slice(F.filter(F.split(F.col(text_col), r"[\x20\x09-\x0D]+"), lambda x: x != ""), 1, F.col("_left").cast("int")), " ")
-    return df.withColumn(text_col, F.when(F.col("_left") == F.col("_words"), F.col(text_col)).otherwise(head)).select(*docs.columns)
+    kept = materialise(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    held = Mix(kept, id_col, text_col, source_col, "_row")
+    df = held.parts().withColumnRenamed("row", "_row").join(kept, "_row")
+    tokens = F.filter(F.split(F.col(text_col).cast("string"), r"[\x20\x09-\x0D]+"), lambda x: x != "")
+    part = F.array_join(F.slice(tokens, (F.col("first") + 1).cast("int"), (F.col("last") - F.col("first")).cast("int")), " ")
+    whole = (F.col("first") == 0) & (F.col("last") == F.col("_size"))
+    df = df.withColumn(text_col, F.when(whole, F.col(text_col)).otherwise(part))
+    # a slot's parts lie in its source's line by epoch and place
+    return df.repartitionByRange("slot").sortWithinPartitions("slot", "begin").select("slot", "epoch", "first", "last", *docs.columns)
+
+
+def take(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """The mix itself in the order of its slots, with the columns of docs; a row is what a slot takes of a document."""
+    return mixed(docs, id_col, text_col, source_col).select(*docs.columns)

@@ -35,7 +35,7 @@ def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents as often as the mix takes them; the last time perhaps in part."""
+    """The mix in the order of its slots: the parts of documents that the slots take, as often as they take them."""
     return _with_length(mixing.take(docs))
 
 

@@ -313,3 +313,28 @@ def test_html_repeats_across_copy_groups(spark):
     got = {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert [got[k] for k in range(7)] == [*own, own[0]]
     assert [got[10], got[11]] == edits and [got[12 + k] for k in range(3)] == [prose(920 + k, 60) for k in range(3)]
+
+
+def test_mix_in_slot_order(spark):
+    rows = [(k, prose(k, 150 + 37 * (k % 9)), "abc"[0 if k < 20 else 1 if k < 70 else 2]) for k in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.mixed(df).collect()
+    slots = [r.slot for r in got]
+    assert slots == sorted(slots) and len(set(slots)) > 100
+    sizes = [sum(len(t.split()) for _, t, s in rows if s == x) for x in "abc"]
+    goal = dict(zip("abc", mixing.targets(sizes, [1, 2, 3]), strict=True))
+    words_of, streams, by_slot = {k: t.split() for k, t, _ in rows}, {x: [] for x in "abc"}, {}
+    for r in got:
+        assert r.text.split() == words_of[r.doc_id][r.first : r.last]
+        streams[r.source] += r.text.split()
+        by_slot.setdefault(r.slot, []).append(r.source)
+    for x in "abc":
+        line = [w for k in sorted((k for k, _, s in rows if s == x), key=lambda k: hashlib.md5(str(k).encode()).hexdigest()) for w in words_of[k]]
+        assert sorted(streams[x]) == sorted((line * 3)[: int(goal[x])])
+    order = [by_slot[s][0] for s in sorted(by_slot)]
+    assert all(len(set(x)) == 1 for x in by_slot.values())
+    for n in (20, 50):
+        for a in range(len(order) - n):
+            for x in "abc":
+                assert abs(order[a : a + n].count(x) - n * goal[x] / sum(goal.values())) <= 5
+    assert [r.text for r in mixing.take(df).collect()] == [r.text for r in got]
