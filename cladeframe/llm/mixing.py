@@ -1,10 +1,11 @@
 """Mixing sources to target weights by a low-discrepancy schedule.
 
-Slot t of the schedule goes to the source whose interval of cumulative target shares holds the golden-ratio point
-t * 0.618... modulo 1, so every stretch of the mix is close to the targets. The n-th slot of a source takes the n-th block
-of BLOCK words of the source's stream: its documents in shuffled order (by digest of the id), end to end, over and
-over. A stream ends at its target; slots past it are unused, and slots that the schedule left a source short of (a
-few, as its discrepancy is logarithmic) follow at the end. So a source gives its target to the word.
+Slot t of the schedule goes to the source whose interval of cumulative targets holds the golden-ratio point
+t * 0.618... modulo 1, so every stretch of the mix is close to the targets. Slots are ranked per source, and the n-th
+slot of a source takes the n-th block of its line: its documents in shuffled order (by digest of the id), end to end,
+over and over, cut in blocks of equal word counts. The slots alone decide what is taken: a source gives as many blocks
+as slots fell to it, which is within a few of target / block for any number of slots. Only the last slot is shorter,
+where the words of the mix do not divide, and no line goes on after EPOCHS rounds.
 
 One row per source comes to the driver (MAX_SOURCES at most, checked); documents never do.
 """
@@ -20,7 +21,8 @@ from pyspark.sql import functions as F
 
 from cladeframe.llm.common import WORD, materialise
 
-BLOCK = 256
+#: Words of a slot.
+BLOCK = 64
 EPOCHS = 3
 MAX_SOURCES = 1_000_000
 GOLDEN = 0.6180339887498949
@@ -29,16 +31,16 @@ _LOW = 1 << 26
 
 
 def targets(sizes: list[int], weights: list[int]) -> list[float]:
-    """Share the total by weight; none above EPOCHS times its size, the excess reshared among the rest by weight."""
-    total, capped = sum(sizes), [False] * len(sizes)
-    while True:
-        left = total - sum(EPOCHS * s for s, c in zip(sizes, capped, strict=True) if c)
-        weight = sum(w for w, c in zip(weights, capped, strict=True) if not c)
-        out = [float(EPOCHS * s) if c else left * w / weight for s, w, c in zip(sizes, weights, capped, strict=True)]
-        above = [not c and x > EPOCHS * s for x, s, c in zip(out, sizes, capped, strict=True)]
-        if not any(above):
-            return out
-        capped = [c or a for c, a in zip(capped, above, strict=True)]
+    """Share the total by weight; none above EPOCHS times its size, the excess reshared among the rest by weight.
+
+    Sources reach their limit in the order of size per weight, so one pass in that order finds which do."""
+    out, left, weight = [0.0] * len(sizes), sum(sizes), sum(weights)
+    for k in sorted(range(len(sizes)), key=lambda k: sizes[k] / weights[k]):
+        out[k] = min(float(EPOCHS * sizes[k]), left * weights[k] / weight)
+        if out[k] == EPOCHS * sizes[k]:
+            left -= EPOCHS * sizes[k]
+            weight -= weights[k]
+    return out
 
 
 def golden(t: np.ndarray) -> np.ndarray:
@@ -49,8 +51,8 @@ def golden(t: np.ndarray) -> np.ndarray:
 class Mix:
     """The sized documents, the sources with their targets, and the slots that take them."""
 
-    def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", row_col: str | None = None):
-        spark = docs.sparkSession
+    def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", row_col: str | None = None, block: int = BLOCK):
+        self.block = block
         size = F.coalesce(F.regexp_count(F.col(text_col).cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
         source = F.col(source_col).cast("string")
         key = F.when(source.isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), source))
@@ -62,39 +64,36 @@ class Mix:
         if len(found) > MAX_SOURCES:
             raise ValueError(f"more than {MAX_SOURCES} sources")
         found.sort(key=lambda r: (r.key == "n", r.key))
+        self.keys = [r.key for r in found]
         self.sizes = [int(r["size"]) for r in found]
         self.targets = targets(self.sizes, [1 + k % 3 for k in range(len(found))])
-        self.words = [int(x) for x in self.targets]
-        self.slots = [-(-x // BLOCK) for x in self.words]
-        rows = [(r.key, s, t, w, n) for r, s, t, w, n in zip(found, self.sizes, self.targets, self.words, self.slots, strict=True)]
-        self.sources = spark.createDataFrame(rows, "key string, source_size long, target double, words long, slots long")
-        self.keys = [r.key for r in found]
+        self.total = sum(self.sizes)
+        self.slots = -(-self.total // block)
+        self.sources = docs.sparkSession.createDataFrame(list(enumerate(zip(self.keys, self.sizes, self.targets, strict=True))), "source int, s struct<key:string,source_size:long,target:double>").select("source", "s.*")
 
     def schedule(self) -> DataFrame:
-        """(slot, key, nth): which source's nth block each slot takes."""
-        spark = self.sized.sparkSession
-        total = sum(self.slots)
-        ends = np.cumsum(self.slots) / max(1, total)
+        """(slot, source, nth): the source of each slot, and which of its slots it is."""
+        ends = np.cumsum(self.targets) / max(1, self.total)
 
         def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 t = batch.column(0).to_numpy()
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.minimum(np.searchsorted(ends, golden(t), side="right"), len(ends) - 1).astype(np.int32))], names=["slot", "source"])
 
-        points = spark.range(total).mapInArrow(assign, "slot long, source int")
+        points = self.sized.sparkSession.range(self.slots).mapInArrow(assign, "slot long, source int")
         # ranks without one task per source: slots are cut in stretches, counted, and numbered within each
         points = points.withColumn("stretch", F.floor(F.col("slot") / 65536))
         before = points.groupBy("source", "stretch").agg(F.count("*").alias("n"))
         before = before.withColumn("before", F.coalesce(F.sum("n").over(Window.partitionBy("source").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
         within = F.row_number().over(Window.partitionBy("source", "stretch").orderBy("slot")) - 1
-        ranked = points.withColumn("within", within).join(before, ["source", "stretch"]).select("slot", "source", (F.col("before") + F.col("within")).alias("nth"))
-        listed = spark.createDataFrame(list(enumerate(zip(self.keys, self.slots, strict=True))), "source int, s struct<key:string,slots:long>").select("source", "s.*")
-        used = ranked.join(listed, "source").where("nth < slots").select("slot", "key", "nth")
-        had = before.groupBy("source").agg(F.sum("n").alias("had"))
-        short = listed.join(had, "source", "left").withColumn("had", F.coalesce("had", F.lit(0))).where("had < slots")
-        late = short.select("source", "key", F.explode(F.sequence("had", F.col("slots") - 1)).alias("nth"))
-        late = late.select((F.lit(total) + F.row_number().over(Window.orderBy("nth", "source")) - 1).alias("slot"), "key", "nth")  # a few per source
-        return used.union(late)
+        return points.withColumn("within", within).join(before, ["source", "stretch"]).select("slot", "source", (F.col("before") + F.col("within")).alias("nth"))
+
+    def lines(self, schedule: DataFrame) -> DataFrame:
+        """The sources with words: where their line ends, which is what their slots hold or EPOCHS rounds."""
+        short = self.slots * self.block - self.total  # what the last slot lacks
+        held = F.sum(F.when(F.col("slot") == self.slots - 1, self.block - short).otherwise(self.block))
+        ends = schedule.groupBy("source").agg(held.cast("long").alias("held"))
+        return self.sources.join(ends, "source").withColumn("words", F.least("held", EPOCHS * F.col("source_size"))).drop("held")
 
     def placed(self) -> DataFrame:
         """The documents with their first word's place in their source's line."""
@@ -105,49 +104,65 @@ class Mix:
         return self.sized.withColumn("within", within).join(offsets, ["key", "bucket"]).select("row", "id", "key", "size", (F.col("before") + F.col("within")).alias("at"))
 
     def parts(self) -> DataFrame:
-        """(slot, row, epoch, first, last, begin, _size): the words [first, last) of a document that a slot takes.
+        """(slot, row, epoch, first, last, begin, size): the words [first, last) of a document that a slot takes.
 
-        begin is the document's place in its source's line, _size its words."""
-        df = self.placed().where("size > 0").join(self.sources, "key")
+        begin is the document's place in its source's line, size its words."""
+        schedule = materialise(self.schedule(), "schedule")
+        df = self.placed().where("size > 0").join(self.lines(schedule), "key")
         df = df.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(EPOCHS - 1))))
         begin = F.col("at") + F.col("epoch") * F.col("source_size")
         df = df.withColumn("begin", begin).withColumn("end", F.least(F.col("begin") + F.col("size"), "words")).where("begin < end")
-        df = df.withColumn("nth", F.explode(F.sequence(F.floor(F.col("begin") / BLOCK), F.floor((F.col("end") - 1) / BLOCK))))
-        first = F.greatest(F.col("begin"), F.col("nth") * BLOCK) - F.col("begin")
-        last = F.least(F.col("end"), (F.col("nth") + 1) * BLOCK) - F.col("begin")
-        df = df.select("row", "key", "epoch", "nth", first.alias("first"), last.alias("last"), "begin", F.col("size").alias("_size"))
-        return self.schedule().join(df, ["key", "nth"]).select("slot", "row", "epoch", "first", "last", "begin", "_size")
+        df = df.withColumn("nth", F.explode(F.sequence(F.floor(F.col("begin") / self.block), F.floor((F.col("end") - 1) / self.block))))
+        first = F.greatest(F.col("begin"), F.col("nth") * self.block) - F.col("begin")
+        last = F.least(F.col("end"), (F.col("nth") + 1) * self.block) - F.col("begin")
+        df = df.select("row", "source", "epoch", "nth", first.alias("first"), last.alias("last"), "begin", "size")
+        return schedule.join(df, ["source", "nth"]).select("slot", "row", "epoch", "first", "last", "begin", "size")
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block: int = BLOCK) -> DataFrame:
     """Per row: id, size, source_size, target, taken.
 
     A null text has size 0; a null source is a source, the last one; rows of size 0 are taken 0 words; repeated rows
-    are laid out one after the other, each on its own. An empty table gives an empty table.
+    are laid out one after the other, each on its own; very long texts are spread over as many slots as they need; other
+    columns are not read. An empty table gives an empty table.
     """
-    held = Mix(docs, id_col, text_col, source_col)
+    held = Mix(docs, id_col, text_col, source_col, block=block)
     taken = held.parts().groupBy("row").agg(F.sum(F.col("last") - F.col("first")).alias("taken"))
     out = held.sized.join(held.sources, "key").join(taken, "row", "left")
     return out.select(F.col("id").alias(id_col), "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 
-def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+def _mixed(docs: DataFrame, id_col: str, text_col: str, source_col: str, block: int) -> DataFrame:
+    """(slot, epoch, first, last, doc): doc is a struct of the columns of docs, so that no name of theirs can clash."""
+    doc = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc")
+    numbered = materialise(docs.select(doc, F.monotonically_increasing_id().alias("row")), "numbered")
+    given = numbered.select(*(F.col(f"doc.`{c}`").alias(n) for c, n in ((id_col, "id"), (text_col, "text"), (source_col, "source"))), "row")
+    parts = Mix(given, "id", "text", "source", "row", block).parts()
+    # a document meets all of its slots at once: its text is cut into words once
+    slots = parts.groupBy("row").agg(F.collect_list(F.struct("slot", "begin", "epoch", "first", "last", "size")).alias("slots"))  # as many as its words allow
+    text = F.col(f"doc.`{text_col}`").cast("string")
+    df = numbered.join(slots, "row").withColumn("tokens", F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda x: x != ""))
+    words = lambda s: F.array_join(F.slice(F.col("tokens"), (s["first"] + 1).cast("int"), (s["last"] - s["first"]).cast("int")), " ")
+    whole = lambda s: (s["first"] == 0) & (s["last"] == s["size"])
+    piece = lambda s: F.struct(*(s[c].alias(c) for c in ("slot", "begin", "epoch", "first", "last")), F.when(whole(s), text).otherwise(words(s)).alias("text"))
+    others = [F.col(f"doc.`{c}`").alias(str(k)) for k, c in enumerate(docs.columns) if c != text_col]
+    df = df.select(F.struct(*others, F.lit(0)).alias("rest"), F.transform("slots", piece).alias("pieces")).select("rest", F.explode("pieces").alias("p"))
+    doc = F.struct(*((F.col("p.text") if c == text_col else F.col(f"rest.`{k}`")).alias(c) for k, c in enumerate(docs.columns))).alias("doc")
+    df = df.select("p.slot", "p.begin", "p.epoch", "p.first", "p.last", doc)
+    # a slot's parts lie in its source's line by epoch and place
+    return df.repartitionByRange("slot").sortWithinPartitions("slot", "begin")
+
+
+def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block: int = BLOCK) -> DataFrame:
     """The mix in its order: slot, epoch, first, last and the columns of docs, range-partitioned and sorted by slot.
 
     A row is what one slot takes of one document: the words [first, last), as the text. A part that is the whole document
-    keeps its text as it is. Documents that the mix does not take are left out.
+    keeps its text as it is. Documents that the mix does not take are left out, so are null and empty texts. Columns of
+    docs may have any names, those of the four included. An empty table gives an empty table.
     """
-    kept = materialise(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
-    held = Mix(kept, id_col, text_col, source_col, "_row")
-    df = held.parts().withColumnRenamed("row", "_row").join(kept, "_row")
-    tokens = F.filter(F.split(F.col(text_col).cast("string"), r"[\x20\x09-\x0D]+"), lambda x: x != "")
-    part = F.array_join(F.slice(tokens, (F.col("first") + 1).cast("int"), (F.col("last") - F.col("first")).cast("int")), " ")
-    whole = (F.col("first") == 0) & (F.col("last") == F.col("_size"))
-    df = df.withColumn(text_col, F.when(whole, F.col(text_col)).otherwise(part))
-    # a slot's parts lie in its source's line by epoch and place
-    return df.repartitionByRange("slot").sortWithinPartitions("slot", "begin").select("slot", "epoch", "first", "last", *docs.columns)
+    return _mixed(docs, id_col, text_col, source_col, block).select("slot", "epoch", "first", "last", "doc.*")
 
 
-def take(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+def take(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block: int = BLOCK) -> DataFrame:
     """The mix itself in the order of its slots, with the columns of docs; a row is what a slot takes of a document."""
-    return mixed(docs, id_col, text_col, source_col).select(*docs.columns)
+    return _mixed(docs, id_col, text_col, source_col, block).select("doc.*")

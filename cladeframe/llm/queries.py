@@ -92,13 +92,20 @@ capped AS (
   FROM ratio r),
 first_free AS (SELECT min(nth) AS nth FROM capped WHERE (total - before) * w <= 3 * s * rest),
 goal AS (
-  SELECT r.k, r.s AS source_size,
+  SELECT r.k, r.s AS source_size, row_number() OVER (ORDER BY r.k = 'n', encode(r.k)) AS pos, c.total,
          CASE WHEN r.nth < f.nth THEN CAST(3 * r.s AS DOUBLE) ELSE CAST((c.total - c.before) * r.w AS DOUBLE) / CAST(c.rest AS DOUBLE) END AS target
   FROM ratio r, first_free f JOIN capped c ON c.nth = f.nth),
+ends AS (SELECT *, lead(0e0, 1, NULL) OVER (ORDER BY pos) AS more, sum(target) OVER (ORDER BY pos ROWS UNBOUNDED PRECEDING) / total AS upto FROM goal),
+spans AS (SELECT *, coalesce(lag(upto) OVER (ORDER BY pos), 0e0) AS low, CASE WHEN more IS NULL THEN 2e0 ELSE upto END AS high, (total + 63) // 64 AS n FROM ends),
+points AS (SELECT t, (t % 67108864) * 0.6180339887498949e0 AS x, (t // 67108864) * (67108864 * 0.6180339887498949e0 - floor(67108864 * 0.6180339887498949e0)) AS y
+           FROM range((SELECT CAST(max(n) AS BIGINT) FROM spans)) slots(t)),
+slots AS (SELECT t, (x - floor(x)) + (y - floor(y)) AS z FROM points),
+held AS (SELECT k, count(*) * 64 - CASE WHEN max(t) = any_value(n) - 1 THEN any_value(n * 64 - total) ELSE 0 END AS held
+         FROM slots JOIN spans ON z - floor(z) >= low AND z - floor(z) < high GROUP BY k),
 laid AS (
-  SELECT d.*, g.source_size, g.target, CAST(floor(g.target) AS BIGINT) AS words,
+  SELECT d.*, g.source_size, g.target, CAST(least(coalesce(h.held, 0), 3 * g.source_size) AS BIGINT) AS words,
          CAST(sum(size) OVER (PARTITION BY d.k ORDER BY place, doc_id ROWS UNBOUNDED PRECEDING) AS BIGINT) - size AS start
-  FROM docs d JOIN goal g ON d.k = g.k)
+  FROM docs d JOIN goal g ON d.k = g.k LEFT JOIN held h ON h.k = g.k)
 SELECT doc_id, size, source_size, target,
        CAST(CASE WHEN source_size = 0 THEN 0 ELSE (words // source_size) * size + greatest(0, least(size, words % source_size - start)) END AS BIGINT) AS taken
 FROM laid

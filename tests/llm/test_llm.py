@@ -225,16 +225,55 @@ def test_multi_index(spark):
     assert len(few) == 3
 
 
-def test_mix(docs):
-    got = mixing.mix(docs).toPandas()
-    assert len(got) == len(corpus()) and (got.taken <= 3 * got["size"]).all()
-    by = got.groupby("source_size").agg(taken=("taken", "sum"), target=("target", "first"))
-    assert (by.taken - by.target).abs().max() <= 1
+def scheduled(sizes, block):
+    """Words that each source gives, slot by slot: the golden-ratio points in plain Python."""
+    goal, total = mixing.targets(sizes, [1 + k % 3 for k in range(len(sizes))]), sum(sizes)
+    given, left = [0] * len(sizes), total
+    for t in range(-(-total // block)):
+        point, at, upto = t * 0.6180339887498949 % 1, 0, goal[0] / total
+        while point >= upto and at < len(sizes) - 1:
+            at += 1
+            upto = sum(goal[: at + 1]) / total
+        given[at] += min(block, left)
+        left -= block
+    return [min(g, 3 * s) for g, s in zip(given, sizes, strict=True)]
+
+
+def test_mix_against_the_schedule(docs):
+    rows = [(k, len(WORD.findall(r[1] or "")), r[3], hashlib.md5(("" if r[0] is None else str(r[0])).encode()).hexdigest()) for k, r in enumerate(corpus())]
+    sources = ["x", "y", None]
+    sizes = [sum(n for _, n, s, _ in rows if s == x) for x in sources]
+    for block in (64, 7):
+        want = []
+        for x, size, words in zip(sources, sizes, scheduled(sizes, block), strict=True):
+            line = sorted((d, k, n) for k, n, s, d in rows if s == x)
+            taken, at = Counter(), 0
+            for _, k, n in line * 3:
+                taken[k] += max(0, min(n, words - at))
+                at += n
+            want += [(k, n, size, taken[k]) for _, k, n in line]
+            assert abs(words - mixing.targets(sizes, [1, 2, 3])[sources.index(x)]) <= 3 * block
+        got = mixing.mix(docs, block=block).select("doc_id", "size", "source_size", "taken").collect()
+        ids = [r[0] for r in corpus()]
+        # rows of one id and size may swap places
+        assert Counter(map(tuple, got)) == Counter((ids[k], n, size, t) for k, n, size, t in want)
+
+
+def test_mix_targets():
     assert mixing.targets([10, 10, 1000], [1, 2, 3]) == [30.0, 30.0, 960.0]
-    slots = mixing.Mix(docs).schedule().toPandas()
-    assert slots.slot.is_unique and not slots.duplicated(["key", "nth"]).any()
-    again = mixing.mix(docs).toPandas()
-    assert sorted(map(tuple, got.astype(str).values)) == sorted(map(tuple, again.astype(str).values))
+    assert mixing.targets([], []) == [] and mixing.targets([0, 5], [1, 2]) == [0.0, 5.0]
+    rng = np.random.default_rng(3)
+    for _ in range(50):
+        sizes = [int(x) for x in rng.integers(0, 1000, rng.integers(1, 9))]
+        weights, capped = [1 + k % 3 for k in range(len(sizes))], set()
+        while True:  # share and share again, as it is put in words
+            left, weight = sum(sizes) - sum(3 * sizes[k] for k in capped), sum(w for k, w in enumerate(weights) if k not in capped)
+            out = [3.0 * sizes[k] if k in capped else left * weights[k] / weight for k in range(len(sizes))]
+            above = {k for k in range(len(sizes)) if out[k] > 3 * sizes[k]}
+            if not above:
+                break
+            capped |= above
+        assert mixing.targets(sizes, weights) == pytest.approx(out)
 
 
 def test_html(spark):
@@ -316,25 +355,28 @@ def test_html_repeats_across_copy_groups(spark):
 
 
 def test_mix_in_slot_order(spark):
-    rows = [(k, prose(k, 150 + 37 * (k % 9)), "abc"[0 if k < 20 else 1 if k < 70 else 2]) for k in range(200)]
-    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
-    got = mixing.mixed(df).collect()
-    slots = [r.slot for r in got]
+    rows = [(k, prose(k, 150 + 37 * (k % 9)), "abc"[0 if k < 20 else 1 if k < 70 else 2], k, k) for k in range(200)]
+    df = spark.createDataFrame(rows + [(900, None, "a", 0, 0), (901, " ", "a", 0, 0)], "doc_id long, text string, source string, slot int, row long")
+    got = mixing.mixed(df, block=256).toDF("at", "epoch", "first", "last", "doc_id", "text", "source", "slot", "row").collect()
+    slots = [r["at"] for r in got]
     assert slots == sorted(slots) and len(set(slots)) > 100
-    sizes = [sum(len(t.split()) for _, t, s in rows if s == x) for x in "abc"]
+    sizes = [sum(len(t.split()) for _, t, s, *_ in rows if s == x) for x in "abc"]
+    given = dict(zip("abc", scheduled(sizes, 256), strict=True))
     goal = dict(zip("abc", mixing.targets(sizes, [1, 2, 3]), strict=True))
-    words_of, streams, by_slot = {k: t.split() for k, t, _ in rows}, {x: [] for x in "abc"}, {}
+    words_of, streams, by_slot = {r[0]: r[1].split() for r in rows}, {x: [] for x in "abc"}, {}
     for r in got:
-        assert r.text.split() == words_of[r.doc_id][r.first : r.last]
+        assert r.text.split() == words_of[r.doc_id][r.first : r.last] and r.slot == r.row == r.doc_id
         streams[r.source] += r.text.split()
-        by_slot.setdefault(r.slot, []).append(r.source)
+        by_slot.setdefault(r["at"], []).append(r)
     for x in "abc":
-        line = [w for k in sorted((k for k, _, s in rows if s == x), key=lambda k: hashlib.md5(str(k).encode()).hexdigest()) for w in words_of[k]]
-        assert sorted(streams[x]) == sorted((line * 3)[: int(goal[x])])
-    order = [by_slot[s][0] for s in sorted(by_slot)]
-    assert all(len(set(x)) == 1 for x in by_slot.values())
+        line = [w for k in sorted((r[0] for r in rows if r[2] == x), key=lambda k: hashlib.md5(str(k).encode()).hexdigest()) for w in words_of[k]]
+        assert streams[x] == (line * 3)[: given[x]]
+    full = [sum(r.last - r.first for r in by_slot[s]) for s in sorted(by_slot)][:-1]
+    assert full.count(256) >= len(full) - 2 and max(full) == 256  # a line may end within a slot
+    order = [by_slot[s][0].source for s in sorted(by_slot)]
+    assert all(len({r.source for r in x}) == 1 for x in by_slot.values())
     for n in (20, 50):
         for a in range(len(order) - n):
             for x in "abc":
-                assert abs(order[a : a + n].count(x) - n * goal[x] / sum(goal.values())) <= 5
-    assert [r.text for r in mixing.take(df).collect()] == [r.text for r in got]
+                assert abs(order[a : a + n].count(x) - n * goal[x] / sum(goal.values())) <= 3
+    assert [r.text for r in mixing.take(df, block=256).collect()] == [r.text for r in got]
