@@ -13,6 +13,7 @@ from __future__ import annotations
 import hashlib
 import json
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -58,10 +59,10 @@ class BytePairs:
         self.keys, self.ranks = keys[order], order.astype(np.int64)
         self.merged = np.array([vocab[a + b] for a, b in pairs], np.int64)
         self.name = [str(i) for i in range(self.width)]
+        self.raw = [self.bytes_of.get(i, b"") for i in range(self.width)]
         self.split = regex.compile(PATTERN)
         self.at_special = regex.compile("(" + "|".join(regex.escape(x) for x in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
-        self.ids: dict[str, str] = {name: str(i) for name, i in self.special.items()}
-        self.unlike: set[str] = set()  # pieces whose ids decode to something else
+        self.ids: dict[str, list[int]] = {name: [i] for name, i in self.special.items()}
 
     # -- many short pieces at once -------------------------------------------------------------------------------
 
@@ -172,10 +173,10 @@ class BytePairs:
     # -- texts ---------------------------------------------------------------------------------------------------
 
     def learn(self, pieces: set[str]) -> None:
-        """Encode the pieces that are not held yet, and hold them. Each one's ids are decoded again on the way."""
+        """Encode the pieces that are not held yet, and hold them."""
         new = pieces - self.ids.keys()
         if len(self.ids) + len(new) > CACHE_PIECES:
-            self.ids = {name: str(i) for name, i in self.special.items()}
+            self.ids = {name: [i] for name, i in self.special.items()}
             new = pieces - self.ids.keys()
         by_size: dict[int, list[tuple[str, bytes]]] = {}
         for piece in new:
@@ -184,30 +185,23 @@ class BytePairs:
         for k, rows in by_size.items():
             raws = [raw for _, raw in rows]
             found = map(self.merge_long, raws) if k < 0 else (x for at in range(0, len(raws), 20_000) for x in self.merge_rows(raws[at : at + 20_000]))
-            for (piece, raw), ids in zip(rows, found, strict=True):
-                self.ids[piece] = ",".join([self.name[i] for i in ids])
-                if b"".join([self.bytes_of[i] for i in ids]) != raw:
-                    self.unlike.add(piece)
+            self.ids.update(zip((piece for piece, _ in rows), found, strict=True))
 
     def pieces(self, text: str) -> list[str]:
         if self.at_special is None or not self.at_special.search(text):
             return self.split.findall(text)
         return [p for part in self.at_special.split(text) for p in ([part] if part in self.special else self.split.findall(part))]
 
-    def encode_batch(self, texts: list[str]) -> Iterator[tuple[str, str]]:
-        """For each text its ids joined by commas, and the text that those ids decode to."""
+    def encode_batch(self, texts: list[str]) -> Iterator[list[int]]:
+        """The token ids of each text."""
         split = [self.pieces(text) for text in texts]
         self.learn(set().union(*split))
-        for text, pieces in zip(texts, split, strict=True):
-            ids = ",".join([self.ids[p] for p in pieces])
-            back = text  # every piece decodes to itself, as a complete byte vocabulary makes it
-            if self.unlike and not self.unlike.isdisjoint(pieces):
-                back = self.decode(map(int, ids.split(",")))
-            yield ids, back
+        for pieces in split:
+            yield list(chain.from_iterable(map(self.ids.__getitem__, pieces)))
 
     def decode(self, ids: Iterable[int]) -> str:
         """Text of the ids; bytes that are no UTF-8 become U+FFFD, unknown ids nothing."""
-        return b"".join(self.bytes_of.get(i, b"") for i in ids).decode("utf-8", "replace")
+        return b"".join([self.raw[i] for i in ids if 0 <= i < self.width]).decode("utf-8", "replace")
 
 
 _held: dict[str, BytePairs] = {}
@@ -234,12 +228,12 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
         for batch in batches:
             texts = batch.column(1).fill_null("").to_pylist()
             n, ids, coded, decoded = [], [], [], []
-            for joined, back in bpe.encode_batch(texts):
-                n.append(joined.count(",") + 1 if joined else 0)
-                coded.append(hashlib.sha256(joined.encode()).hexdigest())
-                decoded.append(hashlib.sha256(back.encode()).hexdigest())
+            for found in bpe.encode_batch(texts):
+                n.append(len(found))
+                coded.append(hashlib.sha256(",".join([bpe.name[i] for i in found]).encode()).hexdigest())
+                decoded.append(hashlib.sha256(bpe.decode(found).encode()).hexdigest())
                 if with_ids:
-                    ids.append(np.fromstring(joined, np.int32, sep=",") if joined else np.zeros(0, np.int32))
+                    ids.append(np.array(found, np.int32))
             columns = [batch.column(0), pa.array(n, pa.int64())]
             if with_ids:
                 ends = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
