@@ -5,8 +5,9 @@ figures, and a hashed bag of byte trigrams pass through a learned tanh layer. Ga
 w . (tanh(V h) * sigmoid(U h)) over the passages, weighs them; the weighted mean passage gives the score through a
 logistic output. All weights are learned together from document labels by Adam.
 
-Training uses at most SAMPLE labelled documents (those of smallest hash) and BAG evenly spaced passages of each: bounds
-of the fit alone. Scoring reads every passage of every text.
+Training uses at most SAMPLE labelled rows, those of smallest hash, and of these, in the same order, as many as together
+have at most PASSAGES passages: bounds of the fit alone. A sampled text counts with all of its passages. Scoring reads
+every passage of every text.
 """
 
 from __future__ import annotations
@@ -18,13 +19,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cladeframe.llm.common import BATCH_ROWS, mix, text_bytes, word_hashes, words
+from cladeframe.llm.common import BATCH_ROWS, materialise, mix, text_bytes, word_hashes, words
 
 PASSAGE = 64
+#: Bounds of the fit: labelled rows, and their passages (a passage's features take 1 KB).
 SAMPLE = 4_000
-BAG = 32
-BUCKETS = 64
-HIDDEN, GATE = 24, 12
+PASSAGES = 200_000
+BUCKETS = 256
+HIDDEN, GATE = 32, 16
 EPOCHS, STEP = 30, 0.01
 CUT = 0.3
 
@@ -71,7 +73,7 @@ def passages(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     if len(data) > 2:
         low = data.astype(np.uint32)
         code = (low[:-2] | low[1:-1] << np.uint32(8) | low[2:] << np.uint32(16)) * np.uint32(0x9E3779B1)
-        bucket = (code >> np.uint32(26)).astype(np.int64)
+        bucket = (code >> np.uint32(24)).astype(np.int64)
         grams = np.bincount(of_byte[:-2] * BUCKETS + bucket, minlength=len(head) * BUCKETS).reshape(-1, BUCKETS) / size[:, None]
     return np.concatenate([shares, shape, np.sqrt(grams)], 1).astype(np.float32), owner[head]
 
@@ -113,8 +115,9 @@ class GatedAttention:
         return {"E": x.T @ dh, "e": dh.sum(0), "V": h.T @ dv, "U": h.T @ du, "a": (v * u).T @ draw, "o": z.T @ d, "b": d.sum(keepdims=True)}
 
     def fit(self, bags: list[np.ndarray], labels: np.ndarray, seed: int = 11) -> None:
-        every = np.concatenate(bags)
-        self.mean, self.scale = every.mean(0), every.std(0) + 1e-3
+        n = sum(map(len, bags))
+        self.mean = sum(x.sum(0, dtype=np.float64) for x in bags) / n
+        self.scale = np.sqrt(sum(((x - self.mean) ** 2).sum(0) for x in bags) / n) + 1e-3
         rng = np.random.default_rng(seed)
         m = {k: np.zeros_like(x) for k, x in self.w.items()}
         s = {k: np.zeros_like(x) for k, x in self.w.items()}
@@ -138,29 +141,30 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """The fitted model (None if there is no labelled text with words) and the share of label 1 among the sample."""
     spark = docs.sparkSession
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    chosen = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(label_col).cast("double").alias("y"))
-    chosen = chosen.groupBy("id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("id"), "id").limit(SAMPLE)
-    rows = {r.id: r.y for r in chosen.collect()}  # at most SAMPLE
+    named = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(label_col).cast("double").alias("y"))
+    given = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null")
+    chosen = named.groupBy("id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("id"), "id").limit(SAMPLE)
+    rows = chosen.collect()  # at most SAMPLE
     if not rows:
         return None, 0.5
-    held = spark.createDataFrame(list(rows.items()), f"id {dict(docs.dtypes)[id_col]}, y double")
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(held), "id").select("y", "text")
+    held = spark.createDataFrame([(r.id, r.y) for r in rows], f"id {dict(docs.dtypes)[id_col]}, y double")
+    texts = given.join(F.broadcast(held), "id").select(F.xxhash64("id").alias("place"), F.xxhash64("text").alias("then"), "y", "text")
 
     def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, owner = passages(batch.column(1))
+            x, owner = passages(batch.column(3))
             head = np.searchsorted(owner, np.arange(batch.num_rows + 1))
-            y, out = batch.column(0).to_pylist(), []
-            for k in range(batch.num_rows):
-                n = head[k + 1] - head[k]
-                at = head[k] + (np.arange(n) if n <= BAG else np.linspace(0, n - 1, BAG).astype(int))
-                out.append(x[at].tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(y, pa.float64()), pa.array(out, pa.binary())], names=["y", "x"])
-
-    found = texts.mapInArrow(bags, "y double, x binary").orderBy(F.xxhash64("x"), "y").limit(2 * SAMPLE).collect()
-    pairs = [(np.frombuffer(r.x, np.float32).reshape(-1, WIDTH), r.y) for r in found if len(r.x)]
+            out = [x[a:b].tobytes() for a, b in zip(head[:-1], head[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(np.diff(head)), pa.array(out, pa.binary())], names=["place", "then", "y", "n", "x"])
+
+    found = materialise(texts.mapInArrow(bags, "place long, then long, y double, n long, x binary"), "bags")
+    order = ("place", "then", "y", "n")
+    sizes = found.select(*order).orderBy(*order).limit(SAMPLE).collect()
+    upto = np.cumsum([r.n for r in sizes])
+    sampled = found.orderBy(*order).limit(max(1, int(np.searchsorted(upto, PASSAGES, side="right")))).select("x", "y").collect()
+    pairs = [(np.frombuffer(r.x, np.float32).reshape(-1, WIDTH), r.y) for r in sampled if len(r.x)]
     if not pairs:
-        return None, float(np.mean(list(rows.values())))
+        return None, float(np.mean([r.y for r in rows]))
     model, y = GatedAttention(), np.array([y for _, y in pairs])
     model.fit([x for x, _ in pairs], y)
     return model, float(y.mean())

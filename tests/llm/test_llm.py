@@ -185,6 +185,46 @@ def test_quality(spark):
     assert len(quality.screen(df, lab, ~held_out("doc_id", 5, 0)).collect()) == got.predicted.sum()
 
 
+def test_quality_scores_by_hand():
+    """The forward pass passage by passage in plain Python, long texts included."""
+    import pyarrow as pa
+
+    texts = [prose(1, 30), prose(2, 64 * 3 + 5), prose(3, 20_000), "a", "x " * 500]
+    model = quality.GatedAttention(seed=3)
+    x, owner = quality.passages(pa.array(texts))
+    assert list(np.bincount(owner)) == [-(-len(t.split()) // 64) for t in texts]
+    got = model.forward(x, np.searchsorted(owner, np.arange(len(texts))))[0]
+    tanh, sig, w = math.tanh, lambda v: 1 / (1 + math.exp(-v)), model.w
+    for k in range(len(texts)):
+        weights, hidden = [], []
+        for row in x[owner == k]:
+            h = [tanh(float(row @ w["E"][:, j]) + w["e"][j]) for j in range(quality.HIDDEN)]
+            raw = sum(w["a"][g] * tanh(sum(h[j] * w["V"][j, g] for j in range(len(h)))) * sig(sum(h[j] * w["U"][j, g] for j in range(len(h)))) for g in range(quality.GATE))
+            weights.append(math.exp(raw))
+            hidden.append(h)
+        z = [sum(a * h[j] for a, h in zip(weights, hidden)) / sum(weights) for j in range(quality.HIDDEN)]
+        assert got[k] == pytest.approx(sig(sum(z[j] * w["o"][j] for j in range(len(z))) + w["b"][0]))
+
+
+def test_quality_sample_and_clashes(spark, monkeypatch):
+    """Whole texts are sampled, within both bounds, and repeated ids give no more rows than others."""
+    seen = []
+    monkeypatch.setattr(quality.GatedAttention, "fit", lambda self, bags, labels, seed=0: seen.append([len(b) for b in bags]))
+    rows = [(k, prose(k, 64 * (1 + k % 5)), 1.0, "q") for k in range(40)] + [(1, prose(1, 128), 0.0, "z")] * 30 + [(50, prose(5, 64 * 300), 0.5, "r"), (None, "x", 0.1, "s"), (51, None, 0.1, "s")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, score double, y string")
+    lab = spark.createDataFrame([(k, k % 2) for k in range(52)] + [(3, None), (None, 1), (4, 1)], "doc_id long, quality int")
+    monkeypatch.setattr(quality, "SAMPLE", 60)
+    quality.learn(df, lab)
+    assert len(seen[0]) <= 60 and max(seen[0]) in (5, 300)
+    monkeypatch.setattr(quality, "PASSAGES", 30)
+    quality.learn(df, lab)
+    assert sum(seen[1]) <= 30 or len(seen[1]) == 1
+    out = quality.classify(df, lab, ~held_out("doc_id", 5, 0))
+    assert out.count() == len(rows) and {r.score for r in out.where("doc_id is null or doc_id = 51").collect()} <= {r.score for r in out.collect()}
+    kept = quality.screen(df, lab, F.lit(True))
+    assert kept.columns == df.columns
+
+
 def test_attention_gradient():
     rng = np.random.default_rng(0)
     model, x, head, y = quality.GatedAttention(), rng.normal(size=(9, quality.WIDTH)), np.array([0, 4, 5]), np.array([1.0, 0, 1])
