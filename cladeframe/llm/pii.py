@@ -6,7 +6,9 @@ ACCEPT or more are kept. The four base kinds start at or above that mark, so con
 kinds other than IBANs need a context word.
 
 Positions come from the text itself: every match is wrapped in two marker characters, the text is split at them, and
-the lengths of the parts are summed up. Positions are code points, ends exclusive.
+the lengths of the parts are summed up. Positions are code points, ends exclusive. Sums run within stretches of parts and
+then over the stretches, and context is looked for in the parts next to a match, so a text of very many matches costs
+in proportion to its length.
 """
 
 from __future__ import annotations
@@ -14,7 +16,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-OPEN, CLOSE = "\u0001", "\u0002"
+#: Marker characters are Unicode noncharacters; where a text holds them they count as U+FFFD.
+OPEN, CLOSE, FIRST_MARK, MARKS = "\ufdd0", "\ufdd1", 0xFDD2, 7
+NONCHARACTERS = "".join(chr(0xFDD0 + k) for k in range(2 + MARKS))
+#: Parts whose lengths are summed up in one go.
+STRETCH = 256
 ACCEPT = 0.5
 CONTEXT_CHARS = 32
 BASE_KINDS = ("email", "ip", "card", "phone")
@@ -43,20 +49,36 @@ SCORES = {
 }
 
 
-def _found(text: Column, kind: str) -> Column:
-    """Array of (start, end, value) of the pattern's leftmost matches, in order."""
-    parts = F.split(F.regexp_replace(text, PATTERNS[kind], f"{OPEN}$0{CLOSE}"), OPEN, -1)
-    start = F.struct(F.length(F.element_at(parts, 1)).cast("long").alias("at"), F.expr("cast(array() as array<struct<start:bigint,end:bigint,value:string>>)").alias("out"))
+def _clean(text: Column) -> Column:
+    return F.when(text.rlike(f"[{NONCHARACTERS}]"), F.translate(text, NONCHARACTERS, "\ufffd" * len(NONCHARACTERS))).otherwise(text)
 
-    def add(acc, part):
-        value = F.substring_index(part, CLOSE, 1)
-        span = F.struct(acc["at"].alias("start"), (acc["at"] + F.length(value)).alias("end"), value.alias("value"))
-        return F.struct((acc["at"] + F.length(part) - 1).alias("at"), F.concat(acc["out"], F.array(span)).alias("out"))
 
-    found = F.aggregate(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), start, add, lambda acc: acc["out"])
-    none = F.expr("cast(array() as array<struct<start:bigint,end:bigint,value:string>>)")
+def _parts(text: Column, kind: str) -> Column:
+    """What precedes the first match, then each match, CLOSE and what follows it up to the next one."""
     there = F.contains(text, F.lit(NEEDS[kind])) if kind in NEEDS else text.rlike(PATTERNS[kind])
-    return F.when(there, found).otherwise(none)
+    return F.when(there, F.split(F.regexp_replace(text, PATTERNS[kind], f"{OPEN}$0{CLOSE}"), OPEN, -1)).otherwise(F.array(F.lit("")))
+
+
+def _starts(parts: Column) -> Column:
+    """Where each part begins in the text."""
+    sizes = F.transform(parts, lambda p, i: F.length(p).cast("long") - (i > 0).cast("long"))
+    stretches = F.transform(F.sequence(F.lit(0), F.floor((F.size(parts) - 1) / STRETCH).cast("int")), lambda k: F.slice(sizes, k * STRETCH + 1, F.lit(STRETCH)))
+    none = lambda kind: F.struct(F.lit(0).cast("long").alias("at"), F.expr(f"cast(array() as array<{kind}>)").alias("out"))
+    within = F.transform(stretches, lambda s: F.aggregate(s, none("bigint"), lambda a, x: F.struct((a["at"] + x).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out"))))
+    shifted = lambda a, x: F.struct((a["at"] + x["at"]).alias("at"), F.concat(a["out"], F.array(F.transform(x["out"], lambda v: v + a["at"]))).alias("out"))
+    return F.flatten(F.aggregate(within, none("array<bigint>"), shifted, lambda a: a["out"]))
+
+
+def _value(part: Column) -> Column:
+    return F.substring_index(part, CLOSE, 1)
+
+
+def _score(parts: Column, i: Column, kind: str) -> Column:
+    """Score of the match in part i: context words in the characters before it, of the two parts before at most."""
+    score, context, more = SCORES[kind]
+    near = F.concat(F.coalesce(F.get(parts, i - 2), F.lit("")), F.get(parts, i - 1))
+    before = F.lower(F.right(F.translate(near, CLOSE, ""), F.lit(CONTEXT_CHARS)))
+    return F.lit(score) + F.when(before.rlike(context), F.lit(more)).otherwise(F.lit(0.0))
 
 
 def _digits(value: Column) -> Column:
@@ -92,33 +114,38 @@ def _confirmed(kind: str, value: Column) -> Column:
     return F.lit(True)
 
 
-def _accepted(text: Column, kind: str) -> Column:
-    score, context, more = SCORES[kind]
+def _spans(parts: Column, starts: Column, kind: str) -> Column:
+    """Array of (kind, start, end, score) of the accepted matches, in order."""
 
-    def scored(s: Column) -> Column:
-        before = F.lower(F.substring(text, F.greatest(s["start"] + 1 - CONTEXT_CHARS, F.lit(1)).cast("int"), F.least(s["start"], F.lit(CONTEXT_CHARS)).cast("int")))
-        total = F.lit(score) + F.when(before.rlike(context), F.lit(more)).otherwise(F.lit(0.0))
-        return F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), total.alias("score"))
+    def span(part: Column, i: Column) -> Column:
+        value, start = _value(part), F.get(starts, i + 1)
+        return F.struct(F.lit(kind).alias("kind"), start.alias("start"), (start + F.length(value)).alias("end"), _score(parts, i + 1, kind).alias("score"), _confirmed(kind, value).alias("ok"))
 
-    confirmed = F.filter(_found(text, kind), lambda s: _confirmed(kind, s["value"]))
-    return F.filter(F.transform(confirmed, scored), lambda s: s["score"] >= ACCEPT)
+    found = F.filter(F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), span), lambda s: s["ok"] & (s["score"] >= ACCEPT))
+    return F.transform(found, lambda s: F.struct(*(s[c].alias(c) for c in ("kind", "start", "end", "score"))))
 
 
-def spans_of(text: Column) -> dict[str, Column]:
-    """kind -> array of (kind, start, end, score) over a text without marker characters."""
-    return {kind: _accepted(text, kind) for kind in SCORES}
+def _unused(docs: DataFrame, stem: str) -> str:
+    """A prefix that no column of docs begins with."""
+    while any(c.lower().startswith(stem) for c in docs.columns):
+        stem += "_"
+    return stem
 
 
 def find_pii(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """The rows with one array column more per kind: spans_<kind> of (kind, start, end, score).
 
-    A null text has no spans, nor has an empty one; texts are read whole; repeated rows are judged alike. A column of
-    the input named like an added one is replaced. An empty table gives an empty table.
+    A null text has no spans, nor has an empty one; texts are read whole, and time grows with their length however many
+    matches they hold; repeated rows are judged alike. A column of the input named like an added one is replaced, all
+    others are carried through. An empty table gives an empty table.
     """
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    marked = F.contains(text, F.lit(OPEN)) | F.contains(text, F.lit(CLOSE))
-    clean = F.when(marked, F.translate(text, OPEN + CLOSE, "\ufffd\ufffd")).otherwise(text)
-    return docs.withColumn("_clean", clean).withColumns({f"spans_{k}": v for k, v in spans_of(F.col("_clean")).items()}).drop("_clean")
+    added = {f"spans_{k}": k for k in SCORES}
+    kept = [c for c in docs.columns if c.lower() not in added]
+    p = _unused(docs, "_pii")
+    df = docs.withColumn(p, _clean(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")))).select(*(f"`{c}`" for c in kept), p)
+    df = df.withColumns({f"{p}parts_{k}": _parts(F.col(p), k) for k in SCORES})
+    df = df.withColumns({f"{p}starts_{k}": _starts(F.col(f"{p}parts_{k}")) for k in SCORES})
+    return df.select(*(f"`{c}`" for c in kept), *(_spans(F.col(f"{p}parts_{k}"), F.col(f"{p}starts_{k}"), k).alias(name) for name, k in added.items()))
 
 
 def joined(spans: Column) -> Column:
@@ -142,29 +169,37 @@ def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     )
 
 
-def _cut_out(docs: DataFrame, text_col: str) -> DataFrame:
-    found = find_pii(docs, text_col)
-    text = F.col(text_col)
-    ordered = F.sort_array(F.transform(F.concat(*(F.col(f"spans_{k}") for k in SCORES)), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
+#: Kinds in the order of their redaction. The last ones again: a number can come free once the one next to it is gone.
+REDACTED = ("email", "iban", "card", "phone", "ip", "secret", "local_phone", "ip", "card", "phone")
+
 
-    def cut(acc, s):
-        piece = F.when(s["start"] >= acc["at"], F.concat(F.substring(text, (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int")), F.lit("["), F.upper(s["kind"]), F.lit("]"))).otherwise("")
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["out"], piece).alias("out"))
+def _cut(parts: Column, kind: str, mark: str):
+    def cut(part: Column, i: Column) -> Column:
+        value = _value(part)
+        good = _confirmed(kind, value) & (_score(parts, i, kind) >= ACCEPT)
+        return F.when(i == 0, part).otherwise(F.concat(F.when(good, F.lit(mark)).otherwise(value), F.substring(part, F.length(value) + 2, F.length(part))))
 
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
-    done = F.aggregate(F.col("_spans"), start, cut, lambda acc: F.concat(acc["out"], F.substring(text, (acc["at"] + 1).cast("int"), F.length(text))))
-    return found.withColumn("_spans", ordered).withColumn(text_col, F.when(F.size("_spans") > 0, done).otherwise(text)).select(*docs.columns)
+    return cut
 
 
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """The rows with every span of the text replaced by its kind in brackets; overlapping spans become one.
+    """The rows with every personal span of the text replaced by its kind in brackets.
 
-    What is left can hold a new span (a phone number once the card after it is gone), so texts with a plus sign and a
-    bracketed kind are gone over again for phones. Null texts stay null; a text without spans is unchanged; all other
-    columns are carried through.
+    Kinds are replaced one after the other, each in what the ones before left, so that no base span remains. Null texts
+    stay null; a text without spans is unchanged, but for noncharacters of the marker range, which become U+FFFD; very long
+    texts take time in proportion; repeated rows are redacted alike; all other columns, whatever their names, are carried
+    through. An empty table gives an empty table.
     """
-    once = _cut_out(docs, text_col)
-    text = F.col(text_col)
-    number = F.regexp_extract_all(text, F.lit("(" + PATTERNS["phone"] + ")"), F.lit(1))
-    again = F.aggregate(number, text, lambda out, m: F.when(_confirmed("phone", m), F.replace(out, m, F.lit("[PHONE]"))).otherwise(out))
-    return once.withColumn(text_col, F.when(F.contains(text, F.lit("+")) & F.contains(text, F.lit("[")), again).otherwise(text))
+    p = _unused(docs, "_pii")
+    mark = {k: chr(FIRST_MARK + n) for n, k in enumerate(SCORES)}
+    df = docs.withColumn(p, _clean(F.col(f"`{text_col}`").cast("string")))
+    for n, kind in enumerate(REDACTED):
+        parts, text = F.col(f"{p}parts{n}"), F.col(p)
+        again = text.rlike(f"[{''.join(mark.values())}]") if kind in REDACTED[:n] else F.lit(True)
+        df = df.withColumn(f"{p}parts{n}", F.when(again, _parts(text, kind)).otherwise(F.array(F.lit(""))))
+
+        df = df.withColumn(p, F.when(F.size(parts) > 1, F.array_join(F.transform(parts, _cut(parts, kind, mark[kind])), "")).otherwise(text)).drop(f"{p}parts{n}")
+    named = F.col(p)
+    for kind in SCORES:
+        named = F.replace(named, F.lit(mark[kind]), F.lit(f"[{kind.upper()}]"))
+    return df.withColumn(p, F.when(F.col(p).rlike(f"[{''.join(mark.values())}]"), named).otherwise(F.col(p))).select(*(F.col(p).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns))

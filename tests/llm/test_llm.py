@@ -129,6 +129,33 @@ def test_pii_against_regular_expressions(spark):
     assert clean[4] is None and not any(base_spans(t) for t in clean.values() if t)
 
 
+def test_pii_of_very_many_matches(spark):
+    """100,000 matches in one text, at their places, and within a time that a quadratic cost could not keep."""
+    import time
+
+    many = " ".join(f"u{k}@x.org" for k in range(100_000))
+    df = spark.createDataFrame([(1, many), (2, "é " * 700 + "a@b.c " * 600)], "doc_id long, text string")
+    began = time.monotonic()
+    got = {r.doc_id: r for r in pii.report(df).collect()}
+    for k, t in ((1, many), (2, "é " * 700 + "a@b.c " * 600)):
+        assert got[k].base_sha256 == hashlib.sha256(",".join(base_spans(t)).encode()).hexdigest()
+    assert pii.redact(df).where("doc_id = 1").first().text == " ".join(["[EMAIL]"] * 100_000)
+    assert time.monotonic() - began < 60
+
+
+def test_pii_clashing_columns_and_leftovers(spark):
+    texts = ["4111111111111111.2.3.4.5 x", "+1 (017) 555-7713 4111 1111 1111 1111", "\ufdd2 kept", None, "", "mail a@b.c", "ip 1.2.3.4.5.6.7.8", "999.1.1.1.2.3.4"]
+    rows = [(k, t, k, "s", "u", 0) for k, t in enumerate(texts)]
+    df = spark.createDataFrame(rows * 2, "doc_id long, text string, _pii int, spans_email string, _clean string, _spans int")
+    out = pii.redact(df)
+    assert out.columns == df.columns and out.count() == len(rows) * 2
+    got = {r.doc_id: r for r in out.collect()}
+    assert not any(base_spans(r.text) for r in got.values()) and all(r._pii == k and r.spans_email == "s" and r._spans == 0 for k, r in got.items())
+    assert got[2].text == "\ufffd kept" and got[3].text is None and got[4].text == "" and got[5].text == "mail [EMAIL]"
+    found = pii.find_pii(df)
+    assert set(found.columns) == set(df.columns) | {f"spans_{k}" for k in pii.SCORES} and found.where("doc_id = 5").first().spans_email[0].start == 5
+
+
 def test_rules_against_brute_force(docs):
     got = Counter((r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) for r in rules.judge(docs).collect())
     want = Counter()
