@@ -170,26 +170,79 @@ def test_rules_against_brute_force(docs):
     assert got == want
 
 
-def test_partial_matching(docs, monkeypatch):
-    monkeypatch.setattr(ppm, "HEAD", 20)
+def ppm_price(counts, history, symbol):
+    """log10 of a symbol's probability by the trie of plain dictionaries: escape method C with exclusion."""
+    gone, out = set(), 0.0
+    for order in range(4, -1, -1):
+        seen = {s: n for s, n in counts.get(history[len(history) - order :], {}).items() if s not in gone}
+        if not seen:
+            continue
+        total, kinds = sum(seen.values()), 0 if len(gone) + len(seen) == 257 else len(seen)
+        if symbol in seen:
+            return out + math.log10(seen[symbol] / (total + kinds))
+        out += math.log10(kinds / (total + kinds))
+        gone |= set(seen)
+    return out - math.log10(257 - len(gone))
+
+
+def ppm_symbols(text):
+    return tuple(re.sub(rb"[A-Z]", lambda x: x[0].lower(), (text or "").encode())) + (256,)
+
+
+def test_partial_matching_against_brute_force(docs, monkeypatch):
     train = ~held_out("doc_id", 10, 0)
-    got = {r.doc_id: r for r in ppm.score(docs, train).collect()}
     crc = lambda i: zlib.crc32(("null" if i is None else str(i)).encode())
-    texts = [(r[0], [*words(r[1]), None]) for r in corpus()]
-    counts = Counter(w for i, t in texts if crc(i) % 10 for w in t)
+    texts = [(r[0], [*words(r[1]), None], r[1]) for r in corpus()]
+    counts = Counter(w for i, t, _ in texts if crc(i) % 10 for w in t)
     n, v = sum(counts.values()), len(counts)
-    for i, t in texts:
-        assert got[i].n_tokens == len(t) and got[i].n_known == sum(counts[w] > 0 for w in t) and got[i].train_tokens == n
-        assert got[i].held_out == (crc(i) % 10 == 0)
-        assert got[i].base_score == pytest.approx(sum(math.log10((counts[w] + 0.1) / (n + 0.1 * (v + 1))) for w in t))
-        assert got[i].score < 0
+    trie = {}
+    for i, _, text in texts:
+        if crc(i) % 10:
+            x = (256,) * 4 + ppm_symbols(text)
+            for k in range(4, len(x)):
+                for order in range(5):
+                    seen = trie.setdefault(x[k - order : k], {})
+                    seen[x[k]] = seen.get(x[k], 0) + 1
+    price = {}
+    for block, cut, held in ((64 << 20, 1 << 20, 4_000_000), (3000, 997, 50)):
+        monkeypatch.setattr(ppm, "BLOCK_BYTES", block)
+        monkeypatch.setattr(ppm, "SLICE", cut)
+        monkeypatch.setattr(ppm, "HELD", held)
+        rows = ppm.score(docs.withColumn("n", F.lit(1)).withColumn("block", F.lit("z")), train).collect()
+        assert Counter(r.doc_id for r in rows) == Counter(i for i, *_ in texts)
+        got = {r.doc_id: r for r in rows}
+        for i, t, text in texts:
+            assert got[i].n_tokens == len(t) and got[i].n_known == sum(counts[w] > 0 for w in t) and got[i].train_tokens == n
+            assert got[i].held_out == (crc(i) % 10 == 0)
+            assert got[i].base_score == pytest.approx(sum(math.log10((counts[w] + 0.1) / (n + 0.1 * (v + 1))) for w in t))
+            x = (256,) * 4 + ppm_symbols(text)
+            for k in range(4, len(x)):
+                if x[k - 4 : k + 1] not in price:
+                    price[x[k - 4 : k + 1]] = ppm_price(trie, x[k - 4 : k], x[k])
+            assert got[i].score == pytest.approx(sum(price[x[k - 4 : k + 1]] for k in range(4, len(x))), rel=1e-5), i
+
+
+def test_partial_matching_without_training(docs):
+    rows = ppm.score(docs, F.lit(False)).collect()
+    assert all(r.train_tokens == r.n_known == 0 and r.base_score == pytest.approx(0) and r.held_out for r in rows)
+    want = Counter(len(ppm_symbols(r[1])) for r in corpus())
+    assert Counter(round(-r.score / math.log10(257)) for r in rows) == want
 
 
 def test_trie_sums_to_one():
-    data = np.frombuffer(b"abracadabra", np.uint8)
-    grams, times = np.unique(ppm._grams(*ppm._symbols(data, np.array([0, 11]))), return_counts=True)
-    trie = ppm.Trie(grams, times)
-    assert np.allclose((10.0 ** trie.two).sum(1), 1, atol=1e-5) and np.allclose((10.0 ** trie.one).sum(1), 1, atol=1e-5)
+    rng = np.random.default_rng(2)
+    pairs = np.zeros((257, 257), np.int64)
+    keys = np.unique(rng.integers(0, 257, 3) * 257 * 257 + rng.integers(0, 3, 3) * 257 + rng.integers(0, 257, (400, 3)))
+    times = rng.integers(1, 9, len(keys))
+    np.add.at(pairs, (5, keys % 257), times)
+    pairs[7, 3:50] = 2
+    shard = ppm.Shard(9 * 257 + 5, keys.astype(np.uint32), times, pairs)
+    for context in [*set((keys // 257).tolist()), 0, 256, 257 * 257 - 1]:
+        assert (10 ** shard.prices((context * 257 + np.arange(257)).astype(np.uint32))).sum() == pytest.approx(1)
+    table = ppm.Lookup(keys.astype(np.int64), times)
+    assert list(table[keys.astype(np.int64)]) == list(times)
+    with pytest.raises(RuntimeError):
+        table[np.array([10**12])]
 
 
 def test_language(spark):
