@@ -10,10 +10,11 @@ Bodies are linked as copies where they share half of the smaller one's suffixes,
 suffixes that more than half of its bodies, three at least, hold. Each body is compared with the least and the greatest
 body of its repeated suffixes, so the work is linear, and groups are what links reach.
 
-The suffix array is distributed: suffixes go by ranges of their key (of the host and their first RUN tokens), are sorted,
-and neighbours are compared; an interval of one key with two distinct bodies is a repeat. That is done twice: first
-with 48 bits of each suffix and no page, which leaves the few that may be repeated, then with whole keys and bodies for
-those alone. An interval shared by many pages is streamed, so a menu on a third of all pages needs no memory.
+The suffix array is distributed and sparse. First each body names the least 4-token string of every window of RUN tokens:
+equal windows have equal ones, about a third of all places are named, and 48 bits of each are compared by ranges in sorted
+order. Only suffixes whose window holds one that two bodies name can be repeated. These are put in order by ranges of
+their key (of the host and their first RUN tokens), sorted, and neighbours are compared; an interval of one key with two
+distinct bodies is a repeat. An interval shared by many pages is streamed, so a menu on a third of all pages needs no memory.
 """
 
 from __future__ import annotations
@@ -28,9 +29,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cladeframe.llm.common import _STEP, materialise, mix, text_bytes, word_hashes, words
-from cladeframe.llm.jaccard import components
+from cladeframe.llm.jaccard import _bit_map, components, in_bit_map
 
 RUN = 8
+#: Tokens of the strings that stand for a window when repeats are looked for the first time.
+NAME = 4
 #: Share of the smaller body's suffixes outside the host's frame that, shared, makes two bodies copies.
 COPY = 0.5
 #: Suffixes are sent in this many ranges of their key's first byte, with five more bytes of it.
@@ -108,35 +111,43 @@ def blocks(page: str) -> list[tuple[str, str]]:
     return [(role, text) for role, text in out]
 
 
-def suffixes(texts: pa.Array, hosts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Key of the host and the first RUN tokens of every suffix that has as many, its text, and its token's place there.
+def _strings(hashes: np.ndarray, width: int) -> np.ndarray:
+    """Sums that tell the strings of `width` tokens apart, by first token."""
+    total = np.zeros(max(0, len(hashes) - width + 1), np.uint64)
+    for k in range(width):
+        total += hashes[k : k + len(total)] * _STEP[k % 5] * np.uint64(2 * (k // 5) + 1)
+    return total
+
+
+def suffixes(texts: pa.Array, hosts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Key of the host and the first RUN tokens of every suffix that has as many, its text, its token's place there, and
+    the key of the host and the least string of NAME tokens among those RUN.
 
     Tokens are compared without the case of A-Z."""
     data, bounds = text_bytes(texts)
     starts, ends, owner = words(data, bounds)
     hashes = word_hashes(data, starts, ends)
-    n = max(0, len(hashes) - RUN + 1)
-    total = np.zeros(n, np.uint64)
-    for k in range(RUN):
-        total += hashes[k : k + n] * _STEP[k % 5] * np.uint64(2 * (k // 5) + 1)
+    total, names = _strings(hashes, RUN), mix(_strings(hashes, NAME))
+    n = len(total)
+    least = np.minimum.reduce([names[k : k + n] for k in range(RUN - NAME + 1)])
     place = np.arange(len(owner)) - np.searchsorted(owner, np.arange(len(bounds)))[owner]
     whole = np.flatnonzero(owner[:n] == owner[RUN - 1 :])
-    seed = mix(hosts.to_numpy(zero_copy_only=False).view(np.uint64))
-    return mix(total[whole] + seed[owner[whole]]), owner[whole], place[whole]
+    seed = mix(hosts.to_numpy(zero_copy_only=False).view(np.uint64))[owner[whole]]
+    return mix(total[whole] + seed), owner[whole], place[whole], mix(least[whole] + seed)
 
 
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         found = [blocks(page or "") for page in batch.column(3).to_pylist()]
         text, aside = (pa.array([" ".join(t for role, t in x if role == wanted) for x in found], pa.string()) for wanted in ("open", "aside"))
-        keys, owner, _ = suffixes(text, batch.column(2))
+        keys, owner, *_ = suffixes(text, batch.column(2))
         cuts = np.searchsorted(owner, np.arange(batch.num_rows + 1))
         size = [len(np.unique(keys[a:b])) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
         yield pa.RecordBatch.from_arrays([*batch.columns[:3], text, aside, pa.array(size, pa.int64())], names=["page_id", "url", "host", "text", "aside", "size"])
 
 
 def _sorted_ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(range, keys): 48 bits of the suffixes' keys, sorted; one that several pages hold comes twice."""
+    """(range, keys): 48 bits of the names of the suffixes' windows, sorted; one that several bodies hold comes twice."""
 
     def sent(parts):
         keys, times = np.unique(np.concatenate(parts), return_counts=True)
@@ -148,8 +159,9 @@ def _sorted_ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
     held, size = [], 0
     for batch in batches:
-        pages = [suffixes(batch.column(k), batch.column(0))[:2] for k in (1, 2)]
-        keys, owner = (np.concatenate([x[k] for x in pages]) for k in (0, 1))
+        pages = [suffixes(batch.column(k), batch.column(0)) for k in (1, 2)]
+        owner, keys = (np.concatenate([x[k] for x in pages]) for k in (1, 3))
+        owner = batch.column(3).to_numpy()[owner]  # pages of one body count once
         order = np.lexsort((owner, keys))
         keys, owner = keys[order], owner[order]
         fresh = np.ones(len(keys), bool)
@@ -193,51 +205,50 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _occurrences(maybe):
+    """Suffixes that may be repeated: one row of each for a page, mine if it lies in the page's body."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = maybe.value
         for batch in batches:
-            key = batch.column(3).to_numpy()
             out = []
             for k in (1, 2):
-                keys, owner, _ = suffixes(batch.column(k), batch.column(0))
-                slot = _slots(keys >> np.uint64(16))
+                keys, owner, _, name = suffixes(batch.column(k), batch.column(0))
+                slot = _slots(name >> np.uint64(16))
                 seen = ((bits[slot >> np.uint64(3)] >> (np.uint64(7) - (slot & np.uint64(7))).astype(np.uint8)) & 1).astype(bool)
-                out.append((keys[seen].view(np.int64), key[owner[seen]], np.full(seen.sum(), k == 1)))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], names=["suffix", "key", "mine"])
+                out.append((keys[seen], owner[seen], np.full(seen.sum(), k == 1)))
+            keys, owner, mine = (np.concatenate(x) for x in zip(*out, strict=True))
+            order = np.lexsort((~mine, owner, keys))
+            keys, owner, mine = keys[order], owner[order], mine[order]
+            fresh = np.ones(len(keys), bool)
+            fresh[1:] = (keys[1:] != keys[:-1]) | (owner[1:] != owner[:-1])
+            key = batch.column(3).to_numpy()[owner]
+            yield pa.RecordBatch.from_arrays([pa.array(x[fresh]) for x in (keys.view(np.int64), key, mine)], names=["suffix", "key", "mine"])
 
     return run
 
 
 def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of sorted suffixes, those whose key neighbours the same key of another body. The first body's rows wait."""
+    """Of rows sorted by suffix and body, the first of each body if a neighbour has the same suffix; one row waits."""
     wait = None
     for batch in batches:
-        if not batch.num_rows:
+        table = pa.Table.from_batches([batch] if wait is None else [wait, batch])
+        if not table.num_rows:
             continue
-        table = pa.Table.from_batches([batch])
-        if wait is not None:
-            table = pa.concat_tables([wait, table])
         suffix, key = table.column(0).to_numpy(), table.column(1).to_numpy()
-        new = np.r_[True, suffix[1:] != suffix[:-1]]
-        start = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
-        other = key != key[start]
-        good = np.zeros(len(new), bool)
-        good[start[other]] = True
-        good = good[start]
-        # the last interval goes on: keep its first body's rows if no other body came yet, else one row of it to compare with
-        last = start[-1]
-        done = np.ones(len(new), bool)
-        done[last:] = good[last]
-        if wait is not None and open_ and suffix[0] == wait.column(0)[0].as_py():
-            done[0] = False
-        open_ = bool(good[last])
-        yield from table.filter(pa.array(good & done)).combine_chunks().to_batches()
-        wait = table.slice(last, 1) if open_ else table.slice(last)
+        fresh = np.r_[True, (suffix[1:] != suffix[:-1]) | (key[1:] != key[:-1])]
+        table, suffix = table.filter(pa.array(fresh)).combine_chunks(), suffix[fresh]
+        same = suffix[1:] == suffix[:-1]
+        good = np.r_[wait is not None and known, same] | np.r_[same, False]
+        known = bool(good[-1])
+        yield from table.slice(0, len(suffix) - 1).filter(pa.array(good[:-1])).to_batches()
+        wait = table.slice(len(suffix) - 1).to_batches()[0]
+    if wait is not None and known:
+        yield wait
 
 
 def _unique_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        keys, owner, place = suffixes(batch.column(2), batch.column(3))
+        keys, owner, place, _ = suffixes(batch.column(2), batch.column(3))
         bad = [np.array(x or (), np.int64).view(np.uint64) for x in batch.column(4).to_pylist()]
         cuts = np.searchsorted(owner, np.arange(batch.num_rows + 1))
         text = []
@@ -252,6 +263,16 @@ def _unique_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(text, pa.string())], names=["page_id", "url", "text"])
 
 
+def _marked(bits):
+    """Each row with whether its key may be in the bit map."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(in_bit_map(bits.value, batch.column(4).to_numpy()))], names=[*batch.schema.names, "hit"])
+
+    return run
+
+
 def _groups(repeated: DataFrame, parsed: DataFrame) -> DataFrame:
     """(node, label): the copy group of every body that is linked with another."""
     bodies = parsed.select("key", "host", "size").distinct()
@@ -287,18 +308,23 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     parsed = rows.mapInArrow(_parse, f"page_id {kind}, url string, host long, text string, aside string, size long")
     parsed = materialise(parsed.withColumn("key", F.xxhash64("host", "text")), "parsed")
 
-    ranges = parsed.select("host", "text", "aside").mapInArrow(_sorted_ranges, "range int, keys binary")
+    ranges = parsed.select("host", "text", "aside", "key").mapInArrow(_sorted_ranges, "range int, keys binary")
     found = np.zeros((RANGES, (1 << MAP_BITS - 3) // RANGES), np.uint8)
     for r in ranges.repartition("range").sortWithinPartitions("range").mapInArrow(_neighbours, "range int, bits binary").collect():
         found[r.range] = np.frombuffer(r.bits, np.uint8)
     maybe = spark.sparkContext.broadcast(found.ravel())
     every = parsed.select("host", "text", "aside", "key").mapInArrow(_occurrences(maybe), "suffix long, key long, mine boolean")
-    repeated = every.groupBy("suffix", "key").agg(F.max("mine").alias("mine"))
-    repeated = repeated.repartitionByRange("suffix").sortWithinPartitions("suffix", "key").mapInArrow(_repeated, "suffix long, key long, mine boolean")
+    # pages of one body give equal rows, which stay neighbours
+    repeated = every.repartition("suffix").sortWithinPartitions("suffix", "key", F.desc("mine")).mapInArrow(_repeated, "suffix long, key long, mine boolean")
     repeated = materialise(repeated, "repeated")
     label = _groups(repeated, parsed)
     grouped = repeated.join(label, repeated.key == label.node, "left").withColumn("label", F.coalesce("label", "key"))
     across = grouped.groupBy("suffix").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("suffix")
     gone = repeated.where("mine").join(across, "suffix").groupBy("key").agg(F.collect_list("suffix").alias("gone"))  # at most a page's words
-    left = parsed.join(gone, "key", "left").select("page_id", "url", "text", "host", "gone").mapInArrow(_unique_runs, f"page_id {kind}, url string, text string")
+    # only the pages that lose something are moved; a bit map of fixed size tells most of the others
+    gone = materialise(gone, "gone")
+    bits = spark.sparkContext.broadcast(_bit_map(gone.select("key")))
+    marked = parsed.select("page_id", "url", "text", "host", "key").mapInArrow(_marked(bits), f"page_id {kind}, url string, text string, host long, key long, hit boolean")
+    cut = marked.where("hit").join(gone, "key", "left").select("page_id", "url", "text", "host", "gone").mapInArrow(_unique_runs, f"page_id {kind}, url string, text string")
+    left = cut.union(marked.where("not hit").select("page_id", "url", "text"))
     return left.select(F.col("page_id").alias(id_col), F.col("url").alias(url_col), "text", F.length("text").cast("long").alias("n_chars"))

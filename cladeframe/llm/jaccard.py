@@ -130,6 +130,11 @@ def _bit_map(nodes: DataFrame) -> np.ndarray:
     return found if len(found) else np.zeros(1 << MAP_BITS - 3, np.uint8)  # no pair at all
 
 
+def in_bit_map(bits: np.ndarray, nodes: np.ndarray) -> np.ndarray:
+    at = mix(nodes.view(np.uint64)) >> np.uint64(64 - MAP_BITS)
+    return ((bits[at >> np.uint64(3)] >> (np.uint64(7) - (at & np.uint64(7))).astype(np.uint8)) & 1).astype(bool)
+
+
 def _texts_of(docs: DataFrame, width: int, wanted) -> DataFrame:
     """(node, id, text) of the texts whose class may be wanted."""
 
@@ -138,8 +143,7 @@ def _texts_of(docs: DataFrame, width: int, wanted) -> DataFrame:
         for batch in batches:
             keys = [set_key(s) if len(s) else None for s in shingle_sets(batch.column(1), width)]
             keys = pa.array(keys, pa.int64())
-            at = mix(keys.fill_null(0).to_numpy().view(np.uint64)) >> np.uint64(64 - MAP_BITS)
-            keep = ((bits[at >> np.uint64(3)] >> (np.uint64(7) - (at & np.uint64(7))).astype(np.uint8)) & 1).astype(bool) & keys.is_valid().to_numpy(zero_copy_only=False)
+            keep = in_bit_map(bits, keys.fill_null(0).to_numpy()) & keys.is_valid().to_numpy(zero_copy_only=False)
             yield pa.RecordBatch.from_arrays([keys, batch.column(0), batch.column(1)], names=["node", "id", "text"]).filter(pa.array(keep))
 
     return docs.mapInArrow(run, "node long, id long, text string")

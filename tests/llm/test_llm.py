@@ -456,13 +456,65 @@ def test_html_repeats_inside_articles(spark):
 
 def test_html_neighbours_across_batches():
     rows = [(1, 5), (2, 5), (2, 5), (2, 6), (2, 6), (2, 7), (3, 1), (3, 1), (4, 1), (4, 2), (5, 1)]
-    want = [x for x in rows if len({k for s, k in rows if s == x[0]}) > 1]
+    want = [x for x in dict.fromkeys(rows) if len({k for s, k in rows if s == x[0]}) > 1]
     for size in range(1, 12):
         table = html.pa.table({"suffix": [s for s, _ in rows], "key": [k for _, k in rows]})
         got = [tuple(r.values()) for b in html._repeated(iter(table.to_batches(size))) for r in b.to_pylist()]
         assert got == want, size
 
 
+def naive_texts(rows):
+    """Every pair of bodies of a host and every pair of their windows compared, without hashes, sorting or samples."""
+    out, hosts = {}, {}
+    for page_id, url, page in rows:
+        parts = html.blocks(page)
+        body, aside = ([w for role, t in parts if role == wanted for w in t.split()] for wanted in ("open", "aside"))
+        hosts.setdefault(re.sub(r"^https?://(www\\.)?", "", url).split("/")[0], []).append((page_id, body, aside))
+    windows = lambda x: {tuple(w.lower() for w in x[i : i + 8]) for i in range(len(x) - 7)}
+    for pages in hosts.values():
+        bodies = {tuple(b): (windows(b), set()) for _, b, _ in pages}
+        for _, b, aside in pages:
+            bodies[tuple(b)][1].update(windows(aside))
+        names = list(bodies)
+        held = Counter(w for mine, _ in bodies.values() for w in mine)
+        frame = {w for w, n in held.items() if n > 2 and 2 * n > len(bodies)}
+        group = {b: {b} for b in names}
+        for a in names:
+            for b in names:
+                x, y = bodies[a][0] - frame, bodies[b][0] - frame
+                if a != b and x & y and 2 * len(x & y) >= min(len(x), len(y)):
+                    both = group[a] | group[b]
+                    group.update({m: both for m in both})
+        for page_id, b, _ in pages:
+            gone = set()
+            for i in range(len(b) - 7):
+                w = tuple(t.lower() for t in b[i : i + 8])
+                if any(w in mine or w in side for o in names if o not in group[tuple(b)] for mine, side in [bodies[o]]):
+                    gone |= set(range(i, i + 8))
+            out[page_id] = " ".join(w for i, w in enumerate(b) if i not in gone)
+    return out
+
+
+def test_html_against_naive_search(spark):
+    rng = np.random.default_rng(5)
+    rows = []
+    for host in ("http://one.x", "https://www.two.x", "http://three.x"):
+        lines = [prose(int(rng.integers(10**6)), int(rng.integers(6, 30))) for _ in range(6)]
+        stories = [prose(int(rng.integers(10**6)), int(rng.integers(0, 120))) for _ in range(9)]
+        stories[7] = stories[6] + " and one more word"
+        stories[8] = stories[5]
+        for k, story in enumerate(stories):
+            cut = len(story) // 2
+            some = [lines[i] for i in rng.permutation(6)[: rng.integers(0, 4)]]
+            parts = [f"<p>{x.title() if rng.random() < 0.3 else x}</p>" for x in [*some[:1], story[:cut], *some[1:2], story[cut:], *some[2:]]]
+            rows.append((len(rows), f"{host}/{k}", f"<nav>{lines[0]}</nav><div class='ad'>{lines[int(rng.integers(6))]}</div><article>{''.join(parts)}</article>"))
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html.extract(df).collect()}
+    want = naive_texts(rows)
+    plain = {k: " ".join(t for role, t in html.blocks(page) if role == "open") for k, _, page in rows}
+    assert got == want and sum(want[k] != plain[k] for k in want) > 8
+
+
 def test_html_repeats_across_copy_groups(spark):
     frame, own = prose(800, 100), [prose(801 + k, 20) for k in range(6)]
     note, story = "Please read our terms before you copy any of this", prose(900, 70)
