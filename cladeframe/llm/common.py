@@ -22,6 +22,9 @@ BATCH_ROWS = 400
 #: Words are maximal runs of bytes other than these (space, tab, LF, VT, FF, CR).
 WHITE = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 
+#: Keys that a counting task holds before it merges them or sends them on.
+HELD = 4_000_000
+
 WORD = r"[^\x20\x09-\x0D]+"
 
 _IS_WHITE = np.zeros(256, bool)
@@ -148,3 +151,25 @@ def shingle_sets(column: pa.Array, width: int = 5):
 
 def as_signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
+
+
+class Counts:
+    """Sums by key; never more than HELD keys beyond the distinct ones."""
+
+    def __init__(self, dtype=np.int64):
+        self.dtype, self.parts, self.size = dtype, [], 0
+
+    def add(self, keys: np.ndarray, times: np.ndarray) -> None:
+        if len(keys):
+            self.parts.append((keys.astype(self.dtype, copy=False), times.astype(np.int64, copy=False)))
+            self.size += len(keys)
+            if len(self.parts) > 1 and self.size > 2 * max(HELD, len(self.parts[0][0])):
+                self.merged()
+
+    def merged(self) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.parts) > 1:
+            keys, at = np.unique(np.concatenate([k for k, _ in self.parts]), return_inverse=True)
+            times = np.zeros(len(keys), np.int64)
+            np.add.at(times, at, np.concatenate([n for _, n in self.parts]))
+            self.parts, self.size = [(keys, times)], len(keys)
+        return self.parts[0] if self.parts else (np.zeros(0, self.dtype), np.zeros(0, np.int64))

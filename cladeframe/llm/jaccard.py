@@ -2,15 +2,18 @@
 
 A text's set holds the 64-bit hashes of its distinct word shingles. Texts with equal sets form a class (first
 pass); only classes are joined. Two classes can reach the similarity only if the first p = n - ceil(t n) + 1 shingles
-of each, under any one total order of all shingles, share a shingle. The first order puts shingles that a fixed-size
-count sketch of the whole corpus saw rarely first, so very common passages stay out of the prefixes; it proposes the
-candidates. The other orders are independent hash permutations: a candidate must also share a prefix shingle under each
-of them before its sets are compared exactly.
+of each, under any one total order of all shingles, share a shingle. The first order is by how many texts hold a shingle,
+seldom ones first, so very common passages stay out of the prefixes; its blocks propose the candidates. The other orders
+are independent hash permutations. The prefixes of a candidate's two classes under each of them are joined to it next, and
+only what shares a shingle under all orders goes on to the exact comparison, for which alone texts are moved.
+
+Counts are exact: every task sends the 40-bit fingerprints of its shingles, sorted, by range, and ranges are merged. The
+COMMON most frequent ones at most, by powers of two, are what the order needs to know; all others come before them.
 
 A block of classes that share a prefix shingle never becomes all its pairs: the first round compares each member with
 one pivot (the member that meets the shingle earliest), the links found are contracted (further rounds take other pivots
 where a block still spans several components), and then only members of different components are compared.
-What is broadcast has a fixed size (sketch: 4 MB, bit map: 2 MB) whatever the corpus.
+What is broadcast has a fixed size (COMMON counts: 9 MB, bit maps: 16 MB and 2 MB) whatever the corpus.
 """
 
 from __future__ import annotations
@@ -23,9 +26,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cladeframe.llm.common import BATCH_ROWS, as_signed, materialise, mix, shingle_sets
+from cladeframe.llm.common import BATCH_ROWS, HELD, Counts, as_signed, materialise, mix, shingle_sets
 
-SKETCH_BITS = 20
+#: Fingerprints go by RANGES ranges of their first bits, with LOW bits more.
+RANGES, LOW = 1 << 12, 28
+#: Most shingles whose frequency the first order knows.
+COMMON = 1 << 20
+#: Bits of the map of shingles that more than one text holds.
+REPEATED_BITS = 27
 CHUNKS = 64
 MAP_BITS = 24
 #: Rounds that compare each block with one pivot before the open blocks are compared in full.
@@ -69,29 +77,106 @@ def set_key(shingles: np.ndarray) -> int:
 
 def _profile(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketch = np.zeros(1 << SKETCH_BITS, np.uint32)
-        any_row = False
         for batch in batches:
-            n, key, seen = [], [], []
+            sets = [(len(s), set_key(s) if len(s) else None) for s in shingle_sets(batch.column(1), width)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([n for n, _ in sets], pa.int64()), pa.array([k for _, k in sets], pa.int64())], names=["id", "n", "node"])
+
+    return run
+
+
+def _fingerprints(width: int):
+    """(range, keys, counts): the task's shingles, sorted, with the number of its distinct sets that hold each."""
+
+    def sent(keys, times):
+        cuts = np.searchsorted(keys, np.arange(RANGES + 1, dtype=np.uint64) << np.uint64(LOW))
+        low = (keys & np.uint64((1 << LOW) - 1)).astype(np.uint32)
+        rows = [(k, low[a:b].tobytes(), times[a:b].astype(np.uint32).tobytes()) for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a]
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int32(), pa.binary(), pa.binary()))], names=["range", "keys", "counts"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size, done = [], 0, set()
+        for batch in batches:
             for s in shingle_sets(batch.column(1), width):
-                n.append(len(s))
-                key.append(set_key(s) if len(s) else None)
-                seen.append(s)
-            any_row = True
-            if seen:
-                sketch += np.bincount((np.concatenate(seen) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(sketch)).astype(np.uint32)
-            rows = len(n)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(key, pa.int64()), pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.binary())], names=["id", "n", "node", "chunk", "counts"])
-        if any_row:
-            yield pa.RecordBatch.from_arrays([pa.nulls(CHUNKS, pa.int64()), pa.nulls(CHUNKS, pa.int64()), pa.nulls(CHUNKS, pa.int64()), pa.array(range(CHUNKS), pa.int32()), pa.array(_chunk_rows(sketch), pa.binary())], names=["id", "n", "node", "chunk", "counts"])
+                if not len(s) or (key := set_key(s)) in done:
+                    continue
+                done.add(key)  # exact copies within the task
+                held.append(s >> np.uint64(64 - LOW - 12))
+                size += len(s)
+            if size > HELD:
+                yield sent(*np.unique(np.concatenate(held), return_counts=True))
+                held, size = [], 0
+        if size:
+            yield sent(*np.unique(np.concatenate(held), return_counts=True))
 
     return run
 
 
-def _prefixes(width: int, percent: int, sketch):
+def _levels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(range, level, n, keys): the range's shingles of 2^level sets or more, from 8 up; level 1: bits of those of two or more."""
+    width = REPEATED_BITS - 12
+
+    def ranked(k, held):
+        keys, times = held.merged()
+        bits = np.zeros(1 << width, bool)
+        bits[keys[times > 1] >> (LOW - width)] = True
+        level = np.log2(times).astype(np.int64)
+        rows = [(k, 1, 0, np.packbits(bits).tobytes())]
+        rows += [(k, int(x), int((level == x).sum()), keys[level == x].astype(np.uint32).tobytes()) for x in np.unique(level[level > 2])]
+        return pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], t) for j, t in enumerate((pa.int32(), pa.int32(), pa.int64(), pa.binary()))], names=["range", "level", "n", "keys"])
+
+    now, held = None, Counts()
+    for batch in batches:
+        for k, keys, times in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
+            if k != now and now is not None:
+                yield ranked(now, held)
+                held = Counts()
+            now = k
+            held.add(np.frombuffer(keys, np.uint32), np.frombuffer(times, np.uint32))
+    if now is not None:
+        yield ranked(now, held)
+
+
+class Frequencies:
+    """What the first order knows of shingles: the level of common ones, and which ones one set alone holds."""
+
+    def __init__(self, docs: DataFrame, width: int):
+        sent = docs.mapInArrow(_fingerprints(width), "range int, keys binary, counts binary").repartition("range").sortWithinPartitions("range")
+        found = materialise(sent.mapInArrow(_levels, "range int, level int, n long, keys binary"), "frequencies")
+        sizes = {r.level: r.n for r in found.where("level > 1").groupBy("level").agg(F.sum("n").alias("n")).collect()}
+        least, left = 64, COMMON
+        for level in sorted(sizes, reverse=True):
+            left -= sizes[level]
+            if left < 0:
+                break
+            least = level
+        self.bits = np.zeros((RANGES, (1 << REPEATED_BITS - 3) // RANGES), np.uint8)
+        for r in found.where("level = 1").select("range", "keys").collect():  # one stretch of the map for each range
+            self.bits[r.range] = np.frombuffer(r.keys, np.uint8)
+        self.bits = self.bits.ravel()
+        rows = found.where(F.col("level") >= least).select("range", "level", "keys").collect()  # COMMON keys at most
+        keys = np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(r["keys"], np.uint32).astype(np.uint64) | np.uint64(r["range"] << LOW) for r in rows)])
+        level = np.concatenate([np.zeros(0, np.uint8), *(np.full(len(r["keys"]) // 4, r["level"], np.uint8) for r in rows)])
+        order = np.argsort(keys)
+        self.keys, self.level = keys[order], level[order]
+
+    def rank(self, shingles: np.ndarray) -> np.ndarray:
+        """The first order: by level, then by hash."""
+        if not len(self.keys):
+            return shingles >> np.uint64(6)
+        print_ = shingles >> np.uint64(64 - LOW - 12)
+        at = np.minimum(np.searchsorted(self.keys, print_), len(self.keys) - 1)
+        level = np.where(self.keys[at] == print_, self.level[at], 0).astype(np.uint64)
+        return level << np.uint64(58) | shingles >> np.uint64(6)
+
+    def shared(self, shingles: np.ndarray) -> np.ndarray:
+        """Whether a second set may hold them."""
+        at = shingles >> np.uint64(64 - REPEATED_BITS)
+        return ((self.bits[at >> np.uint64(3)] >> (np.uint64(7) - (at & np.uint64(7))).astype(np.uint8)) & 1).astype(bool)
+
+
+def _prefixes(width: int, percent: int, frequencies):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, done = sketch.value.astype(np.uint64), set()
-        low = np.uint64((1 << (64 - SKETCH_BITS)) - 1)
+        known, done = frequencies.value, set()
         for batch in batches:
             token, node, at = [], [], []
             for s in shingle_sets(batch.column(1), width):
@@ -99,12 +184,11 @@ def _prefixes(width: int, percent: int, sketch):
                     continue
                 done.add(key)  # exact copies within the task
                 n = len(s)
-                rank = (np.minimum(counts[s >> np.uint64(64 - SKETCH_BITS)], (1 << SKETCH_BITS) - 1) << np.uint64(64 - SKETCH_BITS)) | (s & low)
-                p = prefix_length(n, percent)
-                chosen = np.argsort(rank, kind="stable")[:p]
-                token.append(s[chosen])
-                node.append(np.full(p, key, np.int64))
-                at.append((np.int64(n) << 32) | np.arange(p, dtype=np.int64))
+                chosen = s[np.argsort(known.rank(s), kind="stable")[: prefix_length(n, percent)]]
+                there = np.flatnonzero(known.shared(chosen))
+                token.append(chosen[there])
+                node.append(np.full(len(there), key, np.int64))
+                at.append((np.int64(n) << 32) | there)
             if token:
                 yield pa.RecordBatch.from_arrays([pa.array(as_signed(np.concatenate(token))), pa.array(np.concatenate(node)), pa.array(np.concatenate(at))], names=["token", "node", "at"])
 
@@ -135,53 +219,64 @@ def in_bit_map(bits: np.ndarray, nodes: np.ndarray) -> np.ndarray:
     return ((bits[at >> np.uint64(3)] >> (np.uint64(7) - (at & np.uint64(7))).astype(np.uint8)) & 1).astype(bool)
 
 
-def _texts_of(docs: DataFrame, width: int, wanted) -> DataFrame:
-    """(node, id, text) of the texts whose class may be wanted."""
+def _wanted(docs: DataFrame, width: int, wanted, make, kind: str) -> DataFrame:
+    """(node, id, x) of the texts whose class may be wanted; x is made of the set and the text."""
 
     def run(batches):
-        bits = wanted.value
         for batch in batches:
-            keys = [set_key(s) if len(s) else None for s in shingle_sets(batch.column(1), width)]
-            keys = pa.array(keys, pa.int64())
-            keep = in_bit_map(bits, keys.fill_null(0).to_numpy()) & keys.is_valid().to_numpy(zero_copy_only=False)
-            yield pa.RecordBatch.from_arrays([keys, batch.column(0), batch.column(1)], names=["node", "id", "text"]).filter(pa.array(keep))
-
-    return docs.mapInArrow(run, "node long, id long, text string")
-
-
-def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
-    """The remaining orders' prefix filters, then the exact comparison."""
-    least = needed(len(a), len(b), percent)
-    if min(len(a), len(b)) < least:
-        return False
-    for salt in ORDERS:
-        x, y = np.sort(mix(a ^ salt)), np.sort(mix(b ^ salt))
-        if not len(np.intersect1d(x[: len(a) - least + 1], y[: len(b) - least + 1], assume_unique=True)):
+            sets = list(shingle_sets(batch.column(1), width))
+            keys = pa.array([set_key(s) if len(s) else None for s in sets], pa.int64())
+            keep = np.flatnonzero(in_bit_map(wanted.value, keys.fill_null(0).to_numpy()) & keys.is_valid().to_numpy(zero_copy_only=False))
+            made = [make(sets[k], batch.column(1)[k].as_py()) for k in keep]
+            at = pa.array(keep, pa.int64())
+            yield pa.RecordBatch.from_arrays([keys.take(at), batch.column(0).take(at), pa.array(made, pa.binary() if kind == "binary" else pa.string())], names=["node", "id", "x"])
+
+    return docs.mapInArrow(run, f"node long, id long, x {kind}")
+
+
+def other_prefixes(shingles: np.ndarray, percent: int) -> list[np.ndarray]:
+    """Under each further order, the first 32 bits of the ranks of the set's prefix, sorted."""
+    p = prefix_length(len(shingles), percent)
+    return [(np.sort(mix(shingles ^ salt))[:p] >> np.uint64(32)).astype(np.uint32) for salt in ORDERS]
+
+
+def meet(x: bytes, y: bytes) -> bool:
+    """Whether two classes share a prefix shingle under every further order (or two of equal first 32 bits)."""
+    a, b = (np.frombuffer(v, np.uint32).reshape(len(ORDERS), -1) for v in (x, y))
+    for one, two in zip(a, b, strict=True):
+        at = np.minimum(np.searchsorted(two, one), two.size - 1)
+        if not (two[at] == one).any():
             return False
-    return len(np.intersect1d(a, b, assume_unique=True)) >= least
+    return True
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of classes that are linked."""
+def _joined(pairs: DataFrame, docs: DataFrame, classes: DataFrame, width: int, make, kind: str) -> DataFrame:
+    """The pairs (a, b) with x_a and x_b, made of the texts of the two classes' first members."""
     spark = docs.sparkSession
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     wanted = spark.sparkContext.broadcast(_bit_map(nodes))
-    texts = _texts_of(docs, width, wanted).join(nodes.join(classes, "node"), "node").where("id = rep").select("node", "text")
+    held = _wanted(docs, width, wanted, make, kind).join(nodes.join(classes, "node"), "node").where("id = rep").select("node", "x").dropDuplicates(["node"])
+    side = lambda n: held.select(F.col("node").alias(n), F.col("x").alias(f"x_{n}"))
+    return pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "x_a", "x_b")
 
-    def run(batches):
+
+def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, width: int, percent: int) -> DataFrame:
+    """The pairs (a, b) of classes that are linked: those that meet under all orders, compared exactly."""
+
+    def filtered(batches):
+        for batch in batches:
+            keep = [meet(x, y) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    def compared(batches):
         for batch in batches:
-            at = {k: batch.schema.get_field_index(k) for k in ("a", "b", "text_a", "text_b")}
-            both = zip(shingle_sets(batch.column(at["text_a"]), width), shingle_sets(batch.column(at["text_b"]), width), strict=True)
-            keep = pa.array([similar(x, y, percent) for x, y in both], pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(at["a"]), batch.column(at["b"])], names=["a", "b"]).filter(keep)
+            both = zip(shingle_sets(batch.column(2), width), shingle_sets(batch.column(3), width), strict=True)
+            keep = [len(np.intersect1d(x, y, assume_unique=True)) >= needed(len(x), len(y), percent) for x, y in both]
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return (
-        pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
-        .join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
-        .select("a", "b", "text_a", "text_b")
-        .mapInArrow(run, "a long, b long")
-        .distinct()
-    )
+    prefixes = _joined(pairs, docs, classes, width, lambda s, _: np.concatenate(other_prefixes(s, percent)).tobytes(), "binary")
+    pairs = materialise(prefixes.mapInArrow(filtered, "a long, b long"), "met")
+    return _joined(pairs, docs, classes, width, lambda _, text: text, "string").mapInArrow(compared, "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -214,15 +309,12 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     spark = docs.sparkSession
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    profile = materialise(docs.mapInArrow(_profile(width), "id long, n long, node long, chunk int, counts binary"), "sets")
-    sketch = merged(profile.where("chunk is not null").select("chunk", "counts"), np.uint32, np.add)
-    rows = profile.where("chunk is null").select("id", "n", "node")
-    if not len(sketch):
-        return rows.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("id").alias("component_id"))
+    rows = materialise(docs.mapInArrow(_profile(width), "id long, n long, node long"), "sets")
     classes = materialise(rows.where("node is not null and id is not null").groupBy("node").agg(F.min("id").alias("rep")), "classes")
     some = docs.where("id is not null")
 
-    prefixes = some.mapInArrow(_prefixes(width, percent, spark.sparkContext.broadcast(sketch)), "token long, node long, at long")
+    known = spark.sparkContext.broadcast(Frequencies(some, width))
+    prefixes = some.mapInArrow(_prefixes(width, percent, known), "token long, node long, at long")
     blocks = materialise(prefixes.withColumn("size", F.count("*").over(Window.partitionBy("token"))).where("size > 1").drop("size"), "blocks")
 
     links, tried, label = None, None, None
@@ -242,10 +334,11 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     rest = materialise(rest.join(tried, ["a", "b"], "left_anti"), "rest")
     more = _verified(rest, some, classes, width, percent)
 
-    label = components(links.union(more))
-    found = classes.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    lowest = found.groupBy("label").agg(F.min("rep").alias("component_id"))
-    found = found.join(lowest, "label").select("node", "component_id")
+    # by the classes' first members the least member of a component is its label
+    named = lambda n: classes.select(F.col("node").alias(n), F.col("rep").alias(f"rep_{n}"))
+    linked = links.union(more).join(named("a"), "a").join(named("b"), "b").select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"))
+    label = components(linked).withColumnRenamed("node", "rep")
+    found = classes.join(label, "rep", "left").select("node", F.coalesce("label", "rep").alias("component_id"))
     return rows.join(found, "node", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id")).alias("component_id"))
 
 

@@ -24,15 +24,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cladeframe.llm.common import _LOWER, BATCH_ROWS, materialise, text_bytes, word_hashes, words
+from cladeframe.llm.common import _LOWER, BATCH_ROWS, Counts, materialise, text_bytes, word_hashes, words
 
 ORDER = 4
 END = 256
 SYMBOLS = 257
 #: Text of a block, about.
 BLOCK_BYTES = 64 << 20
-#: Symbols worked on at a time, and distinct keys held before they are merged.
-SLICE, HELD = 1 << 20, 4_000_000
+#: Symbols worked on at a time.
+SLICE = 1 << 20
 #: A gram is its shard and, in the low bits, the first two symbols of its context and the symbol.
 LOCAL_BITS = 25
 WORD_SHARDS = SYMBOLS * SYMBOLS
@@ -63,28 +63,6 @@ def grams(syms: np.ndarray, starts: np.ndarray, a: int, b: int) -> tuple[np.ndar
     return shard << LOCAL_BITS | (back[4] * SYMBOLS + back[3]) * SYMBOLS + back[0], owner
 
 
-class Counts:
-    """Sums by key; never more than HELD keys beyond the distinct ones."""
-
-    def __init__(self, dtype=np.int64):
-        self.dtype, self.parts, self.size = dtype, [], 0
-
-    def add(self, keys: np.ndarray, times: np.ndarray) -> None:
-        if len(keys):
-            self.parts.append((keys.astype(self.dtype, copy=False), times.astype(np.int64, copy=False)))
-            self.size += len(keys)
-            if len(self.parts) > 1 and self.size > 2 * max(HELD, len(self.parts[0][0])):
-                self.merged()
-
-    def merged(self) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.parts) > 1:
-            keys, at = np.unique(np.concatenate([k for k, _ in self.parts]), return_inverse=True)
-            times = np.zeros(len(keys), np.int64)
-            np.add.at(times, at, np.concatenate([n for _, n in self.parts]))
-            self.parts, self.size = [(keys, times)], len(keys)
-        return self.parts[0] if self.parts else (np.zeros(0, self.dtype), np.zeros(0, np.int64))
-
-
 def counted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(keys, return_counts=True)
 

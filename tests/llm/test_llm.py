@@ -11,7 +11,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from cladeframe.llm import bpe, html, jaccard, langid, mixing, multiindex, pii, ppm, quality, rules
+from cladeframe.llm import bpe, common, html, jaccard, langid, mixing, multiindex, pii, ppm, quality, rules
 from cladeframe.llm.common import held_out
 from cladeframe.llm.queries import tokenizer_path
 
@@ -64,6 +64,36 @@ def test_jaccard_against_brute_force(docs):
     assert got == {(k, len(s), low[k]) for k, s in sets.items()} | {(None, 1, None)}
 
 
+def test_jaccard_at_the_threshold(spark, monkeypatch):
+    """Chains of copies whose similarity lies about the threshold, common passages in half of all texts, all orders."""
+    monkeypatch.setattr(jaccard, "COMMON", 40)
+    monkeypatch.setattr(jaccard, "HELD", 500)
+    rng = np.random.default_rng(8)
+    line, rows = prose(77, 30), []
+    for k in range(24):
+        w = prose(300 + k, int(rng.integers(5, 60))).split()
+        for step in range(int(rng.integers(1, 5))):
+            rows.append((len(rows), " ".join(w) + (f" {line}" if k % 2 else ""), f"n{step}"))
+            w = w[:]
+            w[int(rng.integers(len(w)))] = f"x{step}"
+            w = w[: len(w) - int(rng.integers(0, 3))]
+    rows += [(500 + k, rows[3][1], "copy") for k in range(20)] + [(3, rows[3][1], "again")]
+    sets = [(r[0], shingles(r[1])) for r in rows]
+    low = {k: k for k, _ in sets}
+    links = [(a, b) for a, x in sets for b, y in sets if x and 100 * len(x & y) >= 75 * len(x | y)]
+    for _ in range(8):
+        for a, b in links:
+            low[a] = low[b] = min(low[a], low[b])
+    df = spark.createDataFrame(rows, "doc_id long, text string, node string")
+    got = Counter((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.jaccard_components(df).collect())
+    assert got == Counter((k, len(s), low[k]) for k, s in sets)
+    known = jaccard.Frequencies(df.select("doc_id", "text"), 5)
+    assert 0 < len(known.keys) <= 40
+    a, b = (next(iter(common.shingle_sets(jaccard.pa.array([t])))) for t in (line + " end", line + " stop"))
+    packed = [np.concatenate(jaccard.other_prefixes(x, 75)).tobytes() for x in (a, b)]
+    assert jaccard.meet(*packed) and not jaccard.meet(packed[0], np.concatenate(jaccard.other_prefixes(a + np.uint64(1), 75)).tobytes())
+
+
 def test_jaccard_large_group_of_near_copies(spark):
     base = prose(5, 100).split()
     rows = []
@@ -207,7 +237,7 @@ def test_partial_matching_against_brute_force(docs, monkeypatch):
     for block, cut, held in ((64 << 20, 1 << 20, 4_000_000), (3000, 997, 50)):
         monkeypatch.setattr(ppm, "BLOCK_BYTES", block)
         monkeypatch.setattr(ppm, "SLICE", cut)
-        monkeypatch.setattr(ppm, "HELD", held)
+        monkeypatch.setattr(common, "HELD", held)
         rows = ppm.score(docs.withColumn("n", F.lit(1)).withColumn("block", F.lit("z")), train).collect()
         assert Counter(r.doc_id for r in rows) == Counter(i for i, *_ in texts)
         got = {r.doc_id: r for r in rows}
