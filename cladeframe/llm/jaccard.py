@@ -349,3 +349,19 @@ def _open_blocks(blocks: DataFrame, label: DataFrame | None) -> DataFrame:
     placed = blocks.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
     several = placed.groupBy("token").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("token")
     return placed.join(several, "token").select("token", "node", "at", "label")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 75) -> DataFrame:
+    """The rows that links do not reach, and of each group that links reach the row of the smallest id; all columns.
+
+    Every row is a document of its own: rows of one id with texts that do not link all stay, and of rows with one id and
+    linking texts one stays, the first that was read. Null ids come after all others. Null and empty texts link with
+    nothing and stay. Very long texts are compared whole. Columns of docs may have any names. An empty table gives an
+    empty table.
+    """
+    doc = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc")
+    rows = materialise(docs.select(doc, F.monotonically_increasing_id().alias("row")), "rows")
+    ids = rows.select("row", F.col(f"doc.`{id_col}`").alias("id"))
+    found = jaccard_components(rows.select("row", F.col(f"doc.`{text_col}`").alias("text")), "row", "text", width, percent)
+    first = found.join(ids, "row").groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("first"))
+    return rows.join(first.select(F.col("first.row").alias("row")), "row", "left_semi").select("doc.*")

@@ -59,7 +59,7 @@ def matching_score(spark, sf_dir):
 
 
 def pipeline(spark, sf_dir):
-    import corpus_pipeline
+    import corpus_pipeline  # it imports from here
 
     return corpus_pipeline.run(spark, sf_dir)
 

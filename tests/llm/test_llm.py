@@ -449,28 +449,53 @@ def test_empty_tables(spark, labels):
     assert [x.count() for x in none] == [0] * 10
 
 
-def test_pipeline(spark, tmp_path, docs):
+STAGE_SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, row long, slot string, score double, _pii int, node int"
+
+
+def test_pipeline(spark, tmp_path):
     import corpus_pipeline
+    from tokenizers import Tokenizer
 
     assert len(corpus_pipeline.STAGES) == 5
-    rows = [(k, prose(k % 30, 100 + k % 30) + f" mail me{k}@x.org" if k % 3 else "WORD!! " * 90, "en", f"s{k % 4}", 0) for k in range(120)]
-    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    extra = (7, "s", 0.5, 1, 2)
+    rows = [(k, prose(k % 30, 100 + k % 30) + f" mail me{k}@x.org" if k % 3 else "WORD!! " * 90, "en", f"s{k % 4}", 0, *extra) for k in range(120)]
+    rows += [(1, prose(900, 80), "en", "s1", 0, *extra), (1, prose(901, 80), "en", "s1", 0, *extra), (None, prose(902, 80), None, None, 0, *extra), (None, prose(901, 80), "en", "s1", 0, *extra), (500, None, "en", "s0", None, *extra), (501, "", "en", "s0", 0, *extra)]
+    spark.createDataFrame(rows, STAGE_SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(k, int(k % 3 > 0), 0) for k in range(120)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
-    df, columns = spark.read.parquet(f"{tmp_path}/documents.parquet"), None
+    df = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    good = [r for r in rows if not (r[1] or "").startswith("WORD")]
+    key = lambda r: (r[0] is None, r[0] or 0, r[1] or "")
+    kept = []
+    for r in sorted(good, key=key):
+        if not any(shingles(x[1]) and 100 * len(shingles(x[1]) & shingles(r[1])) >= 75 * len(shingles(x[1]) | shingles(r[1])) for x in kept):
+            kept.append(r)
     for n, (_, stage) in enumerate(corpus_pipeline.STAGES):
         before, df = df, stage(spark, df, str(tmp_path)).cache()
         if n < 4:
-            assert df.columns == before.columns
+            assert df.columns == before.columns and all(tuple(r)[5:] == extra for r in df.collect())
         if n == 0:
-            assert {r.doc_id for r in df.collect()} == {k for k in range(120) if k % 3}
+            assert Counter((r.doc_id, r.text) for r in df.collect()) == Counter(r[:2] for r in good)
         if n == 1:
-            sets = {k: shingles(t) for k, t, *_ in rows if k % 3}
-            kept = {r.doc_id for r in df.collect()}
-            assert kept == {k for k in sets if not any(j < k and 100 * len(sets[j] & sets[k]) >= 75 * len(sets[j] | sets[k]) for j in sets)}
+            assert Counter((r.doc_id, r.text) for r in df.collect()) == Counter(r[:2] for r in kept)
         if n == 2:
-            assert not any("@" in r.text for r in df.collect())
+            assert not any(base_spans(r.text) for r in df.collect()) and Counter(r.doc_id for r in df.collect()) == Counter(r[0] for r in kept)
+            words_in = {s: sum(len((r.text or "").split()) for r in df.collect() if r.source == s) for s in ("s0", "s1", "s2", "s3", None)}
+        if n == 3:
+            given = scheduled(list(words_in.values()), 256)
+            assert [sum(len(r.text.split()) for r in df.collect() if r.source == s) for s in words_in] == given
+            assert all(r.n_chars == len(r.text) for r in df.collect())
         if n == 4:
-            assert df.count() == before.count() and all(r.n_tokens == len(r.ids) for r in df.collect())
+            lib = Tokenizer.from_file(tokenizer_path())
+            want = Counter((r.doc_id, tuple(lib.encode(r.text, add_special_tokens=False).ids)) for r in before.collect())
+            assert Counter((r.doc_id, tuple(r.ids)) for r in df.collect()) == want
+
+
+def test_pipeline_of_nothing(spark, tmp_path):
+    import corpus_pipeline
+
+    spark.createDataFrame([], STAGE_SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
 
 
 def test_html_repeats_inside_articles(spark):
