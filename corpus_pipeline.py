@@ -2,63 +2,9 @@
 mix the sources to their target weights, and encode. Every stage is written as Parquet and read again by the next.
 """
 
-from __future__ import annotations
+from cladeframe.llm.stages import STAGES, run
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from cladeframe.llm import bpe, jaccard, mixing, pii, quality
-from cladeframe.llm.common import held_out, materialise, read
-from cladeframe.llm.queries import tokenizer_path
-
-
-def _with_length(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("n_chars", F.length("text").cast("long"))
-
-
-def screen_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the classifier, trained on the labels, does not reject."""
-    return quality.screen(docs, read(spark, sf_dir, "labels", "doc_id", "quality"), ~held_out("doc_id", 5, 0))
-
-
-def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, the one of the smallest id; rows of one id are one document."""
-    found = jaccard.jaccard_components(docs)
-    kept = found.where("doc_id = component_id").select("doc_id").distinct()
-    one = docs.join(kept, "doc_id").dropDuplicates(["doc_id"]).select(*docs.columns)
-    return one.union(docs.where("doc_id is null"))
-
-
-def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents with personal data replaced by its kind."""
-    return _with_length(pii.redact(docs))
-
-
-def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix in the order of its slots: the parts of documents that the slots take, as often as they take them."""
-    return _with_length(mixing.take(docs))
-
-
-def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document, with their number and digests."""
-    return bpe.encode(docs, tokenizer_path())
-
-
-STAGES = [
-    ("quality classifier", screen_quality),
-    ("n-gram Jaccard join", drop_near_copies),
-    ("PII", redact_personal_data),
-    ("mixing sources", mix_sources),
-    ("BPE encoding", encode_tokens),
-]
+__all__ = ["ORACLE_SQL", "STAGES", "run"]
 
 #: SQL cannot express the trained classifier; tests/llm hold the stages against brute force.
 ORACLE_SQL = None
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of the folder."""
-    docs = read(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = materialise(stage(spark, docs, sf_dir), name.replace(" ", "-"))
-    return docs
