@@ -76,9 +76,28 @@ class Model:
         return (up - down) / (2 * step)
 
     def perturbed(self, sigma: float, rng: np.random.Generator) -> Model:
-        """Gaussian noise on the parameters, kept inside (0, 1)."""
-        moved = [x + rng.normal(0, sigma) for x in self.params]
-        return Model(self.kind, tuple(0.01 if x <= 0 else 0.99 if x >= 1 else float(x) for x in moved), self.eq, self.base)
+        """Gaussian noise on the parameters, kept inside (0, 1); a reversible matrix also keeps the rates out of each
+        base below 1 in sum, by shrinking those that exceed it."""
+        if self.kind in ("HB", "NMER"):
+            raise ValueError("no noise on this kind")
+        moved = [0.01 if x <= 0 else 0.99 if x >= 1 else float(x) for x in (x + rng.normal(0, sigma) for x in self.params)]
+        if self.kind == "REV":
+            for base in BASES:
+                out = [k for pair, k in REVERSIBLE.items() if base in pair]
+                total = sum(moved[k] for k in out)
+                if total >= 1:
+                    for k in out:
+                        moved[k] *= 0.99 / total
+        return Model(self.kind, tuple(moved), self.eq, self.base)
+
+    def with_param(self, k: int, value: float) -> Model:
+        return Model(self.kind, tuple(value if i == k else x for i, x in enumerate(self.params)), self.eq, self.base)
+
+    def rescaled(self, factor: float) -> Model:
+        """All rates times a factor; kinds that scale their own rates are left as they are."""
+        if self.kind in ("KIM", "HKY"):
+            return self
+        return Model(self.kind, tuple(factor * x for x in self.params), self.eq, self.base.rescaled(factor) if self.base else None)
 
 
 def random_model(kind: str, rng: np.random.Generator) -> Model:
@@ -92,7 +111,7 @@ def average(models: list[Model]) -> Model:
     """Element-wise means of parameters and frequencies of models of one kind."""
     if models[0].kind in ("HB", "NMER"):
         raise ValueError("no average of this kind")
-    mean = lambda rows: tuple(np.mean(rows, axis=0))
+    mean = lambda rows: tuple(float(x) for x in np.mean(rows, axis=0))
     return Model(models[0].kind, mean([m.params for m in models]), mean([m.eq for m in models]))
 
 
@@ -163,14 +182,47 @@ def substitute(p: np.ndarray, row: int, rng: np.random.Generator) -> int:
     return int(np.searchsorted(np.cumsum(p[row]), rng.random() * p[row].sum()))
 
 
+# -- names ------------------------------------------------------------------------------------------------------------
+
+#: Names in files and options.
+CONTEXT_TYPES = ("HOG", "ACO", "RCO", "LCO", "TRCO", "MP", "NMER", "AMINO", "CODON")
+MATRIX_TYPES = ("JC", "FEL", "KIM", "HKY", "REV", "NMER", "AMINO", "CODON", "GAP", "HB", "GAINLOSS")
+ORDER_TYPES = ("COND", "NMER", "NMER_RAW")
+
+
+def named(text: str, names: tuple[str, ...]) -> str:
+    """The name itself, white space around it dropped; an unknown one is an error."""
+    if text.strip() not in names:
+        raise ValueError(f"{text.strip()!r} is none of {', '.join(names)}")
+    return text.strip()
+
+
 # -- context hierarchies ----------------------------------------------------------------------------------------------
 
 
+def contexts(n: int) -> list[str]:
+    return ["".join(c) for c in product(BASES, repeat=n)]
+
+
+def level(context: str) -> int:
+    """Order of a context: its length; of a dual one 2k for k parent and k child symbols, 2k - 1 for k parent symbols alone."""
+    parent, bar, child = context.partition("|")
+    return len(context) if not bar else 2 * len(parent) - (len(child) < len(parent))
+
+
+def keys_of(n: int, dual: bool) -> list[str]:
+    """The contexts of one order, in the order of files."""
+    if not dual:
+        return contexts(n)
+    return [f"{c}|" for c in contexts((n + 1) // 2)] if n % 2 else [f"{c[: n // 2]}|{c[n // 2 :]}" for c in contexts(n)]
+
+
 @dataclass(frozen=True)
 class ContextModel:
     """One model per context of each length up to `order`; a context's model is that of its longest known suffix.
 
-    Keys are (phase, context); phase 0 alone unless periodic. Dual contexts are parent and child contexts end to end.
+    Keys are (phase, context); phase 0 alone unless periodic. A dual context is written parent|child: even orders hold as
+    many symbols of either, odd ones those of the parent alone.
     """
 
     order: int
@@ -180,9 +232,27 @@ class ContextModel:
 
     @classmethod
     def build(cls, order: int, make, periodic: bool = False, dual: bool = False) -> ContextModel:
-        top = 2 * order if dual else order
         phases = range(3) if periodic else (0,)
-        return cls(order, {(f, "".join(c)): make(f, "".join(c)) for f in phases for k in range(top + 1) for c in product(BASES, repeat=k)}, dual, periodic)
+        return cls(order, {(f, c): make(f, c) for f in phases for k in range((2 if dual else 1) * order + 1) for c in keys_of(k, dual)}, dual, periodic)
+
+    @classmethod
+    def random(cls, order: int, kind: str, sigma: float, rng: np.random.Generator, dual: bool = False) -> ContextModel:
+        """A random matrix of order 0; each longer context has its suffix's matrix with noise. In a dual model odd orders
+        start from the parent's suffix, even ones from the parent context alone."""
+        made: dict[str, Model] = {}
+        for n in range((2 if dual else 1) * order + 1):
+            for c in keys_of(n, dual):
+                parent, bar, child = c.partition("|")
+                if n == 0:
+                    made[c] = random_model(kind, rng)
+                elif not bar:
+                    made[c] = made[c[1:]].perturbed(sigma, rng)
+                else:
+                    made[c] = made[f"{parent}|" if child else f"{parent[1:]}|"].perturbed(sigma, rng)
+        return cls(order, {(0, c): m for c, m in made.items()}, dual)
+
+    def top(self) -> int:
+        return max(level(c) for _, c in self.models)
 
     def lookup(self, context: str, phase: int = 0) -> Model:
         phase = phase % 3 if self.periodic else 0
@@ -192,42 +262,54 @@ class ContextModel:
         raise KeyError(context)
 
     def lookup_dual(self, parent: str, child: str, phase: int = 0) -> Model:
-        return self.lookup(parent + child, phase)
+        """By as many of the last symbols of both as are known."""
+        phase = phase % 3 if self.periodic else 0
+        for k in range(min(len(parent), len(child)), -1, -1):
+            key = phase, f"{parent[len(parent) - k :]}|{child[len(child) - k :]}"
+            if key in self.models:
+                return self.models[key]
+        raise KeyError(f"{parent}|{child}")
 
     def averaged(self) -> ContextModel:
-        """Shorter contexts replaced by means over the symbol that they drop."""
-        out = {k: m for k, m in self.models.items() if len(k[1]) == max(len(c) for _, c in self.models)}
-        for n in range(max(len(c) for _, c in self.models), 0, -1):
+        """Shorter contexts replaced by means over the symbol that they drop: over both the parent's and the child's in a
+        dual model, whose odd orders go."""
+        step, top = (2 if self.dual else 1), self.top()
+        out = {k: m for k, m in self.models.items() if level(k[1]) == top}
+        for n in range(top, 0, -step):
             for f in {f for f, _ in out}:
-                for c in product(BASES, repeat=n - 1):
-                    c = "".join(c)
-                    out[f, c] = average([out[f, y + c] for y in BASES])
+                for c in keys_of(n - step, self.dual):
+                    parent, bar, child = c.partition("|")
+                    out[f, c] = average([out[f, f"{x}{parent}|{y}{child}"] for x in BASES for y in BASES] if bar else [out[f, x + c] for x in BASES])
         return ContextModel(self.order, out, self.dual, self.periodic)
 
     def lower(self) -> ContextModel:
-        step = 2 if self.dual else 1
-        top = max(len(c) for _, c in self.models) - step
-        return ContextModel(self.order - 1, {k: m for k, m in self.models.items() if len(k[1]) <= top}, self.dual, self.periodic)
+        least = self.top() - (2 if self.dual else 1)
+        return ContextModel(self.order - 1, {k: m for k, m in self.models.items() if level(k[1]) <= least}, self.dual, self.periodic)
 
     def raised(self) -> ContextModel:
-        step = 2 if self.dual else 1
-        top = max(len(c) for _, c in self.models)
-        more = dict(self.models)
-        for n in range(top + 1, top + step + 1):
-            for f in {f for f, _ in self.models}:
-                more |= {(f, "".join(c)): self.lookup("".join(c)[n - top :], f) for c in product(BASES, repeat=n)}
+        """One order more; each new context has the model of its suffix (of both suffixes in a dual model)."""
+        top, more = self.top(), dict(self.models)
+        for f in {f for f, _ in self.models}:
+            for c in keys_of(top + (2 if self.dual else 1), self.dual):
+                parent, bar, child = c.partition("|")
+                more[f, c] = self.models[f, f"{parent[1:]}|{child[1:]}" if bar else c[1:]]
         return ContextModel(self.order + 1, more, self.dual, self.periodic)
 
     def even_orders(self) -> ContextModel:
-        return ContextModel(self.order, {k: m for k, m in self.models.items() if len(k[1]) % 2 == 0}, self.dual, self.periodic)
+        return ContextModel(self.order, {k: m for k, m in self.models.items() if level(k[1]) % 2 == 0}, self.dual, self.periodic)
 
     def ancestral(self) -> ContextModel:
-        """The parent contexts of a dual model alone."""
+        """The parent contexts of a dual model alone: the matrices of its odd orders, and that of order 0."""
         if not self.dual:
             return self
-        out = {(f, c): average([self.lookup(c + "".join(x), f) for x in product(BASES, repeat=self.order)]) for f, c in self.models if len(c) <= self.order}
+        out = {(f, c.partition("|")[0]): m for (f, c), m in self.models.items() if level(c) % 2 or level(c) == 0}
         return ContextModel(self.order, out, False, self.periodic)
 
+    def parameter_contexts(self) -> list[str]:
+        """The context that each parameter belongs to, when the parameters of the highest order's matrices stand in a row."""
+        some = keys_of(self.top(), self.dual)
+        return [c for c in some for _ in self.models[0, c].params]
+
     def log_tables(self, t: float) -> dict[tuple[int, str], np.ndarray]:
         return {k: log_matrix(m.at(t)) for k, m in self.models.items()}
 
@@ -262,10 +344,77 @@ def nmer_lower(p: np.ndarray, eq: np.ndarray) -> np.ndarray:
 
 def degenerate(nmer: str) -> list[int]:
     """Codes of all n-mers of A C G T that match one with missing symbols."""
-    choices = [range(4) if c in "-.N" else (BASES.index(c),) for c in nmer]
+    choices = [(BASES.index(c),) if c in BASES else range(4) for c in nmer]
     return [int("".join(map(str, c)), 4) for c in product(*choices)]
 
 
+def context_nmers(model: ContextModel, n: int, t: float) -> np.ndarray:
+    """4^n x 4^n: P of one n-mer turning into another, symbol by symbol, each by the model of what both (a dual model) or
+    the parent alone hold before it."""
+    tables = {k: m.at(t) for (_, k), m in model.models.items()}
+    names = contexts(n)
+
+    def table(parent: str, child: str) -> np.ndarray:
+        if not model.dual:
+            return tables[next(parent[k:] for k in range(len(parent) + 1) if parent[k:] in tables)]
+        return tables[next(x for k in range(len(parent), -1, -1) if (x := f"{parent[len(parent) - k :]}|{child[len(child) - k :]}") in tables)]
+
+    out = np.ones((len(names), len(names)))
+    for i, a in enumerate(names):
+        for j, b in enumerate(names):
+            for k in range(n):
+                out[i, j] *= table(a[:k], b[:k])[BASES.index(a[k]), BASES.index(b[k])]
+    return out
+
+
+@dataclass(frozen=True)
+class NmerModel:
+    """Rates between n-mers one substitution apart, and the model of the next shorter n-mers. n is order + 1.
+
+    A rate belongs to an unordered pair and is multiplied by the frequency of its target."""
+
+    rate: dict[tuple[str, str], float]
+    single: tuple[float, ...] = UNIFORM
+    less: NmerModel | None = None
+
+    @property
+    def n(self) -> int:
+        return len(next(iter(self.rate))[0])
+
+    @staticmethod
+    def pairs(n: int) -> list[tuple[str, str]]:
+        names = contexts(n)
+        return [(a, b) for i, a in enumerate(names) for b in names[i + 1 :] if sum(x != y for x, y in zip(a, b, strict=True)) == 1]
+
+    @property
+    def eq(self) -> np.ndarray:
+        return nmer_frequencies(self.n, self.single)
+
+    def rates(self) -> np.ndarray:
+        return nmer_rates(self.n, self.eq, lambda a, b: self.rate[min(a, b), max(a, b)])
+
+    def averaged(self) -> NmerModel:
+        """Rates of the shorter n-mers from those with one base more at the end, equal in both, by that base's frequency."""
+        if self.n == 1:
+            return self
+        less = {(a, b): sum(self.single[k] * self.rate[a + x, b + x] for k, x in enumerate(BASES)) for a, b in self.pairs(self.n - 1)}
+        return NmerModel(self.rate, self.single, NmerModel(less, self.single).averaged())
+
+    def chain(self, n: int) -> NmerModel:
+        """The model of n-mers of length n at most its own."""
+        return self if self.n == n or self.less is None else self.less.chain(n)
+
+    def raised(self) -> NmerModel:
+        """Rates of longer n-mers: where the change lies in the suffix, the suffix's rate times how often the first base
+        stays; where it is the first base, that base's rate times how often the suffix stays. A base or an n-mer stays at 1
+        less the rates out of it."""
+        zero = self.chain(1).rate
+        stay1 = {x: 1 - sum(r for pair, r in zero.items() if x in pair) for x in BASES}
+        stay = {a: 1 - sum(r for pair, r in self.rate.items() if a in pair) for a in contexts(self.n)}
+        more = {(a, b): self.rate[a[1:], b[1:]] * stay1[a[0]] if a[0] == b[0] else stay[a[1:]] * zero[a[0], b[0]] for a, b in self.pairs(self.n + 1)}
+        return NmerModel(more, self.single, self)
+
+
 # -- files ------------------------------------------------------------------------------------------------------------
 
 
@@ -299,31 +448,98 @@ def from_text(text: str) -> Model:
 
 def context_to_text(model: ContextModel) -> str:
     """COND, periodic, dual, sequence type, matrix type, order, count, matrices; then the next lower order."""
-    top = max(len(c) for _, c in model.models)
-    kind = next(iter(model.models.values())).kind
-    out = []
-    for n in range(top, -1, -1):
-        some = [m for (f, c), m in sorted(model.models.items()) if len(c) == n]
-        out.append(f"COND {int(model.periodic)} {int(model.dual)} DNA {kind} {n} {len(some)}\n" + "".join(map(to_text, some)))
+    kind, out = next(iter(model.models.values())).kind, []
+    phases = range(3) if model.periodic else (0,)
+    for n in range(model.top(), -1, -1):
+        some = [model.models[f, c] for f in phases for c in keys_of(n, model.dual) if (f, c) in model.models]
+        if some:
+            out.append(f"COND {int(model.periodic)} {int(model.dual)} DNA {kind} {n} {len(some)}\n" + "".join(map(to_text, some)))
     return "".join(out)
 
 
 def context_from_text(text: str) -> ContextModel:
     tokens, models, top, dual, periodic = iter(text.split()), {}, 0, False, False
     for tag in tokens:
-        if tag != "COND":
+        if named(tag, ORDER_TYPES) != "COND":
             raise ValueError(tag)
         periodic, dual = next(tokens) == "1", next(tokens) == "1"
-        next(tokens), next(tokens)
+        next(tokens)
+        named(next(tokens), MATRIX_TYPES)
         n, count = int(next(tokens)), int(next(tokens))
         top = max(top, n)
-        keys = [(f, "".join(c)) for f in (range(3) if periodic else (0,)) for c in product(BASES, repeat=n)]
+        keys = [(f, c) for f in (range(3) if periodic else (0,)) for c in keys_of(n, dual)]
         if count != len(keys):
             raise ValueError(f"order {n} has {count} matrices")
         models |= {k: from_tokens(tokens) for k in keys}
     return ContextModel(top // 2 if dual else top, models, dual, periodic)
 
 
+def nmer_to_text(model: NmerModel) -> str:
+    """NMER, order, rates by pair, n-mer frequencies, base frequencies, each with its length; then the next lower order."""
+    row = lambda v: f"{len(v)} " + " ".join(repr(float(x)) for x in v) + "\n"
+    own = f"NMER\n{model.n - 1}\n{row([model.rate[p] for p in NmerModel.pairs(model.n)])}{row(model.eq)}{row(model.single)}"
+    return own + (nmer_to_text(model.less) if model.less else "")
+
+
+def nmer_from_text(text: str) -> NmerModel:
+    tokens = iter(text.split())
+    row = lambda: [float(next(tokens)) for _ in range(int(next(tokens)))]
+
+    def take() -> NmerModel | None:
+        if next(tokens, None) is None:
+            return None
+        n = int(next(tokens)) + 1
+        rate, _, single = row(), row(), tuple(row())
+        return NmerModel(dict(zip(NmerModel.pairs(n), rate, strict=True)), single, take())
+
+    if text.split()[:1] != ["NMER"]:
+        raise ValueError("no NMER file")
+    return take()
+
+
+def raw_nmer_to_text(eq: np.ndarray, rates: np.ndarray) -> str:
+    """NMER_RAW, order, frequencies and the whole rate matrix, n-mers as numbers of base 4, the last base least."""
+    order = round(np.log(len(eq)) / np.log(4)) - 1
+    rows = "".join(" ".join(repr(float(x)) for x in r) + "\n" for r in rates)
+    return f"NMER_RAW\n{order}\n{len(eq)} " + " ".join(repr(float(x)) for x in eq) + f"\n{len(eq)} {len(eq)}\n{rows}"
+
+
+def raw_nmer_from_text(text: str) -> tuple[np.ndarray, np.ndarray]:
+    tag, order, *rest = text.split()
+    if named(tag, ORDER_TYPES) != "NMER_RAW":
+        raise ValueError(tag)
+    size = 4 ** (int(order) + 1)
+    values = np.array(rest, float)
+    if values[0] != size or len(values) != 3 + size + size * size:
+        raise ValueError(f"order {order} needs {size} n-mers")
+    return values[1 : size + 1], values[size + 3 :].reshape(size, size)
+
+
+def labelled_matrix(text: str) -> np.ndarray:
+    """A square matrix whose first row and first column name the bases, in any order; rows and columns of A C G T."""
+    head, *rows = [line.split() for line in text.splitlines() if line.strip()]
+    at = {name: k for k, name in enumerate(head)}
+    by = {r[0]: r[1:] for r in rows}
+    return np.array([[float(by[a][at[b]]) for b in BASES] for a in BASES])
+
+
+def configuration(text: str) -> dict[str, str]:
+    """Lines `key = value` of a training file; # begins a comment. The keys of SETTINGS must be there."""
+    lines = [line.partition("#")[0] for line in text.splitlines()]
+    found = {k.strip(): v.strip() for k, bar, v in (line.partition("=") for line in lines) if bar}
+    if missing := [k for k in SETTINGS if k not in found]:
+        raise ValueError(f"no {', '.join(missing)}")
+    named(found["context-type"], CONTEXT_TYPES), named(found["matrix-type"], MATRIX_TYPES)
+    return found
+
+
+#: What a training file must say.
+SETTINGS = (
+    "matrix-type", "max-iterations", "optimizer", "stopping-criterion", "tolerance", "gradient-threshold", "gradient-epsilon", "step-size", "order",
+    "sequence-type", "context-type", "regularize", "max-seq-length", "num-progressive-replicates", "fix-one-branch-length",
+)
+
+
 def from_mod(text: str) -> Model:
     """Order-0 .mod file: the rows after RATE_MAT: give the six reversible rates; frequencies are left uniform."""
     rows = text.split("RATE_MAT:")[1].split()
@@ -338,17 +554,3 @@ def raw_nmer_from_mod(text: str) -> tuple[int, np.ndarray, np.ndarray]:
     size = 4**order
     eq = np.array([float(x) for x in text.split("BACKGROUND:")[1].split()[:size]])
     return order, eq, np.array([float(x) for x in text.split("RATE_MAT:")[1].split()[: size * size]]).reshape(size, size)
-
-
-def gamma_table(shape: float, scale: float, step: float = 0.01, stop: float = 1e-4) -> list[tuple[float, float]]:
-    """(x, density) of the gamma distribution on a grid, up to where it falls below `stop` past its mode."""
-    from math import exp, lgamma, log
-
-    out = []
-    for k in range(1, 100_001):
-        x = k * step
-        p = exp((shape - 1) * log(x) - x / scale - lgamma(shape) - shape * log(scale))
-        if p < stop and x > (shape - 1) * scale:
-            break
-        out.append((x, p))
-    return out

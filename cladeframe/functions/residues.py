@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import math
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BASES = "ACGT"
@@ -79,3 +81,13 @@ def context_prior(context: Column, eq: dict[str, float]) -> Column:
     """Product of the equilibrium frequencies of the context's symbols; 1 for the empty context."""
     weight = F.create_map(*(F.lit(x) for kv in eq.items() for x in kv))
     return F.aggregate(F.filter(F.split(context, ""), lambda c: c != ""), F.lit(1.0), lambda p, c: p * F.coalesce(weight[c], F.lit(1.0)))
+
+
+def gamma_density(spark: SparkSession, shape: float, scale: float, step: float = 0.01, stop: float = 1e-4, most: int = 100_000) -> DataFrame:
+    """(x, p): the density of the gamma distribution on a grid of `most` steps at most, up to where it falls below `stop`
+    past its mode. ln of the gamma function of the shape is the one constant."""
+    x = F.col("id") * F.lit(float(step))
+    log_p = (shape - 1) * F.ln(x) - x / scale - F.lit(math.lgamma(shape)) - F.lit(shape * math.log(scale))
+    grid = spark.range(1, most + 1).select("id", x.alias("x"), F.exp(log_p).alias("p"))
+    last = grid.where((F.col("p") < stop) & (F.col("x") > (shape - 1) * scale)).agg(F.coalesce(F.min("id"), F.lit(most + 1)).alias("last"))
+    return grid.join(F.broadcast(last), F.col("id") < F.col("last")).select(F.round("x", 9).alias("x"), "p")  # one row

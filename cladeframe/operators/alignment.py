@@ -28,6 +28,16 @@ def wide_sites(tracks: DataFrame, n: int) -> DataFrame:
     return blocks(tracks, n).select("block", "phase", F.posexplode("cols").alias("col", "c")).select("block", "phase", "col", "c.*")
 
 
+def left_sites(tracks: DataFrame, n: int, order: int, of: list[int]) -> DataFrame:
+    """wide_sites with, for each track of `of`, the `order` symbols left of the column: t<k>_l1 is the nearest, '' before
+    the block's start. The neighbours are shifted copies of a block's letters, so no window and no sort is needed."""
+    letters = blocks(tracks, n).select("block", "phase", "len", "cols")
+    shifted = [F.concat(F.array_repeat(F.lit(""), F.least(F.lit(k), F.col("len"))), F.transform(F.slice("cols", 1, F.greatest(F.col("len") - k, F.lit(0))), _symbol(t))).alias(f"t{t}_l{k}") for t in of for k in range(1, order + 1)]
+    df = letters.select("block", "phase", *(F.transform("cols", _symbol(k)).alias(f"t{k}") for k in range(n)), *shifted)
+    names = df.columns[2:]
+    return df.select("block", "phase", F.posexplode(F.arrays_zip(*names)).alias("col", "c")).select("block", "phase", "col", "c.*")
+
+
 def is_residue(sym: Column) -> Column:
     return ~sym.isin("-", ".", ABSENT, " ")
 
@@ -167,7 +177,34 @@ def nmers(tracks: DataFrame, n: int) -> DataFrame:
 
 
 def with_context(sites: DataFrame, column: str, order: int, out: str = "ctx") -> DataFrame:
-    """The `order` symbols left of each column of a block, clipped at its start and trimmed after the right-most gap."""
-    w = Window.partitionBy("block").orderBy("col")
-    parts = [F.coalesce(F.lag(column, k).over(w), F.lit("")) for k in range(order, 0, -1)]
-    return sites.withColumn(out, F.regexp_extract(F.concat(*parts), "([ACGT]*)$", 1))
+    """The `order` symbols left of each column of a block, clipped at its start and trimmed after the right-most gap, from
+    the neighbours that left_sites put beside it."""
+    parts = [F.col(f"{column}_l{k}") for k in range(order, 0, -1)]
+    return sites.withColumn(out, F.regexp_extract(F.concat(F.lit(""), *parts), "([ACGT]*)$", 1))
+
+
+def attach(nodes: DataFrame, tracks: DataFrame) -> DataFrame:
+    """Tree nodes (name, kind, ...) and tracks (block, name, seq) by name, find-or-create: every node has a track in every
+    block. A leaf's missing track is all gaps, an inner node's a null sequence; tracks that the tree lacks come with kind
+    null. Where a name stands for two nodes, both get the track."""
+    size = tracks.groupBy("block").agg(F.max(F.length("seq")).cast("int").alias("len"))
+    wanted = size.crossJoin(F.broadcast(nodes.select("name", "kind")))  # the nodes of one tree
+    found = wanted.join(tracks.select("block", "name", "seq"), ["block", "name"], "full")
+    seq = F.when(F.col("seq").isNull() & (F.col("kind") != "INTERNAL"), F.rpad(F.lit("-"), F.col("len"), F.lit("-"))).otherwise(F.col("seq"))
+    return found.select("block", "name", "kind", seq.alias("seq"))
+
+
+def track_numbers(named: DataFrame) -> DataFrame:
+    """(name, track): names numbered in the order in which blocks first show them, by (block, position) of named rows
+    (block, ix, name). One row per name is sorted, not the table."""
+    first = named.groupBy("name").agg(F.min(F.struct("block", "ix")).alias("first"))
+    rank = F.row_number().over(Window.orderBy("first", "name")) - 1  # taxa: few
+    return first.select("name", rank.cast("int").alias("track"))
+
+
+def combined(tracks: DataFrame, n: int) -> DataFrame:
+    """(track, col, sym) of all blocks laid end to end in one alignment, columns renumbered over all of it; a track that a
+    block lacks, and what a shorter one lacks, is gaps."""
+    sites = wide_sites(tracks, n).join(concatenated(tracks, n), "block")
+    each = F.explode(F.array(*(F.struct(F.lit(k).alias("track"), F.translate(F.col(f"t{k}"), ABSENT, "-").alias("sym")) for k in range(n)))).alias("x")
+    return sites.select((F.col("start") + F.col("col")).alias("col"), each).select(F.col("x.track").cast("int").alias("track"), "col", "x.sym")

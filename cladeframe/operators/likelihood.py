@@ -1,22 +1,26 @@
 """Tree likelihoods by pruning, as DataFrame expressions over distinct site patterns.
 
 A column's likelihood is that of the other taxa given the root taxon's residue (no prior on the root). The tree's shape
-becomes one array column per inner node; P(t) enters as literals. Patterns are grouped before anything is computed,
-so the cost follows the number of distinct columns, not of columns. Context-dependent engines add a context to the
-pattern and take P from that context, backing off to its longest known suffix.
+becomes one array column per inner node; P(t) enters as literals, or, where a context chooses it, as columns that a
+broadcast join on the context brings: one pass over the patterns whatever the order. Patterns are grouped before anything
+is computed, so the cost follows the number of distinct columns, not of columns; of few taxa all possible patterns are
+tabulated at once and broadcast. Engines over slices of n columns work on n-mers in numpy, whole batches at a time.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 from functools import reduce
-from operator import add, mul
+from operator import mul
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cladeframe.functions.models import BASES, ContextModel, Model
+from cladeframe.functions.models import BASES, CONTEXT_TYPES, ContextModel, Model, NmerModel, context_nmers, degenerate, exponential, named, nmer_frequencies, nmer_lower
+from cladeframe.operators.alignment import left_sites, with_context
+from cladeframe.operators.parsimony import fitch
 from cladeframe.operators.tree import Node, Tree
 
 
@@ -28,13 +32,14 @@ def _vector(values) -> Column:
     return F.array(*map(_lit, values))
 
 
-def _through_leaf(symbol: Column, p: np.ndarray) -> Column:
-    """P(parent state -> observed leaf) for the four parent states; all ones where the leaf is missing."""
-    return reduce(lambda a, b: a.when(symbol == b, _vector(p[:, BASES.index(b)])), BASES, F).otherwise(_vector((1, 1, 1, 1)))
+def _through_leaf(symbol: Column, p) -> Column:
+    """P(parent state -> observed leaf) for the four parent states; all ones where the leaf is missing. p: array or column."""
+    column = (lambda j: _vector(p[:, j])) if isinstance(p, np.ndarray) else (lambda j: F.transform(p, lambda row: F.get(row, F.lit(j))))
+    return reduce(lambda a, b: a.when(symbol == b, column(BASES.index(b))), BASES, F).otherwise(_vector((1, 1, 1, 1)))
 
 
-def _through_node(states: Column, p: np.ndarray) -> Column:
-    rows = F.array(*(_vector(row) for row in p))
+def _through_node(states: Column, p) -> Column:
+    rows = F.array(*(_vector(row) for row in p)) if isinstance(p, np.ndarray) else p
     dot = lambda row: F.aggregate(F.zip_with(row, states, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
     return F.transform(rows, dot)
 
@@ -73,99 +78,237 @@ def _likelihood(df: DataFrame, tree: Tree, p_of, symbol_of, out: str, missing_ro
     return df.withColumn(out, F.when(value > 0, F.ln(value)).otherwise(F.lit(float("-inf")))).select(*before, out)
 
 
-def context_likelihood(patterns: DataFrame, tree: Tree, model: ContextModel, symbol_of, engine: str = "TRCO", context_col: str = "ctx", out: str = "ll") -> DataFrame:
-    """RCO: the root's left context chooses P on the root's branch; TRCO: on all branches.
+#: Possible patterns up to which they are tabulated and broadcast; rows of a table of contexts up to which it is.
+TABULATED = 1 << 16
+
+
+def normal(symbol: Column) -> Column:
+    """The base, or - for anything that counts as missing."""
+    return F.when(symbol.isin(*BASES), symbol).otherwise("-")
+
+
+def all_patterns(spark: SparkSession, names: list[str]) -> DataFrame | None:
+    """Every combination of A C G T - over the names, if TABULATED allows."""
+    if 5 ** len(names) > TABULATED:
+        return None
+    digit = lambda k: F.substring(F.lit(BASES + "-"), (F.floor(F.col("id") / 5**k) % 5 + 1).cast("int"), F.lit(1))
+    return spark.range(5 ** len(names)).select(*(digit(k).alias(n) for k, n in enumerate(names)))
+
+
+def with_likelihood(sites: DataFrame, names: list[str], engine: Callable[[DataFrame], DataFrame], by: DataFrame | None = None, out: str = "ll") -> DataFrame:
+    """The sites with what an engine adds to patterns of the names (and of the columns of the small table `by`).
 
-    One branch of the union per known context: contexts are a parameter's size (4^order), each a filter on the patterns.
+    All possible patterns are tabulated and broadcast where they are few, a bound that the data cannot move; otherwise the
+    patterns that occur are, and joined.
     """
+    keys = names + (by.columns if by is not None else [])
+    table = all_patterns(sites.sparkSession, names)
+    table = table.crossJoin(F.broadcast(by)) if table is not None and by is not None else table  # contexts: few rows, made on the driver
+    few = table is not None
+    if not few:
+        table = sites.select(*(normal(F.col(n)).alias(n) for n in names), *(c for c in keys if c not in names)).distinct()
+    table = engine(table).select(*(F.col(k).alias(f"_{k}") for k in keys), out)
+    same = reduce(lambda a, b: a & b, [(normal(F.col(k)) if k in names else F.col(k)) == F.col(f"_{k}") for k in keys])
+    return sites.join(F.broadcast(table) if few else table, same).drop(*(f"_{k}" for k in keys))
+
+
+def trimmed(context: Column, model: ContextModel) -> Column:
+    """The longest suffix of a context that the model knows."""
     known = sorted({c for _, c in model.models}, key=len, reverse=True)
-    plain = model.lookup("")
-    longest = max(map(len, known))
-    suffix = reduce(lambda a, k: a.when(F.substring(F.col(context_col), -k, k).isin(*[c for c in known if len(c) == k]) & (F.length(context_col) >= k), F.substring(F.col(context_col), -k, k)), range(longest, 0, -1), F) if longest else None
-    df = patterns.withColumn("_ctx", suffix.otherwise("") if longest else F.lit(""))
-    parts = []
-    for c in known:
-        here = model.models[0, c]
-        top = tree.root.children[0][0]
-        p_of = (lambda node, d, here=here: here.at(d)) if engine == "TRCO" else (lambda node, d, here=here: (here if node is top else plain).at(d))
-        parts.append(_likelihood(df.where(F.col("_ctx") == c), tree, p_of, symbol_of, out, "sum" if engine == "TRCO" else "zero"))
-    return reduce(DataFrame.union, parts).drop("_ctx")
+    longest = len(known[0])
+    if not longest:
+        return F.lit("")
+    suffix = lambda k: F.right(context, F.lit(k))
+    return reduce(lambda a, k: a.when((F.length(context) >= k) & suffix(k).isin(*[c for c in known if len(c) == k]), suffix(k)), range(longest, 0, -1), F).otherwise("")
+
+
+def _p_table(spark: SparkSession, tree: Tree, model: ContextModel, prefix: str) -> DataFrame:
+    """(<prefix>, <prefix><child id>...): P of every branch by context, one row per known context."""
+    rows = [(c, *([[float(x) for x in row] for row in m.at(d)] for _, _, d in tree.branches())) for (f, c), m in model.models.items() if f == 0]
+    if len(rows) > TABULATED:
+        raise ValueError(f"more than {TABULATED} contexts")
+    fields = ", ".join(f"{prefix}{tree.ids[id(c)]} array<array<double>>" for _, c, _ in tree.branches())
+    return F.broadcast(spark.createDataFrame(rows, f"{prefix} string, {fields}"))
+
+
+def context_likelihood(patterns: DataFrame, tree: Tree, model: ContextModel, symbol_of, engine: str = "TRCO", context_col: str = "ctx", out: str = "ll") -> DataFrame:
+    """RCO: the root's left context chooses P on the root's branch; TRCO: on all branches. A missing root residue gives 0
+    (RCO) or the log of the sum over residues (TRCO)."""
+    before, plain, top = patterns.columns, model.lookup(""), tree.root.children[0][0]
+    df = patterns.withColumn("_ctx", trimmed(F.col(context_col), model)).join(_p_table(patterns.sparkSession, tree, model, "_p").withColumnRenamed("_p", "_ctx"), "_ctx")
+    p_of = lambda node, d: F.col(f"_p{tree.ids[id(node)]}") if engine == "TRCO" or node is top else plain.at(d)
+    return _likelihood(df, tree, p_of, symbol_of, out, "sum" if engine == "TRCO" else "zero").select(*before, out)
 
 
 def leaf_context_likelihood(sites: DataFrame, tree: Tree, model: ContextModel, symbol_of, context_of, out: str = "ll") -> DataFrame:
-    """LCO: a leaf's own left context chooses P on its branch; other branches use the plain model."""
-    before = sites.columns
-    plain, known = model.lookup(""), sorted({c for _, c in model.models}, key=len, reverse=True)
-    df = sites
+    """LCO: a leaf's own left context chooses P on its branch, the root's on all other branches."""
+    before, df = sites.columns, sites
+    taxa = [tree.root.name, *tree.root.leaves()]
+    for k, name in enumerate(taxa):
+        at = f"_x{k}_"
+        df = df.withColumn(at, trimmed(context_of(name), model)).join(_p_table(sites.sparkSession, tree, model, at), at)
+    held = {id(c): F.col(f"_x{0 if c.children else taxa.index(c.name)}_{tree.ids[id(c)]}") for _, c, _ in tree.branches()}
+    return _likelihood(df, tree, lambda node, d: held[id(node)], symbol_of, out, "zero").select(*before, out)
+
+
+def fitch_likelihood(sites: DataFrame, tree: Tree, model: ContextModel | Model, state_of: Callable[[str], Column], context_of: Callable[[str], Column] | None = None, out: str = "ll") -> DataFrame:
+    """MP: states at inner nodes are given (by parsimony), so the log-likelihood is a sum over branches, each with P chosen
+    by the parent's own left context; a missing end adds 0. A plain model needs no contexts."""
+    held = model if isinstance(model, ContextModel) else ContextModel(0, {(0, ""): model})
+    before, df, total = sites.columns, sites, F.lit(0.0)
+    for k, (parent, child, d) in enumerate(tree.branches()):
+        rows = [(f"{c}>{x}{y}", float(v)) for (f, c), m in held.models.items() if f == 0 for x, row in zip(BASES, np.log(m.at(d)), strict=True) for y, v in zip(BASES, row, strict=True)]
+        if len(rows) > 16 * TABULATED:
+            raise ValueError(f"more than {TABULATED} contexts")
+        table = F.broadcast(sites.sparkSession.createDataFrame(rows, f"_key{k} string, _log{k} double"))
+        context = trimmed(context_of(parent.name), held) if context_of else F.lit("")
+        df = df.withColumn(f"_key{k}", F.concat(context, F.lit(">"), state_of(parent.name), state_of(child.name))).join(table, f"_key{k}", "left")
+        total = total + F.coalesce(f"_log{k}", F.lit(0.0))
+    return df.withColumn(out, total).select(*before, out)
+
+
+# -- slices of n columns ------------------------------------------------------------------------------------------------
+
+
+def _codes(nmers: list[str], n: int) -> np.ndarray:
+    """Row per n-mer: 1 for every n-mer of A C G T that it matches."""
+    out, known = np.zeros((len(nmers), 4**n)), {}
+    for k, x in enumerate(nmers):
+        if x not in known:
+            known[x] = degenerate(x)
+        out[k, known[x]] = 1.0
+    return out
+
+
+def slice_joint(tree: Tree, p_of: Callable[[Node], np.ndarray], nmers: dict[str, list[str]], n: int, eq: np.ndarray) -> np.ndarray:
+    """ln of the joint probability of the n-mers of all taxa given the root's, for a batch of slices.
+
+    Missing symbols are summed over; at the root they are weighed by eq, the frequencies of n-mers."""
+
+    def below(x: Node) -> np.ndarray:
+        if not x.children:
+            return _codes(nmers[x.name], n)
+        return reduce(mul, (below(c) @ p_of(c).T for c, _ in x.children))
 
-    def leaf(c: Node, d: float) -> Column:
-        ctx = context_of(c.name)
-        by = reduce(lambda a, k: a.when(ctx.endswith(k), _through_leaf(symbol_of(c.name), model.models[0, k].at(d))), [k for k in known if k], F) if any(known) else None
-        rest = _through_leaf(symbol_of(c.name), plain.at(d))
-        return by.otherwise(rest) if by is not None else rest
+    weight = _codes(nmers[tree.root.name], n) * eq
+    up = below(tree.root.children[0][0]) @ p_of(tree.root.children[0][0]).T
+    with np.errstate(divide="ignore"):
+        return np.log((up * weight).sum(1) / weight.sum(1))
 
-    for node in tree.nodes:
-        if node.kind == "INTERNAL":
-            df = df.withColumn(f"_L{tree.ids[id(node)]}", _times([leaf(c, d) if not c.children else _through_node(F.col(f"_L{tree.ids[id(c)]}"), plain.at(d)) for c, d in node.children]))
-    (child, d), root = tree.root.children[0], symbol_of(tree.root.name)
-    df = df.withColumn("_root", leaf(child, d) if not child.children else _through_node(F.col(f"_L{tree.ids[id(child)]}"), plain.at(d)))
-    value = reduce(lambda a, b: a.when(root == b, F.get("_root", F.lit(BASES.index(b)))), BASES, F).otherwise(_lit(1.0))
-    return df.withColumn(out, F.ln(value)).select(*before, out)
 
+def slice_likelihood(slices: DataFrame, tree: Tree, tables: dict[int, tuple[dict[str, np.ndarray], np.ndarray]], out: str = "ll") -> DataFrame:
+    """ln P of the last column of a slice given those before it: the joint of the slice less that of the slice without it.
 
-def fitch_likelihood(sites: DataFrame, tree: Tree, model: Model, state_of: Callable[[str], Column], out: str = "ll") -> DataFrame:
-    """MP: states at inner nodes are given (by parsimony), so the log-likelihood is a sum over branches; a missing end adds 0."""
+    slices: distinct patterns with a string column per taxon, as long as the slice (shorter at a block's start). tables:
+    width -> (P of each branch by child name, frequencies of n-mers), fixed in size by the order of the model.
+    """
+    taxa, held = tree.taxa(), slices.sparkSession.sparkContext.broadcast(tables)
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in slices.schema)
 
-    def branch(parent: Node, child: Node, d: float) -> Column:
-        p = np.log(model.at(d))
-        a, b = state_of(parent.name), state_of(child.name)
-        return reduce(lambda acc, xy: acc.when((a == xy[0]) & (b == xy[1]), _lit(p[BASES.index(xy[0]), BASES.index(xy[1])])), [(x, y) for x in BASES for y in BASES], F).otherwise(_lit(0.0))
+    def run(batches):
+        for batch in batches:
+            texts = {t: batch.column(batch.schema.get_field_index(t)).to_pylist() for t in taxa}
+            ll, size = np.zeros(batch.num_rows), np.array([len(x) for x in texts[tree.root.name]])
+            for n in np.unique(size):
+                rows = np.flatnonzero(size == n)
+                for width, sign in ((int(n), 1), (int(n) - 1, -1)):
+                    if width:
+                        p, eq = held.value[width]
+                        ll[rows] += sign * slice_joint(tree, lambda c, p=p: p[c.name], {t: [x[k][:width] for k in rows] for t, x in texts.items()}, width, eq)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ll)], names=[*batch.schema.names, out])
 
-    return sites.withColumn(out, reduce(add, (branch(*x) for x in tree.branches())))
+    return slices.mapInArrow(run, f"{fields}, {out} double")
 
 
-def nmer_joint(tree: Tree, p_of: Callable[[str, float], np.ndarray], leaf_codes: dict[str, list[int]]) -> float:
-    """ln of the joint probability of the n-mers at all taxa given the root's, missing symbols as sets of codes (numpy)."""
+def context_tables(tree: Tree, model: ContextModel) -> dict[int, tuple[dict[str, np.ndarray], np.ndarray]]:
+    """Tables of the slices of a context model: ACO by the parent's symbols before each place, HOG (a dual model) by both's."""
+    single = model.models[0, "|" if model.dual else ""].eq
+    return {n: ({c.name: context_nmers(model, n, d) for _, c, d in tree.branches()}, nmer_frequencies(n, single)) for n in range(1, model.order + 2)}
 
-    def below(x: Node, size: int) -> np.ndarray:
-        if not x.children:
-            out = np.zeros(size)
-            out[leaf_codes[x.name]] = 1.0
-            return out
-        return reduce(mul, (p_of(c.name, d) @ below(c, size) for c, d in x.children))
 
-    (child, d) = tree.root.children[0]
-    p = p_of(child.name, d)
-    up = p @ below(child, len(p))
-    return float(np.log(np.mean(up[leaf_codes[tree.root.name]])))
+def nmer_tables(tree: Tree, rates: np.ndarray, eq: np.ndarray) -> dict[int, tuple[dict[str, np.ndarray], np.ndarray]]:
+    """Tables of an n-mer process: the shorter ones sum over the last target base, by frequency of the last source base."""
+    n, p = round(np.log(len(eq)) / np.log(4)), {c.name: exponential(rates, d) for _, c, d in tree.branches()}
+    out = {n: (p, eq)}
+    for k in range(n - 1, 0, -1):
+        p, eq = {name: nmer_lower(x, eq) for name, x in p.items()}, eq.reshape(-1, 4).sum(1)
+        out[k] = p, eq
+    return out
 
 
 def nmer_likelihood(columns: DataFrame, tree: Tree, n: int, rates: np.ndarray, eq: np.ndarray, out: str = "ll") -> DataFrame:
-    """ACO / NMER: ln P of the last of n columns given the n - 1 before: joint of n columns less joint of n - 1.
+    """NMER: ln P of the last of n columns given the n - 1 before under a process on n-mers."""
+    return slice_likelihood(columns, tree, nmer_tables(tree, rates, eq), out)
 
-    columns: one row per distinct pattern of n columns, with a string column per taxon. The kernel sees each distinct
-    pattern once, in Arrow batches.
-    """
-    import pyarrow as pa
 
-    from cladeframe.functions.models import degenerate, exponential, nmer_lower
+# -- choosing an engine -------------------------------------------------------------------------------------------------
 
-    full = {c.name: exponential(rates, d) for _, c, d in tree.branches()}
-    less = {k: nmer_lower(p, eq) for k, p in full.items()} if n > 1 else {}
-    taxa = tree.taxa()
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in columns.schema)
 
-    def run(batches):
-        for batch in batches:
-            texts = {t: batch.column(batch.schema.get_field_index(t)).to_pylist() for t in taxa}
-            ll = []
-            for k in range(batch.num_rows):
-                big = nmer_joint(tree, lambda name, d: full[name], {t: degenerate(texts[t][k]) for t in taxa})
-                small = nmer_joint(tree, lambda name, d: less[name], {t: degenerate(texts[t][k][:-1]) for t in taxa}) if n > 1 else 0.0
-                ll.append(big - small)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ll, pa.float64())], names=[*batch.schema.names, out])
+def evaluate(tracks: DataFrame, tree: Tree, model, context_type: str, names: list[str], out: str = "ll") -> DataFrame:
+    """(block, col, ll) of every column whose target has a base, by the engine that the context type names.
 
-    return columns.mapInArrow(run, f"{fields}, {out} double")
+    A dual model serves HOG alone; all other engines take its parent contexts. HOG needs a dual model, NMER an n-mer model.
+    Contexts are trimmed after their right-most gap, and those of a block's first columns are shorter. names: the taxa in
+    the order of the track numbers, the tree's root first.
+    """
+    kind = named(context_type, CONTEXT_TYPES)
+    if kind in ("AMINO", "CODON"):
+        raise ValueError(f"no engine for {kind}")
+    if (kind == "NMER") != isinstance(model, NmerModel):
+        raise ValueError("NMER and n-mer models go together")
+    if kind == "HOG" and not model.dual:
+        raise ValueError("HOG needs a dual model")
+    if kind not in ("NMER", "HOG"):
+        model = model.ancestral()
+    order = model.n - 1 if kind == "NMER" else model.order
+    target = names[0]
+    base = F.col(target).isin(*BASES)
+    if kind in ("RCO", "TRCO"):
+        sites = with_context(left_sites(tracks, len(names), order, [0]).where(base), target, order, "ctx").withColumn("ctx", trimmed(F.col("ctx"), model))
+        known = tracks.sparkSession.createDataFrame([(c,) for _, c in model.models], "ctx string")
+        return with_likelihood(sites, names, lambda df: context_likelihood(df, tree, model, F.col, kind, "ctx", out), known, out).select("block", "col", out)
+    sites = left_sites(tracks, len(names), order, list(range(len(names))))
+    if kind == "LCO":
+        for n in names:
+            sites = with_context(sites, n, order, f"{n}_ctx").withColumn(f"{n}_ctx", trimmed(F.col(f"{n}_ctx"), model))
+        keys = names + [f"{n}_ctx" for n in names]
+        patterns = sites.where(base).select(*(normal(F.col(k)).alias(k) if k in names else F.col(k) for k in keys)).distinct()
+        ll = leaf_context_likelihood(patterns, tree, model, F.col, lambda n: F.col(f"{n}_ctx"), out)
+    elif kind == "MP":
+        # states of a column depend on that column alone, so the columns to its left are resolved beside it
+        inner = [x.name for x in tree.nodes if x.kind == "INTERNAL"]
+        keys = [c for n in names for c in (n, *(f"{n}_l{k}" for k in range(1, order + 1)))]
+        patterns = df = sites.where(base).select(*(normal(F.col(c)).alias(c) for c in keys)).distinct()
+        for k in range(order, -1, -1):
+            here = (lambda n, k=k: F.col(f"{n}_l{k}")) if k else F.col
+            df = fitch(df, tree, here)
+            df = df.withColumnsRenamed({n: f"{n}_l{k}" if k else n for n in inner}) if k else df
+        left = lambda n: F.regexp_extract(F.concat(F.lit(""), *(F.col(f"{n}_l{k}") for k in range(order, 0, -1))), "([ACGT]*)$", 1)
+        ll = fitch_likelihood(df, tree, model, F.col, left, out).select(*keys, out)
+    else:
+        whole = lambda n: F.concat(*(F.col(f"{n}_l{k}") for k in range(order, 0, -1)), F.col(n))
+        # the slice begins after the target's last gap before the column, and at the block's start
+        width = F.length(F.regexp_extract(whole(target), "([ACGT]*)$", 1))
+        keys = names
+        sites = sites.where(base).withColumn("_n", width).select("block", "col", *(F.right(F.regexp_replace(whole(n), "[^ACGT]", "-"), F.col("_n")).alias(n) for n in names))
+        patterns = sites.select(*names).distinct()
+        tables = nmer_tables(tree, model.rates(), model.eq) if kind == "NMER" else context_tables(tree, model)
+        ll = slice_likelihood(patterns, tree, tables, out)
+        return sites.join(ll, names).select("block", "col", out)
+    given = sites.where(base).select("block", "col", *(normal(F.col(k)).alias(k) if k in names or kind == "MP" else F.col(k) for k in keys))
+    return given.join(ll, keys).select("block", "col", out)
+
+
+def gap_rewriting(tracks: DataFrame, tree: Tree, nucleotides: ContextModel, gaps: ContextModel, names: list[str], out: str = "ll") -> DataFrame:
+    """Composite of a column: RCO under the model of bases plus LCO under the model of gap patterns."""
+    one = evaluate(tracks, tree, nucleotides, "RCO", names, "_rco")
+    return one.join(evaluate(tracks, tree, gaps, "LCO", names, "_lco"), ["block", "col"]).select("block", "col", (F.col("_rco") + F.col("_lco")).alias(out))
+
+
+def less_ancestral(tracks: DataFrame, tree: Tree, model: ContextModel, context_type: str, names: list[str]) -> DataFrame:
+    """One row: the log-likelihood of all columns by an engine less that by ACO."""
+    total = lambda kind: evaluate(tracks, tree, model, kind, names).agg(F.sum("ll").alias(kind))
+    return total(context_type).crossJoin(F.broadcast(total("ACO"))).select((F.col(context_type) - F.col("ACO")).alias("difference"))  # one row each
 
 
 # -- over columns ---------------------------------------------------------------------------------------------------
@@ -190,6 +333,18 @@ def prefix_sums(columns: DataFrame, ll: str = "ll") -> DataFrame:
     return columns.select("block", "col", F.sum(ll).over(w).alias("cum"))
 
 
+def cumulative(columns: DataFrame, ll: str = "ll") -> DataFrame:
+    """(block, col, cum): running sums over all blocks in order. Sums within blocks, then over blocks by stretches of their
+    numbers, so no task sees all columns."""
+    within = prefix_sums(columns, ll)
+    totals = columns.groupBy("block").agg(F.sum(ll).alias("n")).withColumn("stretch", F.floor(F.col("block") / 4096))
+    stretches = totals.groupBy("stretch").agg(F.sum("n").alias("n"))
+    before = stretches.select("stretch", F.coalesce(F.sum("n").over(Window.orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)).alias("before"))  # a row for 4096 blocks
+    earlier = F.coalesce(F.sum("n").over(Window.partitionBy("stretch").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    offsets = totals.withColumn("earlier", earlier).join(before, "stretch").select("block", (F.col("before") + F.col("earlier")).alias("offset"))
+    return within.join(offsets, "block").select("block", "col", (F.col("offset") + F.col("cum")).alias("cum"))
+
+
 def range_sum(sums: DataFrame, ranges: DataFrame) -> DataFrame:
     """ranges (block, begin, end) -> total over [begin, end): difference of two prefix sums, 0 before the start."""
     at = lambda c: sums.select("block", (F.col("col") + 1).alias(c), F.col("cum").alias(f"_{c}"))

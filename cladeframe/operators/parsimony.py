@@ -83,26 +83,36 @@ def single_gain(sites: DataFrame, tree: Tree, symbol_of) -> DataFrame:
 
 
 def majority(sites: DataFrame, tree: Tree, symbol_of) -> DataFrame:
-    """Residue counts bottom-up; a node takes its unique most frequent base, one without takes its parent's (top: `.`)."""
+    """Residue counts bottom-up, gaps among the residues. A node whose counts have a unique highest is resolved and passes
+    on that residue alone; another passes its counts on, and takes the residue of the nearest resolved node above. The node
+    under a root that is a taxon counts the root's residue too and is always resolved, by the root's residue on a tie."""
+    states = [*BASES, "-"]
     before, inner = sites.columns, [x for x in tree.nodes if x.kind == "INTERNAL"]
     df = sites
     for x in tree.nodes:
         c = f"_C{tree.ids[id(x)]}"
         if not x.children:
-            df = df.withColumn(c, F.array(*((symbol_of(x.name) == b).cast("int") for b in BASES)))
+            df = df.withColumn(c, F.array(*((symbol_of(x.name) == b).cast("int") for b in states)))
         elif x.kind == "INTERNAL":
             a, b = (F.col(f"_C{tree.ids[id(k)]}") for k, _ in x.children)
-            df = df.withColumn(c, F.zip_with(a, b, lambda p, q: p + q))
+            up = tree.parent.get(id(x))
+            under = up is not None and up[0].kind == "ROOT"
+            total = F.zip_with(a, b, lambda p, q: p + q)
+            if under:
+                total = F.zip_with(total, F.array(*((symbol_of(up[0].name) == b).cast("int") for b in states)), lambda p, q: p + q)
+            df = df.withColumn("_sum", total).withColumn("_top", F.array_max("_sum"))
+            one = (F.size(F.filter("_sum", lambda v: v == F.col("_top"))) == 1) & (F.col("_top") > 0)
+            best = F.substring(F.lit("".join(states)), F.array_position(F.col("_sum"), F.col("_top")).cast("int"), F.lit(1))
+            df = df.withColumn(f"_R{c}", F.when(one, best).otherwise(symbol_of(up[0].name) if under else F.lit(None).cast("string")))
+            mine = F.array(*((F.col(f"_R{c}") == b).cast("int") for b in states))
+            df = df.withColumn(c, F.when(F.col(f"_R{c}").isNotNull(), mine).otherwise(F.col("_sum")))
     order: list[Node] = []
     tree.visit(order.append, "pre")
     for x in order:
-        if x.kind != "INTERNAL":
-            continue
-        c, up = F.col(f"_C{tree.ids[id(x)]}"), tree.parent.get(id(x))
-        top = F.array_max(c)
-        one = (F.size(F.filter(c, lambda v: v == top)) == 1) & (top > 0)
-        fallback = F.lit(".") if up is None else symbol_of(up[0].name) if up[0].kind == "ROOT" else F.col(f"_M{tree.ids[id(up[0])]}")
-        df = df.withColumn(f"_M{tree.ids[id(x)]}", F.when(one, F.substring(F.lit(BASES), F.array_position(c, top).cast("int"), F.lit(1))).otherwise(fallback))
+        if x.kind == "INTERNAL":
+            up = tree.parent.get(id(x))
+            above = F.lit(".") if up is None or up[0].kind == "ROOT" else F.col(f"_M{tree.ids[id(up[0])]}")
+            df = df.withColumn(f"_M{tree.ids[id(x)]}", F.coalesce(f"_R_C{tree.ids[id(x)]}", above))
     return df.select(*before, *(F.col(f"_M{tree.ids[id(x)]}").alias(x.name) for x in inner))
 
 
@@ -135,3 +145,49 @@ def history_length(ops: list[tuple[str, int]], of: str) -> int:
 def top_off(ops: list[tuple[str, int]], parent_length: int) -> list[tuple[str, int]]:
     short = parent_length - history_length(ops, "parent")
     return append_history(ops, [("s", short)]) if short > 0 else ops
+
+
+# -- gap patterns -------------------------------------------------------------------------------------------------------
+
+
+def sorted_gaps(gaps: Column) -> Column:
+    """An array of (pos, len) by rising position; equal positions keep their order."""
+    numbered = F.transform(gaps, lambda g, i: F.struct(g["pos"].alias("pos"), i.alias("i"), g["len"].alias("len")))
+    return F.transform(F.array_sort(numbered), lambda g: F.struct(g["pos"].alias("pos"), g["len"].alias("len")))
+
+
+def merged_gaps(one: Column, two: Column) -> Column:
+    """Two sorted arrays of gaps as one; of equal positions those of `one` come first."""
+    return sorted_gaps(F.concat(one, two))
+
+
+def raised_gaps(gaps: Column, history: Column) -> Column:
+    """Gaps of a child in the parent's coordinates, with the child's insertions as gaps of the parent.
+
+    history: array of (op, len), op i, d or s. A gap inside a substituted stretch moves with it; one inside an insertion
+    splits the insertion in two, before and after it, all at the insertion's place in the parent. At one place the parts
+    keep the child's order.
+    """
+    number = "array<struct<op:string,len:int,parent:int,child:int>>"
+    start = F.struct(F.lit(0).alias("parent"), F.lit(0).alias("child"), F.expr(f"cast(array() as {number})").alias("out"))
+
+    def placed(acc, h):
+        here = F.struct(h["op"].alias("op"), h["len"].cast("int").alias("len"), acc["parent"].alias("parent"), acc["child"].alias("child"))
+        step = lambda but: F.when(h["op"] == but, 0).otherwise(h["len"].cast("int"))
+        return F.struct((acc["parent"] + step("i")).alias("parent"), (acc["child"] + step("d")).alias("child"), F.concat(acc["out"], F.array(here)).alias("out"))
+
+    stretches = F.filter(F.aggregate(history, start, placed, lambda a: a["out"]), lambda h: h["op"] != "d")
+    # by the child's position, then parts of insertions before the gap that stands there
+    entry = lambda pos, rank, parent, size: F.struct(pos.alias("at"), F.lit(rank).alias("rank"), parent.alias("pos"), size.alias("len"))
+    inside = lambda h, g: (g["pos"] >= h["child"]) & (g["pos"] < h["child"] + h["len"])
+    moved = F.flatten(F.transform(stretches, lambda h: F.transform(F.filter(gaps, lambda g: inside(h, g)), lambda g: entry(g["pos"], 1, F.when(h["op"] == "i", h["parent"]).otherwise(h["parent"] + g["pos"] - h["child"]), g["len"]))))
+    ends = lambda h: F.array_sort(F.array_distinct(F.concat(F.array(h["child"], h["child"] + h["len"]), F.transform(F.filter(gaps, lambda g: inside(h, g)), lambda g: g["pos"]))))
+
+    def parts(h):
+        cuts = ends(h)
+        return F.transform(F.slice(cuts, 1, F.size(cuts) - 1), lambda x, i: entry(x, 0, h["parent"], F.get(cuts, i + 1) - x))
+
+    made = F.flatten(F.transform(F.filter(stretches, lambda h: h["op"] == "i"), parts))
+    # a part that begins where a gap stands follows that gap
+    every = F.transform(F.concat(moved, made), lambda e: F.struct(e["at"].alias("at"), F.when((e["rank"] == 0) & F.exists(moved, lambda g: g["at"] == e["at"]), 2).otherwise(e["rank"]).alias("rank"), e["pos"].alias("pos"), e["len"].alias("len")))
+    return F.transform(F.filter(F.array_sort(every), lambda e: e["len"] > 0), lambda e: F.struct(e["pos"].alias("pos"), e["len"].alias("len")))

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from math import exp, log
+
 from cladeframe.functions.models import Model
 from cladeframe.operators.tree import Node
 from cladeframe.plans.views import TRACKS_SQL
-from cladeframe.queries import ADDITIVE, CONTEXTS, HKY, JC, NAMES, ORDER, PHASES, TREE
+from cladeframe.queries import ADDITIVE, CONTEXTS, DUAL, HKY, JC, NAMES, ORDER, PHASES, TREE
 
 BASES = "ACGT"
 _WITH = f"WITH {TRACKS_SQL}"
@@ -35,8 +37,26 @@ _NJ = _pairs(f"{_RESIDUE.format('x')} AND {_RESIDUE.format('y')}")
 _UPGMA = _pairs(f"x <> '~' AND y <> '~' AND NOT (x = y AND NOT ({_RESIDUE.format('x')}))")
 
 
+def _closed(model: Model, t: float) -> list[list[float]]:
+    """P(t) by closed forms, which nothing of the library takes part in: equal rates; rates by target; two rates."""
+    if model.kind == "JC":
+        (alpha,), pi = model.params, [0.25] * 4
+        return [[pi[j] + ((i == j) - pi[j]) * exp(-4 * alpha * t) for j in range(4)] for i in range(4)]
+    if model.kind == "FEL":
+        (alpha,), pi = model.params, model.eq
+        return [[(i == j) * exp(-alpha * t) + pi[j] * (1 - exp(-alpha * t)) for j in range(4)] for i in range(4)]
+    # two rates after rescaling, ts + 2 tv = 0.999; without frequencies as four times the rate times a quarter
+    ts, tv = (x * 0.999 / (model.params[0] + 2 * model.params[1]) * (4 if model.kind == "KIM" else 1) for x in model.params)
+    pi = [0.25] * 4 if model.kind == "KIM" else model.eq
+    kin = lambda i, j: i % 2 == j % 2
+    pool = [sum(pi[j] for j in range(4) if kin(i, j)) for i in range(4)]
+    slow = exp(-tv * t)
+    fast = lambda j: exp(-(pool[j] * ts + (1 - pool[j]) * tv) * t)
+    return [[pi[j] + pi[j] * (1 / pool[j] - 1) * slow + ((i == j) - pi[j] / pool[j]) * fast(j) if kin(i, j) else pi[j] * (1 - slow) for j in range(4)] for i in range(4)]
+
+
 def _leaf(sym: str, p, a: int) -> str:
-    return f"(CASE {sym} " + " ".join(f"WHEN '{b}' THEN {_num(p[a, j])}" for j, b in enumerate(BASES)) + " ELSE 1e0 END)"
+    return f"(CASE {sym} " + " ".join(f"WHEN '{b}' THEN {_num(p[a][j])}" for j, b in enumerate(BASES)) + " ELSE 1e0 END)"
 
 
 def _below(node: Node, a: int, p_of) -> str:
@@ -44,7 +64,7 @@ def _below(node: Node, a: int, p_of) -> str:
     parts = []
     for c, d in node.children:
         p = p_of(c, d)
-        parts.append(_leaf(c.name, p, a) if not c.children else "(" + " + ".join(f"{_num(p[a, b])} * {_below(c, b, p_of)}" for b in range(4)) + ")")
+        parts.append(_leaf(c.name, p, a) if not c.children else "(" + " + ".join(f"{_num(p[a][b])} * {_below(c, b, p_of)}" for b in range(4)) + ")")
     return "(" + " * ".join(parts) + ")"
 
 
@@ -54,7 +74,7 @@ def _ll(p_of) -> str:
 
 
 def _plain(model: Model):
-    return lambda c, d: model.at(d)
+    return lambda c, d: _closed(model, d)
 
 
 _USABLE = "t0 IN ('A', 'C', 'G', 'T')"
@@ -65,28 +85,97 @@ def _contextual(engine: str) -> str:
     top = TREE.root.children[0][0]
 
     def p_of(model):
-        return _plain(model) if engine == "TRCO" else (lambda c, d: (model if c is top else JC).at(d))
+        return _plain(model) if engine == "TRCO" else (lambda c, d: _closed(model if c is top else JC, d))
 
     cases = " ".join(f"WHEN '{c}' THEN {_ll(p_of(m))}" for (_, c), m in CONTEXTS.models.items())
     ctx = "regexp_extract(coalesce(lag(t0, 1) OVER w, ''), '([ACGT]*)$', 1)"
     return f"{_WITH}, c AS (SELECT *, {ctx} AS ctx FROM wide WINDOW w AS (PARTITION BY block ORDER BY col)) SELECT ctx, count(*) AS n_cols, round(sum(CASE ctx {cases} END), 4) AS ll FROM c WHERE {_USABLE} GROUP BY ctx"
 
 
-def _own_contexts() -> str:
-    """Pruning where the left context of a leaf chooses the model of its branch."""
-    plain = CONTEXTS.lookup("")
+def _own_contexts(out: str = "") -> str:
+    """Pruning where a leaf's left context chooses the model of its branch and the root's that of all other branches."""
+    by = {c: m for (_, c), m in CONTEXTS.models.items()}
 
     def leaf(name: str, a: int, d: float) -> str:
-        cases = " ".join(f"WHEN '{c}' THEN {_leaf(name, m.at(d), a)}" for (_, c), m in CONTEXTS.models.items() if c)
-        return f"(CASE {name}_ctx {cases} ELSE {_leaf(name, plain.at(d), a)} END)"
+        return f"(CASE {name}_ctx " + " ".join(f"WHEN '{c}' THEN {_leaf(name, _closed(m, d), a)}" for c, m in by.items()) + " END)"
 
-    def below(node: Node, a: int) -> str:
-        parts = [leaf(c.name, a, d) if not c.children else "(" + " + ".join(f"{_num(plain.at(d)[a, b])} * {below(c, b)}" for b in range(4)) + ")" for c, d in node.children]
+    def below(node: Node, a: int, root: str) -> str:
+        parts = []
+        for c, d in node.children:
+            p = _closed(by[root], d)
+            parts.append(leaf(c.name, a, d) if not c.children else "(" + " + ".join(f"{_num(p[a][b])} * {below(c, b, root)}" for b in range(4)) + ")")
         return "(" + " * ".join(parts) + ")"
 
-    ll = "CASE t0 " + " ".join(f"WHEN '{b}' THEN ln({below(TREE.root, a)})" for a, b in enumerate(BASES)) + " END"
-    ctx = ", ".join(f"regexp_extract(coalesce(lag({k}, 1) OVER w, ''), '([ACGT]*)$', 1) AS {k}_ctx" for k in NAMES[1:])
-    return f"{_WITH}, c AS (SELECT *, {ctx} FROM wide WINDOW w AS (PARTITION BY block ORDER BY col)) SELECT t1_ctx AS ctx, count(*) AS n_cols, round(sum({ll}), 4) AS ll FROM c WHERE {_USABLE} GROUP BY 1"
+    ll = "CASE t0_ctx || t0 " + " ".join(f"WHEN '{c}{b}' THEN ln({below(TREE.root, a, c)})" for c in by for a, b in enumerate(BASES)) + " END"
+    ctx = ", ".join(f"regexp_extract(coalesce(lag({k}, 1) OVER w, ''), '([ACGT]*)$', 1) AS {k}_ctx" for k in NAMES)
+    rows = f"{_WITH}, c AS (SELECT *, {ctx} FROM wide WINDOW w AS (PARTITION BY block ORDER BY col))"
+    if out:
+        return f"{rows} SELECT block, col, {ll} AS ll FROM c WHERE {_USABLE}"
+    return f"{rows} SELECT t1_ctx AS ctx, count(*) AS n_cols, round(sum({ll}), 4) AS ll FROM c WHERE {_USABLE} GROUP BY 1"
+
+
+def _root_contexts(engine: str) -> str:
+    """(block, col, ll) of the engines that look at the root's context."""
+    top = TREE.root.children[0][0]
+
+    def p_of(model):
+        return lambda c, d: _closed(model if engine == "TRCO" or c is top else JC, d)
+
+    cases = " ".join(f"WHEN '{c}' THEN {_ll(p_of(m))}" for (_, c), m in CONTEXTS.models.items())
+    ctx = "regexp_extract(coalesce(lag(t0, 1) OVER w, ''), '([ACGT]*)$', 1)"
+    return f"{_WITH}, c AS (SELECT *, {ctx} AS ctx FROM wide WINDOW w AS (PARTITION BY block ORDER BY col)) SELECT block, col, CASE ctx {cases} END AS ll FROM c WHERE {_USABLE}"
+
+
+def _slices(by) -> str:
+    """(block, col, ll): pruning over pairs of columns as tables, less pruning of the left column alone.
+
+    by(x, y): the model of the second place after the parent's x and the child's y; by(): that of the first place."""
+    first = {d: _closed(by(), d) for _, _, d in TREE.branches()}
+    rows = []
+    for _, c, d in TREE.branches():
+        for a1, b1, a2, b2 in ((a1, b1, a2, b2) for a1 in range(4) for b1 in range(4) for a2 in range(4) for b2 in range(4)):
+            p = first[d][a1][b1] * _closed(by(BASES[a1], BASES[b1]), d)[a2][b2]
+            rows.append(f"('{c.name}', '{BASES[a1]}{BASES[a2]}', '{BASES[b1]}{BASES[b2]}', {_num(p)})")
+    tables = []
+
+    def part(c: Node) -> str:
+        """(pattern, a, v): what lies below c by the state of its parent."""
+        if c.children:
+            below(c)
+            return f"SELECT l.id, p.a, sum(p.p * l.v) AS v FROM l_{c.name} l JOIN pt p ON p.child = '{c.name}' AND p.b = l.s GROUP BY l.id, p.a"
+        match = " AND ".join(f"(substr(q.s_{c.name}, {k}, 1) = substr(p.b, {k}, 1) OR strpos('{BASES}', substr(q.s_{c.name}, {k}, 1)) = 0)" for k in (1, 2))
+        return f"SELECT q.id, p.a, sum(p.p) AS v FROM pats q JOIN pt p ON p.child = '{c.name}' AND {match} GROUP BY q.id, p.a"
+
+    def below(x: Node) -> None:
+        (one, _), (two, _) = x.children
+        tables.append(f"l_{x.name} AS (SELECT o.id, o.a AS s, o.v * w.v AS v FROM ({part(one)}) o JOIN ({part(two)}) w ON o.id = w.id AND o.a = w.a)")
+
+    top = part(TREE.root.children[0][0])
+    pairs = ", ".join(f"lag({t}, 1) OVER w AS b_{t}" for t in NAMES)
+    joined = ", ".join(f"b_{t} || {t} AS s_{t}" for t in NAMES)
+    small = _ll(lambda c, d: first[d])
+    for t in NAMES:
+        small = small.replace(f"CASE {t} ", f"CASE b_{t} ")
+    return f"""{_WITH}, pt(child, a, b, p) AS (VALUES {", ".join(rows)}),
+      c AS (SELECT block, col, {", ".join(NAMES)}, {pairs} FROM wide WINDOW w AS (PARTITION BY block ORDER BY col)),
+      pats AS (SELECT row_number() OVER () AS id, * FROM (SELECT DISTINCT {joined} FROM c WHERE {_USABLE} AND b_t0 IN ('A', 'C', 'G', 'T'))),
+      {", ".join(tables)}, big AS (SELECT q.*, ln(x.v) AS ll FROM pats q JOIN ({top}) x ON x.id = q.id AND x.a = q.s_t0)
+      SELECT c.block, c.col, CASE WHEN b_t0 IN ('A', 'C', 'G', 'T') THEN big.ll - {small} ELSE {_ll(lambda c, d: first[d])} END AS ll
+      FROM c LEFT JOIN big ON {" AND ".join(f"big.s_{t} = c.b_{t} || c.{t}" for t in NAMES)} WHERE c.{_USABLE}"""
+
+
+def _framed(rows: str, digits: int = 4) -> str:
+    return f"SELECT CAST(col % 3 AS INTEGER) AS frame, count(*) AS n_cols, round(sum(ll), {digits}) AS ll FROM ({rows}) GROUP BY 1"
+
+
+def _parent_contexts() -> str:
+    """Fitch states of every column, then each branch by the base that its parent has in the column before."""
+    by = {c: m for (_, c), m in CONTEXTS.models.items()}
+    parents = dict.fromkeys(x.name for x, _, _ in TREE.branches())
+    ctx = ", ".join(f"""coalesce(CASE WHEN lag("{n}", 1) OVER w IN ('A', 'C', 'G', 'T') THEN lag("{n}", 1) OVER w END, '') AS "{n}_ctx\"""" for n in parents)
+    total = " + ".join(f"""(CASE "{x.name}_ctx" """ + " ".join(f"WHEN '{k}' THEN {_logp(chr(34) + x.name + chr(34), chr(34) + c.name + chr(34), d, m)}" for k, m in by.items()) + " END)" for x, c, d in TREE.branches())
+    states = _FITCH.replace(f" FROM wide WHERE {_USABLE}", " FROM wide")
+    return f"{_WITH}, {states}, k AS (SELECT *, {ctx} FROM named WINDOW w AS (PARTITION BY block ORDER BY col)) SELECT block, col, {total} AS ll FROM k WHERE {_USABLE}"
 
 
 def _phases() -> str:
@@ -95,16 +184,15 @@ def _phases() -> str:
     return f"{_WITH}, f AS (SELECT col % 3 AS frame, {by_frame} FROM wide WHERE {_USABLE} GROUP BY 1), p AS (SELECT phase, {total} AS total FROM (VALUES (0), (1), (2)) x(phase)) SELECT CAST(phase AS INTEGER) AS phase, round(total, 4) AS total FROM p ORDER BY total DESC, phase LIMIT 1"
 
 
-def _mode(counts: str, otherwise: str) -> str:
-    """The base of the unique highest of four counts."""
-    top = f"list_max({counts})"
-    return f"CASE WHEN {top} > 0 AND len(list_filter({counts}, lambda v: v = {top})) = 1 THEN substr('{BASES}', CAST(list_position({counts}, {top}) AS INTEGER), 1) ELSE {otherwise} END"
-
-
 def _majority() -> str:
-    counts = lambda names: "[" + ", ".join(" + ".join(f"(CASE WHEN {t} = '{b}' THEN 1 ELSE 0 END)" for t in names) for b in BASES) + "]"
-    return f"""{_WITH}, c AS (SELECT t0, {counts(NAMES[1:])} AS c1, {counts(NAMES[1:3])} AS c2 FROM wide WHERE {_USABLE}),
-      x AS (SELECT c2, {_mode('c1', 't0')} AS "A1" FROM c), y AS (SELECT "A1", {_mode('c2', '"A1"')} AS "A2" FROM x) SELECT "A1", "A2", count(*) AS n FROM y GROUP BY ALL"""
+    """A2 over t1 and t2; A1, under the root, over A2 or its counts, t3 and t0, else t0; A2 without a mode takes A1."""
+    states = BASES + "-"
+    one = lambda t: "[" + ", ".join(f"(CASE WHEN {t} = '{b}' THEN 1 ELSE 0 END)" for b in states) + "]"
+    add = lambda *x: f"list_transform(range(1, {len(states) + 1}), lambda i: " + " + ".join(f"{v}[i]" for v in x) + ")"
+    mode = lambda c, other: f"CASE WHEN list_max({c}) > 0 AND len(list_filter({c}, lambda v: v = list_max({c}))) = 1 THEN substr('{states}', CAST(list_position({c}, list_max({c})) AS INTEGER), 1) ELSE {other} END"
+    return f"""{_WITH}, k AS (SELECT t0, {", ".join(f"{one(t)} AS k{t}" for t in NAMES)} FROM wide WHERE {_USABLE}), c AS (SELECT *, {add("kt1", "kt2")} AS c2 FROM k),
+      r AS (SELECT *, {mode("c2", "NULL")} AS r2 FROM c), u AS (SELECT *, CASE WHEN r2 IS NULL THEN c2 ELSE {one("r2")} END AS p2 FROM r), d AS (SELECT *, {add("p2", "kt3", "kt0")} AS c1 FROM u),
+      x AS (SELECT r2, {mode("c1", "t0")} AS "A1" FROM d) SELECT "A1", coalesce(r2, "A1") AS "A2", count(*) AS n FROM x GROUP BY ALL"""
 
 
 def _leaf_pairs(names: str) -> str:
@@ -129,11 +217,9 @@ d2 AS (SELECT *, {_DOWN.format(s='s2', fa='f1', q='b1', p='b2')} AS f2 FROM d1),
 named AS (SELECT *, {_low('f1')} AS "A1", {_low('f2')} AS "A2" FROM d2)"""
 
 
-def _logp(a: str, b: str, d: float) -> str:
-    from math import log
-
-    p = JC.at(d)
-    return f"(CASE {a} || {b} " + " ".join(f"WHEN '{x}{y}' THEN {_num(log(p[i, j]))}" for i, x in enumerate(BASES) for j, y in enumerate(BASES)) + " ELSE 0e0 END)"
+def _logp(a: str, b: str, d: float, model: Model = JC) -> str:
+    p = _closed(model, d)
+    return f"(CASE {a} || {b} " + " ".join(f"WHEN '{x}{y}' THEN {_num(log(p[i][j]))}" for i, x in enumerate(BASES) for j, y in enumerate(BASES)) + " ELSE 0e0 END)"
 
 
 _MP = " + ".join(_logp(f'"{x.name}"', f'"{c.name}"', d) for x, c, d in TREE.branches())
@@ -152,9 +238,36 @@ def _transitions() -> str:
     SELECT 'JC' AS model, t, a, b, round(0.25e0 + (same - 0.25e0) * exp(-t), 9) AS p FROM g
     UNION ALL SELECT 'FEL', t, a, b, round(same * exp(-0.5e0 * t) + pi * (1 - exp(-0.5e0 * t)), 9) FROM g
     UNION ALL SELECT 'KIM', t, a, b, round(0.25e0 + 0.25e0 * (2 * kin - 1) * exp(-4 * {tv} * t) + CASE WHEN same = 1 THEN 0.5e0 WHEN kin = 1 THEN -0.5e0 ELSE 0 END * exp(-2 * ({ts} + {tv}) * t), 9) FROM g
-    UNION ALL SELECT 'HKY', t, a, b, round(CASE WHEN kin = 1 THEN pi + pi * (1 / pool - 1) * exp(-{tv} * t) + (same - pi / pool) * exp(-(pool * {ts} + (1 - pool) * {tv}) * t) ELSE pi * (1 - exp(-{tv} * t)) END, 9) FROM g"""
+    UNION ALL SELECT 'GAP', t, 'N', b, round(CASE b WHEN 'N' THEN exp(-0.3e0 * t) WHEN '-' THEN (1 - exp(-0.3e0 * t)) * 2 / 3 ELSE (1 - exp(-0.3e0 * t)) / 3 END, 9) FROM ts, (VALUES ('N'), ('-'), ('.')) v(b)
+    UNION ALL SELECT 'HB', t, a, b, round(0.25e0 + 0.25e0 * (2 * kin - 1) * exp(-4 * {tv} * t) + CASE WHEN same = 1 THEN 0.5e0 WHEN kin = 1 THEN -0.5e0 ELSE 0 END * exp(-2 * ({ts} + {tv}) * t), 9) FROM g
+    UNION ALL SELECT m, t, a, b, round(CASE WHEN kin = 1 THEN pi + pi * (1 / pool - 1) * exp(-{tv} * t) + (same - pi / pool) * exp(-(pool * {ts} + (1 - pool) * {tv}) * t) ELSE pi * (1 - exp(-{tv} * t)) END, 9) FROM g, (VALUES ('HKY'), ('REV')) v(m)"""
+
+
+def _dual(x: str = "", y: str = "") -> Model:
+    return DUAL.models[0, f"{x}|{y}"]
+
+
+def _ancestral(x: str = "", y: str = "") -> Model:
+    """The odd orders of the dual model: parent contexts alone."""
+    return DUAL.models[0, f"{x}|"]
+
+
+def _orders() -> str:
+    """First parameters of JC matrices 0.1 + code / 100: copies of the suffix's, means over the first base, and what is left."""
+    alpha = {c: 0.1 + sum(BASES.index(x) * 4**k for k, x in enumerate(reversed(c))) / 100 for n in range(3) for c in _strings(n)}
+    rows = [("lower", c, alpha[c]) for c in alpha if len(c) < 2] + [("raised", c, alpha[c[-2:]]) for n in range(4) for c in _strings(n)]
+    mean = {c: alpha[c] for c in _strings(2)} | {c: sum(alpha[x + c] for x in BASES) / 4 for c in _strings(1)}
+    mean[""] = sum(mean[c] for c in _strings(1)) / 4
+    rows += [("averaged", c, v) for c, v in mean.items()]
+    return "SELECT kind, ctx, round(alpha, 9) AS alpha FROM (VALUES " + ", ".join(f"('{k}', '{c}', {_num(v)})" for k, c, v in rows) + ") v(kind, ctx, alpha)"
+
+
+def _strings(n: int) -> list[str]:
+    return [""] if n == 0 else [x + c for x in BASES for c in _strings(n - 1)]
 
 
+_STARTS = "SELECT block, sum(len) OVER (ORDER BY block) - len AS start FROM (SELECT block, max(length(seq)) AS len FROM tracks GROUP BY block) WHERE len > 0"
+_RUNS = "{0} AS (SELECT block, min(col) AS pos FROM (SELECT block, col, op, row_number() OVER (PARTITION BY block ORDER BY col) - row_number() OVER (PARTITION BY block, op ORDER BY col) AS g FROM (SELECT block, col, CASE WHEN t0 IN ('A','C','G','T') AND {1} IN ('A','C','G','T') THEN 'S' WHEN {1} IN ('A','C','G','T') THEN 'I' WHEN t0 IN ('A','C','G','T') THEN 'D' END AS op FROM wide) WHERE op IS NOT NULL) WHERE op = 'D' GROUP BY block, g)"
 _CLEAR = "floor(CAST({0} AS DOUBLE) / {1} * 100 + 5e0 / 9)"
 
 ORACLES = {
@@ -217,6 +330,19 @@ ORACLES = {
     "majority_states": _majority(),
     "nmer_likelihood": f"""{_WITH}, c AS (SELECT *, lag(t0, 1) OVER (PARTITION BY block ORDER BY col) AS before FROM wide)
       SELECT before || t0 AS pair, count(*) AS n_cols, round(sum({_ll(_plain(JC))}), 4) AS ll FROM c WHERE {_USABLE} AND before IN ('A', 'C', 'G', 'T') GROUP BY 1""",
+    "aco_likelihood": _framed(_slices(_ancestral)),
+    "hog_likelihood": _framed(_slices(_dual)),
+    "mp_likelihood": _framed(_parent_contexts()),
+    "gap_rewriting": _framed(f"SELECT x.col, x.ll + y.ll AS ll FROM ({_root_contexts('RCO')}) x JOIN ({_own_contexts('columns')}) y ON x.block = y.block AND x.col = y.col"),
+    "aco_difference": f"SELECT round((SELECT sum(ll) FROM ({_root_contexts('TRCO')})) - (SELECT sum(ll) FROM ({_slices(lambda x='', y='': CONTEXTS.models[0, x])})), 3) AS difference",
+    "context_orders": _orders(),
+    "combined_columns": f"{_WITH}, b AS ({_STARTS}), w AS (SELECT start + col AS col, t0, t1, t2, t3 FROM wide JOIN b ON b.block = wide.block), x AS ({' UNION ALL '.join(f'SELECT {k} AS track, col, t{k} AS sym FROM w' for k in range(4))}) SELECT CAST(track AS INTEGER) AS track, CAST(col // 1000 AS BIGINT) AS part, replace(sym, '~', '-') AS sym, count(*) AS n, CAST(sum(col) AS BIGINT) AS cols FROM x GROUP BY ALL",
+    "attached_tracks": f"""{_WITH}, nodes(name, kind) AS (VALUES {", ".join(f"('{x.name}', '{x.kind}')" for x in TREE.nodes)}), n AS (SELECT block, CASE WHEN track = 1 THEN 'x' ELSE 't' || track END AS name, seq FROM tracks WHERE track < 3),
+      size AS (SELECT block, max(length(seq)) AS len FROM n GROUP BY block), f AS (SELECT coalesce(w.block, n.block) AS block, coalesce(w.name, n.name) AS name, kind, CASE WHEN seq IS NULL AND kind <> 'INTERNAL' THEN repeat('-', len) ELSE seq END AS seq
+      FROM (SELECT block, len, name, kind FROM size, nodes) w FULL JOIN n ON n.block = w.block AND n.name = w.name) SELECT block, name, kind, CAST(length(seq) AS BIGINT) AS n, md5(seq) AS seq_md5 FROM f""",
+    "numbered_tracks": f"{_WITH}, f AS (SELECT 'n' || ((track + block) % 7) AS name, min(block * 4 + 3 - track) AS first FROM tracks GROUP BY 1) SELECT name, CAST(row_number() OVER (ORDER BY first, name) - 1 AS INTEGER) AS track FROM f",
+    "cumulative_likelihood": f"{_WITH}, t AS (SELECT block, sum({_ll(_plain(JC))}) AS s FROM wide GROUP BY block) SELECT block, round(sum(s) OVER (ORDER BY block), 4) AS cum FROM t",
+    "gap_patterns": f"{_WITH}, {_RUNS.format('one', 't1')}, {_RUNS.format('two', 't2')}, g AS (SELECT * FROM one UNION ALL SELECT * FROM two) SELECT block, md5(string_agg(CAST(pos AS VARCHAR), ',' ORDER BY pos)) AS positions_md5, count(*) AS n FROM g WHERE block IN (SELECT block FROM one) AND block IN (SELECT block FROM two) GROUP BY block",
     "context_priors": f"""{_WITH}, m AS (SELECT sym || lead(sym, 1) OVER w || lead(sym, 2) OVER w AS nmer FROM sites WINDOW w AS (PARTITION BY block, track ORDER BY col)),
       c AS (SELECT regexp_extract(nmer, '([ACGT]*)$', 1) AS ctx, count(*) AS n FROM m WHERE nmer IS NOT NULL GROUP BY 1)
       SELECT ctx, n, round(pow(0.3e0, length(regexp_replace(ctx, '[CG]', '', 'g'))) * pow(0.2e0, length(regexp_replace(ctx, '[AT]', '', 'g'))), 9) AS prior FROM c""",

@@ -7,7 +7,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from cladeframe.functions import residues
-from cladeframe.functions.models import ContextModel, Model, gamma_table, nmer_rates
+from cladeframe.functions.models import ContextModel, Model, NmerModel, context_from_text, context_to_text, from_text, nmer_rates, to_text
 from cladeframe.operators import alignment as al
 from cladeframe.operators import distance, likelihood, parsimony, training
 from cladeframe.operators import tree as tr
@@ -25,6 +25,13 @@ ADDITIVE = Tree(Node("root", [(Node("A3", [(Node("A2", [(Node("A1", [(Node("a"),
 JC = Model("JC", (0.25,))
 HKY = Model("HKY", (0.4, 0.2), (0.3, 0.2, 0.2, 0.3))
 CONTEXTS = ContextModel(1, {(0, ""): JC, (0, "A"): Model("JC", (0.3,)), (0, "C"): Model("FEL", (0.5,), (0.3, 0.2, 0.2, 0.3)), (0, "G"): HKY, (0, "T"): Model("KIM", (0.4, 0.2))})
+#: Parent contexts (odd order 1) and parent and child contexts (order 2), of four kinds of matrix.
+DUAL = ContextModel(
+    1,
+    {(0, "|"): JC} | {(0, f"{c}|"): CONTEXTS.models[0, c] for c in "ACGT"}
+    | {(0, f"{a}|{b}"): Model("JC", (0.15 + 0.05 * i,)) if a == b else Model("KIM", (0.3 + 0.1 * i, 0.2 + 0.05 * j)) for i, a in enumerate("ACGT") for j, b in enumerate("ACGT")},
+    dual=True,
+)
 ORDER = 2
 #: Models of the three codon positions.
 PHASES = (JC, HKY, Model("FEL", (0.2,), (0.3, 0.2, 0.2, 0.3)))
@@ -137,53 +144,77 @@ def nmer_counts(spark, sf_dir):
 
 
 def target_contexts(spark, sf_dir):
-    return al.with_context(_sites(spark, sf_dir), "t0", ORDER).groupBy("ctx").agg(F.count("*").alias("n"))
+    sites = al.left_sites(tracks(spark, sf_dir), TRACKS, ORDER, [0])
+    return al.with_context(sites, "t0", ORDER).groupBy("ctx").agg(F.count("*").alias("n"))
 
 
-def _weighted(spark, sf_dir, model, by):
-    sites = _usable(spark, sf_dir)
-    counts = al.patterns(sites, NAMES, by)
-    ll = likelihood.pattern_likelihood(counts.select(*NAMES).distinct(), TREE, model, F.col)
-    return counts.join(ll, NAMES)
+def _scored(sites, model, out="ll"):
+    """The sites with their log-likelihood under a plain model."""
+    return likelihood.with_likelihood(sites, NAMES, lambda df: likelihood.pattern_likelihood(df, TREE, model, F.col, out), out=out)
+
+
+def _summed(df, *by, digits=4):
+    return df.groupBy(*by).agg(F.count("*").alias("n_cols"), F.round(F.sum("ll"), digits).alias("ll"))
 
 
 def block_likelihood(spark, sf_dir):
-    df = _weighted(spark, sf_dir, JC, ["block"])
-    return df.groupBy("block").agg(F.sum("n").cast("long").alias("n_cols"), F.round(F.sum(F.col("n") * F.col("ll")), 6).alias("ll"))
+    return _summed(_scored(_usable(spark, sf_dir), JC), "block", digits=6)
 
 
 def frame_likelihood(spark, sf_dir):
-    sites = _usable(spark, sf_dir).withColumn("frame", (F.col("col") % 3).cast("int"))
-    counts = al.patterns(sites, NAMES, ["frame"])
-    df = likelihood.pattern_likelihood(counts, TREE, HKY, F.col)
-    return df.groupBy("frame").agg(F.sum("n").cast("long").alias("n_cols"), F.round(F.sum(F.col("n") * F.col("ll")), 4).alias("ll"))
+    return _summed(_scored(_usable(spark, sf_dir), HKY), (F.col("col") % 3).cast("int").alias("frame"))
 
 
 def best_frame(spark, sf_dir):
-    sites = _usable(spark, sf_dir).withColumn("col", (F.col("col") % 3).cast("int"))
-    df = likelihood.pattern_likelihood(al.patterns(sites, NAMES, ["col"]), TREE, HKY, F.col)
-    return likelihood.best_frame(df, "ll", "n").select("frame", F.round("total", 4).alias("total"))
+    return likelihood.best_frame(_scored(_usable(spark, sf_dir), HKY)).select("frame", F.round("total", 4).alias("total"))
 
 
-def _contextual(spark, sf_dir, engine):
-    sites = al.with_context(_sites(spark, sf_dir), "t0", CONTEXTS.order).where(F.col("t0").isin(*"ACGT"))
-    counts = al.patterns(sites, NAMES, ["ctx"])
-    df = likelihood.context_likelihood(counts, TREE, CONTEXTS, F.col, engine)
-    return df.groupBy("ctx").agg(F.sum("n").cast("long").alias("n_cols"), F.round(F.sum(F.col("n") * F.col("ll")), 4).alias("ll"))
+def _by_context(spark, sf_dir, engine):
+    sites = al.with_context(al.left_sites(tracks(spark, sf_dir), TRACKS, CONTEXTS.order, [0]), "t0", CONTEXTS.order).where(F.col("t0").isin(*"ACGT"))
+    known = spark.createDataFrame([(c,) for _, c in CONTEXTS.models], "ctx string")
+    return _summed(likelihood.with_likelihood(sites, NAMES, lambda df: likelihood.context_likelihood(df, TREE, CONTEXTS, F.col, engine), known), "ctx")
 
 
 def rco_likelihood(spark, sf_dir):
-    return _contextual(spark, sf_dir, "RCO")
+    return _by_context(spark, sf_dir, "RCO")
 
 
 def trco_likelihood(spark, sf_dir):
-    return _contextual(spark, sf_dir, "TRCO")
+    return _by_context(spark, sf_dir, "TRCO")
+
+
+def _by_frame(spark, sf_dir, engine, model):
+    return _summed(likelihood.evaluate(tracks(spark, sf_dir), TREE, model, engine, NAMES), (F.col("col") % 3).cast("int").alias("frame"))
+
+
+def aco_likelihood(spark, sf_dir):
+    """Parent contexts of order 1 on every branch, of the dual model's parent contexts."""
+    return _by_frame(spark, sf_dir, "ACO", DUAL)
+
+
+def hog_likelihood(spark, sf_dir):
+    """Parent and child contexts of order 1 on every branch."""
+    return _by_frame(spark, sf_dir, "HOG", DUAL)
+
+
+def mp_likelihood(spark, sf_dir):
+    """Ancestors by parsimony, each branch by its parent's own left context."""
+    return _by_frame(spark, sf_dir, "MP", CONTEXTS)
+
+
+def gap_rewriting(spark, sf_dir):
+    """The composite of a root-context and a leaf-context model."""
+    return _summed(likelihood.gap_rewriting(tracks(spark, sf_dir), TREE, CONTEXTS, CONTEXTS, NAMES), (F.col("col") % 3).cast("int").alias("frame"))
+
+
+def aco_difference(spark, sf_dir):
+    """Log-likelihood of TRCO less that of ACO, over all columns."""
+    return likelihood.less_ancestral(tracks(spark, sf_dir), TREE, CONTEXTS, "TRCO", NAMES).select(F.round("difference", 3).alias("difference"))
 
 
 def prefix_sums(spark, sf_dir):
     """Prefix sums of column log-likelihoods, read at each block's quarter points."""
-    ll = likelihood.pattern_likelihood(al.patterns(_usable(spark, sf_dir), NAMES).select(*NAMES), TREE, JC, F.col)
-    sums = likelihood.prefix_sums(_usable(spark, sf_dir).join(ll, NAMES).select("block", "col", "ll"))
+    sums = likelihood.prefix_sums(_scored(_usable(spark, sf_dir), JC).select("block", "col", "ll"))
     return sums.groupBy("block", F.floor(F.col("col") / 500).cast("long").alias("part")).agg(F.round(F.max_by("cum", "col"), 6).alias("cum"))
 
 
@@ -238,12 +269,25 @@ def tree_leaf_counts(spark, sf_dir):
 
 
 def transition_table(spark, sf_dir):
-    """P(t) of four closed-form models."""
-    models = {"JC": JC, "FEL": Model("FEL", (0.5,), (0.3, 0.2, 0.2, 0.3)), "KIM": Model("KIM", (0.4, 0.2)), "HKY": HKY}
-    rows = [(k, t, a, b, round(float(p[i, j]), 9)) for k, m in models.items() for t in (0.1, 0.3, 1.0, 2.5) for p in [m.at(t)] for i, a in enumerate("ACGT") for j, b in enumerate("ACGT")]
+    """P(t) of models that went through their files; the reversible one equals HKY, Halpern-Bruno with even frequencies its base."""
+    ts, tv = 0.4995, 0.24975
+    rev = Model("REV", (ts, tv, tv, tv, ts, tv), HKY.eq)
+    models = {"JC": JC, "FEL": Model("FEL", (0.5,), HKY.eq), "KIM": Model("KIM", (0.4, 0.2)), "HKY": HKY, "REV": rev, "HB": Model("HB", (), JC.eq, Model("KIM", (0.4, 0.2)))}
+    times = [float(t) for t in (0.1, 0.3, 1.0, 2.5)]
+    rows = [(k, t, a, b, round(float(p[i, j]), 9)) for k, m in models.items() for t in times for p in [from_text(to_text(m)).at(t)] for i, a in enumerate("ACGT") for j, b in enumerate("ACGT")]
+    gap = Model("GAP", (0.2, 0.1))
+    rows += [("GAP", t, "N", b, round(float(gap.at(t)[0, j]), 9)) for t in times for j, b in enumerate("N-.")]
     return spark.createDataFrame(rows, "model string, t double, a string, b string, p double")
 
 
+def context_orders(spark, sf_dir):
+    """Context models of lower and higher order, through their file: the first parameter of each context's matrix."""
+    held = context_from_text(context_to_text(ContextModel.build(2, lambda f, c: Model("JC", (0.1 + sum("ACGT".index(x) * 4**k for k, x in enumerate(reversed(c))) / 100,)))))
+    kinds = {"raised": held.raised(), "averaged": held.averaged(), "lower": held.lower()}
+    rows = [(k, c, round(m.params[0], 9)) for k, model in kinds.items() for (_, c), m in model.models.items()]
+    return spark.createDataFrame(rows, "kind string, ctx string, alpha double")
+
+
 def maf_round_trip(spark, sf_dir):
     """Tracks written as MAF and read again."""
     folder = new_folder(spark, "maf")
@@ -268,8 +312,7 @@ def renamed_target(spark, sf_dir):
 def range_sums(spark, sf_dir):
     """Log-likelihood of the columns [begin, end) of each block: from the start, and from the tenth column."""
     sites = _sites(spark, sf_dir)
-    ll = likelihood.pattern_likelihood(al.patterns(sites, NAMES).select(*NAMES), TREE, JC, F.col)
-    sums = likelihood.prefix_sums(sites.join(ll, NAMES).select("block", "col", "ll"))
+    sums = likelihood.prefix_sums(_scored(sites, JC).select("block", "col", "ll"))
     length = sites.groupBy("block").agg(F.max("col").alias("last"))
     ranges = length.select("block", F.explode(F.array(F.lit(0), F.lit(10))).alias("begin"), F.least(F.lit(200), F.col("last") + 1).alias("end")).where("begin < end")
     return likelihood.range_sum(sums, ranges).select("block", "begin", "end", F.round("total", 6).alias("total"))
@@ -286,12 +329,11 @@ def phase_prediction(spark, sf_dir):
 
 
 def lco_likelihood(spark, sf_dir):
-    """Each leaf's own left context on its branch, by the leaf t1's context."""
-    sites = _sites(spark, sf_dir)
-    for name in NAMES[1:]:
+    """Each leaf's own left context on its branch, the root's on the others, by the leaf t1's context."""
+    sites = al.left_sites(tracks(spark, sf_dir), TRACKS, CONTEXTS.order, list(range(TRACKS)))
+    for name in NAMES:
         sites = al.with_context(sites, name, CONTEXTS.order, f"{name}_ctx")
-    contexts = [f"{name}_ctx" for name in NAMES[1:]]
-    counts = al.patterns(sites.where(F.col("t0").isin(*"ACGT")), NAMES, contexts)
+    counts = al.patterns(sites.where(F.col("t0").isin(*"ACGT")), NAMES, [f"{name}_ctx" for name in NAMES])
     df = likelihood.leaf_context_likelihood(counts, TREE, CONTEXTS, F.col, lambda name: F.col(f"{name}_ctx"))
     return df.groupBy(F.col("t1_ctx").alias("ctx")).agg(F.sum("n").cast("long").alias("n_cols"), F.round(F.sum(F.col("n") * F.col("ll")), 4).alias("ll"))
 
@@ -324,7 +366,40 @@ def probability_maps(spark, sf_dir):
 
 
 def gamma_density(spark, sf_dir):
-    return spark.createDataFrame([(round(x, 2), round(p, 9)) for x, p in gamma_table(2.0, 0.5)], "x double, p double")
+    return residues.gamma_density(spark, 2.0, 0.5).select("x", F.round("p", 9).alias("p"))
+
+
+def combined_columns(spark, sf_dir):
+    """All blocks as one alignment: symbols by track and by thousands of its columns."""
+    df = al.combined(tracks(spark, sf_dir), TRACKS)
+    return df.groupBy("track", F.floor(F.col("col") / 1000).cast("long").alias("part"), "sym").agg(F.count("*").alias("n"), F.sum("col").alias("cols"))
+
+
+def attached_tracks(spark, sf_dir):
+    """The tree's nodes with their tracks in every block; t3 is left out of the tracks and `x` of the tree."""
+    named = tracks(spark, sf_dir).where("track < 3").select("block", F.when(F.col("track") == 1, "x").otherwise(F.format_string("t%d", "track")).alias("name"), "seq")
+    df = al.attach(TREE.table(spark), named)
+    return df.select("block", "name", "kind", F.length("seq").cast("long").alias("n"), F.md5(F.col("seq").cast("binary")).alias("seq_md5"))
+
+
+def numbered_tracks(spark, sf_dir):
+    """Names by the order in which blocks first show them, the last track of a block first."""
+    named = tracks(spark, sf_dir).select("block", (3 - F.col("track")).alias("ix"), F.format_string("n%d", (F.col("track") + F.col("block")) % 7).alias("name"))
+    return al.track_numbers(named)
+
+
+def cumulative_likelihood(spark, sf_dir):
+    """Prefix sums over the whole alignment, at the end of every block."""
+    df = likelihood.cumulative(_scored(_sites(spark, sf_dir), JC).select("block", "col", "ll"))
+    return df.groupBy("block").agg(F.round(F.max_by("cum", "col"), 4).alias("cum"))
+
+
+def gap_patterns(spark, sf_dir):
+    """Gaps of t1 against t0 and of t2 against t1: merged by position, counted per block."""
+    runs = lambda a, b: parsimony.indel_runs(_sites(spark, sf_dir), a, b).where("op = 'D'").groupBy("block").agg(F.collect_list(F.struct(F.col("start").alias("pos"), F.col("len").cast("int").alias("len"))).alias("g"))
+    both = runs("t0", "t1").withColumnRenamed("g", "one").join(runs("t0", "t2").withColumnRenamed("g", "two"), "block")
+    text = F.array_join(F.transform(parsimony.merged_gaps(F.col("one"), F.col("two")), lambda g: F.concat_ws(":", g["pos"].cast("string"))), ",")
+    return both.select("block", F.md5(text.cast("binary")).alias("positions_md5"), (F.size("one") + F.size("two")).cast("long").alias("n"))
 
 
 def rerooted_distances(spark, sf_dir):
@@ -355,6 +430,7 @@ QUERIES = {
         first_blocks, sample_blocks, concatenation, nj_distances, upgma_distances, closest_pair, nj_tree, upgma_tree, identity_windows, nmer_counts, target_contexts,
         frame_likelihood, best_frame, rco_likelihood, trco_likelihood, prefix_sums, fitch_states, single_gain_states, majority_states, fitch_likelihood, indel_runs,
         fasta, tree_leaf_distances, tree_clades, tree_graph, tree_leaf_counts, transition_table, maf_round_trip, track_accuracy, renamed_target, range_sums,
-        phase_prediction, lco_likelihood, nmer_likelihood, context_priors, probability_maps, gamma_density, rerooted_distances, pruned_distances, stream_composition, trained_tree,
+        phase_prediction, lco_likelihood, nmer_likelihood, aco_likelihood, hog_likelihood, mp_likelihood, gap_rewriting, aco_difference, context_orders,
+        combined_columns, attached_tracks, numbered_tracks, cumulative_likelihood, gap_patterns, context_priors, probability_maps, gamma_density, rerooted_distances, pruned_distances, stream_composition, trained_tree,
     )
 }

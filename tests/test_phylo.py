@@ -114,13 +114,174 @@ def test_likelihood_against_enumeration(spark):
         assert r.ll == pytest.approx(math.log(total), abs=1e-9)
 
 
-def test_contexts_of_one_model_are_no_contexts(sites):
+TRACKS = "block long, track int, seq string, phase int"
+
+
+def test_contexts_of_one_model_are_no_contexts(spark, sites):
+    """Every engine gives plain pruning where all contexts have one model, HOG and ACO included."""
+    plain = {(r.block, r.col): r.ll for r in likelihood.pattern_likelihood(sites, LL_TREE, HKY, F.col).collect()}
+    rows = spark.createDataFrame(ROWS, TRACKS)
     same = m.ContextModel.build(1, lambda f, c: HKY)
-    plain = sum(r.ll for r in likelihood.pattern_likelihood(sites, LL_TREE, HKY, F.col).collect())
-    df = al.with_context(sites, "t0", 1)
-    for engine in ("RCO", "TRCO"):
-        assert sum(r.ll for r in likelihood.context_likelihood(df, LL_TREE, same, F.col, engine).collect()) == pytest.approx(plain)
-    assert sum(r.ll for r in likelihood.leaf_context_likelihood(df, LL_TREE, same, F.col, lambda name: F.col("ctx")).collect()) == pytest.approx(plain)
+    for kind, model in (("RCO", same), ("TRCO", same), ("LCO", same), ("ACO", same), ("HOG", m.ContextModel.build(1, lambda f, c: HKY, dual=True)), ("ACO", m.ContextModel.build(1, lambda f, c: HKY, dual=True))):
+        got = {(r.block, r.col): r.ll for r in likelihood.evaluate(rows, LL_TREE, model, kind, ["t0", "t1", "t2"]).collect()}
+        assert got == {k: pytest.approx(v) for k, v in plain.items()}, kind
+    states = parsimony.fitch(sites, LL_TREE, F.col)
+    flat = {(r.block, r.col): r.ll for r in likelihood.fitch_likelihood(states, LL_TREE, HKY, F.col).collect()}
+    assert {(r.block, r.col): r.ll for r in likelihood.evaluate(rows, LL_TREE, same, "MP", ["t0", "t1", "t2"]).collect()} == {k: pytest.approx(v) for k, v in flat.items()}
+
+
+def test_context_engines_by_enumeration(spark):
+    """ACO and HOG of order 2 over all states of all inner nodes in a slice; gaps in the target shorten slices."""
+    rng = np.random.default_rng(4)
+    tree = Tree(Node("t0", [(Node("A1", [(Node("t1"), 0.2), (Node("t2"), 0.3)]), 0.1)]))
+    rows = [(0, 0, "ACG-TA", 0), (0, 1, "ATGA-A", 0), (0, 2, "A-GC", 0)]
+    grid = [x.ljust(6, "-") for _, _, x, _ in rows]
+    dual = m.ContextModel.random(2, "HKY", 0.05, rng, dual=True)
+    for kind in ("HOG", "ACO"):
+        held = dual if kind == "HOG" else dual.ancestral()
+        p_of = lambda d, x, y: (held.lookup_dual(x, y) if kind == "HOG" else held.lookup(x)).at(d)  # noqa: B023, E731
+
+        def joint(begin, end):
+            total = 0.0
+            free = [product(*(c if c in "ACGT" else "ACGT" for c in g[begin:end])) for g in grid[1:]]
+            for one, two in product(*(list(f) for f in free)):
+                for inner in product("ACGT", repeat=end - begin):
+                    value = 1.0
+                    for up, down, d in ((grid[0][begin:end], inner, 0.1), (inner, one, 0.2), (inner, two, 0.3)):
+                        for k in range(end - begin):
+                            value *= p_of(d, "".join(up[:k]), "".join(down[:k]))["ACGT".index(up[k]), "ACGT".index(down[k])]
+                    total += value
+            return math.log(total)
+
+        got = {r.col: r.ll for r in likelihood.evaluate(spark.createDataFrame(rows, TRACKS), tree, dual, kind, ["t0", "t1", "t2"]).collect()}
+        assert sorted(got) == [0, 1, 2, 4, 5]
+        for col, begin in ((0, 0), (1, 0), (2, 0), (4, 4), (5, 4)):
+            assert got[col] == pytest.approx(joint(begin, col + 1) - (joint(begin, col) if col > begin else 0.0)), (kind, col)
+
+
+def test_choosing_an_engine(spark):
+    rows = spark.createDataFrame(ROWS, TRACKS)
+    plain, dual = m.ContextModel.build(1, lambda f, c: JC), m.ContextModel.build(1, lambda f, c: JC, dual=True)
+    for model, kind in ((plain, "HOG"), (plain, "NMER"), (m.NmerModel({p: 1.0 for p in m.NmerModel.pairs(1)}), "RCO"), (dual, "CODON"), (plain, "XYZ")):
+        with pytest.raises(ValueError):
+            likelihood.evaluate(rows, LL_TREE, model, kind, ["t0", "t1", "t2"])
+    nmer = m.NmerModel({p: 1.0 for p in m.NmerModel.pairs(2)}, m.UNIFORM)
+    got = likelihood.evaluate(rows, LL_TREE, nmer, "NMER", ["t0", "t1", "t2"]).collect()
+    want = {r.col: r.ll for r in likelihood.pattern_likelihood(al.wide_sites(rows, 3), LL_TREE, m.Model("JC", (1 / 16,)), F.col).collect()}
+    assert {r.col: r.ll for r in got} == {k: pytest.approx(v) for k, v in want.items()}
+    total = likelihood.less_ancestral(rows, LL_TREE, plain, "TRCO", ["t0", "t1", "t2"]).first().difference
+    assert total == pytest.approx(0)
+    both = likelihood.gap_rewriting(rows, LL_TREE, plain, plain, ["t0", "t1", "t2"]).agg(F.sum("ll").alias("x")).first().x
+    assert both == pytest.approx(2 * sum(r.ll for r in likelihood.evaluate(rows, LL_TREE, plain, "LCO", ["t0", "t1", "t2"]).collect()))
+
+
+def test_dual_models():
+    made = m.ContextModel.build(1, lambda f, c: m.Model("JC", (0.1 + 0.01 * len(c) + 0.1 * "ACGT".find(c[:1]),)), dual=True)
+    assert {k for _, k in made.ancestral().models} == {"", *"ACGT"} and made.ancestral().models[0, "G"] == made.models[0, "G|"]
+    assert made.lookup_dual("CA", "GT") == made.models[0, "A|T"] and made.lookup_dual("", "") == made.models[0, "|"]
+    mean = made.averaged()
+    assert {m.level(c) for _, c in mean.models} == {0, 2}
+    assert mean.models[0, "|"].params[0] == pytest.approx(np.mean([made.models[0, f"{a}|{b}"].params[0] for a in "ACGT" for b in "ACGT"]))
+    up = made.raised()
+    assert up.models[0, "GA|TC"] == made.models[0, "A|C"] and not any(m.level(c) == 3 for _, c in up.models) and up.order == 2
+    assert m.context_from_text(m.context_to_text(made)) == made and set(made.even_orders().models) == set(mean.models)
+    noisy = m.ContextModel.random(2, "REV", 0.3, np.random.default_rng(1), dual=True)
+    for model in noisy.models.values():
+        assert all(0 < x < 1 for x in model.params)
+        assert all(sum(model.params[k] for pair, k in m.REVERSIBLE.items() if b in pair) < 1.01 for b in "ACGT") or model is noisy.models[0, "|"]
+    exact = m.ContextModel.random(1, "HKY", 0.0, np.random.default_rng(1))
+    assert len({x.params for x in exact.models.values()}) == 1
+    assert made.parameter_contexts() == [f"{a}|{b}" for a in "ACGT" for b in "ACGT"]
+
+
+def test_nmer_files_and_orders():
+    rng = np.random.default_rng(3)
+    one = m.NmerModel({p: float(rng.uniform(0.05, 0.2)) for p in m.NmerModel.pairs(1)}, EQ)
+    two = one.raised()
+    assert m.nmer_from_text(m.nmer_to_text(two)) == two and two.less == one and two.chain(1) == one
+    a, stay = one.rate, lambda x: 1 - sum(r for p, r in one.rate.items() if x in p)
+    assert two.rate["CA", "CG"] == pytest.approx(a["A", "G"] * stay("C")) and two.rate["AC", "GC"] == pytest.approx(stay("C") * a["A", "G"])
+    assert two.averaged().less.rate["A", "G"] == pytest.approx(sum(f * two.rate["A" + x, "G" + x] for f, x in zip(EQ, "ACGT")))
+    eq, rates = m.raw_nmer_from_text(m.raw_nmer_to_text(two.eq, two.rates()))
+    assert np.array_equal(eq, two.eq) and np.array_equal(rates, two.rates())
+    mod = f"ORDER: 1\nBACKGROUND: {' '.join(map(str, eq))}\nRATE_MAT:\n" + "\n".join(" ".join(map(str, r)) for r in rates)
+    n, eq2, rates2 = m.raw_nmer_from_mod(mod)
+    assert n == 2 and np.allclose(eq2, eq) and np.allclose(rates2, rates)
+    assert m.from_mod("RATE_MAT:\n -1 0.1 0.2 0.3\n 0 0 0.4 0.5\n 0 0 0 0.6\n 0 0 0 0").params == (0.2, 0.1, 0.4, 0.3, 0.5, 0.6)
+    for bad in ("NMER_RAW\n1\n4 1 1 1 1\n", "COND\n"):
+        with pytest.raises(ValueError):
+            m.raw_nmer_from_text(bad)
+
+
+def test_small_files_and_parts():
+    text = "  T A C G\nA 4 1 2 3\nT 16 13 14 15\nC 8 5 6 7\nG 12 9 10 11\n"
+    assert m.labelled_matrix(text).tolist() == [[1, 2, 3, 4], [5, 6, 7, 8], [9, 10, 11, 12], [13, 14, 15, 16]]
+    config = "\n".join(f"{k} = {v}  # c" for k, v in zip(m.SETTINGS, ("HKY", 9, "BFGS", "gradient", 1e-3, 1, 1e-4, 0.1, 2, "DNA", "TRCO", "false", 10, 3, "true")))
+    assert m.configuration(config)["context-type"] == "TRCO"
+    for bad in (config.replace("TRCO", "ROC"), config.replace("order", "ordre")):
+        with pytest.raises(ValueError):
+            m.configuration(bad)
+    assert m.named(" ACO\n", m.CONTEXT_TYPES) == "ACO"
+    hky = m.random_model("HKY", np.random.default_rng(2))
+    assert hky.rescaled(2.0) == hky and JC.rescaled(2.0).params == (0.5,) and hky.with_param(1, 0.5).params[1] == 0.5
+    step, at = 1e-5, 0
+    for kind in ("JC", "FEL", "KIM", "HKY", "REV"):
+        model = m.random_model(kind, np.random.default_rng(7))
+        up, down = (model.with_param(at, model.params[at] + s).rates() for s in (step, -step))
+        assert np.allclose(model.derivative(at), (up - down) / (2 * step), atol=1e-5)
+    draws = [m.substitute(np.array([[0.2, 0.3, 0.5, 0.0]]), 0, rng) for rng in [np.random.default_rng(1)] for _ in range(4000)]
+    assert np.allclose(np.bincount(draws, minlength=4) / 4000, [0.2, 0.3, 0.5, 0], atol=0.03)
+
+
+def test_majority_with_the_root(spark):
+    tree = Tree(Node("r", [(Node("A1", [(Node("A2", [(Node("a"), 1.0), (Node("b"), 1.0)]), 1.0), (Node("c"), 1.0)]), 1.0)]))
+    df = spark.createDataFrame([("G", "A", "A", "C"), ("C", "A", "G", "T"), ("A", "A", "G", "T"), ("T", "-", "-", "C")], "r string, a string, b string, c string")
+    got = [(x.A1, x.A2) for x in parsimony.majority(df, tree, F.col).orderBy("r").collect()]
+    # resolved nodes pass on one residue, so A A below counts once beside C and the root's G
+    assert got == [("A", "A"), ("C", "C"), ("G", "A"), ("T", "-")]
+
+
+def test_gap_patterns(spark):
+    kind = "array<struct<pos:int,len:int>>"
+    df = spark.createDataFrame([([(5, 1), (2, 3)], [(2, 7), (9, 1)], [("s", 4), ("i", 3), ("d", 2), ("s", 2)])], f"a {kind}, b {kind}, h array<struct<op:string,len:int>>")
+    one = df.select(parsimony.merged_gaps(parsimony.sorted_gaps(F.col("a")), F.col("b")).alias("x")).first().x
+    assert [tuple(g) for g in one] == [(2, 3), (2, 7), (5, 1), (9, 1)]
+    # child 0-3 are parent 0-3, child 4-6 are inserted at parent 4, child 7-8 are parent 6-7
+    up = df.select(parsimony.raised_gaps(F.array(*(F.struct(F.lit(p).alias("pos"), F.lit(n).alias("len")) for p, n in ((1, 2), (5, 4), (8, 1)))), F.col("h")).alias("x")).first().x
+    assert [tuple(g) for g in up] == [(1, 2), (4, 1), (4, 4), (4, 2), (7, 1)]
+    none = df.select(parsimony.raised_gaps(F.expr(f"cast(array() as {kind})"), F.col("h")).alias("x")).first().x
+    assert [tuple(g) for g in none] == [(4, 3)]
+
+
+def test_attach_number_and_combine(spark):
+    nodes = LL_TREE.table(spark)
+    rows = spark.createDataFrame([(0, "t0", "ACG", 0), (0, "zz", "A", 1), (1, "t2", "AC", 0), (1, "t0", "A", 1)], "block long, name string, seq string, ix int")
+    got = {(r.block, r.name): (r.kind, r.seq) for r in al.attach(nodes, rows).collect()}
+    assert got == {(0, "t0"): ("ROOT", "ACG"), (0, "t1"): ("LEAF", "---"), (0, "t2"): ("LEAF", "---"), (0, "A1"): ("INTERNAL", None), (0, "zz"): (None, "A"),
+                   (1, "t0"): ("ROOT", "A"), (1, "t1"): ("LEAF", "--"), (1, "t2"): ("LEAF", "AC"), (1, "A1"): ("INTERNAL", None)}
+    assert {(r.name, r.track) for r in al.track_numbers(rows).collect()} == {("t0", 0), ("zz", 1), ("t2", 2)}
+    flat = al.combined(spark.createDataFrame([*ROWS, (7, 1, "GG", 0)], TRACKS), 3)
+    text = {k: "".join(r.sym for r in flat.where(F.col("track") == k).orderBy("col").collect()) for k in range(3)}
+    assert text == {0: "ACGTAC--", 1: "ACGTTCGG", 2: "ACG-AC--"}
+    df = likelihood.pattern_likelihood(al.wide_sites(spark.createDataFrame([*ROWS, (5000, 0, "AC", 0)], TRACKS), 3), LL_TREE, JC, F.col)
+    cum = likelihood.cumulative(df).orderBy("block", "col").collect()
+    each = [r.ll for r in df.orderBy("block", "col").collect()]
+    assert [r.cum for r in cum] == pytest.approx(list(np.cumsum(each)))
+
+
+def test_left_neighbours(spark):
+    df = al.left_sites(spark.createDataFrame([(0, 0, "ACG-T", 0), (0, 1, "TT", 0)], TRACKS), 2, 2, [0, 1])
+    got = {r.col: r.ctx for r in al.with_context(df, "t0", 2).collect()}
+    assert got == {0: "", 1: "A", 2: "AC", 3: "CG", 4: ""}
+    assert {r.col: (r.t1_l1, r.t1_l2) for r in df.collect()} == {0: ("", ""), 1: ("T", ""), 2: ("T", "T"), 3: ("~", "T"), 4: ("~", "~")}
+
+
+def test_patterns_of_many_taxa(spark, sites, monkeypatch):
+    engine = lambda df: likelihood.pattern_likelihood(df, LL_TREE, HKY, F.col)
+    want = {(r.block, r.col): r.ll for r in engine(sites).collect()}
+    for most in (1 << 16, 0):
+        monkeypatch.setattr(likelihood, "TABULATED", most)
+        assert {(r.block, r.col): r.ll for r in likelihood.with_likelihood(sites, ["t0", "t1", "t2"], engine).collect()} == {k: pytest.approx(v) for k, v in want.items()}
 
 
 def test_one_column_nmers_are_pruning(spark, sites):
