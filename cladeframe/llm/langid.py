@@ -19,8 +19,10 @@ from pyspark.sql import functions as F
 from cladeframe.llm.common import BATCH_ROWS
 
 PROFILE = 300
-#: Distinct n-grams that a counting task holds per language before it sends them on.
-HELD = 400_000
+#: Distinct n-grams that a counting task holds, of all languages together, before it sends them on.
+HELD = 1_000_000
+#: Most languages that can be told apart; more distinct values are an error, not a loss.
+MAX_LANGUAGES = 2_000
 BLANK = 0x20
 _BITS = 21
 UNKNOWN = "und"
@@ -60,11 +62,12 @@ def profile(text: str) -> np.ndarray:
 def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> list[tuple[str, list[int]]]:
     """Each language's profile, from all rows with a text and a language: (lang, n-grams by rank), by name.
 
-    At most PROFILE n-grams per language come to the driver.
+    At most PROFILE n-grams per language come to the driver, of MAX_LANGUAGES languages.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+        size = 0
 
         def sent(lang):
             names, times = held.pop(lang)
@@ -80,9 +83,12 @@ def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> li
                     old, before = held[lang]
                     names, at = np.unique(np.concatenate([old, names]), return_inverse=True)
                     times = np.bincount(at, np.concatenate([before, times])).astype(np.int64)
+                size += len(names) - (len(held[lang][0]) if lang in held else 0)
                 held[lang] = names, times.astype(np.int64)
-                if len(names) > HELD:
-                    yield sent(lang)
+                if size > HELD:
+                    for other in list(held):
+                        yield sent(other)
+                    size = 0
         for lang in list(held):
             yield sent(lang)
 
@@ -90,7 +96,10 @@ def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> li
     counts = rows.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
     top = counts.withColumn("rank", rank).where(F.col("rank") <= PROFILE).groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("rank", "gram"))).alias("grams"))
-    return sorted((r.lang, [g.gram for g in r.grams]) for r in top.collect())
+    rows = top.limit(MAX_LANGUAGES + 1).collect()
+    if len(rows) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    return sorted((r.lang, [g.gram for g in r.grams]) for r in rows)
 
 
 def predict(docs: DataFrame, profiles: list[tuple[str, list[int]]], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -200,6 +200,61 @@ def test_rules_against_brute_force(docs):
     assert got == want
 
 
+def js(p, q):
+    half = [(a + b) / 2 for a, b in zip(p, q)]
+    part = lambda x: sum(a * math.log2(a / h) for a, h in zip(x, half) if a > 0)
+    return math.sqrt(max(0.0, (part(p) + part(q)) / 2))
+
+
+def test_rules_verdict_by_hand(spark):
+    """Lists, references, distances and verdicts in plain Python; a rare language, none, and texts of junk."""
+    rng = np.random.default_rng(6)
+    stop = {"aa": ["ba", "du", "ki", "lo"], "bb": ["ne", "po", "ra", "su"]}
+
+    def text(lang, n, k):
+        out = []
+        for w in prose(k, n).split():
+            out += [w, str(rng.choice(stop[lang]))] if lang in stop else [w]
+        return " ".join(out)
+
+    rows = [(k, text("aa" if k % 2 else "bb", 60, k), "aa" if k % 2 else "bb", 1, "z") for k in range(40)]
+    rows += [(100, text("aa", 60, 100), None, 1, "z"), (101, text("bb", 60, 101), "cc", 1, "z"), (102, prose(102, 90), None, 1, "z"), (103, "#$% " * 80, "aa", 1, "z"), (104, "ABC1 X9Y7 " + prose(104, 60).upper(), "aa", 1, "z"), (105, None, "aa", 1, "z"), (106, text("aa", 10, 106), "bb", 1, "z"), (None, text("bb", 60, 107), "bb", 1, "z")]
+    df = spark.createDataFrame(rows * 2, "doc_id long, text string, lang string, n_words int, _used string")
+    lists = rules.common_words(df)
+    assert all(set(stop[x]) <= set(lists[x]) for x in stop) and all(len(w) <= 4 for v in lists.values() for w in v)
+
+    def shape(t):
+        n = [len(re.findall(p, t)) for p in (r"[A-Z]", r"[0-9]", r"\s", r"[.,;:!?'\"()-]", r"[#*$%&|<>]")]
+        return [*n, len(t) - sum(n)]
+
+    facts, pooled = {}, {}
+    for i, t, lang, *_ in rows:
+        w = WORD.findall(t or "")
+        uses = {k: sum(x in v for x in w) for k, v in lists.items()}
+        best = max(uses, key=lambda k: (uses[k], k))
+        lang = lang if lang in lists else best if uses[best] >= 0.1 * len(w) and w else None
+        listed = lists.get(lang, [])
+        facts[i] = lang, w, shape(t or ""), [*(w.count(x) for x in listed), *[0] * (12 - len(listed)), sum(x not in listed for x in w)]
+    base = {r.doc_id: r for r in rules.judge(df).collect()}
+    for i, (lang, w, chars, common) in facts.items():
+        if len(w) >= 50 and not base[i].base_failed:
+            for key in {lang, None}:
+                a, b = pooled.setdefault(key, ([0] * 6, [0] * 13))
+                pooled[key] = [x + 2 * y for x, y in zip(a, chars)], [x + 2 * y for x, y in zip(b, common)]
+    smooth = lambda x: [(v + 1) / (sum(x) + len(x)) for v in x]
+    for i, (lang, w, chars, common) in facts.items():
+        got = base[i]
+        assert got.word_reference == (lang if lang in pooled else None), i
+        if not w:
+            assert got.base_failed and not got.kept
+            continue
+        far = js([v / sum(chars) for v in chars], smooth(pooled[lang if lang in pooled else None][0]))
+        off = js([v / sum(common) for v in common], smooth(pooled[lang][1])) if lang in pooled and lang else 0.0
+        assert got.char_distance == pytest.approx(far) and got.word_distance == pytest.approx(off), i
+        assert got.kept == (not got.base_failed and (len(w) < 50 or (far <= rules.MAX_CHAR_DISTANCE and off <= rules.MAX_WORD_DISTANCE)))
+    assert base[0].kept and not base[104].kept
+
+
 def ppm_price(counts, history, symbol):
     """log10 of a symbol's probability by the trie of plain dictionaries: escape method C with exclusion."""
     gone, out = set(), 0.0
@@ -275,12 +330,23 @@ def test_trie_sums_to_one():
         table[np.array([10**12])]
 
 
-def test_language(spark):
+def test_language(spark, monkeypatch):
     rows = [(k, prose(k, 80, "abcdefg" if k % 2 else "nopqrst"), "aa" if k % 2 else "bb", "z") for k in range(40)] + [(100, None, "aa", "z"), (101, "123 !", "aa", "z"), (102, "é", None, "z")]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, lang_pred string")
     got = {r.doc_id: r for r in langid.identify(df, ~held_out("doc_id", 4, 2)).collect()}
     assert all(got[k].lang_pred == ("aa" if k % 2 else "bb") for k in range(40))
     assert got[100].lang_pred == got[101].lang_pred == "und" and got[102].lang_pred in ("aa", "bb")
+    with pytest.raises(ValueError):
+        monkeypatch.setattr(langid, "MAX_LANGUAGES", 1)
+        langid.learn(df)
+    monkeypatch.undo()
+    monkeypatch.setattr(langid, "HELD", 50)
+    assert {r.doc_id: r for r in langid.identify(df, ~held_out("doc_id", 4, 2)).collect()} == got
+    for k in (0, 1, 7):  # rank by rank, in plain Python
+        mine, profiles = langid.profile(rows[k][1]), dict(langid.learn(df.where(~held_out("doc_id", 4, 2))))
+        apart = {x: sum(abs(p.index(g) - j) if g in p else 300 for j, g in enumerate(mine.tolist())) for x, p in profiles.items()}
+        best = min(apart, key=lambda x: (apart[x], x))
+        assert (got[k].lang_pred, got[k].score) == (best, pytest.approx(1 - apart[best] / (300 * len(mine))))
     none = langid.identify(df.withColumn("lang", F.lit(None).cast("string")), F.lit(True)).collect()
     assert {r.lang_pred for r in none} == {"und"}
 
