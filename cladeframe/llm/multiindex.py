@@ -2,12 +2,14 @@
 
 Each half of the vectors is quantised by its own K centroids (k-means on a bounded sample); a cell is a pair of
 centroids, so there are K * K cells. A query walks the cells by rising sum of its two half-distances, with a heap over
-the two sorted lists, until the cells it has met hold the share `visit` of all distinct vectors (LEAST at least); those entries are
-reranked by exact Euclidean distance in double precision. Every vector is indexed; K * K cell sizes are all that the
-driver sees of them.
-
-Equal vectors are one entry that keeps its k + 1 smallest ids, which is all that k nearest can need of it. A cell is cut
-into blocks of about BLOCK entries; a block's entries are held by one task while its queries stream past.
+the two sorted lists, until the cells it has met hold the share `visit` of all distinct vectors (k + 1 at least); those
+entries are reranked by exact Euclidean distance in double precision. Every vector is indexed; K * K cell sizes are all
+that the driver sees of them.
+
+Equal vectors, told by a 64-bit hash, are one entry that keeps its k + 1 smallest ids, which is all that k nearest can need
+of it; ids and hashes alone are sorted for that, a vector moves once. The cells of one first centroid are a group, cut into
+blocks of about BLOCK entries. A query goes once to each block of each group in which it has cells, and takes with it
+which; a block's entries are held by one task while its queries stream past.
 """
 
 from __future__ import annotations
@@ -22,12 +24,10 @@ from pyspark.sql import functions as F
 
 from cladeframe.llm.common import BATCH_ROWS, materialise
 
-K = 16
+K = 32
 SAMPLE = 10_000
 BLOCK = 4096
 VISIT = 0.6
-#: Entries that a query meets at least, where there are as many.
-LEAST = 1000
 SALTS = 64
 ROUNDS = 12
 
@@ -88,7 +88,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec
     """Rows (query_id, rank, id, score): each query's k nearest other rows, nearest first, ties to the smaller id.
 
     Vectors that are null, zero, or hold null or non-finite components take no part, nor do rows with a null id, nor
-    vectors of another length than the most frequent one. A query with fewer than k candidates gets them all. Rows that
+    vectors of another length than the most frequent one (no distance to them is defined). A query with fewer than k candidates gets them all. Rows that
     repeat an id with an equal vector count once. Other columns are not read. An empty table gives an empty table.
     """
     spark = vectors.sparkSession
@@ -102,10 +102,13 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec
         return spark.createDataFrame([], out)
     every = every.where(F.size("v") == length.n)
 
-    few = every.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS))).dropDuplicates(["id", "v"])
-    for key in (["v", "salt"], ["v"]):  # the smallest ids of each vector; a hot one first in shares
+    every = every.withColumn("h", F.xxhash64("v"))
+    few = every.select("id", "h", F.pmod(F.xxhash64("id"), F.lit(SALTS)).alias("salt")).distinct()
+    for key in (["h", "salt"], ["h"]):  # the smallest ids of each vector; a hot one first in shares
         few = few.withColumn("nth", F.row_number().over(Window.partitionBy(*key).orderBy("id"))).where(F.col("nth") <= k + 1)
-    entries = few.groupBy("v").agg(F.min("id").alias("entry"), F.array_sort(F.collect_list("id")).alias("ids"))
+    ids = few.groupBy("h").agg(F.min("id").alias("entry"), F.array_sort(F.collect_list("id")).alias("ids"))
+    one = every.groupBy("h").agg(F.first("v").alias("v"))  # one vector of each, first within tasks
+    entries = materialise(ids.join(one, "h"), "entries")
 
     half = length.n // 2 or 1
     sample = _matrix(pa.array([r.v for r in entries.orderBy(F.xxhash64("entry"), "entry").limit(SAMPLE).select("v").collect()]))  # a bounded sample
@@ -121,63 +124,75 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec
             _, a, b = halves(batch)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array((a.argmin(1) * len(centres[1]) + b.argmin(1)).astype(np.int32))], names=[*batch.schema.names, "cell"])
 
-    placed = materialise(entries.select("entry", "ids", "v").mapInArrow(place, "entry long, ids array<long>, v array<double>, cell int"), "cells")
+    placed = materialise(entries.select("entry", "h", "v").mapInArrow(place, "entry long, h long, v array<double>, cell int"), "cells")
     sizes = np.zeros(cells, np.int64)
     for r in placed.groupBy("cell").count().collect():  # at most K * K rows
         sizes[r.cell] = r["count"]
-    blocks = -(-sizes // BLOCK)
+    width = len(centres[1])
+    blocks = -(-sizes.reshape(-1, width).sum(1) // BLOCK)
 
-    asking = every.where("asks").select(F.col("id").alias("query_id"), "v").distinct()
-    asked = asking.groupBy("v").agg(F.min("query_id").alias("query"))
+    asking = every.where("asks").select(F.col("id").alias("query_id"), "h").distinct()
+    asked = placed.join(asking.groupBy("h").agg(F.min("query_id").alias("query")), "h").select("query", "v")
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted = max(visit * sizes.sum(), LEAST, k + 1)
+        wanted = max(visit * sizes.sum(), k + 1)
         for batch in batches:
             _, a, b = halves(batch)
-            row, cell, block = [], [], []
+            row, group, block, cell = [], [], [], []
             for q in range(batch.num_rows):
+                met: dict[int, list[int]] = {}
                 for c in walk(a[q], b[q], sizes, wanted):
-                    row += [q] * int(blocks[c])
-                    cell += [c] * int(blocks[c])
-                    block += range(int(blocks[c]))
-            for at in range(0, len(row), 4 * BATCH_ROWS):
-                some = batch.take(pa.array(row[at : at + 4 * BATCH_ROWS]))
-                n = some.num_rows
-                yield pa.RecordBatch.from_arrays([pa.array(cell[at : at + n], pa.int32()), pa.array(block[at : at + n], pa.int32()), pa.array([True] * n), some.column(0), some.column(1)], names=["cell", "block", "asks", "key", "v"])
-
-    probes = asked.select("query", "v").mapInArrow(probe, "cell int, block int, asks boolean, key long, v array<double>")
+                    met.setdefault(c // width, []).append(c % width)
+                for g, found in met.items():
+                    for x in range(int(blocks[g])):
+                        row.append(q)
+                        group.append(g)
+                        block.append(x)
+                        cell.append(found)
+            for at in range(0, len(row), BATCH_ROWS):
+                some = batch.take(pa.array(row[at : at + BATCH_ROWS]))
+                upto = at + some.num_rows
+                columns = [pa.array(group[at:upto], pa.int32()), pa.array(block[at:upto], pa.int32()), pa.array([True] * some.num_rows), pa.array(cell[at:upto], pa.list_(pa.int32())), some.column(0), some.column(1)]
+                yield pa.RecordBatch.from_arrays(columns, names=["group", "block", "asks", "cells", "key", "v"])
+
+    probes = asked.mapInArrow(probe, "group int, block int, asks boolean, cells array<int>, key long, v array<double>")
+    group = F.floor(F.col("cell") / width).cast("int")
     counts = F.array(*(F.lit(int(x)) for x in np.maximum(blocks, 1)))
-    stored = placed.select("cell", F.pmod(F.xxhash64("entry"), F.get(counts, F.col("cell"))).cast("int").alias("block"), F.lit(False).alias("asks"), F.col("entry").alias("key"), "v")
+    stored = placed.select(group.alias("group"), F.pmod(F.xxhash64("entry"), F.get(counts, group)).cast("int").alias("block"), F.lit(False).alias("asks"), F.array(F.col("cell") % width).cast("array<int>").alias("cells"), F.col("entry").alias("key"), "v")
 
     def rerank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, ids, rows, table = None, [], [], None
+        now, held, table = None, [], None
         for batch in batches:
-            cell, block, asks, key = (batch.column(c).to_numpy(zero_copy_only=False) for c in range(4))
-            x = _matrix(batch.column(4))
-            cuts = np.flatnonzero((np.diff(cell) != 0) | (np.diff(block) != 0) | (np.diff(asks.astype(np.int8)) != 0)) + 1
-            for a, b in zip([0, *cuts], [*cuts, len(cell)], strict=True):
-                if (cell[a], block[a]) != now:
-                    now, ids, rows, table = (cell[a], block[a]), [], [], None
+            group, block, asks, key = (batch.column(c).to_numpy(zero_copy_only=False) for c in (0, 1, 2, 4))
+            some, x = batch.column(3), _matrix(batch.column(5))
+            cuts = np.flatnonzero((np.diff(group) != 0) | (np.diff(block) != 0) | (np.diff(asks.astype(np.int8)) != 0)) + 1
+            for a, b in zip([0, *cuts], [*cuts, len(group)], strict=True):
+                if (group[a], block[a]) != now:
+                    now, held, table = (group[a], block[a]), [], None
                 if not asks[a]:
-                    ids.append(key[a:b])
-                    rows.append(x[a:b])
+                    held.append((x[a:b], key[a:b], some.slice(a, b - a).flatten().to_numpy()))
                     continue
-                if not rows:
+                if not held:
                     continue
                 if table is None:
-                    table = np.concatenate(rows), np.concatenate(ids)
+                    table = [np.concatenate(part) for part in zip(*held, strict=True)]
                 query, entry, far = [], [], []
-                for q, (near, exact) in zip(key[a:b], _nearest(*table, x[a:b], k + 1), strict=True):
-                    query.append(np.full(len(near), q))
-                    entry.append(table[1][near])
-                    far.append(exact)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(z)) for z in (query, entry, far)], names=["query", "entry", "score"])
-
-    met = probes.union(stored).repartition("cell", "block").sortWithinPartitions("cell", "block", "asks").mapInArrow(rerank, "query long, entry long, score double")
+                for q in range(a, b):
+                    inside = np.zeros(width, bool)
+                    inside[some[q].as_py()] = True
+                    there = np.flatnonzero(inside[table[2]])
+                    for near, exact in _nearest(table[0][there], table[1][there], x[q : q + 1], k + 1) if len(there) else ():
+                        query.append(np.full(len(near), key[q]))
+                        entry.append(table[1][there[near]])
+                        far.append(exact)
+                if query:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(z)) for z in (query, entry, far)], names=["query", "entry", "score"])
+
+    met = probes.union(stored).repartition("group", "block").sortWithinPartitions("group", "block", "asks").mapInArrow(rerank, "query long, entry long, score double")
     best = met.withColumn("nth", F.row_number().over(Window.partitionBy("query").orderBy("score", "entry"))).where(F.col("nth") <= k + 1)
-    named = best.join(placed.select("entry", "ids"), "entry").select("query", F.explode("ids").alias("id"), "score")
+    named = best.join(entries.select("entry", "ids"), "entry").select("query", F.explode("ids").alias("id"), "score")
     lists = named.groupBy("query").agg(F.slice(F.array_sort(F.collect_list(F.struct("score", "id"))), 1, k + 1).alias("near"))  # at most (k + 1) ** 2
-    answered = asking.join(asked, "v").select("query_id", "query").join(lists, "query")
+    answered = asking.join(asking.groupBy("h").agg(F.min("query_id").alias("query")), "h").select("query_id", "query").join(lists, "query")
     own = F.slice(F.filter("near", lambda n: n["id"] != F.col("query_id")), 1, k)
     rows = answered.select("query_id", F.posexplode(own).alias("pos", "n"))
     return rows.select("query_id", (F.col("pos") + 1).cast("int").alias("rank"), F.col("n.id").alias(id_col), F.col("n.score").alias("score"))
