@@ -60,10 +60,11 @@ def conditional(df: DataFrame, tree: Tree, p_of: Callable[[Node, float], np.ndar
 
 def pattern_likelihood(patterns: DataFrame, tree: Tree, model: Model, symbol_of: Callable[[str], Column], out: str = "ll", missing_root: str = "zero") -> DataFrame:
     """Adds ln P(others | root residue). A missing root residue gives 0, or ('sum') the log of the sum over residues."""
-    return _likelihood(patterns, tree, lambda node, d: model.at(d), symbol_of, out, missing_root)
+    return column_likelihood(patterns, tree, lambda node, d: model.at(d), symbol_of, out, missing_root)
 
 
-def _likelihood(df: DataFrame, tree: Tree, p_of, symbol_of, out: str, missing_root: str) -> DataFrame:
+def column_likelihood(df: DataFrame, tree: Tree, p_of, symbol_of, out: str, missing_root: str) -> DataFrame:
+    """Adds the log-likelihood with P of every branch as p_of gives it: an array, or a column of arrays."""
     if tree.root.kind != "ROOT":
         raise ValueError("the likelihood engines need a tree whose root is a taxon with one child")
     before = df.columns
@@ -137,7 +138,7 @@ def context_likelihood(patterns: DataFrame, tree: Tree, model: ContextModel, sym
     before, plain, top = patterns.columns, model.lookup(""), tree.root.children[0][0]
     df = patterns.withColumn("_ctx", trimmed(F.col(context_col), model)).join(_p_table(patterns.sparkSession, tree, model, "_p").withColumnRenamed("_p", "_ctx"), "_ctx")
     p_of = lambda node, d: F.col(f"_p{tree.ids[id(node)]}") if engine == "TRCO" or node is top else plain.at(d)
-    return _likelihood(df, tree, p_of, symbol_of, out, "sum" if engine == "TRCO" else "zero").select(*before, out)
+    return column_likelihood(df, tree, p_of, symbol_of, out, "sum" if engine == "TRCO" else "zero").select(*before, out)
 
 
 def leaf_context_likelihood(sites: DataFrame, tree: Tree, model: ContextModel, symbol_of, context_of, out: str = "ll") -> DataFrame:
@@ -148,7 +149,7 @@ def leaf_context_likelihood(sites: DataFrame, tree: Tree, model: ContextModel, s
         at = f"_x{k}_"
         df = df.withColumn(at, trimmed(context_of(name), model)).join(_p_table(sites.sparkSession, tree, model, at), at)
     held = {id(c): F.col(f"_x{0 if c.children else taxa.index(c.name)}_{tree.ids[id(c)]}") for _, c, _ in tree.branches()}
-    return _likelihood(df, tree, lambda node, d: held[id(node)], symbol_of, out, "zero").select(*before, out)
+    return column_likelihood(df, tree, lambda node, d: held[id(node)], symbol_of, out, "zero").select(*before, out)
 
 
 def fitch_likelihood(sites: DataFrame, tree: Tree, model: ContextModel | Model, state_of: Callable[[str], Column], context_of: Callable[[str], Column] | None = None, out: str = "ll") -> DataFrame:

@@ -417,9 +417,9 @@ def stream_composition(spark, sf_dir):
 
 
 def trained_tree(spark, sf_dir):
-    """Branch lengths of the best likelihood found in two rounds from TREE, on counted patterns."""
+    """Branch lengths of the best likelihood that the optimiser finds from TREE, on counted patterns."""
     counts = al.patterns(_usable(spark, sf_dir), NAMES)
-    tree, _, best = training.train(counts, TREE, JC, F.col, rounds=2)
+    tree, _, best = training.train(counts, TREE, JC, F.col)
     return spark.createDataFrame([(c.name, float(d), best) for _, c, d in tree.branches()], "name string, branch_len double, minus_ll double")
 
 

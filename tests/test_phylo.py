@@ -374,6 +374,49 @@ def test_training_climbs(sites):
     assert best < start and model.kind == "HKY"
 
 
+def test_objective_by_hand(spark, sites):
+    """Values, penalty, fixed branch and gradients of all kinds, of plain and of context models; a job for all points."""
+    pats = al.patterns(sites, ["t0", "t1", "t2"])
+    one = training.Objective(pats, LL_TREE, HKY, F.col, sigma=2.0, fixed_branch=1)
+    x = one.start()
+    plain = -sum(r.ll for r in likelihood.pattern_likelihood(sites, one.parts(x)[0], one.parts(x)[1], F.col).collect())
+    assert one.many([x])[0] == pytest.approx(plain + float(x @ x) / 8) and one.jobs == 1
+    two, four, side = (one.gradient(x, points=k) for k in (2, 4, 1))
+    assert np.allclose(two, four, atol=1e-4) and np.allclose(two, side, atol=0.05) and two[1] == 0 and one.jobs <= 4
+    made = m.ContextModel.build(1, lambda f, c: m.Model("JC", (0.2 + 0.03 * "ACGT".find(c),)))
+    rows = al.with_context(al.left_sites(spark.createDataFrame(ROWS, TRACKS), 3, 1, [0]), "t0", 1)
+    pats = al.patterns(rows, ["t0", "t1", "t2"], ["ctx"])
+    ctx = training.Objective(pats, LL_TREE, made, F.col)
+    x = ctx.start()
+    want = -sum(r.ll for r in likelihood.context_likelihood(rows, ctx.parts(x)[0], ctx.parts(x)[1], F.col, "TRCO").collect())
+    assert ctx.many([x])[0] == pytest.approx(want)
+    got = ctx.gradient(x)
+    by_hand = [(ctx.many([x + d])[0] - ctx.many([x - d])[0]) / 2e-4 for d in 1e-4 * np.eye(len(x))]
+    assert np.allclose(got, by_hand, atol=1e-5) and len(x) == 3 + 4
+    mean = training.Objective(pats, LL_TREE, made, F.col, averaged=True)
+    assert mean.parts(x)[1].models[0, ""].params[0] == pytest.approx(np.mean([mean.parts(x)[1].models[0, c].params[0] for c in "ACGT"]))
+    by_hand = [(mean.many([x + d])[0] - mean.many([x - d])[0]) / 2e-4 for d in 1e-4 * np.eye(len(x))]
+    assert np.allclose(mean.gradient(x), by_hand, atol=1e-5)
+
+
+def test_training_in_passes(spark):
+    rng = np.random.default_rng(1)
+    seq = lambda: "".join(rng.choice(list("ACGT"), 300))
+    target = seq()
+    near = lambda share: "".join(x if rng.random() > share else str(rng.choice(list("ACGT"))) for x in target)
+    tracks = spark.createDataFrame([(0, 0, target, 0), (0, 1, near(0.2), 0), (0, 2, near(0.4), 0)], TRACKS)
+    rows = al.with_context(al.left_sites(tracks, 3, 1, [0]), "t0", 1)
+    pats = al.patterns(rows, ["t0", "t1", "t2"], ["ctx"])
+    plain = al.patterns(rows, ["t0", "t1", "t2"])
+    _, _, scaled = training.train(plain, LL_TREE, JC, F.col, tree_scale_only=True, rounds=4)
+    tree, model, free = training.train_known_tree(plain, LL_TREE, JC, F.col, rounds=4)
+    assert free <= scaled and tree.find("A1") and model.kind == "JC"
+    _, last, best, values = training.train_progressively(pats, LL_TREE, "JC", 1, F.col, restarts=2, rounds=3)
+    assert len(values) == 2 and values[1] <= values[0] + 1e-6 and best == values[-1] and last.order == 1
+    wobble = training.wobble_tracks(tracks, 3, 1)
+    assert wobble.count() == 100 and {r.col % 3 for r in wobble.collect()} == {2}
+
+
 def test_drained_stream(spark, tmp_path):
     from cladeframe.streaming import blocks
 
