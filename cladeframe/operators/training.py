@@ -134,8 +134,8 @@ class Objective:
         return out
 
 
-def minimise(objective: Objective, x: np.ndarray, rounds: int = 30, tolerance: float = 1e-2, points: int = 2) -> tuple[np.ndarray, float]:
-    """BFGS with step halving; ends when the gradient is small or a step gains nothing."""
+def minimise(objective: Objective, x: np.ndarray, rounds: int = 30, tolerance: float = 1e-2, points: int = 2, gain: float = 1e-9) -> tuple[np.ndarray, float]:
+    """BFGS with step halving; ends when the gradient is small or a step gains no more than `gain` of the value."""
     (f,), g = objective.many([x]), objective.gradient(x, points=points)
     h = np.eye(len(x)) / max(1.0, np.linalg.norm(g))
     for _ in range(rounds):
@@ -147,7 +147,7 @@ def minimise(objective: Objective, x: np.ndarray, rounds: int = 30, tolerance: f
         tries = [x + way * s for s in (1.0, 0.5, 0.25, 0.1, 0.02)]
         values = objective.many(tries)
         k = int(np.argmin(values))
-        if values[k] >= f - 1e-9:
+        if values[k] >= f - gain * max(1.0, abs(f)):
             break
         new = objective.gradient(tries[k], points=points)
         s, y = tries[k] - x, new - g

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,6 +10,8 @@ from pyspark.sql import SparkSession
 
 
 def new_folder(spark: SparkSession, tag: str) -> str:
-    """A folder not used yet under spark.checkpoint.dir; under a local one where that is unset (tests)."""
+    """A folder not used yet under spark.checkpoint.dir; on a single machine where that is unset, a local one."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not found and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return f"{found or 'file://' + tempfile.mkdtemp(prefix='cladeframe-')}/{tag}-{uuid.uuid4().hex}"
