@@ -25,6 +25,9 @@ WHITE = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 #: Keys that a counting task holds before it merges them or sends them on.
 HELD = 4_000_000
 
+#: Bytes of text whose words are hashed at a time.
+HASHED = 1 << 19
+
 WORD = r"[^\x20\x09-\x0D]+"
 
 _IS_WHITE = np.zeros(256, bool)
@@ -118,11 +121,21 @@ def _power_tables(n: int) -> list[np.ndarray]:
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of each word with A-Z lower-cased: a polynomial over the bytes, taken from running sums."""
-    up, down = _power_tables(len(data) + 1)
-    run = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_VALUE[_LOWER[data]] * up[: len(data)], out=run[1:])
-    return mix((run[ends] - run[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    """64-bit hash of each word with A-Z lower-cased: a polynomial over the bytes, taken from running sums.
+
+    Words are hashed in runs of about HASHED bytes, so memory does not grow with the text; where a run begins makes no
+    difference to a hash."""
+    out, at = np.zeros(len(starts), np.uint64), 0
+    while at < len(starts):
+        upto = max(at + 1, int(np.searchsorted(ends, starts[at] + HASHED, side="right")))
+        begin, end = starts[at], ends[upto - 1]
+        up, down = _power_tables(int(end - begin) + 1)
+        run = np.zeros(end - begin + 1, np.uint64)
+        np.cumsum(_VALUE[_LOWER[data[begin:end]]] * up[: end - begin], out=run[1:])
+        some, size = starts[at:upto] - begin, ends[at:upto] - starts[at:upto]
+        out[at:upto] = mix((run[some + size] - run[some]) * down[some] + size.astype(np.uint64))
+        at = upto
+    return out
 
 
 _STEP = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)]

@@ -26,10 +26,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cladeframe.llm.common import BATCH_ROWS, HELD, Counts, as_signed, materialise, mix, shingle_sets
+from cladeframe.llm.common import BATCH_ROWS, Counts, as_signed, materialise, mix, shingle_sets
 
 #: Fingerprints go by RANGES ranges of their first bits, with LOW bits more.
 RANGES, LOW = 1 << 12, 28
+#: Shingles that a task holds before it sends them.
+HELD = 1_000_000
 #: Most shingles whose frequency the first order knows.
 COMMON = 1 << 20
 #: Bits of the map of shingles that more than one text holds.
