@@ -39,7 +39,7 @@ COPY = 0.5
 #: Suffixes are sent in this many ranges of their key's first byte, with five more bytes of it.
 RANGES = 256
 #: Suffixes that a task holds before it sends them on.
-HELD = 4_000_000
+HELD = 1_000_000
 #: Bits of the map of suffixes that may be repeated: 8 MB.
 MAP_BITS = 26
 
@@ -299,7 +299,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     page; other columns are not read. An empty table gives an empty table.
     """
     spark = pages.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
     url = F.col(url_col).cast("string")
     host = F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@]*@)?(?:www\.)?([^/:?#]+)", 1))
     page = F.col(html_col).cast("string")
