@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from cladeframe.llm.common import WORD, materialise
 
@@ -132,6 +133,23 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     return out.select(F.col("id").alias(id_col), "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for each slot of a text, with the words that it takes; a text that is taken whole stays as it is."""
+    for batch in batches:
+        lists, pieces = batch.column(1), []
+        taken, size = lists.flatten(), np.diff(lists.offsets.to_numpy())
+        field = {n: taken.field(n) for n in ("slot", "begin", "epoch", "first", "last", "size")}
+        first, last, whole = (field[n].to_pylist() for n in ("first", "last", "size"))
+        at = 0
+        for text, n in zip(batch.column(0).to_pylist(), size, strict=True):
+            words = text.encode().split()  # at the six white characters, as words are counted
+            for k in range(at, at + n):
+                pieces.append(text if not first[k] and last[k] == whole[k] else b" ".join(words[first[k] : last[k]]).decode())
+            at += n
+        rest = batch.column(2).take(pa.array(np.repeat(np.arange(batch.num_rows), size)))
+        yield pa.RecordBatch.from_arrays([*(field[n] for n in ("slot", "begin", "epoch", "first", "last")), pa.array(pieces, pa.string()), rest], names=["slot", "begin", "epoch", "first", "last", "text", "rest"])
+
+
 def _mixed(docs: DataFrame, id_col: str, text_col: str, source_col: str, block: int) -> DataFrame:
     """(slot, epoch, first, last, doc): doc is a struct of the columns of docs, so that no name of theirs can clash."""
     doc = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc")
@@ -140,15 +158,12 @@ def _mixed(docs: DataFrame, id_col: str, text_col: str, source_col: str, block:
     parts = Mix(given, "id", "text", "source", "row", block).parts()
     # a document meets all of its slots at once: its text is cut into words once
     slots = parts.groupBy("row").agg(F.collect_list(F.struct("slot", "begin", "epoch", "first", "last", "size")).alias("slots"))  # as many as its words allow
-    text = F.col(f"doc.`{text_col}`").cast("string")
-    df = numbered.join(slots, "row").withColumn("tokens", F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda x: x != ""))
-    words = lambda s: F.array_join(F.slice(F.col("tokens"), (s["first"] + 1).cast("int"), (s["last"] - s["first"]).cast("int")), " ")
-    whole = lambda s: (s["first"] == 0) & (s["last"] == s["size"])
-    piece = lambda s: F.struct(*(s[c].alias(c) for c in ("slot", "begin", "epoch", "first", "last")), F.when(whole(s), text).otherwise(words(s)).alias("text"))
     others = [F.col(f"doc.`{c}`").alias(str(k)) for k, c in enumerate(docs.columns) if c != text_col]
-    df = df.select(F.struct(*others, F.lit(0)).alias("rest"), F.transform("slots", piece).alias("pieces")).select("rest", F.explode("pieces").alias("p"))
-    doc = F.struct(*((F.col("p.text") if c == text_col else F.col(f"rest.`{k}`")).alias(c) for k, c in enumerate(docs.columns))).alias("doc")
-    df = df.select("p.slot", "p.begin", "p.epoch", "p.first", "p.last", doc)
+    df = numbered.join(slots, "row").select(F.col(f"doc.`{text_col}`").cast("string").alias("text"), "slots", F.struct(*others, F.lit(0).alias("none")).alias("rest"))
+    fields = "slot long, begin long, epoch int, first long, last long, text string"
+    df = df.mapInArrow(_cut, StructType([*StructType.fromDDL(fields), df.schema["rest"]]))
+    doc = F.struct(*((F.col("text").cast(docs.schema[c].dataType) if c == text_col else F.col(f"rest.`{k}`")).alias(c) for k, c in enumerate(docs.columns))).alias("doc")
+    df = df.select("slot", "begin", "epoch", "first", "last", doc)
     # a slot's parts lie in its source's line by epoch and place
     return df.repartitionByRange("slot").sortWithinPartitions("slot", "begin")
 
