@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import functions as F
 
-from cladeframe.llm import bpe, html, jaccard, langid, mixing, multiindex, pii, ppm, quality, rules
+from cladeframe.llm import bpe, html, jaccard, langid, mixing, multiindex, pii, ppm, quality, rules, simhash, vectorcodes, whitening
 from cladeframe.llm.common import held_out, read
 
 
@@ -58,6 +58,18 @@ def matching_score(spark, sf_dir):
     return ppm.score(read(spark, sf_dir, "documents", "doc_id", "text"), ~held_out("doc_id", 10, 0))
 
 
+def simhash_join(spark, sf_dir):
+    return simhash.simhash_components(read(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+def whitened(spark, sf_dir):
+    return whitening.whiten(read(spark, sf_dir, "embeddings", "vec_id", "embedding"))
+
+
+def vector_codes(spark, sf_dir):
+    return vectorcodes.compress(read(spark, sf_dir, "embeddings", "vec_id", "embedding", "label"))
+
+
 def pipeline(spark, sf_dir):
     import corpus_pipeline  # it imports from here
 
@@ -75,6 +87,9 @@ QUERIES = {
     "op8_multi_order_jaccard": jaccard_join,
     "op9_divergence_rules": quality_rules,
     "op10_partial_matching": matching_score,
+    "op11_golay_simhash": simhash_join,
+    "op12_subspace_whitening": whitened,
+    "op13_annular_codes": vector_codes,
     "pipeline": pipeline,
 }
 
