@@ -3,8 +3,9 @@
 Vectors become integers and are cut into parts; each part position has a codebook, learned by rounds over all rows. The
 entries of a codebook lie sorted by norm. An entry whose norm differs from a part's by more than the best distance found
 so far is farther away, so a part looks at the entries next to its own norm first, and its best distance then bounds an
-annulus of norms: a binary search finds the entries in it, ends included, and all of these and no others are compared,
-exactly. Distances are exact integers, so that ties are told and go to the lower index.
+annulus of norms: a binary search finds the entries in it, ends included, and these are compared, exactly. Parts are taken
+in the order of their norms, a group of neighbours at a time, whose annuli are nearly one. Distances are exact integers, so
+that ties are told and go to the lower index.
 
 A round is one pass over the rows: codebooks (a fixed size) go to all tasks, sums and counts of the same size come back.
 """
@@ -26,11 +27,11 @@ from cladeframe.llm.vectors import halves, integers, long_or_null, matrix, summe
 SCALE = 1024
 PARTS, ENTRIES, ROUNDS = 4, 256, 4
 #: Entries on either side of a part's norm that are looked at first.
-FIRST = 4
-#: Pairs of part and entry that are compared at a time.
-PAIRS = 1 << 17
+FIRST = 2
+#: Parts of neighbouring norms that share the entries of their annuli.
+GROUP = 256
 #: Rows whose codes are looked for at a time.
-ROWS = 2048
+ROWS = 8192
 
 
 def _largest(x: np.ndarray) -> int:
@@ -45,40 +46,35 @@ class Codebook:
         norm = np.sqrt((entries.astype(np.float64) ** 2).sum(1))
         self.index = np.argsort(norm, kind="stable")
         self.norm, self.entries = norm[self.index], entries[self.index]
-        # components up to this size are compared as longs; larger ones as integers of any size
-        self.small = isqrt((1 << 62) // (4 * len(entries) * max(1, entries.shape[1])))
+        # up to this size of components doubles hold every sum exactly; larger ones are integers of any size
+        self.small = isqrt((1 << 51) // max(1, entries.shape[1]))
         self.large = _largest(entries) > self.small
 
-    def _keys(self, x: np.ndarray, row: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """Squared distance and index in one number, exactly; the least one is the nearest, of ties the lower."""
-        far = x[row] - self.entries[at]
-        return (far * far).sum(1) * len(self.index) + self.index[at]
-
     def nearest(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(index, squared distance) of the nearest entry to each row."""
-        if self.large or _largest(x) > self.small:
-            x = x.astype(object)
-        m, k, norm = len(x), len(self.index), np.sqrt((x.astype(np.float64) ** 2).sum(1))
-        every, middle = np.arange(m), np.searchsorted(self.norm, norm)
-        best = self._keys(x, every, np.clip(middle, 0, k - 1))
+        kind = object if self.large or _largest(x) > self.small else np.float64
+        norm = np.sqrt((x.astype(np.float64) ** 2).sum(1))
+        order = np.argsort(norm, kind="stable")
+        x, norm, entries = x[order].astype(kind), norm[order], self.entries.astype(kind)
+        square, squares = (x * x).sum(1), (entries * entries).sum(1)
+        middle, k = np.searchsorted(self.norm, norm), len(self.index)
+        best = None
         for step in range(-FIRST, FIRST):
-            if step:
-                best = np.minimum(best, self._keys(x, every, np.clip(middle + step, 0, k - 1)))
-        reach = np.sqrt((best // k).astype(np.float64))
+            far = x - entries[np.clip(middle + step, 0, k - 1)]
+            far = (far * far).sum(1)
+            best = far if best is None else np.minimum(best, far)
+        reach = np.sqrt(best.astype(np.float64))
         reach += 1e-9 * (1 + reach + norm)  # rounding of norms must not leave an entry out
         low, high = np.searchsorted(self.norm, norm - reach), np.searchsorted(self.norm, norm + reach, side="right")
-        size, at = high - low, 0
-        total = np.cumsum(size)
-        while at < m:  # whole rows, about PAIRS pairs
-            upto = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + PAIRS, side="right")))
-            some = size[at:upto]
-            row = np.repeat(np.arange(at, upto), some)
-            begins = np.cumsum(some) - some
-            place = np.arange(some.sum()) - np.repeat(begins - low[at:upto], some)
-            keys = self._keys(x, row, place)
-            best[at:upto] = np.minimum(best[at:upto], np.minimum.reduceat(keys, begins))  # no annulus is empty
-            at = upto
-        return (best % k).astype(np.int64), best // k
+        code, error = np.zeros(len(x), np.int64), np.zeros(len(x), object if kind is object else np.int64)
+        for at in range(0, len(x), GROUP):
+            some = slice(at, at + GROUP)
+            a, b = int(low[some].min()), int(high[some].max())
+            far = square[some, None] + squares[None, a:b] - 2 * (x[some] @ entries[a:b].T)
+            least = far.min(1)
+            code[order[some]] = np.where(far == least[:, None], self.index[None, a:b], k).min(1)  # of ties the lower
+            error[order[some]] = least
+        return code, error
 
 
 def _pieces(d: int, parts: int) -> list[slice]:
