@@ -1,7 +1,9 @@
 """Filters, projections, statistics and windows over alignments.
 
-Tracks are rows (block, track, seq, phase). Blocks are turned into one row with an array of columns only where an
-operator looks across tracks; `~` stands for a position past a track's end or a track that the block lacks.
+Tracks are rows (block, track, seq, phase) of ASCII symbols. Where an operator looks across tracks, a block is cut into
+stretches of STRETCH columns, one row each, with the symbols left of it as a halo; so a row and a task's memory are
+bounded whatever the length of a block, and what runs over a block's end of stretch (sums, runs) is carried by a table with
+a row for each stretch. `~` stands for a position past a track's end or a track that the block lacks.
 """
 
 from __future__ import annotations
@@ -13,29 +15,73 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 ABSENT = "~"
+#: Columns of a stretch.
+STRETCH = 8192
+
+
+def stretch_of(col: Column) -> Column:
+    return F.floor(col / STRETCH).cast("int")
+
+
+def pieces(tracks: DataFrame, left: int = 0, right: int = 0) -> DataFrame:
+    """The tracks as rows (..., stretch, seq, halo): seq holds the stretch's symbols and up to `right` after it, halo up to
+    `left` symbols before it. Bytes are cut, so a long track is not scanned anew for each piece. An empty track gives none."""
+    raw, k = F.col("seq").cast("binary"), F.col("stretch")
+    cut = lambda begin, n: F.substring(raw, begin + 1, n).cast("string")
+    begin = k * STRETCH
+    before = F.least(begin, F.lit(left))
+    last = stretch_of(F.octet_length("seq") - 1 + left)  # a track's last symbols are in the halo of the stretch after it, too
+    df = tracks.where("seq <> ''").withColumn("stretch", F.explode(F.sequence(F.lit(0), last)))
+    return df.withColumn("halo", cut(begin - before, before)).withColumn("seq", cut(begin, F.lit(STRETCH + right)))
+
+
+def stretches(tracks: DataFrame, n: int, left: int = 0) -> DataFrame:
+    """(block, phase, stretch, len, s0.., h0..): symbols of the n tracks in a stretch, padded with `~`, and of the `left`
+    columns before it, as strings of one length; a halo is shorter in a block's first stretch alone."""
+    seq = lambda k, c: F.coalesce(F.max(F.when(F.col("track") == k, F.col(c))), F.lit(""))
+    df = pieces(tracks, left).groupBy("block", "phase", "stretch").agg(F.max(F.length("seq")).cast("int").alias("len"), *(seq(k, "seq").alias(f"s{k}") for k in range(n)), *(seq(k, "halo").alias(f"h{k}") for k in range(n if left else 0)))
+    df = df.where("len > 0")
+    filled = [F.rpad(f"s{k}", F.col("len"), F.lit(ABSENT)).alias(f"s{k}") for k in range(n)]
+    before = F.least(F.col("stretch") * STRETCH, F.lit(left)).cast("int")
+    return df.select("block", "phase", "stretch", "len", *filled, *(F.rpad(f"h{k}", before, F.lit(ABSENT)).alias(f"h{k}") for k in range(n if left else 0)))
 
 
 def blocks(tracks: DataFrame, n: int) -> DataFrame:
-    """(block, phase, len, cols): cols is an array of structs t0..t{n-1} of one symbol each."""
-    seqs = [F.coalesce(F.max(F.when(F.col("track") == k, F.col("seq"))), F.lit("")).alias(f"_s{k}") for k in range(n)]
-    df = tracks.groupBy("block", "phase").agg(F.max(F.length("seq")).cast("int").alias("len"), *seqs).where("len > 0")
-    letters = [F.split(F.rpad(f"_s{k}", F.col("len"), F.lit(ABSENT)), "").alias(f"t{k}") for k in range(n)]
-    return df.select("block", "phase", "len", *letters).select("block", "phase", "len", F.arrays_zip(*(f"t{k}" for k in range(n))).alias("cols"))
+    """(block, phase, stretch, len, cols): cols is an array of structs t0..t{n-1} of one symbol for each column of a stretch."""
+    df = stretches(tracks, n)
+    letters = [F.split(f"s{k}", "").alias(f"t{k}") for k in range(n)]
+    return df.select("block", "phase", "stretch", "len", *letters).select("block", "phase", "stretch", "len", F.arrays_zip(*(f"t{k}" for k in range(n))).alias("cols"))
+
+
+def _placed(df: DataFrame, *names: str) -> DataFrame:
+    """A row for each column of a stretch, from arrays of its symbols."""
+    col = (F.col("stretch") * STRETCH + F.col("pos")).cast("int").alias("col")
+    return df.select("block", "phase", "stretch", F.posexplode(F.arrays_zip(*names)).alias("pos", "c")).select("block", "phase", col, "c.*")
 
 
 def wide_sites(tracks: DataFrame, n: int) -> DataFrame:
     """(block, phase, col, t0..): one row per alignment column."""
-    return blocks(tracks, n).select("block", "phase", F.posexplode("cols").alias("col", "c")).select("block", "phase", "col", "c.*")
+    df = stretches(tracks, n).select("block", "phase", "stretch", *(F.split(f"s{k}", "").alias(f"t{k}") for k in range(n)))
+    return _placed(df, *(f"t{k}" for k in range(n)))
 
 
 def left_sites(tracks: DataFrame, n: int, order: int, of: list[int]) -> DataFrame:
     """wide_sites with, for each track of `of`, the `order` symbols left of the column: t<k>_l1 is the nearest, '' before
-    the block's start. The neighbours are shifted copies of a block's letters, so no window and no sort is needed."""
-    letters = blocks(tracks, n).select("block", "phase", "len", "cols")
-    shifted = [F.concat(F.array_repeat(F.lit(""), F.least(F.lit(k), F.col("len"))), F.transform(F.slice("cols", 1, F.greatest(F.col("len") - k, F.lit(0))), _symbol(t))).alias(f"t{t}_l{k}") for t in of for k in range(1, order + 1)]
-    df = letters.select("block", "phase", *(F.transform("cols", _symbol(k)).alias(f"t{k}") for k in range(n)), *shifted)
-    names = df.columns[2:]
-    return df.select("block", "phase", F.posexplode(F.arrays_zip(*names)).alias("col", "c")).select("block", "phase", "col", "c.*")
+    the block's start. The neighbours are shifted copies of a stretch and its halo, so no window and no sort is needed."""
+    df = stretches(tracks, n, order).select("*", *(F.split(f"s{k}", "").alias(f"t{k}") for k in range(n)))
+    if not order:
+        return _placed(df, *(f"t{k}" for k in range(n)))
+    whole = lambda t: F.concat(F.array_repeat(F.lit(""), order - F.length(f"h{t}")), F.filter(F.split(f"h{t}", ""), lambda x: x != ""), F.col(f"t{t}"))
+    df = df.select("*", *(whole(t).alias(f"_w{t}") for t in of))
+    shifted = [F.slice(f"_w{t}", order - k + 1, F.col("len")).alias(f"t{t}_l{k}") for t in of for k in range(1, order + 1)]
+    return _placed(df.select("block", "phase", "stretch", *(f"t{k}" for k in range(n)), *shifted), *(f"t{k}" for k in range(n)), *(f"t{t}_l{k}" for t in of for k in range(1, order + 1)))
+
+
+def carried(totals: DataFrame, value: str, out: str) -> DataFrame:
+    """(block, stretch, <out>): of totals (block, stretch, <value>), what the stretches before hold together in their block.
+    The window has a row for each stretch, not for each column."""
+    w = Window.partitionBy("block").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
+    return totals.select("block", "stretch", F.coalesce(F.sum(value).over(w), F.lit(0)).alias(out))
 
 
 def is_residue(sym: Column) -> Column:
@@ -43,7 +89,7 @@ def is_residue(sym: Column) -> Column:
 
 
 def keep_columns(blocked: DataFrame, keep) -> DataFrame:
-    """Blocks with the columns for which keep(struct, index) holds, renumbered from 0 in order."""
+    """Stretches with the columns for which keep(struct, index) holds, in order."""
     return blocked.withColumn("cols", F.filter("cols", keep))
 
 
@@ -62,9 +108,10 @@ def without_target_gaps(blocked: DataFrame, target: int = 0) -> DataFrame:
 
 
 def to_tracks(blocked: DataFrame, n: int) -> DataFrame:
-    """Rows (block, track, seq) again; absent positions are gaps."""
+    """Rows (block, track, seq) again, the stretches end to end; absent positions are gaps."""
     seqs = F.array(*(F.struct(F.lit(k).alias("track"), F.array_join(F.transform("cols", _symbol(k)), "").alias("seq")) for k in range(n)))
-    return blocked.select("block", "phase", F.explode(seqs).alias("t")).select("block", F.col("t.track").cast("int").alias("track"), F.translate("t.seq", ABSENT, "-").alias("seq"))
+    parts = blocked.select("block", "stretch", F.explode(seqs).alias("t")).groupBy("block", F.col("t.track").cast("int").alias("track")).agg(F.array_sort(F.collect_list(F.struct("stretch", "t.seq"))).alias("parts"))
+    return parts.select("block", "track", F.translate(F.array_join("parts.seq", ""), ABSENT, "-").alias("seq"))
 
 
 def _symbol(k: int):
@@ -159,9 +206,11 @@ def identity_windows(sites: DataFrame, a: str, b: str, width: int) -> DataFrame:
 
 def track_accuracy(one: DataFrame, two: DataFrame) -> DataFrame:
     """Share of equal symbols of the tracks of two alignments, (block, track) by (block, track): per mille, rounded."""
-    pairs = one.join(two.withColumnRenamed("seq", "other"), ["block", "track"])
+    cut = lambda df: pieces(df.select("block", "track", "seq")).drop("halo")
+    pairs = cut(one).join(cut(two).withColumnRenamed("seq", "other"), ["block", "track", "stretch"], "left")
     same = F.aggregate(F.zip_with(F.split("seq", ""), F.split("other", ""), lambda x, y: F.when(x == y, 1).otherwise(0)), F.lit(0), lambda s, x: s + x)
-    sums = pairs.groupBy("track").agg(F.sum(same).alias("m"), F.sum(F.length("seq")).alias("n"))
+    known = two.select("block", "track").distinct()
+    sums = pairs.join(known, ["block", "track"], "left_semi").groupBy("track").agg(F.sum(F.coalesce(same, F.lit(0))).alias("m"), F.sum(F.length("seq")).alias("n"))
     return sums.select("track", F.when(F.col("n") > 0, F.floor(F.col("m") / F.col("n") * 1000 + 5 / 9) / 10).alias("accuracy"))
 
 
@@ -169,8 +218,9 @@ def track_accuracy(one: DataFrame, two: DataFrame) -> DataFrame:
 
 
 def nmers(tracks: DataFrame, n: int) -> DataFrame:
-    """(track, nmer, n): every n-mer of every track; short tails are skipped. Windows are arrays slices zipped, not self-joins."""
-    letters = tracks.select("track", F.split("seq", "").alias("s")).where(F.size("s") >= n)
+    """(track, nmer, n): every n-mer of every track; short tails are skipped. Windows are slices of a stretch and the
+    symbols after it, zipped, not self-joins."""
+    letters = pieces(tracks, right=n - 1).select("track", F.split("seq", "").alias("s")).where(F.size("s") >= n)
     shifted = [F.slice("s", k + 1, F.size("s") - n + 1).alias(f"x{k}") for k in range(n)]
     df = letters.select("track", F.explode(F.arrays_zip(*shifted)).alias("z")).select("track", F.concat(*(F.col(f"z.x{k}") for k in range(n))).alias("nmer"))
     return df.groupBy("track", "nmer").agg(F.count("*").alias("n"))

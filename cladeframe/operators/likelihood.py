@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cladeframe.functions.models import BASES, CONTEXT_TYPES, ContextModel, Model, NmerModel, context_nmers, degenerate, exponential, named, nmer_frequencies, nmer_lower
-from cladeframe.operators.alignment import left_sites, with_context
+from cladeframe.operators.alignment import carried, concatenated, left_sites, stretch_of, with_context
 from cladeframe.operators.parsimony import fitch
 from cladeframe.operators.tree import Node, Tree
 
@@ -32,10 +32,10 @@ def _vector(values) -> Column:
     return F.array(*map(_lit, values))
 
 
-def _through_leaf(symbol: Column, p) -> Column:
-    """P(parent state -> observed leaf) for the four parent states; all ones where the leaf is missing. p: array or column."""
+def _through_leaf(symbol: Column, p, states: str = BASES) -> Column:
+    """P(parent state -> observed leaf) for all parent states; all ones where the leaf is none of the states. p: array or column."""
     column = (lambda j: _vector(p[:, j])) if isinstance(p, np.ndarray) else (lambda j: F.transform(p, lambda row: F.get(row, F.lit(j))))
-    return reduce(lambda a, b: a.when(symbol == b, column(BASES.index(b))), BASES, F).otherwise(_vector((1, 1, 1, 1)))
+    return reduce(lambda a, b: a.when(symbol == b, column(states.index(b))), states, F).otherwise(_vector([1] * len(states)))
 
 
 def _through_node(states: Column, p) -> Column:
@@ -48,12 +48,12 @@ def _times(parts: list[Column]) -> Column:
     return reduce(lambda a, b: F.zip_with(a, b, lambda x, y: x * y), parts)
 
 
-def conditional(df: DataFrame, tree: Tree, p_of: Callable[[Node, float], np.ndarray], symbol_of: Callable[[str], Column]) -> DataFrame:
+def conditional(df: DataFrame, tree: Tree, p_of: Callable[[Node, float], np.ndarray], symbol_of: Callable[[str], Column], states: str = BASES) -> DataFrame:
     """Adds _L<node>, the likelihood of what lies below each inner node by the node's state."""
     for node in tree.nodes:
         if node.kind != "INTERNAL":
             continue
-        parts = [_through_leaf(symbol_of(c.name), p_of(c, d)) if not c.children else _through_node(F.col(f"_L{tree.ids[id(c)]}"), p_of(c, d)) for c, d in node.children]
+        parts = [_through_leaf(symbol_of(c.name), p_of(c, d), states) if not c.children else _through_node(F.col(f"_L{tree.ids[id(c)]}"), p_of(c, d)) for c, d in node.children]
         df = df.withColumn(f"_L{tree.ids[id(node)]}", _times(parts))
     return df
 
@@ -63,24 +63,37 @@ def pattern_likelihood(patterns: DataFrame, tree: Tree, model: Model, symbol_of:
     return column_likelihood(patterns, tree, lambda node, d: model.at(d), symbol_of, out, missing_root)
 
 
-def column_likelihood(df: DataFrame, tree: Tree, p_of, symbol_of, out: str, missing_root: str) -> DataFrame:
-    """Adds the log-likelihood with P of every branch as p_of gives it: an array, or a column of arrays."""
+def column_likelihood(df: DataFrame, tree: Tree, p_of, symbol_of, out: str, missing_root: str, states: str = BASES) -> DataFrame:
+    """Adds the log-likelihood with P of every branch as p_of gives it: an array, or a column of arrays, over the states."""
     if tree.root.kind != "ROOT":
         raise ValueError("the likelihood engines need a tree whose root is a taxon with one child")
     before = df.columns
-    df = conditional(df, tree, p_of, symbol_of)
+    df = conditional(df, tree, p_of, symbol_of, states)
     (child, d), root = tree.root.children[0], symbol_of(tree.root.name)
     p = p_of(child, d)
-    by_state = _through_leaf(symbol_of(child.name), p) if not child.children else _through_node(F.col(f"_L{tree.ids[id(child)]}"), p)
+    by_state = _through_leaf(symbol_of(child.name), p, states) if not child.children else _through_node(F.col(f"_L{tree.ids[id(child)]}"), p)
     df = df.withColumn("_root", by_state)
-    chosen = reduce(lambda a, b: a.when(root == b, F.get("_root", F.lit(BASES.index(b)))), BASES, F)
+    chosen = reduce(lambda a, b: a.when(root == b, F.get("_root", F.lit(states.index(b)))), states, F)
     absent = _lit(1.0) if missing_root == "zero" else F.aggregate("_root", F.lit(0.0), lambda s, x: s + x)
     value = chosen.otherwise(absent)
     return df.withColumn(out, F.when(value > 0, F.ln(value)).otherwise(F.lit(float("-inf")))).select(*before, out)
 
 
-#: Possible patterns up to which they are tabulated and broadcast; rows of a table of contexts up to which it is.
+#: Possible patterns, times contexts, up to which they are tabulated and broadcast; rows of a table of contexts up to which it is.
 TABULATED = 1 << 16
+#: States of the process of gap patterns: a residue, a gap, and a place where nothing was aligned.
+GAPS = "N-."
+
+
+def states_of(model: ContextModel) -> str:
+    """The alphabet of a model's matrices."""
+    return GAPS if all(m.kind == "GAP" for m in model.models.values()) else BASES
+
+
+def gap_state(symbol: Column) -> Column:
+    """A column's symbol as a state of the gap process: N for a residue, - for a gap, . for what is unaligned or past the
+    track's end; '' stays, for places before a block's start."""
+    return F.when(symbol.isin(*BASES, "N"), "N").when(symbol.isin("-", ""), symbol).otherwise(".")
 
 
 def normal(symbol: Column) -> Column:
@@ -103,9 +116,9 @@ def with_likelihood(sites: DataFrame, names: list[str], engine: Callable[[DataFr
     patterns that occur are, and joined.
     """
     keys = names + (by.columns if by is not None else [])
-    table = all_patterns(sites.sparkSession, names)
-    table = table.crossJoin(F.broadcast(by)) if table is not None and by is not None else table  # contexts: few rows, made on the driver
-    few = table is not None
+    few = 5 ** len(names) * (by.count() if by is not None else 1) <= TABULATED  # of patterns and contexts together
+    table = all_patterns(sites.sparkSession, names) if few else None
+    table = table.crossJoin(F.broadcast(by)) if few and by is not None else table
     if not few:
         table = sites.select(*(normal(F.col(n)).alias(n) for n in names), *(c for c in keys if c not in names)).distinct()
     table = engine(table).select(*(F.col(k).alias(f"_{k}") for k in keys), out)
@@ -124,32 +137,48 @@ def trimmed(context: Column, model: ContextModel) -> Column:
 
 
 def _p_table(spark: SparkSession, tree: Tree, model: ContextModel, prefix: str) -> DataFrame:
-    """(<prefix>, <prefix><child id>...): P of every branch by context, one row per known context."""
-    rows = [(c, *([[float(x) for x in row] for row in m.at(d)] for _, _, d in tree.branches())) for (f, c), m in model.models.items() if f == 0]
+    """(<prefix>, [phase,] <prefix><child id>...): P of every branch by context, and by phase in a periodic model."""
+    phases = [(f,) for f in range(3)] if model.periodic else [()]
+    rows = [(c, *f, *([[float(x) for x in row] for row in m.at(d)] for _, _, d in tree.branches())) for f in phases for (g, c), m in model.models.items() if g == (f or (0,))[0]]
     if len(rows) > TABULATED:
         raise ValueError(f"more than {TABULATED} contexts")
     fields = ", ".join(f"{prefix}{tree.ids[id(c)]} array<array<double>>" for _, c, _ in tree.branches())
-    return F.broadcast(spark.createDataFrame(rows, f"{prefix} string, {fields}"))
+    return F.broadcast(spark.createDataFrame(rows, f"{prefix} string, {'phase int, ' if model.periodic else ''}{fields}"))
+
+
+def known_contexts(spark: SparkSession, model: ContextModel) -> DataFrame:
+    """(ctx[, phase]): what chooses a matrix of the model, made on the driver."""
+    rows = [(c, f) for f, c in model.models]
+    return spark.createDataFrame(rows, "ctx string, phase int") if model.periodic else spark.createDataFrame(rows, "ctx string, phase int").select("ctx")
 
 
 def context_likelihood(patterns: DataFrame, tree: Tree, model: ContextModel, symbol_of, engine: str = "TRCO", context_col: str = "ctx", out: str = "ll") -> DataFrame:
     """RCO: the root's left context chooses P on the root's branch; TRCO: on all branches. A missing root residue gives 0
-    (RCO) or the log of the sum over residues (TRCO)."""
-    before, plain, top = patterns.columns, model.lookup(""), tree.root.children[0][0]
-    df = patterns.withColumn("_ctx", trimmed(F.col(context_col), model)).join(_p_table(patterns.sparkSession, tree, model, "_p").withColumnRenamed("_p", "_ctx"), "_ctx")
-    p_of = lambda node, d: F.col(f"_p{tree.ids[id(node)]}") if engine == "TRCO" or node is top else plain.at(d)
+    (RCO) or the log of the sum over residues (TRCO). Of a periodic model the matrices are those of the pattern's `phase`."""
+    before, top, spark = patterns.columns, tree.root.children[0][0], patterns.sparkSession
+    by = ["_ctx", "phase"] if model.periodic else ["_ctx"]
+    df = patterns.withColumn("_ctx", trimmed(F.col(context_col), model)).join(_p_table(spark, tree, model, "_p").withColumnRenamed("_p", "_ctx"), by)
+    if engine == "TRCO":
+        p_of = lambda node, d: F.col(f"_p{tree.ids[id(node)]}")
+    elif model.periodic:  # below the root's branch, order 0 of the phase
+        df = df.join(_p_table(spark, tree, model, "_q").where("_q = ''").drop("_q"), "phase")
+        p_of = lambda node, d: F.col(f"_{'p' if node is top else 'q'}{tree.ids[id(node)]}")
+    else:
+        plain = model.lookup("")
+        p_of = lambda node, d: F.col(f"_p{tree.ids[id(node)]}") if node is top else plain.at(d)
     return column_likelihood(df, tree, p_of, symbol_of, out, "sum" if engine == "TRCO" else "zero").select(*before, out)
 
 
 def leaf_context_likelihood(sites: DataFrame, tree: Tree, model: ContextModel, symbol_of, context_of, out: str = "ll") -> DataFrame:
-    """LCO: a leaf's own left context chooses P on its branch, the root's on all other branches."""
+    """LCO: a leaf's own left context chooses P on its branch, the root's on all other branches; of a periodic model, the
+    matrices of the row's `phase`. Symbols and contexts are those of the model's own states."""
     before, df = sites.columns, sites
     taxa = [tree.root.name, *tree.root.leaves()]
     for k, name in enumerate(taxa):
         at = f"_x{k}_"
-        df = df.withColumn(at, trimmed(context_of(name), model)).join(_p_table(sites.sparkSession, tree, model, at), at)
+        df = df.withColumn(at, trimmed(context_of(name), model)).join(_p_table(sites.sparkSession, tree, model, at), [at, "phase"] if model.periodic else at)
     held = {id(c): F.col(f"_x{0 if c.children else taxa.index(c.name)}_{tree.ids[id(c)]}") for _, c, _ in tree.branches()}
-    return column_likelihood(df, tree, lambda node, d: held[id(node)], symbol_of, out, "zero").select(*before, out)
+    return column_likelihood(df, tree, lambda node, d: held[id(node)], symbol_of, out, "zero", states_of(model)).select(*before, out)
 
 
 def fitch_likelihood(sites: DataFrame, tree: Tree, model: ContextModel | Model, state_of: Callable[[str], Column], context_of: Callable[[str], Column] | None = None, out: str = "ll") -> DataFrame:
@@ -249,8 +278,11 @@ def evaluate(tracks: DataFrame, tree: Tree, model, context_type: str, names: lis
     """(block, col, ll) of every column whose target has a base, by the engine that the context type names.
 
     A dual model serves HOG alone; all other engines take its parent contexts. HOG needs a dual model, NMER an n-mer model.
-    Contexts are trimmed after their right-most gap, and those of a block's first columns are shorter. names: the taxa in
-    the order of the track numbers, the tree's root first.
+    Contexts are trimmed after their right-most gap, and those of a block's first columns are shorter. A periodic model
+    serves RCO, TRCO and LCO: the matrices of a column are those of (phase + col) % 3, with the block's phase, which
+    running_phase sets so that it runs on over the ends of blocks. A model of gap patterns serves LCO alone: there every
+    symbol is a state, so nothing is missing and contexts are not trimmed. names: the taxa in the order of the track
+    numbers, the tree's root first.
     """
     kind = named(context_type, CONTEXT_TYPES)
     if kind in ("AMINO", "CODON"):
@@ -261,18 +293,30 @@ def evaluate(tracks: DataFrame, tree: Tree, model, context_type: str, names: lis
         raise ValueError("HOG needs a dual model")
     if kind not in ("NMER", "HOG"):
         model = model.ancestral()
+    periodic, gaps = kind != "NMER" and model.periodic, kind != "NMER" and states_of(model) == GAPS
+    if periodic and kind not in ("RCO", "TRCO", "LCO"):
+        raise ValueError(f"no periodic models in {kind}")
+    if gaps and kind != "LCO":
+        raise ValueError("models of gap patterns are for LCO")
     order = model.n - 1 if kind == "NMER" else model.order
     target = names[0]
     base = F.col(target).isin(*BASES)
+    codon = ((F.col("phase") + F.col("col")) % 3).cast("int")
     if kind in ("RCO", "TRCO"):
-        sites = with_context(left_sites(tracks, len(names), order, [0]).where(base), target, order, "ctx").withColumn("ctx", trimmed(F.col("ctx"), model))
-        known = tracks.sparkSession.createDataFrame([(c,) for _, c in model.models], "ctx string")
+        sites = with_context(left_sites(tracks, len(names), order, [0]).where(base), target, order, "ctx").withColumn("ctx", trimmed(F.col("ctx"), model)).withColumn("phase", codon)
+        known = known_contexts(tracks.sparkSession, model)
         return with_likelihood(sites, names, lambda df: context_likelihood(df, tree, model, F.col, kind, "ctx", out), known, out).select("block", "col", out)
-    sites = left_sites(tracks, len(names), order, list(range(len(names))))
+    sites = left_sites(tracks, len(names), order, list(range(len(names)))).withColumn("phase", codon)
+    if gaps:
+        whole = lambda n: F.concat(F.lit(""), *(gap_state(F.col(f"{n}_l{k}")) for k in range(order, 0, -1)))
+        sites = sites.where(base).select("block", "col", "phase", *(gap_state(F.col(n)).alias(n) for n in names), *(trimmed(whole(n), model).alias(f"{n}_ctx") for n in names))
+        keys = names + [f"{n}_ctx" for n in names] + ["phase"] * periodic
+        ll = leaf_context_likelihood(sites.select(*keys).distinct(), tree, model, F.col, lambda n: F.col(f"{n}_ctx"), out)
+        return sites.join(ll, keys).select("block", "col", out)
     if kind == "LCO":
         for n in names:
             sites = with_context(sites, n, order, f"{n}_ctx").withColumn(f"{n}_ctx", trimmed(F.col(f"{n}_ctx"), model))
-        keys = names + [f"{n}_ctx" for n in names]
+        keys = names + [f"{n}_ctx" for n in names] + ["phase"] * periodic
         patterns = sites.where(base).select(*(normal(F.col(k)).alias(k) if k in names else F.col(k) for k in keys)).distinct()
         ll = leaf_context_likelihood(patterns, tree, model, F.col, lambda n: F.col(f"{n}_ctx"), out)
     elif kind == "MP":
@@ -301,11 +345,18 @@ def evaluate(tracks: DataFrame, tree: Tree, model, context_type: str, names: lis
 
 
 def gap_rewriting(tracks: DataFrame, tree: Tree, nucleotides: ContextModel, gaps: ContextModel, names: list[str], out: str = "ll") -> DataFrame:
-    """Composite of a column: RCO under the model of bases plus LCO under the model of gap patterns."""
+    """Composite of a column: RCO under the model of bases plus LCO under the model of gap patterns, whose states are N - .
+    (a second model of bases is scored over bases)."""
     one = evaluate(tracks, tree, nucleotides, "RCO", names, "_rco")
     return one.join(evaluate(tracks, tree, gaps, "LCO", names, "_lco"), ["block", "col"]).select("block", "col", (F.col("_rco") + F.col("_lco")).alias(out))
 
 
+def running_phase(tracks: DataFrame, n: int) -> DataFrame:
+    """The tracks with each block's phase as it runs on over the ends of blocks, laid end to end in the order of numbers."""
+    starts = concatenated(tracks, n).select("block", (F.col("start") % 3).cast("int").alias("phase"))
+    return tracks.drop("phase").join(starts, "block")
+
+
 def less_ancestral(tracks: DataFrame, tree: Tree, model: ContextModel, context_type: str, names: list[str]) -> DataFrame:
     """One row: the log-likelihood of all columns by an engine less that by ACO."""
     total = lambda kind: evaluate(tracks, tree, model, kind, names).agg(F.sum("ll").alias(kind))
@@ -329,9 +380,13 @@ def best_frame(columns: DataFrame, ll: str = "ll", weight: str | None = None) ->
 
 
 def prefix_sums(columns: DataFrame, ll: str = "ll") -> DataFrame:
-    """(block, col, cum): running sums within each block, for range queries by two look-ups."""
-    w = Window.partitionBy("block").orderBy("col").rowsBetween(Window.unboundedPreceding, 0)
-    return columns.select("block", "col", F.sum(ll).over(w).alias("cum"))
+    """(block, col, cum): running sums within each block, for range queries by two look-ups: sums within stretches, and the
+    sums of the stretches before, which a table with a row for each stretch carries."""
+    cut = columns.select("block", stretch_of(F.col("col")).alias("stretch"), "col", F.col(ll).alias("_ll"))
+    w = Window.partitionBy("block", "stretch").orderBy("col").rowsBetween(Window.unboundedPreceding, 0)
+    before = carried(cut.groupBy("block", "stretch").agg(F.sum("_ll").alias("_sum")), "_sum", "_before")
+    within = cut.select("block", "stretch", "col", F.sum("_ll").over(w).alias("_cum"))
+    return within.join(before, ["block", "stretch"]).select("block", "col", (F.col("_before") + F.col("_cum")).alias("cum"))
 
 
 def cumulative(columns: DataFrame, ll: str = "ll") -> DataFrame:

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cladeframe.operators.alignment import stretch_of
 from cladeframe.operators.tree import Node, Tree
 
 BASES = "ACGT"
@@ -22,64 +23,71 @@ def lowest(states: Column) -> Column:
     return reduce(lambda a, k: a.when(states.bitwiseAND(F.lit(1 << k)) != 0, F.lit(BASES[k])), range(4), F).otherwise(F.lit("."))
 
 
-def _parts(x: Node, tree: Tree) -> tuple[Column, Column]:
-    a, b = (F.col(f"_S{tree.ids[id(c)]}") for c, _ in x.children)
-    return a, b
+#: Bit of a root taxon that holds no base: it is kept, after all bases.
+NO_BASE = 16
 
 
-def fitch(sites: DataFrame, tree: Tree, symbol_of) -> DataFrame:
-    """Adds a column per inner node: its most parsimonious base (lowest on ties).
+def _up(tree: Tree, symbol_of, join) -> tuple[Column, dict[int, int]]:
+    """An array with the set of every node, leaves first, and where each node stands in it. One fold over the tree's nodes,
+    so the expression does not grow with the depth of the tree."""
+    leaves = [x for x in tree.nodes if not x.children]
+    inner = [x for x in tree.nodes if x.kind == "INTERNAL"]  # children first
+    at = {id(x): k for k, x in enumerate([*leaves, *inner])}
+    sets = F.array(*(mask(symbol_of(x.name)) for x in leaves))
+    steps = F.array(*(F.struct(*(F.lit(at[id(c)]).alias(n) for n, (c, _) in zip("lr", x.children, strict=True))) for x in inner))
+    return F.aggregate(steps, sets, lambda acc, n: F.concat(acc, F.array(join(F.get(acc, n["l"]), F.get(acc, n["r"]))))), at
 
-    Up: intersection of the children's sets, else union. Down: with the parent's final set Fa, F = S & Fa; where that is
-    not all of Fa, F = ((Sq | Sr) & Fa) | S if the children meet, else S | Fa.
-    """
-    before, inner = sites.columns, [x for x in tree.nodes if x.kind == "INTERNAL"]
-    df = sites
-    for x in tree.nodes:
-        s = f"_S{tree.ids[id(x)]}"
-        if not x.children:
-            df = df.withColumn(s, mask(symbol_of(x.name)))
-        elif x.kind == "INTERNAL":
-            a, b = _parts(x, tree)
-            df = df.withColumn(s, F.when(a.bitwiseAND(b) != 0, a.bitwiseAND(b)).otherwise(a.bitwiseOR(b)))
+
+def _down(sites: DataFrame, tree: Tree, symbol_of, join, rule, top: Column) -> tuple[DataFrame, dict[int, Column]]:
+    """The sites with _F, the final set of every inner node from the top, each of one state at most, and where to find them.
+    rule(S, L, R, Fa): a node's set before its tie is resolved; top: what the root taxon lends the node below it."""
+    sets, at = _up(tree, symbol_of, join)
     order: list[Node] = []
     tree.visit(order.append, "pre")
-    for x in order:
-        if x.kind != "INTERNAL":
-            continue
-        s, f = F.col(f"_S{tree.ids[id(x)]}"), f"_F{tree.ids[id(x)]}"
-        up = tree.parent.get(id(x))
-        if up is None:
-            df = df.withColumn(f, s)
-            continue
-        fa = mask(symbol_of(up[0].name)) if up[0].kind == "ROOT" else F.col(f"_F{tree.ids[id(up[0])]}")
-        a, b = _parts(x, tree)
+    order = [x for x in order if x.kind == "INTERNAL"]
+    place = {id(x): k for k, x in enumerate(order, 1)}
+    above = lambda x: place.get(id(tree.parent[id(x)][0]), 0) if id(x) in tree.parent else -1
+    numbers = lambda x: {"s": at[id(x)], "l": at[id(x.children[0][0])], "r": at[id(x.children[1][0])], "up": above(x)}
+    steps = F.array(*(F.struct(*(F.lit(v).alias(k) for k, v in numbers(x).items())) for x in order))
+
+    def final(acc, n):
+        s, left, right = (F.get(F.col("_S"), n[k]) for k in "slr")
+        found = F.when(n["up"] < 0, rule(s, left, right, None)).otherwise(rule(s, left, right, F.get(acc, n["up"])))
+        return F.concat(acc, F.array(found.bitwiseAND(-found)))  # the lowest state alone
+
+    df = sites.withColumn("_S", sets).withColumn("_F", F.aggregate(steps, F.array(top), final))
+    return df, {id(x): F.get("_F", F.lit(k)) for k, x in enumerate(order, 1)}
+
+
+def fitch(sites: DataFrame, tree: Tree, symbol_of) -> DataFrame:
+    """Adds a column per inner node: its most parsimonious base (lowest on ties, `.` where nothing below has one).
+
+    Up: intersection of the children's sets, else union. Down, from the top: with the parent's final set Fa, F = S & Fa;
+    where that is not all of Fa, F = ((Sq | Sr) & Fa) | S if the children meet, else S | Fa. A tie is resolved at each node
+    before its children are looked at, so Fa is always one state. A root taxon without a base lends its symbol to what
+    would otherwise be empty.
+    """
+
+    def rule(s, a, b, fa):
+        if fa is None:
+            return s
         both = s.bitwiseAND(fa)
-        df = df.withColumn(f, F.when((both == fa) & (fa != 0), both).when(fa == 0, s).when(a.bitwiseAND(b) != 0, a.bitwiseOR(b).bitwiseAND(fa).bitwiseOR(s)).otherwise(s.bitwiseOR(fa)))
-    return df.select(*before, *(lowest(F.col(f"_F{tree.ids[id(x)]}")).alias(x.name) for x in inner))
+        return F.when(both == fa, both).when(a.bitwiseAND(b) != 0, a.bitwiseOR(b).bitwiseAND(fa).bitwiseOR(s)).otherwise(s.bitwiseOR(fa))
+
+    join = lambda a, b: F.when(a.bitwiseAND(b) != 0, a.bitwiseAND(b)).otherwise(a.bitwiseOR(b))
+    root = symbol_of(tree.root.name) if tree.root.kind == "ROOT" else F.lit(".")
+    df, final = _down(sites, tree, symbol_of, join, rule, F.when(root.isin(*BASES), mask(root)).otherwise(F.lit(NO_BASE)))
+    state = lambda f: F.when(f == NO_BASE, F.when(root.isin("-", "N"), root).otherwise(".")).otherwise(lowest(f))
+    return df.select(*sites.columns, *(state(final[id(x)]).alias(x.name) for x in tree.nodes if x.kind == "INTERNAL"))
 
 
 def single_gain(sites: DataFrame, tree: Tree, symbol_of) -> DataFrame:
-    """Each state is gained once: up, unions; down, X = (L & R) | (parent & X); the top keeps L & R. Lowest on ties."""
-    before, inner = sites.columns, [x for x in tree.nodes if x.kind == "INTERNAL"]
-    df = sites
-    for x in tree.nodes:
-        s = f"_S{tree.ids[id(x)]}"
-        if not x.children:
-            df = df.withColumn(s, mask(symbol_of(x.name)))
-        elif x.kind == "INTERNAL":
-            a, b = _parts(x, tree)
-            df = df.withColumn(s, a.bitwiseOR(b))
-    order: list[Node] = []
-    tree.visit(order.append, "pre")
-    for x in order:
-        if x.kind != "INTERNAL":
-            continue
-        a, b = _parts(x, tree)
-        s, up = F.col(f"_S{tree.ids[id(x)]}"), tree.parent.get(id(x))
-        fa = F.lit(0) if up is None else mask(symbol_of(up[0].name)) if up[0].kind == "ROOT" else F.col(f"_F{tree.ids[id(up[0])]}")
-        df = df.withColumn(f"_F{tree.ids[id(x)]}", a.bitwiseAND(b).bitwiseOR(fa.bitwiseAND(s)))
-    return df.select(*before, *(lowest(F.col(f"_F{tree.ids[id(x)]}")).alias(x.name) for x in inner))
+    """Each state is gained once: up, unions; down, X = (L & R) | (parent & X), resolved at each node (lowest on ties)
+    before its children are looked at. The node at the top, and the one under a root taxon, whose own residue takes no
+    part in this rule, keep L & R; L and R are the sets of the way up."""
+    rule = lambda s, a, b, fa: a.bitwiseAND(b) if fa is None else a.bitwiseAND(b).bitwiseOR(fa.bitwiseAND(s))
+    df, final = _down(sites, tree, symbol_of, lambda a, b: a.bitwiseOR(b), rule, F.lit(0))
+    return df.select(*sites.columns, *(lowest(final[id(x)]).alias(x.name) for x in tree.nodes if x.kind == "INTERNAL"))
 
 
 def majority(sites: DataFrame, tree: Tree, symbol_of) -> DataFrame:
@@ -117,14 +125,25 @@ def majority(sites: DataFrame, tree: Tree, symbol_of) -> DataFrame:
 
 
 def indel_runs(sites: DataFrame, parent: str, child: str) -> DataFrame:
-    """(block, start, op, len): runs of I (only the child has a residue), D (only the parent), S (both), by columns."""
+    """(block, start, op, len): runs of I (only the child has a residue), D (only the parent), S (both), by columns.
+
+    Runs are found within stretches. Only the first and the last run of a stretch can go on in another one, so those alone
+    are put in order over a whole block, and joined where they meet with the same op."""
     have = lambda c: F.col(c).isin(*BASES)
     op = F.when(have(parent) & have(child), "S").when(have(child), "I").when(have(parent), "D")
-    df = sites.select("block", "col", op.alias("op")).where("op is not null")
-    w = Window.partitionBy("block").orderBy("col")
+    df = sites.select("block", stretch_of(F.col("col")).alias("stretch"), "col", op.alias("op")).where("op is not null")
+    w = Window.partitionBy("block", "stretch").orderBy("col")
     df = df.withColumn("new", F.coalesce((F.lag("op").over(w) != F.col("op")).cast("int"), F.lit(1)))
     df = df.withColumn("run", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return df.groupBy("block", "run", "op").agg(F.min("col").alias("start"), F.count("*").alias("len")).select("block", F.col("start").cast("int").alias("start"), "op", "len")
+    runs = df.groupBy("block", "stretch", "run", "op").agg(F.min("col").alias("start"), F.count("*").alias("len"))
+    runs = runs.withColumn("outer", (F.col("run") == 1) | (F.col("run") == F.max("run").over(Window.partitionBy("block", "stretch"))))
+    over = Window.partitionBy("block").orderBy("start")
+    meets = (F.lag("op").over(over) == F.col("op")) & (F.lag("stretch").over(over) != F.col("stretch"))
+    ends = runs.where("outer").withColumn("new", F.coalesce((~meets).cast("int"), F.lit(1)))
+    ends = ends.withColumn("run", F.sum("new").over(over.rowsBetween(Window.unboundedPreceding, 0)))
+    ends = ends.groupBy("block", "run", "op").agg(F.min("start").alias("start"), F.sum("len").alias("len"))
+    out = ("block", F.col("start").cast("int").alias("start"), "op", F.col("len").cast("long").alias("len"))
+    return runs.where("not outer").select(*out).union(ends.select(*out))
 
 
 def append_history(ops: list[tuple[str, int]], more: list[tuple[str, int]]) -> list[tuple[str, int]]:

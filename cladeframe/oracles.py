@@ -6,11 +6,12 @@ from math import exp, log
 
 from cladeframe.functions.models import Model
 from cladeframe.operators.tree import Node
-from cladeframe.plans.views import TRACKS_SQL
-from cladeframe.queries import ADDITIVE, CONTEXTS, DUAL, HKY, JC, NAMES, ORDER, PHASES, TREE
+from cladeframe.plans.views import TRACKS_SQL, tracks_sql
+from cladeframe.queries import ADDITIVE, CONTEXTS, DUAL, GAP_CONTEXTS, HKY, JC, LADDER, LADDER_NAMES, NAMES, ORDER, PERIODIC, PHASES, TREE
 
 BASES = "ACGT"
 _WITH = f"WITH {TRACKS_SQL}"
+_STARTS = "SELECT block, sum(len) OVER (ORDER BY block) - len AS start FROM (SELECT block, max(length(seq)) AS len FROM tracks GROUP BY block) WHERE len > 0"
 _RESIDUE = "{0} NOT IN ('-', '.', '~', ' ')"
 
 
@@ -92,28 +93,68 @@ def _contextual(engine: str) -> str:
     return f"{_WITH}, c AS (SELECT *, {ctx} AS ctx FROM wide WINDOW w AS (PARTITION BY block ORDER BY col)) SELECT ctx, count(*) AS n_cols, round(sum(CASE ctx {cases} END), 4) AS ll FROM c WHERE {_USABLE} GROUP BY ctx"
 
 
-def _own_contexts(out: str = "") -> str:
-    """Pruning where a leaf's left context chooses the model of its branch and the root's that of all other branches."""
-    by = {c: m for (_, c), m in CONTEXTS.models.items()}
+def _gap_closed(model: Model, t: float) -> list[list[float]]:
+    """P = I + Q (1 - e^(-st)) / s over the states N - . ; only N can change, at s in all."""
+    dash, dot = model.params
+    s = dash + dot
+    gone = (1 - exp(-s * t)) / s
+    return [[1 - s * gone, dash * gone, dot * gone], [0.0, 1.0, 0.0], [0.0, 0.0, 1.0]]
+
+
+def _leaf_over(states: str, sym: str, p, a: int) -> str:
+    return f"(CASE {sym} " + " ".join(f"WHEN '{b}' THEN {_num(p[a][j])}" for j, b in enumerate(states)) + " ELSE 1e0 END)"
+
+
+def _own_ll(by: dict[str, Model], states: str, p_of) -> str:
+    """ln by pruning where a leaf's left context chooses the model of its branch and the root's that of all other branches."""
 
     def leaf(name: str, a: int, d: float) -> str:
-        return f"(CASE {name}_ctx " + " ".join(f"WHEN '{c}' THEN {_leaf(name, _closed(m, d), a)}" for c, m in by.items()) + " END)"
+        return f"(CASE {name}_ctx " + " ".join(f"WHEN '{c}' THEN {_leaf_over(states, name, p_of(m, d), a)}" for c, m in by.items()) + " END)"
 
     def below(node: Node, a: int, root: str) -> str:
         parts = []
         for c, d in node.children:
-            p = _closed(by[root], d)
-            parts.append(leaf(c.name, a, d) if not c.children else "(" + " + ".join(f"{_num(p[a][b])} * {below(c, b, root)}" for b in range(4)) + ")")
+            p = p_of(by[root], d)
+            parts.append(leaf(c.name, a, d) if not c.children else "(" + " + ".join(f"{_num(p[a][b])} * {below(c, b, root)}" for b in range(len(states)) if p[a][b]) + ")")
         return "(" + " * ".join(parts) + ")"
 
-    ll = "CASE t0_ctx || t0 " + " ".join(f"WHEN '{c}{b}' THEN ln({below(TREE.root, a, c)})" for c in by for a, b in enumerate(BASES)) + " END"
-    ctx = ", ".join(f"regexp_extract(coalesce(lag({k}, 1) OVER w, ''), '([ACGT]*)$', 1) AS {k}_ctx" for k in NAMES)
-    rows = f"{_WITH}, c AS (SELECT *, {ctx} FROM wide WINDOW w AS (PARTITION BY block ORDER BY col))"
+    return "CASE t0_ctx || t0 " + " ".join(f"WHEN '{c}{b}' THEN ln({below(TREE.root, a, c)})" for c in by for a, b in enumerate(states)) + " END"
+
+
+_OWN_CTX = ", ".join(f"regexp_extract(coalesce(lag({k}, 1) OVER w, ''), '([ACGT]*)$', 1) AS {k}_ctx" for k in NAMES)
+
+
+def _own_contexts(out: str = "") -> str:
+    ll = _own_ll({c: m for (_, c), m in CONTEXTS.models.items()}, BASES, _closed)
+    rows = f"{_WITH}, c AS (SELECT *, {_OWN_CTX} FROM wide WINDOW w AS (PARTITION BY block ORDER BY col))"
     if out:
         return f"{rows} SELECT block, col, {ll} AS ll FROM c WHERE {_USABLE}"
     return f"{rows} SELECT t1_ctx AS ctx, count(*) AS n_cols, round(sum({ll}), 4) AS ll FROM c WHERE {_USABLE} GROUP BY 1"
 
 
+def _gap_contexts() -> str:
+    """(block, col, ll) of the gap process: every symbol a state, the state before it the context."""
+    state = lambda t: f"CASE WHEN {t} IN ('A', 'C', 'G', 'T') THEN 'N' WHEN {t} = '-' THEN '-' ELSE '.' END"
+    ll = _own_ll({c: m for (_, c), m in GAP_CONTEXTS.models.items()}, "N-.", _gap_closed)
+    ctx = ", ".join(f"coalesce(lag({t}, 1) OVER w, '') AS {t}_ctx" for t in NAMES)
+    return f"{_WITH}, g AS (SELECT block, col, {_USABLE} AS usable, {', '.join(f'{state(t)} AS {t}' for t in NAMES)} FROM wide), c AS (SELECT *, {ctx} FROM g WINDOW w AS (PARTITION BY block ORDER BY col)) SELECT block, col, {ll} AS ll FROM c WHERE usable"
+
+
+def _periodic(engine: str, phase: str) -> str:
+    """(block, col, ll) under the models of three codon positions; phase: of a block's first column."""
+    top = TREE.root.children[0][0]
+    cases = []
+    for f in range(3):
+        by = {c: m for (g, c), m in PERIODIC.models.items() if g == f}
+        if engine == "LCO":
+            cases.append(f"WHEN {f} THEN {_own_ll(by, BASES, _closed)}")
+        else:
+            p_of = lambda m, by=by: lambda c, d: _closed(m if engine == "TRCO" or c is top else by[""], d)
+            cases.append(f"WHEN {f} THEN CASE t0_ctx " + " ".join(f"WHEN '{c}' THEN {_ll(p_of(m))}" for c, m in by.items()) + " END")
+    rows = f"{_WITH}, b AS ({_STARTS}), c AS (SELECT wide.*, start, {_OWN_CTX} FROM wide JOIN b ON b.block = wide.block WINDOW w AS (PARTITION BY wide.block ORDER BY col))"
+    return f"{rows} SELECT block, col, CASE CAST(({phase} + col) % 3 AS INTEGER) {' '.join(cases)} END AS ll FROM c WHERE {_USABLE}"
+
+
 def _root_contexts(engine: str) -> str:
     """(block, col, ll) of the engines that look at the root's context."""
     top = TREE.root.children[0][0]
@@ -168,14 +209,13 @@ def _framed(rows: str, digits: int = 4) -> str:
     return f"SELECT CAST(col % 3 AS INTEGER) AS frame, count(*) AS n_cols, round(sum(ll), {digits}) AS ll FROM ({rows}) GROUP BY 1"
 
 
-def _parent_contexts() -> str:
+def _parent_contexts(tree=TREE, names=NAMES) -> str:
     """Fitch states of every column, then each branch by the base that its parent has in the column before."""
     by = {c: m for (_, c), m in CONTEXTS.models.items()}
-    parents = dict.fromkeys(x.name for x, _, _ in TREE.branches())
+    parents = dict.fromkeys(x.name for x, _, _ in tree.branches())
     ctx = ", ".join(f"""coalesce(CASE WHEN lag("{n}", 1) OVER w IN ('A', 'C', 'G', 'T') THEN lag("{n}", 1) OVER w END, '') AS "{n}_ctx\"""" for n in parents)
-    total = " + ".join(f"""(CASE "{x.name}_ctx" """ + " ".join(f"WHEN '{k}' THEN {_logp(chr(34) + x.name + chr(34), chr(34) + c.name + chr(34), d, m)}" for k, m in by.items()) + " END)" for x, c, d in TREE.branches())
-    states = _FITCH.replace(f" FROM wide WHERE {_USABLE}", " FROM wide")
-    return f"{_WITH}, {states}, k AS (SELECT *, {ctx} FROM named WINDOW w AS (PARTITION BY block ORDER BY col)) SELECT block, col, {total} AS ll FROM k WHERE {_USABLE}"
+    total = " + ".join(f"""(CASE "{x.name}_ctx" """ + " ".join(f"WHEN '{k}' THEN {_logp(chr(34) + x.name + chr(34), chr(34) + c.name + chr(34), d, m)}" for k, m in by.items()) + " END)" for x, c, d in tree.branches())
+    return f"WITH {tracks_sql(len(names))}, {_states_sql(tree, names, 'fitch')}, k AS (SELECT *, {ctx} FROM named WINDOW w AS (PARTITION BY block ORDER BY col)) SELECT block, col, {total} AS ll FROM k WHERE {_USABLE}"
 
 
 def _phases() -> str:
@@ -207,14 +247,35 @@ def _low(x: str) -> str:
     return f"(CASE WHEN {x} & 1 <> 0 THEN 'A' WHEN {x} & 2 <> 0 THEN 'C' WHEN {x} & 4 <> 0 THEN 'G' WHEN {x} & 8 <> 0 THEN 'T' ELSE '.' END)"
 
 
-_BITS = f"bits AS (SELECT *, {_mask('t0')} AS r, {_mask('t1')} AS b1, {_mask('t2')} AS b2, {_mask('t3')} AS b3 FROM wide WHERE {_USABLE})"
-_DOWN = "CASE WHEN {s} & {fa} = {fa} AND {fa} <> 0 THEN {s} & {fa} WHEN {fa} = 0 THEN {s} WHEN {q} & {p} <> 0 THEN (({q} | {p}) & {fa}) | {s} ELSE {s} | {fa} END"
-_FITCH = f"""{_BITS},
-u2 AS (SELECT *, CASE WHEN b1 & b2 <> 0 THEN b1 & b2 ELSE b1 | b2 END AS s2 FROM bits),
-u1 AS (SELECT *, CASE WHEN s2 & b3 <> 0 THEN s2 & b3 ELSE s2 | b3 END AS s1 FROM u2),
-d1 AS (SELECT *, {_DOWN.format(s='s1', fa='r', q='s2', p='b3')} AS f1 FROM u1),
-d2 AS (SELECT *, {_DOWN.format(s='s2', fa='f1', q='b1', p='b2')} AS f2 FROM d1),
-named AS (SELECT *, {_low('f1')} AS "A1", {_low('f2')} AS "A2" FROM d2)"""
+def _states_sql(tree, names: list[str], rule: str) -> str:
+    """CTE `named`: the wide columns with a column per inner node, by Fitch or by single gain, set by set up the tree and
+    then down it, where the state of a node is chosen before its children's."""
+    one = lambda x: f"(({x}) & -({x}))"
+    up, down, taxa = [], [], [f"{_mask(t)} AS s_{t}" for t in names[1:]]
+    inner = [x for x in tree.nodes if x.kind == "INTERNAL"]
+    for x in inner:
+        a, b = (f"s_{c.name}" for c, _ in x.children)
+        up.append((x.name, f"CASE WHEN {a} & {b} <> 0 THEN {a} & {b} ELSE {a} | {b} END" if rule == "fitch" else f"{a} | {b}"))
+    for x in reversed(inner):  # of a ladder, and of any tree whose nodes are listed children first
+        a, b = (f"s_{c.name}" for c, _ in x.children)
+        parent, s = tree.parent[id(x)][0], f"s_{x.name}"
+        root = parent.kind == "ROOT"
+        if rule == "fitch":
+            fa = f"(CASE WHEN {_mask(names[0])} = 0 THEN 16 ELSE {_mask(names[0])} END)" if root else f"f_{parent.name}"
+            f = f"CASE WHEN {s} & {fa} = {fa} THEN {s} & {fa} WHEN {a} & {b} <> 0 THEN (({a} | {b}) & {fa}) | {s} ELSE {s} | {fa} END"
+        else:
+            f = f"({a} & {b}) | ({s} & {0 if root else f'f_{parent.name}'})"
+        down.append((x.name, one(f)))
+    steps, last = [f"x0 AS (SELECT *, {', '.join(taxa)} FROM wide)"], "x0"
+    for k, (prefix, name, value) in enumerate([("s", *u) for u in up] + [("f", *d) for d in down], 1):
+        steps.append(f"x{k} AS (SELECT *, {value} AS {prefix}_{name} FROM {last})")
+        last = f"x{k}"
+    states = ", ".join(f"""{_low(f'f_{x.name}')} AS "{x.name}\"""" for x in inner)
+    return ", ".join(steps) + f", named AS (SELECT *, {states} FROM {last})"
+
+
+_FITCH = _states_sql(TREE, NAMES, "fitch")
+_GAIN = _states_sql(TREE, NAMES, "gain")
 
 
 def _logp(a: str, b: str, d: float, model: Model = JC) -> str:
@@ -266,7 +327,6 @@ def _strings(n: int) -> list[str]:
     return [""] if n == 0 else [x + c for x in BASES for c in _strings(n - 1)]
 
 
-_STARTS = "SELECT block, sum(len) OVER (ORDER BY block) - len AS start FROM (SELECT block, max(length(seq)) AS len FROM tracks GROUP BY block) WHERE len > 0"
 _RUNS = "{0} AS (SELECT block, min(col) AS pos FROM (SELECT block, col, op, row_number() OVER (PARTITION BY block ORDER BY col) - row_number() OVER (PARTITION BY block, op ORDER BY col) AS g FROM (SELECT block, col, CASE WHEN t0 IN ('A','C','G','T') AND {1} IN ('A','C','G','T') THEN 'S' WHEN {1} IN ('A','C','G','T') THEN 'I' WHEN t0 IN ('A','C','G','T') THEN 'D' END AS op FROM wide) WHERE op IS NOT NULL) WHERE op = 'D' GROUP BY block, g)"
 _CLEAR = "floor(CAST({0} AS DOUBLE) / {1} * 100 + 5e0 / 9)"
 
@@ -306,10 +366,12 @@ ORACLES = {
     "rco_likelihood": _contextual("RCO"),
     "trco_likelihood": _contextual("TRCO"),
     "prefix_sums": f"{_WITH}, c AS (SELECT block, col, sum({_ll(_plain(JC))}) OVER (PARTITION BY block ORDER BY col ROWS UNBOUNDED PRECEDING) AS cum FROM wide WHERE {_USABLE}) SELECT block, CAST(col // 500 AS BIGINT) AS part, round(max_by(cum, col), 6) AS cum FROM c GROUP BY ALL",
-    "fitch_states": f'{_WITH}, {_FITCH} SELECT "A1", "A2", count(*) AS n FROM named GROUP BY ALL',
-    "single_gain_states": f"""{_WITH}, {_BITS}, x AS (SELECT *, ((b1 | b2) & b3) | (r & (b1 | b2 | b3)) AS f1 FROM bits), y AS (SELECT *, (b1 & b2) | (f1 & (b1 | b2)) AS f2 FROM x),
-      z AS (SELECT {_low('f1')} AS "A1", {_low('f2')} AS "A2" FROM y) SELECT "A1", "A2", count(*) AS n FROM z GROUP BY ALL""",
-    "fitch_likelihood": f'{_WITH}, {_FITCH} SELECT "A1", count(*) AS n, round(sum({_MP}), 4) AS ll FROM named GROUP BY ALL',
+    "fitch_states": f'{_WITH}, {_FITCH} SELECT "A1", "A2", count(*) AS n FROM named WHERE {_USABLE} GROUP BY ALL',
+    "fitch_ladder": f'WITH {tracks_sql(6)}, {_states_sql(LADDER, LADDER_NAMES, "fitch")} SELECT "A1", "A2", "A3", "A4", count(*) AS n FROM named WHERE {_USABLE} GROUP BY ALL',
+    "single_gain_ladder": f'WITH {tracks_sql(6)}, {_states_sql(LADDER, LADDER_NAMES, "gain")} SELECT "A1", "A2", "A3", "A4", count(*) AS n FROM named WHERE {_USABLE} GROUP BY ALL',
+    "mp_ladder": _framed(_parent_contexts(LADDER, LADDER_NAMES)),
+    "single_gain_states": f'{_WITH}, {_GAIN} SELECT "A1", "A2", count(*) AS n FROM named WHERE {_USABLE} GROUP BY ALL',
+    "fitch_likelihood": f'{_WITH}, {_FITCH} SELECT "A1", count(*) AS n, round(sum({_MP}), 4) AS ll FROM named WHERE {_USABLE} GROUP BY ALL',
     "indel_runs": f"""{_WITH}, o AS (SELECT block, col, CASE WHEN t0 IN ('A','C','G','T') AND t1 IN ('A','C','G','T') THEN 'S' WHEN t1 IN ('A','C','G','T') THEN 'I' WHEN t0 IN ('A','C','G','T') THEN 'D' END AS op FROM wide),
       k AS (SELECT *, row_number() OVER (PARTITION BY block ORDER BY col) - row_number() OVER (PARTITION BY block, op ORDER BY col) AS g FROM o WHERE op IS NOT NULL),
       r AS (SELECT block, op, g, count(*) AS len FROM k GROUP BY ALL) SELECT block, op, count(*) AS runs, CAST(sum(len) AS BIGINT) AS columns, max(len) AS longest FROM r GROUP BY block, op""",
@@ -333,7 +395,11 @@ ORACLES = {
     "aco_likelihood": _framed(_slices(_ancestral)),
     "hog_likelihood": _framed(_slices(_dual)),
     "mp_likelihood": _framed(_parent_contexts()),
-    "gap_rewriting": _framed(f"SELECT x.col, x.ll + y.ll AS ll FROM ({_root_contexts('RCO')}) x JOIN ({_own_contexts('columns')}) y ON x.block = y.block AND x.col = y.col"),
+    "gap_rewriting": _framed(f"SELECT x.col, x.ll + y.ll AS ll FROM ({_root_contexts('RCO')}) x JOIN ({_gap_contexts()}) y ON x.block = y.block AND x.col = y.col"),
+    "gap_likelihood": _framed(_gap_contexts()),
+    "periodic_likelihood": _framed(_periodic("TRCO", "phase")),
+    "running_likelihood": _framed(_periodic("RCO", "start")),
+    "periodic_leaf_likelihood": _framed(_periodic("LCO", "phase")),
     "aco_difference": f"SELECT round((SELECT sum(ll) FROM ({_root_contexts('TRCO')})) - (SELECT sum(ll) FROM ({_slices(lambda x='', y='': CONTEXTS.models[0, x])})), 3) AS difference",
     "context_orders": _orders(),
     "combined_columns": f"{_WITH}, b AS ({_STARTS}), w AS (SELECT start + col AS col, t0, t1, t2, t3 FROM wide JOIN b ON b.block = wide.block), x AS ({' UNION ALL '.join(f'SELECT {k} AS track, col, t{k} AS sym FROM w' for k in range(4))}) SELECT CAST(track AS INTEGER) AS track, CAST(col // 1000 AS BIGINT) AS part, replace(sym, '~', '-') AS sym, count(*) AS n, CAST(sum(col) AS BIGINT) AS cols FROM x GROUP BY ALL",

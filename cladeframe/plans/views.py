@@ -14,9 +14,9 @@ MAPPED = ("ACGT" * 7)[:26]
 TRACKS = 4
 
 
-def tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(block, track, seq, phase); track 0 is the target."""
-    return tracks_of(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+def tracks(spark: SparkSession, sf_dir: str, n: int = TRACKS) -> DataFrame:
+    """(block, track, seq, phase), n texts a block; track 0 is the target."""
+    return tracks_of(spark.read.parquet(f"{sf_dir}/documents.parquet"), n)
 
 
 def track_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,19 +25,23 @@ def track_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tracks_of(spark.readStream.schema(schema).parquet(f"{sf_dir}/documents.parque[t]"))
 
 
-def tracks_of(docs: DataFrame) -> DataFrame:
+def tracks_of(docs: DataFrame, n: int = TRACKS) -> DataFrame:
     docs = docs.select("doc_id", "text").where("text is not null and doc_id is not null")
     seq = F.regexp_replace(F.translate(F.lower("text"), LETTERS, MAPPED), "[^ACGT]", "-")
-    block = F.floor(F.col("doc_id") / TRACKS).cast("long")
-    return docs.select(block.alias("block"), (F.col("doc_id") % TRACKS).cast("int").alias("track"), seq.alias("seq"), (block % 3).cast("int").alias("phase"))
+    block = F.floor(F.col("doc_id") / n).cast("long")
+    return docs.select(block.alias("block"), (F.col("doc_id") % n).cast("int").alias("track"), seq.alias("seq"), (block % 3).cast("int").alias("phase"))
 
 
-TRACKS_SQL = f"""tracks AS (
-  SELECT CAST(floor(doc_id / {TRACKS}) AS BIGINT) AS block, CAST(doc_id % {TRACKS} AS INTEGER) AS track,
+def tracks_sql(n: int = TRACKS) -> str:
+    """The tables tracks, sites and wide of the view."""
+    wide = ", ".join(f"coalesce(max(CASE WHEN track = {k} THEN sym END), '~') AS t{k}" for k in range(n))
+    return f"""tracks AS (
+  SELECT CAST(floor(doc_id / {n}) AS BIGINT) AS block, CAST(doc_id % {n} AS INTEGER) AS track,
          regexp_replace(translate(lower(text), '{LETTERS}', '{MAPPED}'), '[^ACGT]', '-', 'g') AS seq,
-         CAST(CAST(floor(doc_id / {TRACKS}) AS BIGINT) % 3 AS INTEGER) AS phase
+         CAST(CAST(floor(doc_id / {n}) AS BIGINT) % 3 AS INTEGER) AS phase
   FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL),
 sites AS (SELECT block, track, phase, unnest(string_split(seq, '')) AS sym, unnest(range(0, length(seq)))::INTEGER AS col FROM tracks WHERE seq <> ''),
-wide AS (SELECT block, phase, col, coalesce(max(CASE WHEN track = 0 THEN sym END), '~') AS t0, coalesce(max(CASE WHEN track = 1 THEN sym END), '~') AS t1,
-         coalesce(max(CASE WHEN track = 2 THEN sym END), '~') AS t2, coalesce(max(CASE WHEN track = 3 THEN sym END), '~') AS t3
-  FROM sites GROUP BY block, phase, col)"""
+wide AS (SELECT block, phase, col, {wide} FROM sites GROUP BY block, phase, col)"""
+
+
+TRACKS_SQL = tracks_sql()

@@ -20,6 +20,9 @@ from cladeframe.streaming import blocks as streaming
 NAMES = [f"t{k}" for k in range(TRACKS)]
 #: The target t0 is the root taxon; t1 and t2 are sisters, t3 their outgroup.
 TREE = Tree(Node("t0", [(Node("A1", [(Node("A2", [(Node("t1"), 0.2), (Node("t2"), 0.1)]), 0.15), (Node("t3"), 0.3)]), 0.1)]))
+#: Five leaves one after the other below the root taxon, where ties at one node decide what its children can be.
+LADDER_NAMES = [f"t{k}" for k in range(6)]
+LADDER = Tree(Node("t0", [(Node("A1", [(Node("A2", [(Node("A3", [(Node("A4", [(Node("t1"), 0.1), (Node("t2"), 0.2)]), 0.1), (Node("t3"), 0.2)]), 0.15), (Node("t4"), 0.25)]), 0.1), (Node("t5"), 0.3)]), 0.1)]))
 #: A larger tree for the tree operators.
 ADDITIVE = Tree(Node("root", [(Node("A3", [(Node("A2", [(Node("A1", [(Node("a"), 2.0), (Node("b"), 3.0)]), 3.0), (Node("c"), 4.0)]), 2.0), (Node("e"), 1.0)]), 1.0), (Node("d"), 1.0)]))
 JC = Model("JC", (0.25,))
@@ -32,6 +35,14 @@ DUAL = ContextModel(
     | {(0, f"{a}|{b}"): Model("JC", (0.15 + 0.05 * i,)) if a == b else Model("KIM", (0.3 + 0.1 * i, 0.2 + 0.05 * j)) for i, a in enumerate("ACGT") for j, b in enumerate("ACGT")},
     dual=True,
 )
+#: Gap patterns by the state before: residues, gaps and unaligned places.
+GAP_CONTEXTS = ContextModel(1, {(0, ""): Model("GAP", (0.3, 0.2)), (0, "N"): Model("GAP", (0.2, 0.1)), (0, "-"): Model("GAP", (0.8, 0.1)), (0, "."): Model("GAP", (0.1, 1.5))})
+#: Three context models, one for each codon position.
+PERIODIC = ContextModel(
+    1,
+    CONTEXTS.models | {(1, ""): HKY} | {(1, c): Model("FEL", (0.2 + 0.1 * k,), HKY.eq) for k, c in enumerate("ACGT")} | {(2, ""): Model("JC", (0.4,))} | {(2, c): Model("KIM", (0.2 + 0.1 * k, 0.3)) for k, c in enumerate("ACGT")},
+    periodic=True,
+)
 ORDER = 2
 #: Models of the three codon positions.
 PHASES = (JC, HKY, Model("FEL", (0.2,), (0.3, 0.2, 0.2, 0.3)))
@@ -157,21 +168,32 @@ def _summed(df, *by, digits=4):
     return df.groupBy(*by).agg(F.count("*").alias("n_cols"), F.round(F.sum("ll"), digits).alias("ll"))
 
 
+def _counted(sites, by, model):
+    """Site patterns counted by a key before they meet their log-likelihood: (key, patterns, n, ll)."""
+    return _scored(al.patterns(sites, NAMES, by), model)
+
+
 def block_likelihood(spark, sf_dir):
-    return _summed(_scored(_usable(spark, sf_dir), JC), "block", digits=6)
+    counts = _counted(_usable(spark, sf_dir), ["block"], JC)
+    return counts.groupBy("block").agg(F.sum("n").cast("long").alias("n_cols"), F.round(F.sum(F.col("n") * F.col("ll")), 6).alias("ll"))
+
+
+def _frames(spark, sf_dir):
+    return _counted(_usable(spark, sf_dir).withColumn("frame", (F.col("col") % 3).cast("int")), ["frame"], HKY)
 
 
 def frame_likelihood(spark, sf_dir):
-    return _summed(_scored(_usable(spark, sf_dir), HKY), (F.col("col") % 3).cast("int").alias("frame"))
+    return _frames(spark, sf_dir).groupBy("frame").agg(F.sum("n").cast("long").alias("n_cols"), F.round(F.sum(F.col("n") * F.col("ll")), 4).alias("ll"))
 
 
 def best_frame(spark, sf_dir):
-    return likelihood.best_frame(_scored(_usable(spark, sf_dir), HKY)).select("frame", F.round("total", 4).alias("total"))
+    counts = _frames(spark, sf_dir).withColumnRenamed("frame", "col")
+    return likelihood.best_frame(counts, weight="n").select("frame", F.round("total", 4).alias("total"))
 
 
 def _by_context(spark, sf_dir, engine):
     sites = al.with_context(al.left_sites(tracks(spark, sf_dir), TRACKS, CONTEXTS.order, [0]), "t0", CONTEXTS.order).where(F.col("t0").isin(*"ACGT"))
-    known = spark.createDataFrame([(c,) for _, c in CONTEXTS.models], "ctx string")
+    known = likelihood.known_contexts(spark, CONTEXTS)
     return _summed(likelihood.with_likelihood(sites, NAMES, lambda df: likelihood.context_likelihood(df, TREE, CONTEXTS, F.col, engine), known), "ctx")
 
 
@@ -202,9 +224,30 @@ def mp_likelihood(spark, sf_dir):
     return _by_frame(spark, sf_dir, "MP", CONTEXTS)
 
 
+def gap_likelihood(spark, sf_dir):
+    """Gap patterns as a process of the states N - . with leaf contexts."""
+    return _by_frame(spark, sf_dir, "LCO", GAP_CONTEXTS)
+
+
 def gap_rewriting(spark, sf_dir):
-    """The composite of a root-context and a leaf-context model."""
-    return _summed(likelihood.gap_rewriting(tracks(spark, sf_dir), TREE, CONTEXTS, CONTEXTS, NAMES), (F.col("col") % 3).cast("int").alias("frame"))
+    """The composite of a root-context model of bases and a leaf-context model of gap patterns."""
+    return _summed(likelihood.gap_rewriting(tracks(spark, sf_dir), TREE, CONTEXTS, GAP_CONTEXTS, NAMES), (F.col("col") % 3).cast("int").alias("frame"))
+
+
+def periodic_likelihood(spark, sf_dir):
+    """Root contexts on all branches, with the matrices of the codon position: (phase of the block + column) % 3."""
+    return _by_frame(spark, sf_dir, "TRCO", PERIODIC)
+
+
+def running_likelihood(spark, sf_dir):
+    """Root contexts on the root's branch, codon positions running on over the ends of blocks."""
+    df = likelihood.running_phase(tracks(spark, sf_dir), TRACKS)
+    return _summed(likelihood.evaluate(df, TREE, PERIODIC, "RCO", NAMES), (F.col("col") % 3).cast("int").alias("frame"))
+
+
+def periodic_leaf_likelihood(spark, sf_dir):
+    """Leaf contexts with the matrices of the codon position."""
+    return _by_frame(spark, sf_dir, "LCO", PERIODIC)
 
 
 def aco_difference(spark, sf_dir):
@@ -228,6 +271,25 @@ def single_gain_states(spark, sf_dir):
     return parsimony.single_gain(sites, TREE, F.col).groupBy("A1", "A2").agg(F.sum("n").cast("long").alias("n"))
 
 
+def _ladder(spark, sf_dir):
+    sites = al.wide_sites(tracks(spark, sf_dir, len(LADDER_NAMES)), len(LADDER_NAMES)).where(F.col("t0").isin(*"ACGT"))
+    return al.patterns(sites, LADDER_NAMES)
+
+
+def fitch_ladder(spark, sf_dir):
+    """Fitch states of four ancestors in a row."""
+    return parsimony.fitch(_ladder(spark, sf_dir), LADDER, F.col).groupBy("A1", "A2", "A3", "A4").agg(F.sum("n").cast("long").alias("n"))
+
+
+def single_gain_ladder(spark, sf_dir):
+    return parsimony.single_gain(_ladder(spark, sf_dir), LADDER, F.col).groupBy("A1", "A2", "A3", "A4").agg(F.sum("n").cast("long").alias("n"))
+
+
+def mp_ladder(spark, sf_dir):
+    """Ancestors by parsimony on five leaves, each branch by its parent's own left context."""
+    return _summed(likelihood.evaluate(tracks(spark, sf_dir, len(LADDER_NAMES)), LADDER, CONTEXTS, "MP", LADDER_NAMES), (F.col("col") % 3).cast("int").alias("frame"))
+
+
 def majority_states(spark, sf_dir):
     sites = al.patterns(_usable(spark, sf_dir), NAMES)
     return parsimony.majority(sites, TREE, F.col).groupBy("A1", "A2").agg(F.sum("n").cast("long").alias("n"))
@@ -431,6 +493,7 @@ QUERIES = {
         frame_likelihood, best_frame, rco_likelihood, trco_likelihood, prefix_sums, fitch_states, single_gain_states, majority_states, fitch_likelihood, indel_runs,
         fasta, tree_leaf_distances, tree_clades, tree_graph, tree_leaf_counts, transition_table, maf_round_trip, track_accuracy, renamed_target, range_sums,
         phase_prediction, lco_likelihood, nmer_likelihood, aco_likelihood, hog_likelihood, mp_likelihood, gap_rewriting, aco_difference, context_orders,
+        gap_likelihood, periodic_likelihood, running_likelihood, periodic_leaf_likelihood, fitch_ladder, single_gain_ladder, mp_ladder,
         combined_columns, attached_tracks, numbered_tracks, cumulative_likelihood, gap_patterns, context_priors, probability_maps, gamma_density, rerooted_distances, pruned_distances, stream_composition, trained_tree,
     )
 }
