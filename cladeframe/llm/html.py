@@ -1,6 +1,7 @@
 """Main text of web pages: markup drops what names itself as no content, and a suffix array over each host decides the rest.
 
-Markup: scripts, menus, forms and the like, and elements whose class, id or role names them so, never count. All other
+Markup: scripts, menus, forms and the like, and elements whose class, id or role names them so, never count, unless such a
+named element holds most of the page's text and its articles, as a frame around the page does. All other
 blocks, inside an article or main element or not, are the page's body. The token streams of a host's pages (bodies, and
 blocks that markup set aside) are one text, and words of a body go where they lie in a substring of RUN tokens or more
 that occurs in another body of the host too; unique runs stay. Pages of one host with equal bodies are one body, and
@@ -10,18 +11,23 @@ Bodies are linked as copies where they share half of the smaller one's suffixes,
 suffixes that more than half of its bodies, three at least, hold. Each body is compared with the least and the greatest
 body of its repeated suffixes, so the work is linear, and groups are what links reach.
 
-The suffix array is distributed and sparse. First each body names the least 4-token string of every window of RUN tokens:
-equal windows have equal ones, about a third of all places are named, and 48 bits of each are compared by ranges in sorted
-order. Only suffixes whose window holds one that two bodies name can be repeated. These are put in order by ranges of
-their key (of the host and their first RUN tokens), sorted, and neighbours are compared; an interval of one key with two
-distinct bodies is a repeat. An interval shared by many pages is streamed, so a menu on a third of all pages needs no memory.
+The suffix array is distributed and sparse. First each page names the least 4-token string of every window of RUN tokens:
+equal windows have equal ones, about a third of all places are named, and 40 to 48 bits of each are compared by ranges in
+sorted order; the number of ranges and the size of their bit map follow the number of names. Only suffixes whose window
+holds one that a body and another page name can be repeated. These suffixes are sorted by the hash of their host and their
+first RUN tokens, not by the letter, and neighbours are compared: an interval of one key with two distinct bodies is a
+repeat, and the maximal runs of a body are the unions of its repeated windows. An interval shared by many pages is
+streamed, so a menu on a third of all pages needs no memory.
 """
 
 from __future__ import annotations
 
 import html
 import re
+import zlib
+from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -36,42 +42,76 @@ RUN = 8
 NAME = 4
 #: Share of the smaller body's suffixes outside the host's frame that, shared, makes two bodies copies.
 COPY = 0.5
-#: Suffixes are sent in this many ranges of their key's first byte, with five more bytes of it.
-RANGES = 256
-#: Suffixes that a task holds before it sends them on.
-HELD = 1_000_000
-#: Bits of the map of suffixes that may be repeated: 8 MB.
-MAP_BITS = 26
+#: Names are sent by ranges of their first bits, 8 to 16 of them so that a range holds about PER_RANGE, with LOW bits more.
+PER_RANGE, LOW = 1 << 22, 32
+#: Names that a task holds before it sends them on.
+HELD = 4_000_000
+#: Bits of the map of names that may be repeated, about four for each name: 128 KB to 64 MB.
+MAP_BITS = (20, 29)
 
 SKIP = frozenset("head title script style noscript template nav header footer aside form button select textarea iframe svg canvas object dialog menu".split())
 RAW = frozenset("script style textarea title noscript iframe".split())
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 CLOSES_ITSELF = frozenset("p li dt dd td th tr option".split())
-_NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
+_NAMES = re.compile(r"(?:^|[\s\"'/])(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
 _UNWANTED = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|notices?|alert|side-?bar|menu|nav\w*|breadcrumbs?|footer|header|masthead|comments?|replies|reply|disqus|social|share|sharing|related|recommend\w*|newsletter|subscribe|sign-?up|popup|modal|widget|pagination|complementary|contentinfo|search)(?:$|[\s_-])",
+    r"(?:^|[_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|notices?|alert|side-?bar|menu|nav\w*|breadcrumbs?|footer|header|masthead|comments?|replies|reply|disqus|social|share|sharing|related|recommend\w*|newsletter|subscribe|sign-?up|popup|modal|widget|pagination|complementary|contentinfo|search)(?:$|[_-])",
     re.I,
 )
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|</[^>]*(?:>|\Z)", re.S)
+#: Of these, names that no container of a page's own text has.
+_NEVER = re.compile(r"(?:^|[_-])(?:ads?|advert\w*|sponsor\w*|cookies?|consent|comments?|replies|reply|disqus|share|sharing|newsletter|subscribe|sign-?up|popup|modal)(?:$|[_-])", re.I)
+#: A name that begins so tells of a state or of the page's layout, not of what the element is: has-sidebar, no-header.
+_STATE = re.compile(r"(?:has|no|not|with|without|hide|hidden|show|is|body|page|single)[_-]", re.I)
+#: Elements that no name drops.
+KEPT = frozenset("html body main article".split())
+_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|\Z)|</[^>]*(?:>|\Z)", re.S)
+_CLOSE = {name: re.compile(rf"</{name}\b[^>]*(?:>|\Z)", re.I) for name in RAW}
+
+
+@lru_cache(4096)
+def _named(attributes: str) -> int:
+    """0: no name tells against the element; 1: one does; 2: one that never stands on a container of the text does."""
+    tokens = " ".join(x or y or z for x, y, z in _NAMES.findall(attributes)).split()
+    bad = [t for t in tokens if _UNWANTED.search(t) and not _STATE.match(t)]
+    return 0 if not bad else 2 if any(map(_NEVER.search, bad)) else 1
+
+
+class _Container:
+    """An element with an unwanted name: the words in it, and the article and main elements."""
+
+    def __init__(self, parent: _Container | None, never: bool):
+        self.parent, self.never, self.words, self.mains, self.dropped = parent, never, 0, 0, True
 
 
 def blocks(page: str) -> list[tuple[str, str]]:
-    """(role, text) of the page's blocks in order; role: open or aside. White space is one space, none around."""
-    out: list[list] = []
-    stack: list[tuple[str, bool]] = []
+    """(role, text) of the page's blocks in order; role: open or aside. White space is one space, none around.
+
+    An element that its name tells against is set aside with all that is in it, unless it is the page's own frame: it holds
+    every article and main element of the page, and more words than stand outside of named elements, or, on a page
+    without such elements, more than half of all words that no tag sets aside. Names on html, body, main and article do
+    not count. Time is linear in the page, whatever its tags.
+    """
+    out: list[tuple[bool, _Container | None, str]] = []
+    stack: list[tuple[str, bool, _Container | None]] = []
+    opened: Counter[str] = Counter()
+    named: list[_Container] = []
     parts: list[str] = []
-    skip = 0
+    skip, mains, inside = 0, 0, None
 
     def end_block() -> None:
         text = " ".join(html.unescape("".join(parts)).split()) if parts else ""
         parts.clear()
         if text:
-            out.append(["aside" if skip else "open", text])
+            out.append((skip > 0, inside, text))
 
-    def pop() -> None:
-        nonlocal skip
-        skip -= stack.pop()[1]
+    def pop() -> str:
+        nonlocal skip, inside
+        name, hard, before = stack.pop()
+        opened[name] -= 1
+        skip -= hard
+        inside = before
+        return name
 
     at = 0
     while m := _TAG.search(page, at):
@@ -84,31 +124,53 @@ def blocks(page: str) -> list[tuple[str, str]]:
         elif name == "br":
             parts.append(" ")
         if m[1]:
-            if any(x[0] == name for x in stack):
+            if opened[name]:
                 end_block()
-                while stack[-1][0] != name:
-                    pop()
-                pop()
+                while pop() != name:
+                    pass
             continue
         if name in RAW:
-            close = re.compile(rf"</{name}\b[^>]*(?:>|\Z)", re.I).search(page, at)
+            close = _CLOSE[name].search(page, at)
             at = close.end() if close else len(page)
             continue
         if name in BLOCK and stack and stack[-1][0] in CLOSES_ITSELF and (stack[-1][0] == name or stack[-1][0] == "p"):
             pop()
         if name in VOID or m[3].rstrip().endswith("/"):
             continue
-        named = " ".join(x or y or z for x, y, z in _NAMES.findall(m[3]))
-        unwanted = name in SKIP or bool(named and _UNWANTED.search(named))
-        if name in BLOCK or unwanted:
-            if unwanted:
+        hard = name in SKIP
+        against = _named(m[3]) if m[3] and not hard and name not in KEPT else 0
+        if name in BLOCK or hard or against:
+            if hard or against:
                 end_block()
-            stack.append((name, unwanted))
-            skip += unwanted
-    tail = page[at:]
-    parts.append(tail)
+            stack.append((name, hard, inside))
+            opened[name] += 1
+            skip += hard
+            if against:
+                inside = _Container(inside, against == 2)
+                named.append(inside)
+            if name in ("article", "main"):
+                mains += 1
+                if inside:
+                    inside.mains += 1
+    parts.append(page[at:])
     end_block()
-    return [(role, text) for role, text in out]
+
+    total = plain = 0
+    for hard, container, text in out:
+        n = 0 if hard else text.count(" ") + 1
+        total += n
+        if container:
+            container.words += n
+        else:
+            plain += n
+    for c in reversed(named):  # those inside come after those around them
+        if c.parent:
+            c.parent.words += c.words
+            c.parent.mains += c.mains
+    for c in named:
+        frame = not c.never and c.mains == mains and (c.words > plain if mains else 2 * c.words > total)
+        c.dropped = not frame or (c.parent is not None and c.parent.dropped)
+    return [("aside" if hard or (c and c.dropped) else "open", text) for hard, c, text in out]
 
 
 def _strings(hashes: np.ndarray, width: int) -> np.ndarray:
@@ -146,65 +208,97 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*batch.columns[:3], text, aside, pa.array(size, pa.int64())], names=["page_id", "url", "host", "text", "aside", "size"])
 
 
-def _sorted_ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(range, keys): 48 bits of the names of the suffixes' windows, sorted; one that several bodies hold comes twice."""
+class Names:
+    """How names are cut: the first bits choose a range, LOW more are sent, and the first ones of both are a bit of the map."""
+
+    def __init__(self, expected: int):
+        self.ranges = min(16, max(8, (expected // PER_RANGE).bit_length()))
+        self.map = min(MAP_BITS[1], max(MAP_BITS[0], expected.bit_length() + 2))
+        self.bits = self.ranges + LOW
+
+    def key(self, names: np.ndarray) -> np.ndarray:
+        return names >> np.uint64(64 - self.bits)
+
+    def slot(self, keys: np.ndarray) -> np.ndarray:
+        return keys >> np.uint64(self.bits - self.map)
+
+
+def packed(keys: np.ndarray) -> bytes:
+    """Sorted numbers of at most 40 bits: differences, byte by byte, compressed."""
+    steps = np.diff(keys, prepend=np.uint64(0))
+    return zlib.compress(np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8)[:, :5].T).tobytes(), 1)
+
+
+def unpacked(raw: bytes) -> np.ndarray:
+    planes = np.frombuffer(zlib.decompress(raw), np.uint8).reshape(5, -1)
+    steps = np.zeros((planes.shape[1], 8), np.uint8)
+    steps[:, :5] = planes.T
+    return np.cumsum(steps.view(np.uint64).ravel(), dtype=np.uint64)
+
+
+def _sorted_ranges(cut: Names):
+    """(range, keys): keys of the names of the suffixes' windows, sorted, each with a last bit that says whether a body holds
+    it; one that several bodies hold comes twice."""
 
     def sent(parts):
         keys, times = np.unique(np.concatenate(parts), return_counts=True)
-        keys = np.repeat(keys, np.minimum(times, 2))
-        cuts = np.searchsorted(keys, np.arange(RANGES + 1, dtype=np.uint64) << np.uint64(40))
-        low = keys.view(np.uint8).reshape(-1, 8)[:, :5]
-        rows = [(k, low[a:b].tobytes()) for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a]
+        keys = np.repeat(keys, np.where(keys & np.uint64(1), np.minimum(times, 2), 1))
+        cuts = np.searchsorted(keys, np.arange((1 << cut.ranges) + 1, dtype=np.uint64) << np.uint64(LOW + 1))
+        low = keys & np.uint64((1 << LOW + 1) - 1)
+        rows = [(k, packed(low[a:b])) for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a]
         return pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int32()), pa.array([x for _, x in rows], pa.binary())], names=["range", "keys"])
 
-    held, size = [], 0
-    for batch in batches:
-        pages = [suffixes(batch.column(k), batch.column(0)) for k in (1, 2)]
-        owner, keys = (np.concatenate([x[k] for x in pages]) for k in (1, 3))
-        owner = batch.column(3).to_numpy()[owner]  # pages of one body count once
-        order = np.lexsort((owner, keys))
-        keys, owner = keys[order], owner[order]
-        fresh = np.ones(len(keys), bool)
-        fresh[1:] = (keys[1:] != keys[:-1]) | (owner[1:] != owner[:-1])
-        held.append(keys[fresh] >> np.uint64(16))
-        size += len(held[-1])
-        if size > HELD:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            pages = [suffixes(batch.column(k), batch.column(0)) for k in (1, 2)]
+            owner, names = (np.concatenate([x[k] for x in pages]) for k in (1, 3))
+            mine = np.repeat(np.array([1, 0], np.uint64), [len(x[1]) for x in pages])
+            owner = batch.column(3).to_numpy()[owner]  # pages of one body count once
+            keys = cut.key(names)
+            order = np.lexsort((-mine.astype(np.int8), owner, keys))
+            keys, owner, mine = keys[order], owner[order], mine[order]
+            fresh = np.ones(len(keys), bool)
+            fresh[1:] = (keys[1:] != keys[:-1]) | (owner[1:] != owner[:-1])
+            held.append((keys << np.uint64(1) | mine)[fresh])
+            size += len(held[-1])
+            if size > HELD:
+                yield sent(held)
+                held, size = [], 0
+        if size:
             yield sent(held)
-            held, size = [], 0
-    if size:
-        yield sent(held)
 
-
-def _slots(keys: np.ndarray) -> np.ndarray:
-    """A 48-bit key's bit of the map; each range has its own stretch of it."""
-    return keys >> np.uint64(48 - MAP_BITS)
+    return run
 
 
-def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(range, bits): the range's stretch of the map, with the bits of keys that neighbour an equal one."""
+def _neighbours(cut: Names):
+    """(range, bits): the range's stretch of the map, with the bits of keys that neighbour an equal one, one of them a body's."""
 
     def marked(k, parts):
-        raw = np.frombuffer(b"".join(parts), np.uint8).reshape(-1, 5)
-        keys = np.zeros((len(raw), 8), np.uint8)
-        keys[:, :5] = raw
-        keys = np.sort(keys.view(np.uint64).ravel())
-        bits = np.zeros((1 << MAP_BITS) // RANGES, bool)
-        bits[_slots(keys[1:][keys[1:] == keys[:-1]])] = True
+        both = np.sort(np.concatenate([unpacked(x) for x in parts]))
+        keys = both >> np.uint64(1)
+        again = (keys[1:] == keys[:-1]) & (both[1:] & np.uint64(1)).astype(bool)  # of equal keys those of bodies come last
+        width = cut.map - cut.ranges
+        bits = np.zeros(1 << width, bool)
+        bits[keys[1:][again] >> np.uint64(LOW - width)] = True
         return pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([np.packbits(bits).tobytes()], pa.binary())], names=["range", "bits"])
 
-    at, parts = None, []
-    for batch in batches:
-        for k, keys in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            if k != at and parts:
-                yield marked(at, parts)
-                parts = []
-            at = k
-            parts.append(keys)
-    if parts:
-        yield marked(at, parts)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, parts = None, []
+        for batch in batches:
+            for k, keys in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if k != at and parts:
+                    yield marked(at, parts)
+                    parts = []
+                at = k
+                parts.append(keys)
+        if parts:
+            yield marked(at, parts)
+
+    return run
 
 
-def _occurrences(maybe):
+def _occurrences(maybe, cut: Names):
     """Suffixes that may be repeated: one row of each for a page, mine if it lies in the page's body."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -213,7 +307,7 @@ def _occurrences(maybe):
             out = []
             for k in (1, 2):
                 keys, owner, _, name = suffixes(batch.column(k), batch.column(0))
-                slot = _slots(name >> np.uint64(16))
+                slot = cut.slot(cut.key(name))
                 seen = ((bits[slot >> np.uint64(3)] >> (np.uint64(7) - (slot & np.uint64(7))).astype(np.uint8)) & 1).astype(bool)
                 out.append((keys[seen], owner[seen], np.full(seen.sum(), k == 1)))
             keys, owner, mine = (np.concatenate(x) for x in zip(*out, strict=True))
@@ -248,11 +342,12 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _unique_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        keys, owner, place, _ = suffixes(batch.column(2), batch.column(3))
+        texts = pa.array([zlib.decompress(x).decode() for x in batch.column(2).to_pylist()], pa.string())
+        keys, owner, place, _ = suffixes(texts, batch.column(3))
         bad = [np.array(x or (), np.int64).view(np.uint64) for x in batch.column(4).to_pylist()]
         cuts = np.searchsorted(owner, np.arange(batch.num_rows + 1))
         text = []
-        for k, page in enumerate(batch.column(2).to_pylist()):
+        for k, page in enumerate(texts.to_pylist()):
             if not len(bad[k]):
                 text.append(page)
                 continue
@@ -263,12 +358,16 @@ def _unique_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(text, pa.string())], names=["page_id", "url", "text"])
 
 
-def _marked(bits):
-    """Each row with whether its key may be in the bit map."""
+def _marked(bits, hit: bool):
+    """The pages whose key may be in the bit map, their texts compressed for the way; or all others, as they are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(in_bit_map(bits.value, batch.column(4).to_numpy()))], names=[*batch.schema.names, "hit"])
+            some = batch.filter(pa.array(in_bit_map(bits.value, batch.column(4).to_numpy()) == hit))
+            if hit:
+                text = pa.array([zlib.compress(x.encode(), 3) for x in some.column(2).to_pylist()], pa.binary())
+                some = pa.RecordBatch.from_arrays([*some.columns[:2], text, *some.columns[3:]], names=some.schema.names)
+            yield some
 
     return run
 
@@ -308,12 +407,13 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     parsed = rows.mapInArrow(_parse, f"page_id {kind}, url string, host long, text string, aside string, size long")
     parsed = materialise(parsed.withColumn("key", F.xxhash64("host", "text")), "parsed")
 
-    ranges = parsed.select("host", "text", "aside", "key").mapInArrow(_sorted_ranges, "range int, keys binary")
-    found = np.zeros((RANGES, (1 << MAP_BITS - 3) // RANGES), np.uint8)
-    for r in ranges.repartition("range").sortWithinPartitions("range").mapInArrow(_neighbours, "range int, bits binary").collect():
+    cut = Names(int(parsed.agg(F.sum("size")).first()[0] or 0) // 3)
+    ranges = parsed.select("host", "text", "aside", "key").mapInArrow(_sorted_ranges(cut), "range int, keys binary")
+    found = np.zeros((1 << cut.ranges, max(1, 1 << cut.map - cut.ranges - 3)), np.uint8)
+    for r in ranges.repartition("range").sortWithinPartitions("range").mapInArrow(_neighbours(cut), "range int, bits binary").collect():  # the map
         found[r.range] = np.frombuffer(r.bits, np.uint8)
     maybe = spark.sparkContext.broadcast(found.ravel())
-    every = parsed.select("host", "text", "aside", "key").mapInArrow(_occurrences(maybe), "suffix long, key long, mine boolean")
+    every = parsed.select("host", "text", "aside", "key").mapInArrow(_occurrences(maybe, cut), "suffix long, key long, mine boolean")
     # pages of one body give equal rows, which stay neighbours
     repeated = every.repartition("suffix").sortWithinPartitions("suffix", "key", F.desc("mine")).mapInArrow(_repeated, "suffix long, key long, mine boolean")
     repeated = materialise(repeated, "repeated")
@@ -324,7 +424,9 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     # only the pages that lose something are moved; a bit map of fixed size tells most of the others
     gone = materialise(gone, "gone")
     bits = spark.sparkContext.broadcast(_bit_map(gone.select("key")))
-    marked = parsed.select("page_id", "url", "text", "host", "key").mapInArrow(_marked(bits), f"page_id {kind}, url string, text string, host long, key long, hit boolean")
-    cut = marked.where("hit").join(gone, "key", "left").select("page_id", "url", "text", "host", "gone").mapInArrow(_unique_runs, f"page_id {kind}, url string, text string")
-    left = cut.union(marked.where("not hit").select("page_id", "url", "text"))
+    pages_ = parsed.select("page_id", "url", "text", "host", "key")
+    fields = f"page_id {kind}, url string, text %s, host long, key long"
+    hit = pages_.mapInArrow(_marked(bits, True), fields % "binary").join(gone, "key", "left")
+    left = hit.select("page_id", "url", "text", "host", "gone").mapInArrow(_unique_runs, f"page_id {kind}, url string, text string")
+    left = left.union(pages_.mapInArrow(_marked(bits, False), fields % "string").select("page_id", "url", "text"))
     return left.select(F.col("page_id").alias(id_col), F.col("url").alias(url_col), "text", F.length("text").cast("long").alias("n_chars"))

@@ -173,4 +173,25 @@ r AS (SELECT doc_id, doc_id AS other FROM n UNION SELECT r.doc_id, t.b FROM r JO
 SELECT n.doc_id, any_value(n.n) AS n_shingles, min(r.other) AS component_id FROM n JOIN r ON r.doc_id = n.doc_id GROUP BY n.doc_id
 """
 
-ORACLES = {"op4_rank_order_language": _LANGUAGE_SQL, "op6_low_discrepancy_mix": _MIX_SQL, "op8_multi_order_jaccard": _JACCARD_SQL}
+def _codes_sql(rounds: int = 4, parts: int = 4, entries: int = 256) -> str:
+    """Codebooks by rounds over tables of parts and entries; every distance by the sum of squares, all entries compared."""
+    piece = f"list_slice(x, p * len(x) // {parts} + 1, (p + 1) * len(x) // {parts})"
+    apart = "list_sum(list_transform(range(1, len(v.y) + 1), lambda i: (v.y[i] - b.y[i]) * (v.y[i] - b.y[i])))"
+    steps = [
+        f"""v AS (SELECT row_number() OVER () AS row, vec_id, label, list_transform(embedding, lambda c: CAST(floor(CAST(c AS DOUBLE) * 1024) AS BIGINT)) AS x
+             FROM embeddings WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+        k AS (SELECT * FROM v WHERE len(x) = (SELECT len(x) FROM v GROUP BY len(x) ORDER BY count(*) DESC, len(x) LIMIT 1)),
+        cut AS MATERIALIZED (SELECT row, p, {piece} AS y FROM k, range({parts}) q(p)),
+        b0 AS MATERIALIZED (SELECT p, e, {piece} AS y FROM (SELECT x, row_number() OVER (ORDER BY vec_id NULLS LAST, x) - 1 AS e FROM k ORDER BY e LIMIT {entries}), range({parts}) q(p))"""
+    ]
+    for k in range(rounds + 1):
+        steps.append(f"a{k} AS MATERIALIZED (SELECT v.row, v.p, min(CAST({apart} AS BIGINT) * 256 + b.e) AS near FROM cut v JOIN b{k} b ON b.p = v.p GROUP BY v.row, v.p)")
+        if k < rounds:
+            mean = f"SELECT p, e, list((s - (s % n + n) % n) // n ORDER BY i) AS y FROM (SELECT v.p, near % 256 AS e, i, CAST(sum(v.y[i]) AS BIGINT) AS s, count(*) AS n FROM cut v JOIN a{k} a ON a.row = v.row AND a.p = v.p, range(1, len(v.y) + 1) r(i) GROUP BY v.p, near % 256, i) GROUP BY p, e"
+            steps.append(f"b{k + 1} AS MATERIALIZED (SELECT b.p, b.e, coalesce(m.y, b.y) AS y FROM b{k} b LEFT JOIN ({mean}) m ON m.p = b.p AND m.e = b.e)")
+    codes = f"SELECT row, string_agg(printf('%02x', near % 256), '' ORDER BY p) AS code, CAST(sum(near // 256) AS BIGINT) AS error FROM a{rounds} GROUP BY row"
+    digest = f"SELECT sha256(string_agg(array_to_string(y, ','), ',' ORDER BY p, e)) FROM b{rounds}"
+    return f"WITH {', '.join(steps)} SELECT k.vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, ({digest}) AS codebooks_sha256 FROM k JOIN ({codes}) c ON c.row = k.row"
+
+
+ORACLES = {"op4_rank_order_language": _LANGUAGE_SQL, "op6_low_discrepancy_mix": _MIX_SQL, "op8_multi_order_jaccard": _JACCARD_SQL, "op13_annular_codes": _codes_sql()}
