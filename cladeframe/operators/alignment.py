@@ -8,13 +8,17 @@ a row for each stretch. `~` stands for a position past a track's end or a track
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 from operator import add
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 ABSENT = "~"
+_EMPTY = np.frombuffer(b"-.~ ", np.uint8)
 #: Columns of a stretch.
 STRETCH = 8192
 
@@ -174,7 +178,7 @@ def summary(tracks: DataFrame) -> DataFrame:
 def track_stats(tracks: DataFrame, n: int) -> DataFrame:
     """Per track: gaps, GC, matches with the target, and the percentages over the total length of all blocks (null on 0)."""
     total = tracks.groupBy("block").agg(F.max(F.length("seq")).alias("len")).agg(F.sum("len").cast("long").alias("total"))
-    sites = patterns(wide_sites(tracks, n), [f"t{k}" for k in range(n)])
+    sites = site_patterns(tracks, n)
     one = sites.select("t0", "n", F.explode(F.array(*(F.struct(F.lit(k).alias("track"), F.col(f"t{k}").alias("sym")) for k in range(n)))).alias("x")).select("t0", "n", "x.*").where(F.col("sym") != ABSENT)
     base = lambda c: c.isin("A", "C", "G", "T", "N")
     both = base(F.col("t0")) & base(F.col("sym"))
@@ -198,12 +202,77 @@ def patterns(sites: DataFrame, columns: list[str], by: list[str] | None = None)
     return sites.groupBy(*(by or []), *columns).agg(F.count("*").alias("n"))
 
 
+def site_patterns(tracks: DataFrame, n: int, by: str | None = None) -> DataFrame:
+    """([by,] t0.., n): the distinct site patterns of n tracks with their number, by nothing, by `block`, or by `frame`
+    (col % 3). Columns are counted in numpy, a stretch at a time, before any row of theirs is made."""
+    fields = ({"block": "block long, ", "frame": "frame int, "}[by] if by else "") + ", ".join(f"t{k} string" for k in range(n)) + ", n long"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found, times, key = [], [], []
+            for block, stretch, *seqs in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                symbols = np.stack([np.frombuffer(x.encode(), np.uint8) for x in seqs], 1)
+                if by == "frame":
+                    frame = (np.arange(len(symbols)) + stretch * STRETCH) % 3
+                    symbols = np.hstack([frame[:, None].astype(np.uint8), symbols])
+                each, count = np.unique(np.ascontiguousarray(symbols).view(f"V{symbols.shape[1]}").ravel(), return_counts=True)
+                found.append(each.view(np.uint8).reshape(len(each), -1))
+                times.append(count)
+                key.append(np.full(len(each), block))
+            if not found:
+                continue
+            rows, count = np.concatenate(found), pa.array(np.concatenate(times).astype(np.int64))
+            letters = rows[:, 1:] if by == "frame" else rows
+            first = [pa.array(np.concatenate(key).astype(np.int64))] if by == "block" else [pa.array(rows[:, 0].astype(np.int32))] if by == "frame" else []
+            columns = [pa.array(np.ascontiguousarray(letters[:, k]).view("S1").astype(str)) for k in range(n)]
+            yield pa.RecordBatch.from_arrays([*first, *columns, count], names=[*([by] if by else []), *(f"t{k}" for k in range(n)), "n"])
+
+    counts = stretches(tracks, n).select("block", "stretch", *(f"s{k}" for k in range(n))).mapInArrow(run, fields)
+    return counts.groupBy(*counts.columns[:-1]).agg(F.sum("n").alias("n"))
+
+
 def identity_windows(sites: DataFrame, a: str, b: str, width: int) -> DataFrame:
     """Matches and compared columns of two tracks by windows of `width` columns of each block."""
     ok = is_residue(F.col(a)) & is_residue(F.col(b))
     return sites.groupBy("block", F.floor(F.col("col") / width).cast("long").alias("win")).agg(F.sum(F.when(ok, 1).otherwise(0)).cast("long").alias("compared"), F.sum(F.when(ok & (F.col(a) == F.col(b)), 1).otherwise(0)).cast("long").alias("matches"))
 
 
+def identity_index(tracks: DataFrame, a: int, b: int) -> DataFrame:
+    """(block, stretch, before_m, before_n, m, n): of two tracks, the columns where both have a residue (n) and an equal one
+    (m): running counts within each stretch as arrays, and what the stretches before it hold. A row for each stretch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            counts = []
+            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                x, y = np.frombuffer(x.encode(), np.uint8), np.frombuffer(y.encode(), np.uint8)
+                both = ~np.isin(x, _EMPTY) & ~np.isin(y, _EMPTY)
+                counts.append((np.cumsum(both & (x == y)), np.cumsum(both)))
+            lists = [pa.array([c[k] for c in counts], pa.list_(pa.int64())) for k in range(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *lists], names=["block", "stretch", "m", "n"])
+
+    df = stretches(tracks, max(a, b) + 1).select("block", "stretch", f"s{a}", f"s{b}").mapInArrow(run, "block long, stretch int, m array<long>, n array<long>")
+    totals = df.select("block", "stretch", F.element_at("m", -1).alias("_m"), F.element_at("n", -1).alias("_n"))
+    before = carried(totals, "_m", "before_m").join(carried(totals, "_n", "before_n"), ["block", "stretch"])
+    return df.join(before, ["block", "stretch"])
+
+
+def interval_identity(tracks: DataFrame, a: int, b: int, intervals: DataFrame) -> DataFrame:
+    """The intervals (block, begin, end, ...) with matches, compared and identity (null where nothing is compared) of the
+    columns (begin, end] of two tracks: two look-ups in the index, wherever stretches end. Ends past a block's last column
+    stand for it, those before its first for nothing. Intervals of blocks that are not there are left out."""
+    index = identity_index(tracks, a, b)
+    last = index.groupBy("block").agg(F.max(F.col("stretch") * STRETCH + F.size("n") - 1).alias("_last"))
+    rows = intervals.join(last, "block").withColumn("_id", F.struct(*intervals.columns))
+    at = lambda c: F.least(F.col(c), F.col("_last"))
+    ends = rows.select("block", "_id", F.explode(F.array(F.struct(at("begin").alias("p"), F.lit(-1).alias("sign")), F.struct(at("end").alias("p"), F.lit(1).alias("sign")))).alias("e"))
+    ends = ends.select("block", "_id", "e.*").withColumn("stretch", stretch_of(F.greatest(F.col("p"), F.lit(0))))
+    value = lambda c: F.when(F.col("p") >= 0, F.col(f"before_{c}") + F.get(F.col(c), (F.col("p") - F.col("stretch") * STRETCH).cast("int"))).otherwise(0)
+    found = ends.join(index, ["block", "stretch"]).select("_id", (F.col("sign") * value("m")).alias("m"), (F.col("sign") * value("n")).alias("n"))
+    sums = found.groupBy("_id").agg((F.sum("m") / F.count("*") * 2).cast("long").alias("matches"), (F.sum("n") / F.count("*") * 2).cast("long").alias("compared"))
+    return sums.select("_id.*", "matches", "compared", F.when(F.col("compared") > 0, F.col("matches") / F.col("compared")).alias("identity"))
+
+
 def track_accuracy(one: DataFrame, two: DataFrame) -> DataFrame:
     """Share of equal symbols of the tracks of two alignments, (block, track) by (block, track): per mille, rounded."""
     cut = lambda df: pieces(df.select("block", "track", "seq")).drop("halo")

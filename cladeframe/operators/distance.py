@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cladeframe.operators.alignment import ABSENT, is_residue
+from cladeframe.operators.alignment import ABSENT, is_residue, pieces
 from cladeframe.operators.tree import Node, Tree
 
 
@@ -23,6 +27,48 @@ def pair_counts(patterns: DataFrame, columns: list[str], rule: str = "nj") -> Da
     return sums.withColumn("d", F.round(F.col("mismatches") / (F.col("matches") + F.col("mismatches")), 9))
 
 
+def track_pairs(tracks: DataFrame, names: list[str], rule: str = "nj") -> DataFrame:
+    """The same rows from tracks (block, track, seq) of any number of taxa: a stretch of a block is a 0/1 matrix of taxa by
+    columns for each symbol, whose product with itself turned over counts the columns where two taxa both hold it. A task
+    holds one stretch and one square of taxa; no row is made for a column, or for a pair in one."""
+    n = len(names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        same, all_ = np.zeros((n, n), np.int64), np.zeros((n, n), np.int64)
+        now, held = None, {}
+
+        def add() -> None:
+            width = max(map(len, held.values()), default=0)
+            grid = np.zeros((len(held), width), np.uint8)  # 0: past the track's end
+            for k, seq in enumerate(held.values()):
+                grid[k, : len(seq)] = np.frombuffer(seq.encode(), np.uint8)
+            at = np.ix_(list(held), list(held))
+            ones = lambda x: (lambda m: (m @ m.T).astype(np.int64))(x.astype(np.float32))  # noqa: E731  # counts below 2^24
+            gaps = [s for s in np.unique(grid) if chr(s) in "-.~ "]
+            solid = (grid > 0) & ~np.isin(grid, gaps)
+            for s in np.unique(grid[solid]):
+                same[at] += ones(grid == s)
+            all_[at] += ones(solid) if rule == "nj" else ones((grid > 0) & (grid != ord(ABSENT))) - sum(ones(grid == s) for s in gaps if chr(s) != ABSENT)
+
+        for batch in batches:
+            for block, stretch, track, seq in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (block, stretch) != now:
+                    add()
+                    now, held = (block, stretch), {}
+                held[track] = seq
+        add()
+        i, j = np.triu_indices(n, 1)
+        there = all_[i, j] > 0
+        i, j = i[there], j[there]
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (i.astype(np.int32), j.astype(np.int32), same[i, j], all_[i, j])], names=["i", "j", "m", "n"])
+
+    cut = pieces(tracks.where(F.col("track") < n)).select("block", "stretch", "track", "seq").repartition("block", "stretch").sortWithinPartitions("block", "stretch")
+    sums = cut.mapInArrow(run, "i int, j int, m long, n long").groupBy("i", "j").agg(F.sum("m").alias("matches"), F.sum("n").alias("n"))
+    name = lambda k: F.get(F.array(*map(F.lit, names)), F.col(k))
+    df = sums.select(name("i").alias("t1"), name("j").alias("t2"), "matches", (F.col("n") - F.col("matches")).alias("mismatches"))
+    return df.withColumn("d", F.round(F.col("mismatches") / (F.col("matches") + F.col("mismatches")), 9))
+
+
 def closest_pair(dist: DataFrame) -> DataFrame:
     """The pair of least distance; ties to the first pair by name."""
     return dist.agg(F.min(F.struct("d", "t1", "t2")).alias("m")).select("m.t1", "m.t2", "m.d")

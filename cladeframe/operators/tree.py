@@ -241,14 +241,12 @@ class Tree:
 
 def ancestors(nodes: DataFrame) -> DataFrame:
     """(node, ancestor, dist, depth) of every node, itself included, by a recursive query over the node table."""
-    view = f"tree_{id(nodes)}"
-    nodes.createOrReplaceTempView(view)
-    return nodes.sparkSession.sql(f"""
+    return nodes.sparkSession.sql("""
         WITH RECURSIVE up AS (
-          SELECT node_id AS node, node_id AS ancestor, cast(0 AS double) AS dist, 0 AS depth FROM {view}
+          SELECT node_id AS node, node_id AS ancestor, cast(0 AS double) AS dist, 0 AS depth FROM {nodes}
           UNION ALL
-          SELECT u.node, t.parent_id, u.dist + t.branch_len, u.depth + 1 FROM up u JOIN {view} t ON u.ancestor = t.node_id WHERE t.parent_id IS NOT NULL)
-        SELECT * FROM up""")
+          SELECT u.node, t.parent_id, u.dist + t.branch_len, u.depth + 1 FROM up u JOIN {nodes} t ON u.ancestor = t.node_id WHERE t.parent_id IS NOT NULL)
+        SELECT * FROM up""", nodes=nodes)
 
 
 def leaf_distances(nodes: DataFrame) -> DataFrame:
@@ -261,8 +259,15 @@ def leaf_distances(nodes: DataFrame) -> DataFrame:
 
 
 def clades(nodes: DataFrame) -> DataFrame:
-    """(name, n_members, mask): number of nodes at or below each node, and their ids as bits."""
+    """(name, n_members, members): the nodes at or below each node, by rising id; trees may have any number of nodes."""
     from pyspark.sql import functions as F
 
-    up = ancestors(nodes).groupBy(F.col("ancestor").alias("node_id")).agg(F.count("*").alias("n_members"), F.expr("bit_or(shiftleft(1L, node))").alias("mask"))
-    return nodes.join(up, "node_id").select("name", "n_members", "mask")
+    up = ancestors(nodes).groupBy(F.col("ancestor").alias("node_id")).agg(F.count("*").alias("n_members"), F.array_sort(F.collect_list("node")).alias("members"))
+    return nodes.join(up, "node_id").select("name", "n_members", "members")
+
+
+def branch_ids(tree: Tree) -> list[tuple[int, str, str]]:
+    """(number, parent, child) of all branches, numbered from the root, each before those below it, left ones first."""
+    order: list[Node] = []
+    tree.visit(order.append, "pre")
+    return [(k, tree.parent[id(x)][0].name, x.name) for k, x in enumerate(x for x in order if id(x) in tree.parent)]

@@ -376,8 +376,15 @@ ORACLES = {
       k AS (SELECT *, row_number() OVER (PARTITION BY block ORDER BY col) - row_number() OVER (PARTITION BY block, op ORDER BY col) AS g FROM o WHERE op IS NOT NULL),
       r AS (SELECT block, op, g, count(*) AS len FROM k GROUP BY ALL) SELECT block, op, count(*) AS runs, CAST(sum(len) AS BIGINT) AS columns, max(len) AS longest FROM r GROUP BY block, op""",
     "fasta": f"{_WITH} SELECT block, md5('>' || CAST(row_number() OVER (ORDER BY block) - 1 AS VARCHAR) || chr(10) || upper(replace(replace(seq, '-', ''), '.', ''))) AS value_md5 FROM tracks WHERE track = 0",
+    "interval_identity": f"""{_WITH}, i AS (SELECT DISTINCT l_orderkey AS block, l_partkey AS b, CAST(l_partkey + 50 * l_quantity AS BIGINT) AS e FROM lineitem),
+      r AS (SELECT i.*, w.block IS NOT NULL AS hit, CASE WHEN {_RESIDUE.format('t0')} AND {_RESIDUE.format('t1')} THEN 1 ELSE 0 END AS n, CASE WHEN {_RESIDUE.format('t0')} AND t0 = t1 THEN 1 ELSE 0 END AS m
+        FROM i JOIN (SELECT DISTINCT block FROM wide) k ON k.block = i.block LEFT JOIN wide w ON w.block = i.block AND w.col > i.b AND w.col <= i.e)
+      SELECT block, b AS "begin", e AS "end", CAST(sum(CASE WHEN hit THEN m ELSE 0 END) AS BIGINT) AS matches, CAST(sum(CASE WHEN hit THEN n ELSE 0 END) AS BIGINT) AS compared,
+        round(CAST(sum(CASE WHEN hit THEN m ELSE 0 END) AS DOUBLE) / nullif(sum(CASE WHEN hit THEN n ELSE 0 END), 0), 9) AS identity FROM r GROUP BY block, b, e""",
+    "distance_matrix": f"""WITH p AS ({_NJ}), x AS (SELECT t1, t2, d FROM p UNION ALL SELECT t2, t1, d FROM p UNION ALL SELECT name, name, 0e0 FROM (VALUES {", ".join(f"('{n}')" for n in NAMES)}) v(name))
+      SELECT CAST(substr(t1, 2) AS INTEGER) AS ix, t1 || chr(9) || string_agg(CAST(d AS VARCHAR), chr(9) ORDER BY t2) AS value FROM x GROUP BY t1 UNION ALL SELECT -1, concat('', chr(9), '{chr(9).join(NAMES)}')""",
     "tree_leaf_distances": f"{_UP}, l AS (SELECT u.ancestor, n.name, u.dist FROM up u JOIN nodes n ON n.node_id = u.node WHERE n.kind = 'LEAF') SELECT x.name AS a, y.name AS b, round(min(x.dist + y.dist), 9) AS d FROM l x JOIN l y ON x.ancestor = y.ancestor AND x.name < y.name GROUP BY ALL",
-    "tree_clades": f"{_UP} SELECT n.name, count(*) AS n_members, CAST(bit_or(CAST(1 AS BIGINT) << u.node) AS BIGINT) AS mask FROM up u JOIN nodes n ON n.node_id = u.ancestor GROUP BY n.name",
+    "tree_clades": f"{_UP} SELECT n.name, count(*) AS n_members, string_agg(CAST(u.node AS VARCHAR), ',' ORDER BY u.node) AS members FROM up u JOIN nodes n ON n.node_id = u.ancestor GROUP BY n.name",
     "tree_graph": f"WITH {_NODES} SELECT n.kind, n.name, p.name AS parent, n.branch_len FROM nodes n LEFT JOIN nodes p ON p.node_id = n.parent_id",
     "tree_leaf_counts": f"{_UP} SELECT CAST(u.ancestor AS INTEGER) AS node_id, count(*) AS n_leaves FROM up u JOIN nodes n ON n.node_id = u.node WHERE n.kind = 'LEAF' GROUP BY ALL",
     "transition_table": _transitions(),

@@ -123,11 +123,11 @@ def concatenation(spark, sf_dir):
 
 
 def nj_distances(spark, sf_dir):
-    return distance.pair_counts(al.patterns(_sites(spark, sf_dir), NAMES), NAMES, "nj")
+    return distance.track_pairs(tracks(spark, sf_dir), NAMES, "nj")
 
 
 def upgma_distances(spark, sf_dir):
-    return distance.pair_counts(al.patterns(_sites(spark, sf_dir), NAMES), NAMES, "upgma")
+    return distance.track_pairs(tracks(spark, sf_dir), NAMES, "upgma")
 
 
 def closest_pair(spark, sf_dir):
@@ -148,6 +148,17 @@ def identity_windows(spark, sf_dir):
     return al.identity_windows(_sites(spark, sf_dir), "t0", "t1", 100)
 
 
+def interval_identity(spark, sf_dir):
+    """Identity of two tracks over intervals that a table gives: an order line's block, place and length."""
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.col("l_orderkey").alias("block"), F.col("l_partkey").alias("begin"), (F.col("l_partkey") + 50 * F.col("l_quantity")).cast("long").alias("end")).distinct()
+    return al.interval_identity(tracks(spark, sf_dir), 0, 1, lines).select("block", "begin", "end", "matches", "compared", F.round("identity", 9).alias("identity"))
+
+
+def distance_matrix(spark, sf_dir):
+    """The lines of the distance file of the tracks."""
+    return formats.matrix_lines(nj_distances(spark, sf_dir), NAMES)
+
+
 def nmer_counts(spark, sf_dir):
     df = al.nmers(tracks(spark, sf_dir), 3)
     x = F.col("nmer")
@@ -168,18 +179,18 @@ def _summed(df, *by, digits=4):
     return df.groupBy(*by).agg(F.count("*").alias("n_cols"), F.round(F.sum("ll"), digits).alias("ll"))
 
 
-def _counted(sites, by, model):
-    """Site patterns counted by a key before they meet their log-likelihood: (key, patterns, n, ll)."""
-    return _scored(al.patterns(sites, NAMES, by), model)
+def _patterns(spark, sf_dir, by=None, n=TRACKS):
+    """Counted patterns of the columns whose target has a base."""
+    return al.site_patterns(tracks(spark, sf_dir, n), n, by).where(F.col("t0").isin(*"ACGT"))
 
 
 def block_likelihood(spark, sf_dir):
-    counts = _counted(_usable(spark, sf_dir), ["block"], JC)
+    counts = _scored(_patterns(spark, sf_dir, "block"), JC)
     return counts.groupBy("block").agg(F.sum("n").cast("long").alias("n_cols"), F.round(F.sum(F.col("n") * F.col("ll")), 6).alias("ll"))
 
 
 def _frames(spark, sf_dir):
-    return _counted(_usable(spark, sf_dir).withColumn("frame", (F.col("col") % 3).cast("int")), ["frame"], HKY)
+    return _scored(_patterns(spark, sf_dir, "frame"), HKY)
 
 
 def frame_likelihood(spark, sf_dir):
@@ -262,18 +273,17 @@ def prefix_sums(spark, sf_dir):
 
 
 def fitch_states(spark, sf_dir):
-    sites = al.patterns(_usable(spark, sf_dir), NAMES)
+    sites = _patterns(spark, sf_dir)
     return parsimony.fitch(sites, TREE, F.col).groupBy("A1", "A2").agg(F.sum("n").cast("long").alias("n"))
 
 
 def single_gain_states(spark, sf_dir):
-    sites = al.patterns(_usable(spark, sf_dir), NAMES)
+    sites = _patterns(spark, sf_dir)
     return parsimony.single_gain(sites, TREE, F.col).groupBy("A1", "A2").agg(F.sum("n").cast("long").alias("n"))
 
 
 def _ladder(spark, sf_dir):
-    sites = al.wide_sites(tracks(spark, sf_dir, len(LADDER_NAMES)), len(LADDER_NAMES)).where(F.col("t0").isin(*"ACGT"))
-    return al.patterns(sites, LADDER_NAMES)
+    return _patterns(spark, sf_dir, n=len(LADDER_NAMES))
 
 
 def fitch_ladder(spark, sf_dir):
@@ -291,13 +301,13 @@ def mp_ladder(spark, sf_dir):
 
 
 def majority_states(spark, sf_dir):
-    sites = al.patterns(_usable(spark, sf_dir), NAMES)
+    sites = _patterns(spark, sf_dir)
     return parsimony.majority(sites, TREE, F.col).groupBy("A1", "A2").agg(F.sum("n").cast("long").alias("n"))
 
 
 def fitch_likelihood(spark, sf_dir):
     """MP engine: states of inner nodes by Fitch parsimony, log P summed over branches, per ancestor state."""
-    states = parsimony.fitch(al.patterns(_usable(spark, sf_dir), NAMES), TREE, F.col)
+    states = parsimony.fitch(_patterns(spark, sf_dir), TREE, F.col)
     df = likelihood.fitch_likelihood(states, TREE, JC, F.col)
     return df.groupBy("A1").agg(F.sum("n").cast("long").alias("n"), F.round(F.sum(F.col("n") * F.col("ll")), 4).alias("ll"))
 
@@ -316,7 +326,7 @@ def tree_leaf_distances(spark, sf_dir):
 
 
 def tree_clades(spark, sf_dir):
-    return tr.clades(ADDITIVE.table(spark))
+    return tr.clades(ADDITIVE.table(spark)).select("name", "n_members", F.array_join(F.col("members").cast("array<string>"), ",").alias("members"))
 
 
 def tree_graph(spark, sf_dir):
@@ -382,7 +392,7 @@ def range_sums(spark, sf_dir):
 
 def phase_prediction(spark, sf_dir):
     """The reading frame of all blocks under three models, one per codon position."""
-    counts = al.patterns(_usable(spark, sf_dir).withColumn("frame", (F.col("col") % 3).cast("int")), NAMES, ["frame"])
+    counts = _patterns(spark, sf_dir, "frame")
     for k, model in enumerate(PHASES):
         counts = likelihood.pattern_likelihood(counts, TREE, model, F.col, f"ll{k}")
     totals = counts.groupBy("frame").agg(*(F.sum(F.col("n") * F.col(f"ll{k}")).alias(f"m{k}") for k in range(3)))
@@ -480,7 +490,7 @@ def stream_composition(spark, sf_dir):
 
 def trained_tree(spark, sf_dir):
     """Branch lengths of the best likelihood that the optimiser finds from TREE, on counted patterns."""
-    counts = al.patterns(_usable(spark, sf_dir), NAMES)
+    counts = _patterns(spark, sf_dir)
     tree, _, best = training.train(counts, TREE, JC, F.col)
     return spark.createDataFrame([(c.name, float(d), best) for _, c, d in tree.branches()], "name string, branch_len double, minus_ll double")
 
@@ -493,7 +503,7 @@ QUERIES = {
         frame_likelihood, best_frame, rco_likelihood, trco_likelihood, prefix_sums, fitch_states, single_gain_states, majority_states, fitch_likelihood, indel_runs,
         fasta, tree_leaf_distances, tree_clades, tree_graph, tree_leaf_counts, transition_table, maf_round_trip, track_accuracy, renamed_target, range_sums,
         phase_prediction, lco_likelihood, nmer_likelihood, aco_likelihood, hog_likelihood, mp_likelihood, gap_rewriting, aco_difference, context_orders,
-        gap_likelihood, periodic_likelihood, running_likelihood, periodic_leaf_likelihood, fitch_ladder, single_gain_ladder, mp_ladder,
+        gap_likelihood, periodic_likelihood, running_likelihood, periodic_leaf_likelihood, fitch_ladder, single_gain_ladder, mp_ladder, interval_identity, distance_matrix,
         combined_columns, attached_tracks, numbered_tracks, cumulative_likelihood, gap_patterns, context_priors, probability_maps, gamma_density, rerooted_distances, pruned_distances, stream_composition, trained_tree,
     )
 }

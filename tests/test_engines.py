@@ -3,13 +3,16 @@
 import math
 from itertools import product
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from cladeframe.functions import models as m
 from cladeframe.operators import alignment as al
-from cladeframe.operators import likelihood, parsimony
+from cladeframe.operators import distance, likelihood, parsimony
+from cladeframe.operators import tree as tr
 from cladeframe.operators.tree import Node, Tree
+from cladeframe.sources import formats
 
 TRACKS = "block long, track int, seq string, phase int"
 TREE = Tree(Node("t0", [(Node("A1", [(Node("t1"), 0.2), (Node("t2"), 0.3)]), 0.1)]))
@@ -139,3 +142,89 @@ def test_runs_over_the_ends_of_stretches(spark, monkeypatch):
     rows = [(0, 0, "AAAAAAAAA--AA-----------A", 0), (0, 1, "AAAAAA-AAAA--AA----------", 0)]
     got = sorted(tuple(r)[1:] for r in parsimony.indel_runs(al.wide_sites(spark.createDataFrame(rows, TRACKS), 2), "t0", "t1").collect())
     assert got == [(0, "S", 6), (6, "D", 1), (7, "S", 2), (9, "I", 2), (11, "D", 2), (13, "I", 2), (24, "D", 1)]
+
+
+def test_patterns_counted_by_stretch(spark, monkeypatch):
+    rows = [(0, 0, "ACGT-ACGTN", 1), (0, 1, "AC-TTACG", 1), (3, 1, "ACC", 0)]
+    tracks = spark.createDataFrame(rows, TRACKS)
+    sites = al.wide_sites(tracks, 2).withColumn("frame", (F.col("col") % 3).cast("int"))
+    for size in (8192, 4):
+        monkeypatch.setattr(al, "STRETCH", size)
+        for by in (None, "block", "frame"):
+            keys = [*([by] if by else []), "t0", "t1"]
+            want = sorted(tuple(r) for r in al.patterns(sites, keys).collect())
+            assert sorted(tuple(r) for r in al.site_patterns(tracks, 2, by).collect()) == want, (size, by)
+
+
+def test_pairs_of_tracks(spark, monkeypatch):
+    rows = [(0, 0, "ACGT-ACGTN", 0), (0, 1, "AC-TTACG", 0), (0, 2, "..GTTAC-TNAC", 0), (5, 1, "AAR", 0), (5, 3, "AC", 0), (9, 2, "A", 0)]
+    tracks, names = spark.createDataFrame(rows, TRACKS), ["b", "a", "c", "d"]
+    sites = al.patterns(al.wide_sites(tracks, 4).toDF("block", "phase", "col", *names), names)
+    for size in (8192, 3):
+        monkeypatch.setattr(al, "STRETCH", size)
+        for rule in ("nj", "upgma"):
+            want = sorted(tuple(r) for r in distance.pair_counts(sites, names, rule).collect())
+            assert sorted(tuple(r) for r in distance.track_pairs(tracks, names, rule).collect()) == want, (size, rule)
+
+
+def test_pairs_of_two_hundred_tracks(spark):
+    rng = np.random.default_rng(3)
+    grid = rng.choice(list("ACGT-N"), (200, 300))
+    rows = [(b, k, "".join(grid[k, 150 * b : 150 * b + 150]), 0) for b in range(2) for k in range(200)]
+    names = [f"x{k:03}" for k in range(200)]
+    got = {(r.t1, r.t2): (r.matches, r.mismatches) for r in distance.track_pairs(spark.createDataFrame(rows, TRACKS), names).collect()}
+    assert len(got) == 19_900
+    for i, j in rng.integers(0, 200, (50, 2)):
+        if i < j:
+            both = (grid[i] != "-") & (grid[j] != "-")
+            same = int((both & (grid[i] == grid[j])).sum())
+            assert got[names[i], names[j]] == (same, int(both.sum()) - same)
+
+
+def test_identity_over_intervals(spark, monkeypatch):
+    x, y = "ACGT-ACGTNACGTAC", "ACCT-A-GTNTC"
+    tracks = spark.createDataFrame([(0, 0, x, 0), (0, 1, y, 0), (7, 1, "AC", 0)], TRACKS)
+    asked = [(b, i, j) for b in (0, 7, 8) for i in (-3, -1, 0, 4, 9, 30) for j in (0, 5, 11, 15, 99) if i <= j]
+    intervals = spark.createDataFrame([*asked, asked[0]], "block long, begin long, end long")
+    want = {}
+    for b, i, j in asked:
+        if b != 8:
+            n = [k for k in range(max(0, i + 1), min(j, 15 if b == 0 else 1) + 1) if b == 0 and k < len(y) and x[k] != "-" and y[k] != "-"]
+            m = sum(x[k] == y[k] for k in n)
+            want[b, i, j] = (m, len(n), pytest.approx(m / len(n)) if n else None)
+    for size in (8192, 5):
+        monkeypatch.setattr(al, "STRETCH", size)
+        got = {tuple(r[:3]): tuple(r[3:]) for r in al.interval_identity(tracks, 0, 1, intervals).collect()}
+        assert got == want, size
+
+
+def test_maf_as_others_write_it(spark, tmp_path):
+    text = "##maf version=1 scoring=x\r\n# made by hand\r\n\r\na score=2.0 phase=2\r\ns hg.chr1\t10 4 + 99\tAC-gt\r\ns\tmm.chr2 7 3 - 50 A-.gn\r\nq hg.chr1 99\r\n\r\n\r\na score=1\r\ns hg.chr1 14 2 + 99 AC\r\n\r\ns rn.chr3 x 2 + 99 GG\r\n\r\na score=0\r\n"
+    (tmp_path / "one.maf").write_bytes(text.encode())
+    got = formats.read_maf(spark, str(tmp_path / "one.maf")).orderBy("block", "track").collect()
+    assert [tuple(r)[1:] for r in got] == [
+        (0, "hg.chr1", "AC-GT", 2, 10, 4, "+", 99), (1, "mm.chr2", "A-.GN", 2, 7, 3, "-", 50), (0, "hg.chr1", "AC", 0, 14, 2, "+", 99), (0, "rn.chr3", "GG", 0, None, 2, "+", 99),
+    ]
+    assert [r.block for r in got] == sorted(r.block for r in got) and len({r.block for r in got}) == 3
+    formats.write_maf(spark.createDataFrame(got), str(tmp_path / "again"))
+    again = formats.read_maf(spark, str(tmp_path / "again")).orderBy("block", "track").collect()
+    assert [tuple(r)[1:] for r in again[:3]] == [tuple(r)[1:] for r in got[:3]] and tuple(again[3])[2:4] == ("rn.chr3", "GG") and again[3].begin == 0
+    (tmp_path / "plain.maf").write_text("a\ns x 0 1 + 1 A\n\na phase=1\ns x 1 1 + 1 C")
+    assert [(r.seq, r.phase) for r in formats.read_maf(spark, str(tmp_path / "plain.maf")).orderBy("block").collect()] == [("A", 0), ("C", 1)]
+
+
+def test_distance_file_and_branch_numbers(spark, tmp_path):
+    df = spark.createDataFrame([("a", "b", 0.25), ("b", "c", 0.5)], "t1 string, t2 string, d double")
+    formats.write_matrix(df, ["a", "b", "c"], str(tmp_path / "m"))
+    (part,) = (tmp_path / "m").glob("part-*")
+    assert part.read_text().splitlines() == ["\ta\tb\tc", "a\t0.0\t0.25\tnan", "b\t0.25\t0.0\t0.5", "c\tnan\t0.5\t0.0"]
+    assert tr.branch_ids(LADDER)[:4] == [(0, "r", "A1"), (1, "A1", "A2"), (2, "A2", "A3"), (3, "A3", "A4")] and len(tr.branch_ids(LADDER)) == 9
+
+
+def test_clades_of_many_nodes(spark):
+    node = Node("l0")
+    for k in range(1, 40):
+        node = Node(f"n{k}", [(node, 1.0), (Node(f"l{k}"), 1.0)])
+    tree = Tree(node)
+    got = {r.name: r.members for r in tr.clades(tree.table(spark)).collect()}
+    assert len(got) == 79 and sorted(got["n39"]) == got["n39"] == list(range(79)) and len(got["n5"]) == 11 and len(got["l3"]) == 1
