@@ -12,6 +12,8 @@ from itertools import product
 import numpy as np
 
 BASES = "ACGT"
+#: States of the process of gap patterns: a residue, a gap, and a place where nothing was aligned.
+GAPS = "N-."
 UNIFORM = (0.25, 0.25, 0.25, 0.25)
 #: Fixed value: transition plus two transversion rates after rescaling.
 RESCALED = 0.999

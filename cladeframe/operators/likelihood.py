@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cladeframe.functions.models import BASES, CONTEXT_TYPES, ContextModel, Model, NmerModel, context_nmers, degenerate, exponential, named, nmer_frequencies, nmer_lower
+from cladeframe.functions.models import BASES, CONTEXT_TYPES, GAPS, ContextModel, Model, NmerModel, context_nmers, degenerate, exponential, named, nmer_frequencies, nmer_lower
 from cladeframe.operators.alignment import carried, concatenated, left_sites, stretch_of, with_context
 from cladeframe.operators.parsimony import fitch
 from cladeframe.operators.tree import Node, Tree
@@ -81,8 +81,6 @@ def column_likelihood(df: DataFrame, tree: Tree, p_of, symbol_of, out: str, miss
 
 #: Possible patterns, times contexts, up to which they are tabulated and broadcast; rows of a table of contexts up to which it is.
 TABULATED = 1 << 16
-#: States of the process of gap patterns: a residue, a gap, and a place where nothing was aligned.
-GAPS = "N-."
 
 
 def states_of(model: ContextModel) -> str:

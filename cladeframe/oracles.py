@@ -6,8 +6,8 @@ from math import exp, log
 
 from cladeframe.functions.models import Model
 from cladeframe.operators.tree import Node
-from cladeframe.plans.views import TRACKS_SQL, tracks_sql
-from cladeframe.queries import ADDITIVE, CONTEXTS, DUAL, GAP_CONTEXTS, HKY, JC, LADDER, LADDER_NAMES, NAMES, ORDER, PERIODIC, PHASES, TREE
+from cladeframe.plans.views import FOREST_SQL, TRACKS_SQL, tracks_sql
+from cladeframe.queries import CONTEXTS, DUAL, GAP_CONTEXTS, HKY, JC, LADDER, LADDER_NAMES, NAMES, ORDER, PERIODIC, PHASES, TREE
 
 BASES = "ACGT"
 _WITH = f"WITH {TRACKS_SQL}"
@@ -235,10 +235,6 @@ def _majority() -> str:
       x AS (SELECT r2, {mode("c1", "t0")} AS "A1" FROM d) SELECT "A1", coalesce(r2, "A1") AS "A2", count(*) AS n FROM x GROUP BY ALL"""
 
 
-def _leaf_pairs(names: str) -> str:
-    return f"{_UP}, l AS (SELECT u.ancestor, n.name, u.dist FROM up u JOIN nodes n ON n.node_id = u.node WHERE n.kind = 'LEAF' AND n.name IN ({names})) SELECT x.name AS a, y.name AS b, round(min(x.dist + y.dist), 9) AS d FROM l x JOIN l y ON x.ancestor = y.ancestor AND x.name < y.name GROUP BY ALL"
-
-
 def _mask(x: str) -> str:
     return f"(CASE {x} WHEN 'A' THEN 1 WHEN 'C' THEN 2 WHEN 'G' THEN 4 WHEN 'T' THEN 8 ELSE 0 END)"
 
@@ -284,8 +280,7 @@ def _logp(a: str, b: str, d: float, model: Model = JC) -> str:
 
 
 _MP = " + ".join(_logp(f'"{x.name}"', f'"{c.name}"', d) for x, c, d in TREE.branches())
-_NODES = f"nodes(node_id, name, kind, parent_id, child_ix, branch_len, n_leaves) AS (VALUES {ADDITIVE.values_sql()})"
-_UP = f"WITH RECURSIVE {_NODES}, up AS (SELECT node_id AS node, node_id AS ancestor, 0e0 AS dist FROM nodes UNION ALL SELECT u.node, t.parent_id, u.dist + t.branch_len FROM up u JOIN nodes t ON u.ancestor = t.node_id WHERE t.parent_id IS NOT NULL)"
+_FOREST = f"WITH RECURSIVE {FOREST_SQL}"
 
 
 def _transitions() -> str:
@@ -293,7 +288,7 @@ def _transitions() -> str:
     freq = "(VALUES ('A', 0.3e0), ('C', 0.2e0), ('G', 0.2e0), ('T', 0.3e0))"
     # ts + 2 tv = 0.999 with ts = 2 tv
     tv, ts = "0.24975e0", "0.4995e0"
-    return f"""WITH ts(t) AS (VALUES (0.1e0), (0.3e0), (1.0e0), (2.5e0)), f(b, pi) AS {freq},
+    return f"""WITH ts AS (SELECT DISTINCT round(5 * (l_discount + l_tax) + 0.1, 2) AS t FROM lineitem), f(b, pi) AS {freq},
     g AS (SELECT t, x.b AS a, y.b AS b, y.pi AS pi, CASE WHEN x.b = y.b THEN 1 ELSE 0 END AS same,
                  CASE WHEN (x.b IN ('A', 'G')) = (y.b IN ('A', 'G')) THEN 1 ELSE 0 END AS kin, CASE WHEN y.b IN ('A', 'G') THEN 0.5e0 ELSE 0.5e0 END AS pool FROM ts, f x, f y)
     SELECT 'JC' AS model, t, a, b, round(0.25e0 + (same - 0.25e0) * exp(-t), 9) AS p FROM g
@@ -314,17 +309,15 @@ def _ancestral(x: str = "", y: str = "") -> Model:
 
 
 def _orders() -> str:
-    """First parameters of JC matrices 0.1 + code / 100: copies of the suffix's, means over the first base, and what is left."""
-    alpha = {c: 0.1 + sum(BASES.index(x) * 4**k for k, x in enumerate(reversed(c))) / 100 for n in range(3) for c in _strings(n)}
-    rows = [("lower", c, alpha[c]) for c in alpha if len(c) < 2] + [("raised", c, alpha[c[-2:]]) for n in range(4) for c in _strings(n)]
-    mean = {c: alpha[c] for c in _strings(2)} | {c: sum(alpha[x + c] for x in BASES) / 4 for c in _strings(1)}
-    mean[""] = sum(mean[c] for c in _strings(1)) / 4
-    rows += [("averaged", c, v) for c, v in mean.items()]
-    return "SELECT kind, ctx, round(alpha, 9) AS alpha FROM (VALUES " + ", ".join(f"('{k}', '{c}', {_num(v)})" for k, c, v in rows) + ") v(kind, ctx, alpha)"
-
-
-def _strings(n: int) -> list[str]:
-    return [""] if n == 0 else [x + c for x in BASES for c in _strings(n - 1)]
+    """Shares of changed columns by the bases before them, each length counted on its own, and what follows from them."""
+    ctx = "coalesce(lag(t0, 2) OVER w, '') AS l2, coalesce(lag(t0, 1) OVER w, '') AS l1"
+    both = "t0 IN ('A', 'C', 'G', 'T') AND t1 IN ('A', 'C', 'G', 'T')"
+    of = lambda n: f"SELECT {('right(l2 || l1, ' + str(n) + ')') if n else chr(39) * 2} AS ctx, avg(CASE WHEN t0 <> t1 THEN 1e0 ELSE 0e0 END) AS alpha FROM c WHERE {both}" + (" AND l1 IN ('A', 'C', 'G', 'T')" if n > 0 else "") + (" AND l2 IN ('A', 'C', 'G', 'T')" if n > 1 else "") + (" GROUP BY 1" if n else "")
+    return f"""{_WITH}, c AS (SELECT t0, t1, {ctx} FROM wide WINDOW w AS (PARTITION BY block ORDER BY col)), k AS ({of(0)} UNION ALL {of(1)} UNION ALL {of(2)}),
+      one AS (SELECT right(ctx, 1) AS ctx, avg(alpha) AS alpha FROM k WHERE length(ctx) = 2 GROUP BY 1),
+      r AS (SELECT 'lower' AS kind, ctx, alpha FROM k WHERE length(ctx) < 2 UNION ALL SELECT 'raised', ctx, alpha FROM k UNION ALL SELECT 'raised', x || ctx, alpha FROM k, (VALUES ('A'), ('C'), ('G'), ('T')) v(x) WHERE length(ctx) = 2
+        UNION ALL SELECT 'averaged', ctx, alpha FROM k WHERE length(ctx) = 2 UNION ALL SELECT 'averaged', ctx, alpha FROM one UNION ALL SELECT 'averaged', '', avg(alpha) FROM one)
+      SELECT kind, ctx, round(alpha, 9) AS alpha FROM r"""
 
 
 _RUNS = "{0} AS (SELECT block, min(col) AS pos FROM (SELECT block, col, op, row_number() OVER (PARTITION BY block ORDER BY col) - row_number() OVER (PARTITION BY block, op ORDER BY col) AS g FROM (SELECT block, col, CASE WHEN t0 IN ('A','C','G','T') AND {1} IN ('A','C','G','T') THEN 'S' WHEN {1} IN ('A','C','G','T') THEN 'I' WHEN t0 IN ('A','C','G','T') THEN 'D' END AS op FROM wide) WHERE op IS NOT NULL) WHERE op = 'D' GROUP BY block, g)"
@@ -383,10 +376,10 @@ ORACLES = {
         round(CAST(sum(CASE WHEN hit THEN m ELSE 0 END) AS DOUBLE) / nullif(sum(CASE WHEN hit THEN n ELSE 0 END), 0), 9) AS identity FROM r GROUP BY block, b, e""",
     "distance_matrix": f"""WITH p AS ({_NJ}), x AS (SELECT t1, t2, d FROM p UNION ALL SELECT t2, t1, d FROM p UNION ALL SELECT name, name, 0e0 FROM (VALUES {", ".join(f"('{n}')" for n in NAMES)}) v(name))
       SELECT CAST(substr(t1, 2) AS INTEGER) AS ix, t1 || chr(9) || string_agg(CAST(d AS VARCHAR), chr(9) ORDER BY t2) AS value FROM x GROUP BY t1 UNION ALL SELECT -1, concat('', chr(9), '{chr(9).join(NAMES)}')""",
-    "tree_leaf_distances": f"{_UP}, l AS (SELECT u.ancestor, n.name, u.dist FROM up u JOIN nodes n ON n.node_id = u.node WHERE n.kind = 'LEAF') SELECT x.name AS a, y.name AS b, round(min(x.dist + y.dist), 9) AS d FROM l x JOIN l y ON x.ancestor = y.ancestor AND x.name < y.name GROUP BY ALL",
-    "tree_clades": f"{_UP} SELECT n.name, count(*) AS n_members, string_agg(CAST(u.node AS VARCHAR), ',' ORDER BY u.node) AS members FROM up u JOIN nodes n ON n.node_id = u.ancestor GROUP BY n.name",
-    "tree_graph": f"WITH {_NODES} SELECT n.kind, n.name, p.name AS parent, n.branch_len FROM nodes n LEFT JOIN nodes p ON p.node_id = n.parent_id",
-    "tree_leaf_counts": f"{_UP} SELECT CAST(u.ancestor AS INTEGER) AS node_id, count(*) AS n_leaves FROM up u JOIN nodes n ON n.node_id = u.node WHERE n.kind = 'LEAF' GROUP BY ALL",
+    "tree_leaf_distances": f"{_FOREST} SELECT tree, a, b, d FROM far",
+    "tree_clades": f"{_FOREST} SELECT tree, ancestor AS node, count(*) AS n_members, string_agg(CAST(node AS VARCHAR), ',' ORDER BY node) AS members FROM up GROUP BY tree, ancestor",
+    "tree_graph": f"{_FOREST} SELECT n.tree, n.kind, n.name, p.name AS parent, n.branch_len FROM forest n LEFT JOIN forest p ON p.tree = n.tree AND p.node = n.parent",
+    "tree_leaf_counts": f"{_FOREST} SELECT tree, ancestor AS node, count(*) AS n_leaves FROM leaf GROUP BY tree, ancestor",
     "transition_table": _transitions(),
     "maf_round_trip": f"{_WITH} SELECT 'b' || block || '.t' || track AS name, phase, CAST(length(seq) AS BIGINT) AS n, md5(seq) AS seq_md5 FROM tracks WHERE seq <> ''",
     "track_accuracy": f"""{_WITH}, m AS (SELECT track, CAST(count(*) AS DOUBLE) AS n, CAST(sum(CASE WHEN block % 2 = 1 AND sym = 'T' THEN 0 ELSE 1 END) AS DOUBLE) AS m FROM sites GROUP BY track)
@@ -421,8 +414,8 @@ ORACLES = {
       SELECT ctx, n, round(pow(0.3e0, length(regexp_replace(ctx, '[CG]', '', 'g'))) * pow(0.2e0, length(regexp_replace(ctx, '[AT]', '', 'g'))), 9) AS prior FROM c""",
     "probability_maps": """WITH r AS (SELECT DISTINCT CAST(l_discount AS DOUBLE) AS a, CAST(l_tax AS DOUBLE) AS b FROM lineitem)
       SELECT a, b, round(atan(a) / pi() + 0.5e0, 9) AS p, round(tan((b - 0.25e0) * pi()), 9) AS x, round(ln(exp(a) + exp(b)), 9) AS lse, round(CASE WHEN a > 0.05e0 THEN 0e0 ELSE exp(a + b) END, 9) AS added FROM r""",
-    "gamma_density": "SELECT round(k * 0.01e0, 2) AS x, round(4 * (k * 0.01e0) * exp(-2 * (k * 0.01e0)), 9) AS p FROM range(1, 2000) t(k) WHERE k <= 50 OR 4 * (k * 0.01e0) * exp(-2 * (k * 0.01e0)) >= 1e-4",
-    "rerooted_distances": _leaf_pairs("'b', 'c', 'd', 'e'"),
-    "pruned_distances": _leaf_pairs("'a', 'c', 'd', 'e'"),
+    "gamma_density": "SELECT x, round(4 * x * exp(-2 * x), 9) AS p FROM (SELECT DISTINCT l_quantity / 10 AS x FROM lineitem)",
+    "rerooted_distances": f"{_FOREST} SELECT tree, a, b, d FROM far",
+    "pruned_distances": f"{_FOREST} SELECT tree, a, b, d FROM far WHERE m % 3 <> 0 AND n % 3 <> 0",
     "stream_composition": f"""{_WITH} SELECT track, count(*) AS n, CAST(sum(length(seq)) AS BIGINT) AS symbols, {', '.join(f"CAST(sum(length(seq) - length(replace(seq, '{b}', ''))) AS BIGINT) AS {chr(34)}{b}{chr(34)}" for b in BASES)} FROM tracks GROUP BY track""",
 }

@@ -6,7 +6,7 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def new_folder(spark: SparkSession, tag: str) -> str:
@@ -15,3 +15,10 @@ def new_folder(spark: SparkSession, tag: str) -> str:
     if not found and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return f"{found or 'file://' + tempfile.mkdtemp(prefix='cladeframe-')}/{tag}-{uuid.uuid4().hex}"
+
+
+def materialised(df: DataFrame, tag: str) -> DataFrame:
+    """A table written there and read again, which outlives any executor."""
+    path = new_folder(df.sparkSession, tag)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

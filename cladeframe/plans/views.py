@@ -45,3 +45,24 @@ wide AS (SELECT block, phase, col, {wide} FROM sites GROUP BY block, phase, col)
 
 
 TRACKS_SQL = tracks_sql()
+
+
+def forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tree of two to ten leaves for each text, numbered like a heap from the root's 1: node n stands under n / 2."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("tree"), F.col("text")).where("text is not null and tree is not null")
+    sized = docs.select("tree", (2 + F.octet_length("text") % 9).alias("leaves"))
+    df = sized.withColumn("node", F.explode(F.expr("sequence(1, 2 * leaves - 1)")))
+    leaf, root = F.col("node") >= F.col("leaves"), F.col("node") == 1
+    name = F.concat(F.when(leaf, "x").otherwise("A"), F.format_string("%02d", "node"))
+    far = ((F.col("tree") * 31 + F.col("node") * 17) % 97 + 1) / 100
+    return df.select("tree", "node", name.alias("name"), F.when(leaf, "LEAF").otherwise("INTERNAL").alias("kind"), F.when(~root, F.floor(F.col("node") / 2).cast("int")).alias("parent"), (F.col("node") % 2).alias("child_ix"), F.when(~root, far).alias("branch_len"))
+
+
+FOREST_SQL = """forest AS (
+  SELECT tree, CAST(node AS INTEGER) AS node, (CASE WHEN node >= leaves THEN 'x' ELSE 'A' END) || lpad(CAST(node AS VARCHAR), 2, '0') AS name, CASE WHEN node >= leaves THEN 'LEAF' ELSE 'INTERNAL' END AS kind,
+         CASE WHEN node > 1 THEN CAST(node // 2 AS INTEGER) END AS parent, CASE WHEN node > 1 THEN CAST((tree * 31 + node * 17) % 97 + 1 AS DOUBLE) / 100 END AS branch_len
+  FROM (SELECT tree, leaves, unnest(range(1, 2 * leaves)) AS node FROM (SELECT doc_id AS tree, 2 + octet_length(encode(text)) % 9 AS leaves FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL))),
+up AS (SELECT tree, node, node AS ancestor, 0e0 AS dist FROM forest
+       UNION ALL SELECT u.tree, u.node, f.parent, u.dist + f.branch_len FROM up u JOIN forest f ON f.tree = u.tree AND f.node = u.ancestor WHERE f.parent IS NOT NULL),
+leaf AS (SELECT u.tree, u.ancestor, u.node, n.name, u.dist FROM up u JOIN forest n ON n.tree = u.tree AND n.node = u.node WHERE n.kind = 'LEAF'),
+far AS (SELECT x.tree, x.name AS a, y.name AS b, x.node AS m, y.node AS n, round(min(x.dist + y.dist), 9) AS d FROM leaf x JOIN leaf y ON x.tree = y.tree AND x.ancestor = y.ancestor AND x.name < y.name GROUP BY ALL)"""

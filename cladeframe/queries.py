@@ -7,13 +7,13 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from cladeframe.functions import residues
-from cladeframe.functions.models import ContextModel, Model, NmerModel, context_from_text, context_to_text, from_text, nmer_rates, to_text
+from cladeframe.functions.models import ContextModel, Model, from_text, nmer_rates, to_text
 from cladeframe.operators import alignment as al
-from cladeframe.operators import distance, likelihood, parsimony, training
-from cladeframe.operators import tree as tr
+from cladeframe.operators import distance, hierarchy, likelihood, parsimony, training
+from cladeframe.operators import forest as fr
 from cladeframe.operators.tree import Node, Tree
-from cladeframe.plans.shared import new_folder
-from cladeframe.plans.views import TRACKS, track_stream, tracks
+from cladeframe.plans.shared import materialised, new_folder
+from cladeframe.plans.views import TRACKS, forest, track_stream, tracks
 from cladeframe.sources import formats
 from cladeframe.streaming import blocks as streaming
 
@@ -23,8 +23,6 @@ TREE = Tree(Node("t0", [(Node("A1", [(Node("A2", [(Node("t1"), 0.2), (Node("t2")
 #: Five leaves one after the other below the root taxon, where ties at one node decide what its children can be.
 LADDER_NAMES = [f"t{k}" for k in range(6)]
 LADDER = Tree(Node("t0", [(Node("A1", [(Node("A2", [(Node("A3", [(Node("A4", [(Node("t1"), 0.1), (Node("t2"), 0.2)]), 0.1), (Node("t3"), 0.2)]), 0.15), (Node("t4"), 0.25)]), 0.1), (Node("t5"), 0.3)]), 0.1)]))
-#: A larger tree for the tree operators.
-ADDITIVE = Tree(Node("root", [(Node("A3", [(Node("A2", [(Node("A1", [(Node("a"), 2.0), (Node("b"), 3.0)]), 3.0), (Node("c"), 4.0)]), 2.0), (Node("e"), 1.0)]), 1.0), (Node("d"), 1.0)]))
 JC = Model("JC", (0.25,))
 HKY = Model("HKY", (0.4, 0.2), (0.3, 0.2, 0.2, 0.3))
 CONTEXTS = ContextModel(1, {(0, ""): JC, (0, "A"): Model("JC", (0.3,)), (0, "C"): Model("FEL", (0.5,), (0.3, 0.2, 0.2, 0.3)), (0, "G"): HKY, (0, "T"): Model("KIM", (0.4, 0.2))})
@@ -322,42 +320,44 @@ def fasta(spark, sf_dir):
 
 
 def tree_leaf_distances(spark, sf_dir):
-    return tr.leaf_distances(ADDITIVE.table(spark))
+    """Distances of all pairs of leaves of every tree of the forest."""
+    return fr.leaf_distances(forest(spark, sf_dir))
 
 
 def tree_clades(spark, sf_dir):
-    return tr.clades(ADDITIVE.table(spark)).select("name", "n_members", F.array_join(F.col("members").cast("array<string>"), ",").alias("members"))
+    rows = fr.clades(forest(spark, sf_dir))
+    return rows.select("tree", "node", "n_members", F.array_join(F.col("members").cast("array<string>"), ",").alias("members"))
 
 
 def tree_graph(spark, sf_dir):
-    nodes = ADDITIVE.table(spark)
-    up = nodes.select(F.col("node_id").alias("parent_id"), F.col("name").alias("parent"))
-    return nodes.join(up, "parent_id", "left").select("kind", "name", "parent", "branch_len")
+    nodes = forest(spark, sf_dir)
+    up = nodes.select("tree", F.col("node").alias("parent"), F.col("name").alias("above"))
+    return nodes.join(up, ["tree", "parent"], "left").select("tree", "kind", "name", F.col("above").alias("parent"), "branch_len")
 
 
 def tree_leaf_counts(spark, sf_dir):
-    up = tr.ancestors(ADDITIVE.table(spark)).join(ADDITIVE.table(spark).where("kind = 'LEAF'").select(F.col("node_id").alias("node")), "node")
-    return up.groupBy(F.col("ancestor").alias("node_id")).agg(F.count("*").alias("n_leaves"))
+    return fr.clades(forest(spark, sf_dir)).select("tree", "node", "n_leaves")
 
 
 def transition_table(spark, sf_dir):
-    """P(t) of models that went through their files; the reversible one equals HKY, Halpern-Bruno with even frequencies its base."""
+    """P(t) of models that went through their files, at the times that a table gives; the reversible one equals HKY,
+    Halpern-Bruno with even frequencies its base."""
     ts, tv = 0.4995, 0.24975
     rev = Model("REV", (ts, tv, tv, tv, ts, tv), HKY.eq)
     models = {"JC": JC, "FEL": Model("FEL", (0.5,), HKY.eq), "KIM": Model("KIM", (0.4, 0.2)), "HKY": HKY, "REV": rev, "HB": Model("HB", (), JC.eq, Model("KIM", (0.4, 0.2)))}
-    times = [float(t) for t in (0.1, 0.3, 1.0, 2.5)]
-    rows = [(k, t, a, b, round(float(p[i, j]), 9)) for k, m in models.items() for t in times for p in [from_text(to_text(m)).at(t)] for i, a in enumerate("ACGT") for j, b in enumerate("ACGT")]
-    gap = Model("GAP", (0.2, 0.1))
-    rows += [("GAP", t, "N", b, round(float(gap.at(t)[0, j]), 9)) for t in times for j, b in enumerate("N-.")]
-    return spark.createDataFrame(rows, "model string, t double, a string, b string, p double")
+    models = {k: from_text(to_text(m)) for k, m in models.items()} | {"GAP": Model("GAP", (0.2, 0.1))}
+    times = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.round(5 * (F.col("l_discount") + F.col("l_tax")) + 0.1, 2).alias("t")).distinct()
+    df = hierarchy.transitions(times, models).where("model <> 'GAP' or a = 'N'")
+    return df.select("model", "t", "a", "b", F.round("p", 9).alias("p"))
 
 
 def context_orders(spark, sf_dir):
-    """Context models of lower and higher order, through their file: the first parameter of each context's matrix."""
-    held = context_from_text(context_to_text(ContextModel.build(2, lambda f, c: Model("JC", (0.1 + sum("ACGT".index(x) * 4**k for k, x in enumerate(reversed(c))) / 100,)))))
-    kinds = {"raised": held.raised(), "averaged": held.averaged(), "lower": held.lower()}
-    rows = [(k, c, round(m.params[0], 9)) for k, model in kinds.items() for (_, c), m in model.models.items()]
-    return spark.createDataFrame(rows, "kind string, ctx string, alpha double")
+    """Rates of change by context, counted from two tracks: of shorter contexts, raised by one order, and averaged."""
+    sites = al.left_sites(tracks(spark, sf_dir), TRACKS, 2, [0])
+    rows = materialised(hierarchy.context_counts(sites, "t0", "t1", 2).select("ctx", "n", (F.col("changed") / F.col("n")).alias("alpha")), "contexts")
+    kinds = {"raised": hierarchy.raised(rows.select("ctx", "alpha"), 2), "averaged": hierarchy.averaged(rows, 2, "alpha"), "lower": hierarchy.lower(rows, 2).select("ctx", "alpha")}
+    parts = [df.select(F.lit(k).alias("kind"), "ctx", F.round("alpha", 9).alias("alpha")) for k, df in kinds.items()]
+    return parts[0].union(parts[1]).union(parts[2])
 
 
 def maf_round_trip(spark, sf_dir):
@@ -438,7 +438,9 @@ def probability_maps(spark, sf_dir):
 
 
 def gamma_density(spark, sf_dir):
-    return residues.gamma_density(spark, 2.0, 0.5).select("x", F.round("p", 9).alias("p"))
+    """The density of a gamma distribution at the quantities of the order lines."""
+    x = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select((F.col("l_quantity") / 10).alias("x")).distinct()
+    return x.select("x", F.round(hierarchy.gamma_at(F.col("x"), 2.0, 0.5), 9).alias("p"))
 
 
 def combined_columns(spark, sf_dir):
@@ -475,12 +477,15 @@ def gap_patterns(spark, sf_dir):
 
 
 def rerooted_distances(spark, sf_dir):
-    """Rerooting at a leaf leaves the other leaves' distances as they are."""
-    return tr.leaf_distances(ADDITIVE.rerooted("a").table(spark))
+    """Every tree rerooted at its leaf of the greatest number: the leaves' distances stay as they are."""
+    nodes = forest(spark, sf_dir)
+    last = nodes.where("kind = 'LEAF'").groupBy("tree").agg(F.max("name").alias("leaf"))
+    return fr.leaf_distances(fr.rerooted(nodes, last))
 
 
 def pruned_distances(spark, sf_dir):
-    return tr.leaf_distances(ADDITIVE.pruned({"a", "c", "d", "e"}).table(spark))
+    """Every tree without the leaves whose number three divides."""
+    return fr.leaf_distances(fr.pruned(forest(spark, sf_dir), F.col("node") % 3 != 0))
 
 
 def stream_composition(spark, sf_dir):
