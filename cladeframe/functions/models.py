@@ -350,22 +350,29 @@ def degenerate(nmer: str) -> list[int]:
     return [int("".join(map(str, c)), 4) for c in product(*choices)]
 
 
-def context_nmers(model: ContextModel, n: int, t: float) -> np.ndarray:
-    """4^n x 4^n: P of one n-mer turning into another, symbol by symbol, each by the model of what both (a dual model) or
-    the parent alone hold before it."""
-    tables = {k: m.at(t) for (_, k), m in model.models.items()}
-    names = contexts(n)
+#: Longest n-mers that have tables: 4^6 squared are 134 MB for a branch.
+LONGEST = 6
 
-    def table(parent: str, child: str) -> np.ndarray:
-        if not model.dual:
-            return tables[next(parent[k:] for k in range(len(parent) + 1) if parent[k:] in tables)]
-        return tables[next(x for k in range(len(parent), -1, -1) if (x := f"{parent[len(parent) - k :]}|{child[len(child) - k :]}") in tables)]
 
-    out = np.ones((len(names), len(names)))
-    for i, a in enumerate(names):
-        for j, b in enumerate(names):
-            for k in range(n):
-                out[i, j] *= table(a[:k], b[:k])[BASES.index(a[k]), BASES.index(b[k])]
+def context_nmers(model: ContextModel, n: int, t: float) -> np.ndarray:
+    """4^n x 4^n: P of one n-mer turning into another, symbol by symbol, each by the model of what both (a dual model) or
+    the parent alone hold before it. Built up a symbol at a time as products of arrays; n is LONGEST at most."""
+    if n > LONGEST:
+        raise ValueError(f"n-mers of more than {LONGEST} symbols have no table")
+    known = list(dict.fromkeys(c for _, c in model.models))
+    at = {c: k for k, c in enumerate(known)}
+    held = np.stack([{k: m for (_, k), m in model.models.items()}[c].at(t) for c in known])
+    out = np.ones((1, 1))
+    for k in range(n):
+        names = contexts(k)
+        if model.dual:  # the longest suffixes of both, equally long, that are known
+            find = lambda a, b: next(at[x] for j in range(len(a) + 1) if (x := f"{a[j:]}|{b[j:]}") in at)
+            index = np.array([[find(a, b) for b in names] for a in names])
+            out = np.einsum("ab,abxy->axby", out, held[index])
+        else:
+            index = np.array([next(at[a[j:]] for j in range(len(a) + 1) if a[j:] in at) for a in names])
+            out = np.einsum("ab,axy->axby", out, held[index])
+        out = out.reshape(4 ** (k + 1), 4 ** (k + 1))
     return out
 
 

@@ -198,6 +198,10 @@ def fitch_likelihood(sites: DataFrame, tree: Tree, model: ContextModel | Model,
 # -- slices of n columns ------------------------------------------------------------------------------------------------
 
 
+#: Numbers of one array of slices by n-mers: 32 MB.
+DENSE = 1 << 22
+
+
 def _codes(nmers: list[str], n: int) -> np.ndarray:
     """Row per n-mer: 1 for every n-mer of A C G T that it matches."""
     out, known = np.zeros((len(nmers), 4**n)), {}
@@ -238,11 +242,12 @@ def slice_likelihood(slices: DataFrame, tree: Tree, tables: dict[int, tuple[dict
             texts = {t: batch.column(batch.schema.get_field_index(t)).to_pylist() for t in taxa}
             ll, size = np.zeros(batch.num_rows), np.array([len(x) for x in texts[tree.root.name]])
             for n in np.unique(size):
-                rows = np.flatnonzero(size == n)
-                for width, sign in ((int(n), 1), (int(n) - 1, -1)):
-                    if width:
-                        p, eq = held.value[width]
-                        ll[rows] += sign * slice_joint(tree, lambda c, p=p: p[c.name], {t: [x[k][:width] for k in rows] for t, x in texts.items()}, width, eq)
+                every, most = np.flatnonzero(size == n), max(1, DENSE // 4 ** int(n))
+                for rows in (every[at : at + most] for at in range(0, len(every), most)):
+                    for width, sign in ((int(n), 1), (int(n) - 1, -1)):
+                        if width:
+                            p, eq = held.value[width]
+                            ll[rows] += sign * slice_joint(tree, lambda c, p=p: p[c.name], {t: [x[k][:width] for k in rows] for t, x in texts.items()}, width, eq)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ll)], names=[*batch.schema.names, out])
 
     return slices.mapInArrow(run, f"{fields}, {out} double")

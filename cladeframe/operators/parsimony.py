@@ -184,8 +184,8 @@ def raised_gaps(gaps: Column, history: Column) -> Column:
     """Gaps of a child in the parent's coordinates, with the child's insertions as gaps of the parent.
 
     history: array of (op, len), op i, d or s. A gap inside a substituted stretch moves with it; one inside an insertion
-    splits the insertion in two, before and after it, all at the insertion's place in the parent. At one place the parts
-    keep the child's order.
+    splits the insertion in two, before and after it, all at the insertion's place in the parent. One at the child's end
+    stands at the parent's end. At one place the parts keep the child's order.
     """
     number = "array<struct<op:string,len:int,parent:int,child:int>>"
     start = F.struct(F.lit(0).alias("parent"), F.lit(0).alias("child"), F.expr(f"cast(array() as {number})").alias("out"))
@@ -196,17 +196,51 @@ def raised_gaps(gaps: Column, history: Column) -> Column:
         return F.struct((acc["parent"] + step("i")).alias("parent"), (acc["child"] + step("d")).alias("child"), F.concat(acc["out"], F.array(here)).alias("out"))
 
     stretches = F.filter(F.aggregate(history, start, placed, lambda a: a["out"]), lambda h: h["op"] != "d")
-    # by the child's position, then parts of insertions before the gap that stands there
-    entry = lambda pos, rank, parent, size: F.struct(pos.alias("at"), F.lit(rank).alias("rank"), parent.alias("pos"), size.alias("len"))
+    gaps = F.transform(gaps, lambda g, i: F.struct(g["pos"].alias("pos"), g["len"].alias("len"), i.alias("i")))
+    # by the child's position, then parts of insertions before the gap that stands there, gaps at one place in their order
+    entry = lambda pos, rank, i, parent, size: F.struct(pos.alias("at"), F.lit(rank).alias("rank"), i.alias("i"), parent.alias("pos"), size.alias("len"))
     inside = lambda h, g: (g["pos"] >= h["child"]) & (g["pos"] < h["child"] + h["len"])
-    moved = F.flatten(F.transform(stretches, lambda h: F.transform(F.filter(gaps, lambda g: inside(h, g)), lambda g: entry(g["pos"], 1, F.when(h["op"] == "i", h["parent"]).otherwise(h["parent"] + g["pos"] - h["child"]), g["len"]))))
+    moved = F.flatten(F.transform(stretches, lambda h: F.transform(F.filter(gaps, lambda g: inside(h, g)), lambda g: entry(g["pos"], 1, g["i"], F.when(h["op"] == "i", h["parent"]).otherwise(h["parent"] + g["pos"] - h["child"]), g["len"]))))
+    size = lambda but: F.aggregate(history, F.lit(0), lambda a, h: a + F.when(h["op"] == but, 0).otherwise(h["len"].cast("int")))
+    child, parent = size("d"), size("i")
+    moved = F.concat(moved, F.transform(F.filter(gaps, lambda g: g["pos"] >= child), lambda g: entry(g["pos"], 1, g["i"], parent, g["len"])))
     ends = lambda h: F.array_sort(F.array_distinct(F.concat(F.array(h["child"], h["child"] + h["len"]), F.transform(F.filter(gaps, lambda g: inside(h, g)), lambda g: g["pos"]))))
 
     def parts(h):
         cuts = ends(h)
-        return F.transform(F.slice(cuts, 1, F.size(cuts) - 1), lambda x, i: entry(x, 0, h["parent"], F.get(cuts, i + 1) - x))
+        return F.transform(F.slice(cuts, 1, F.size(cuts) - 1), lambda x, i: entry(x, 0, F.lit(0), h["parent"], F.get(cuts, i + 1) - x))
 
     made = F.flatten(F.transform(F.filter(stretches, lambda h: h["op"] == "i"), parts))
     # a part that begins where a gap stands follows that gap
-    every = F.transform(F.concat(moved, made), lambda e: F.struct(e["at"].alias("at"), F.when((e["rank"] == 0) & F.exists(moved, lambda g: g["at"] == e["at"]), 2).otherwise(e["rank"]).alias("rank"), e["pos"].alias("pos"), e["len"].alias("len")))
+    every = F.transform(F.concat(moved, made), lambda e: F.struct(e["at"].alias("at"), F.when((e["rank"] == 0) & F.exists(moved, lambda g: g["at"] == e["at"]), 2).otherwise(e["rank"]).alias("rank"), e["i"].alias("i"), e["pos"].alias("pos"), e["len"].alias("len")))
     return F.transform(F.filter(F.array_sort(every), lambda e: e["len"] > 0), lambda e: F.struct(e["pos"].alias("pos"), e["len"].alias("len")))
+
+
+def histories(sites: DataFrame, tree: Tree) -> DataFrame:
+    """(block, h_<child>...): along every branch of a tree whose nodes are columns of the sites, the history of the block as
+    an array of (op, len): s both have a residue, i the child alone, d the parent alone; null where neither has one."""
+    out = sites.select("block").distinct()
+    for parent, child, _ in tree.branches():
+        runs = indel_runs(sites, parent.name, child.name).groupBy("block").agg(F.array_sort(F.collect_list(F.struct("start", F.lower("op").alias("op"), F.col("len").cast("int").alias("len")))).alias("r"))
+        ops = F.transform("r", lambda x: F.struct(x["op"].alias("op"), x["len"].alias("len")))
+        out = out.join(runs.select("block", ops.alias(f"h_{child.name}")), "block", "left")
+    return out
+
+
+def carried_gaps(branches: DataFrame, tree: Tree) -> DataFrame:
+    """(block, gaps): the insertions along all branches as gaps (pos, len) of the root, in its coordinates.
+
+    Leaves have no gaps of their own. From the leaves up, a node has the gaps of its children raised along their branches,
+    those of the first child before those of the second where they meet. branches: as histories gives them."""
+    none = F.expr("cast(array() as array<struct<pos:int,len:int>>)")
+    df = branches
+    order: list[Node] = []
+    tree.visit(order.append, "post")
+    for x in order:
+        raised = []
+        for child, _ in x.children:
+            gaps = F.col(f"_g{tree.ids[id(child)]}") if child.children else none
+            raised.append(F.when(F.col(f"h_{child.name}").isNull(), none).otherwise(raised_gaps(gaps, F.col(f"h_{child.name}"))))
+        if raised:
+            df = df.withColumn(f"_g{tree.ids[id(x)]}", raised[0] if len(raised) == 1 else merged_gaps(*raised))
+    return df.select("block", F.col(f"_g{tree.ids[id(tree.root)]}").alias("gaps"))

@@ -476,6 +476,14 @@ def gap_patterns(spark, sf_dir):
     return both.select("block", F.md5(text.cast("binary")).alias("positions_md5"), (F.size("one") + F.size("two")).cast("long").alias("n"))
 
 
+def carried_gaps(spark, sf_dir):
+    """Insertions along all branches, ancestors by parsimony, as gaps of the target."""
+    sites = parsimony.fitch(_sites(spark, sf_dir), TREE, F.col)
+    df = parsimony.carried_gaps(materialised(parsimony.histories(sites, TREE), "histories"), TREE)
+    text = F.array_join(F.transform("gaps", lambda g: F.concat_ws(":", g["pos"].cast("string"), g["len"].cast("string"))), ",")
+    return df.select("block", F.size("gaps").cast("long").alias("n"), F.aggregate("gaps", F.lit(0).cast("long"), lambda a, g: a + g["len"]).alias("columns"), F.md5(text.cast("binary")).alias("gaps_md5"))
+
+
 def rerooted_distances(spark, sf_dir):
     """Every tree rerooted at its leaf of the greatest number: the leaves' distances stay as they are."""
     nodes = forest(spark, sf_dir)
@@ -508,7 +516,7 @@ QUERIES = {
         frame_likelihood, best_frame, rco_likelihood, trco_likelihood, prefix_sums, fitch_states, single_gain_states, majority_states, fitch_likelihood, indel_runs,
         fasta, tree_leaf_distances, tree_clades, tree_graph, tree_leaf_counts, transition_table, maf_round_trip, track_accuracy, renamed_target, range_sums,
         phase_prediction, lco_likelihood, nmer_likelihood, aco_likelihood, hog_likelihood, mp_likelihood, gap_rewriting, aco_difference, context_orders,
-        gap_likelihood, periodic_likelihood, running_likelihood, periodic_leaf_likelihood, fitch_ladder, single_gain_ladder, mp_ladder, interval_identity, distance_matrix,
+        gap_likelihood, periodic_likelihood, running_likelihood, periodic_leaf_likelihood, fitch_ladder, single_gain_ladder, mp_ladder, interval_identity, distance_matrix, carried_gaps,
         combined_columns, attached_tracks, numbered_tracks, cumulative_likelihood, gap_patterns, context_priors, probability_maps, gamma_density, rerooted_distances, pruned_distances, stream_composition, trained_tree,
     )
 }

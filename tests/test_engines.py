@@ -228,3 +228,74 @@ def test_clades_of_many_nodes(spark):
     tree = Tree(node)
     got = {r.name: r.members for r in tr.clades(tree.table(spark)).collect()}
     assert len(got) == 79 and sorted(got["n39"]) == got["n39"] == list(range(79)) and len(got["n5"]) == 11 and len(got["l3"]) == 1
+
+
+def raised(gaps, history):
+    """Gaps of a child walked into the parent's coordinates, one residue of the child at a time."""
+    out, child, parent, part = [], 0, 0, 0
+
+    def close():
+        nonlocal part
+        if part:
+            out.append((parent, part))
+        part = 0
+
+    for op, n in history:
+        for _ in range(n):
+            here = [g for g in gaps if g[0] == child] if op != "d" else []
+            if here:
+                close()
+                out.extend((parent, size) for _, size in here)
+            if op == "i":
+                part, child = part + 1, child + 1
+            else:
+                close()
+                parent, child = parent + 1, child + (op == "s")
+        close()
+    return out + [(parent, size) for at, size in gaps if at >= child]
+
+
+def test_gaps_carried_up_a_tree(spark):
+    rng = np.random.default_rng(8)
+    names = [x.name for x in LADDER.nodes]
+    rows = [(b, c, *rng.choice(list("AC-"), len(names), p=[0.4, 0.25, 0.35]).tolist()) for b in range(25) for c in range(14)]
+    rows += [(99, c, *("A" if n == "r" else "-" for n in names)) for c in range(3)]
+    sites = spark.createDataFrame(rows, ["block", "col", *names])
+    got = {r.block: [tuple(g) for g in r.gaps] for r in parsimony.carried_gaps(parsimony.histories(sites, LADDER), LADDER).collect()}
+
+    def history(block, a, b):
+        ops = []
+        for r in rows:
+            if r[0] == block:
+                x, y = (r[2 + names.index(n)] != "-" for n in (a, b))
+                op = "s" if x and y else "i" if y else "d" if x else ""
+                if op and ops and ops[-1][0] == op:
+                    ops[-1] = (op, ops[-1][1] + 1)
+                elif op:
+                    ops.append((op, 1))
+        return ops
+
+    def below(block, x):
+        found = []
+        for c, _ in x.children:
+            found = sorted([*found, *raised(below(block, c), history(block, x.name, c.name))], key=lambda g: g[0])
+        return found
+
+    assert got == {b: below(b, LADDER.root) for b in {r[0] for r in rows}} and sum(map(len, got.values())) > 100
+
+
+def test_tables_of_nmers_symbol_by_symbol():
+    rng = np.random.default_rng(9)
+    for dual in (False, True):
+        model = m.ContextModel.random(2, "HKY", 0.05, rng, dual=dual)
+        table = m.context_nmers(model, 3, 0.4)
+        names = m.contexts(3)
+        for i, j in rng.integers(0, 64, (40, 2)):
+            a, b, want = names[i], names[j], 1.0
+            for k in range(3):
+                found = model.lookup_dual(a[:k], b[:k]) if dual else model.lookup(a[:k])
+                want *= found.at(0.4)["ACGT".index(a[k]), "ACGT".index(b[k])]
+            assert table[i, j] == pytest.approx(want)
+        assert table.sum(1) == pytest.approx(np.ones(64))
+    with pytest.raises(ValueError):
+        m.context_nmers(model, 7, 0.1)
