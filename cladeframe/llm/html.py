@@ -378,8 +378,10 @@ def _groups(repeated: DataFrame, parsed: DataFrame) -> DataFrame:
     bodies = materialise(bodies.join(bodies.groupBy("host").agg(F.count("*").alias("bodies")), "host"), "bodies")
     mine = repeated.where("mine").select("suffix", "key")
     held = mine.groupBy("suffix").agg(F.count("*").alias("held"), F.min("key").alias("low"), F.max("key").alias("high")).where("held > 1")
-    placed = mine.join(held, "suffix").join(bodies.select("key", "bodies"), "key")
-    placed = materialise(placed.withColumn("frame", (F.col("held") > 2) & (2 * F.col("held") > F.col("bodies"))), "placed")
+    # whether a suffix is of the frame is told once for it, by the host of one of its bodies
+    frames = held.where("held > 2").join(bodies.select(F.col("key").alias("low"), "bodies"), "low").where("2 * held > bodies").select("suffix", F.lit(True).alias("frame"))
+    told = held.join(frames, "suffix", "left").select("suffix", "low", "high", F.coalesce("frame", F.lit(False)).alias("frame"))
+    placed = materialise(mine.join(told, "suffix"), "placed")
     frame = placed.where("frame").groupBy("key").agg(F.count("*").alias("n"))
     own = bodies.join(frame, "key", "left").select("key", (F.col("size") - F.coalesce("n", F.lit(0))).alias("own"))
     # a suffix of two bodies gives its pair once, others one with the least and one with the greatest body
