@@ -194,4 +194,58 @@ def _codes_sql(rounds: int = 4, parts: int = 4, entries: int = 256) -> str:
     return f"WITH {', '.join(steps)} SELECT k.vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, ({digest}) AS codebooks_sha256 FROM k JOIN ({codes}) c ON c.row = k.row"
 
 
-ORACLES = {"op4_rank_order_language": _LANGUAGE_SQL, "op6_low_discrepancy_mix": _MIX_SQL, "op8_multi_order_jaccard": _JACCARD_SQL, "op13_annular_codes": _codes_sql()}
+def _xxh64_sql(seed: int = 42) -> str:
+    """XXH64 of n bytes as SQL, from the columns n, lanes (numbers of eight bytes), four (the number of four bytes that may
+    follow) and ones (the bytes after those), in arithmetic modulo 2^64 on wider numbers."""
+    # fixed values: the primes of the hash, and its shifts
+    primes = (11400714785074694791, 14029467366897019727, 1609587929392839161, 9650029242287828579, 2870177450012600261)
+    one, two, three, four, five = (f"{p}::UHUGEINT" for p in primes)
+    top = f"{1 << 64}::UHUGEINT"
+    let = lambda value, name, body: f"list_transform([{value}], lambda {name}: {body})[1]"
+    turn = lambda v, k: f"(({v} * {1 << k}::UHUGEINT) % {top} + {v} // {1 << 64 - k}::UHUGEINT)"
+    times = lambda a, b: f"(({a}) * {b}) % {top}"
+    either = lambda a, b: f"xor(CAST({a} AS UBIGINT), CAST({b} AS UBIGINT))::UHUGEINT"
+    own = lambda v: let(times(v, two), "y", times(turn("y", 31), one))
+    fold = lambda start, items, body: f"list_reduce(list_prepend({start}, {items}), lambda acc, x: {body})"
+
+    def lane(k: int, start: int) -> str:
+        return fold(f"{start % (1 << 64)}::UHUGEINT", f"list_transform(range(0, n // 32), lambda s: lanes[4 * s + {k + 1}])", let(f"(acc + (x * {two}) % {top}) % {top}", "v", times(turn("v", 31), one)))
+
+    lanes = [lane(k, start) for k, start in enumerate((seed + primes[0] + primes[1], seed + primes[1], seed, seed - primes[0]))]
+    met = "(" + " + ".join(turn(f"v[{k + 1}]", r) for k, r in enumerate((1, 7, 12, 18))) + f") % {top}"
+    long = let(f"[{', '.join(lanes)}]", "v", let(met, "h", fold("h", "v", f"(({either('acc', own('x'))}) * {one} + {four}) % {top}")))
+    out = f"((CASE WHEN n >= 32 THEN {long} ELSE {(seed + primes[4]) % (1 << 64)}::UHUGEINT END) + n::UHUGEINT) % {top}"
+    out = fold(out, "list_slice(lanes, 4 * (n // 32) + 1, len(lanes))", let(either("acc", own("x")), "z", f"({turn('z', 27)} * {one} + {four}) % {top}"))
+    out = fold(out, "four", let(either("acc", times("x", one)), "z", f"({turn('z', 23)} * {two} + {three}) % {top}"))
+    out = fold(out, "ones", let(either("acc", times("x", five)), "z", times(turn("z", 11), one)))
+    for k, (shift, prime) in enumerate(((33, two), (29, three), (32, None))):
+        mixed = f"({either(f'a{k}', f'a{k} // {1 << shift}::UHUGEINT')})"
+        out = let(out, f"a{k}", f"{mixed} * {prime} % {top}" if prime else mixed)
+    return f"CAST({out} AS UBIGINT)"
+
+
+def _bytes_sql(at: str, size: str) -> str:
+    """The number of `size` bytes, lowest first, from byte `at` of the hexadecimal text x."""
+    digit = lambda k: f"strpos('0123456789ABCDEF', substr(x, 2 * ({at} + i) + {k}, 1)) - 1"
+    return f"CAST(list_sum(list_transform(range(0, {size}), lambda i: CAST(({digit(1)}) * 16 + {digit(2)} AS HUGEINT) * (CAST(1 AS HUGEINT) << CAST(8 * i AS HUGEINT)))) AS UHUGEINT)"
+
+
+_SIMHASH_SQL = rf"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS row, doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ 	-]+'), lambda x: x <> '') AS ws
+  FROM documents),
+g AS (SELECT row, unnest(CASE WHEN len(ws) >= 4 THEN list_transform(range(1, len(ws) - 2), lambda i: array_to_string(ws[i:i+3], ' ')) WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END) AS g FROM d),
+u AS (SELECT g, hex(g) AS x, length(hex(g)) // 2 AS n FROM (SELECT DISTINCT g FROM g)),
+cut AS (SELECT g, n, list_transform(range(0, n // 8), lambda j: {_bytes_sql("8 * j", "8")}) AS lanes, CASE WHEN n % 8 >= 4 THEN [{_bytes_sql("8 * (n // 8)", "4")}] ELSE CAST([] AS UHUGEINT[]) END AS four,
+        list_transform(range(n - n % 4, n), lambda j: {_bytes_sql("j", "1")}) AS ones FROM u),
+h AS MATERIALIZED (SELECT g, {_xxh64_sql()} AS h FROM cut),
+ones AS (SELECT row, count(*) AS n, {", ".join(f"sum(CAST((h >> {b}) & 1 AS INTEGER)) AS b{b}" for b in range(64))} FROM g JOIN h USING (g) GROUP BY row),
+p AS MATERIALIZED (SELECT d.doc_id, CAST(coalesce({" + ".join(f"CASE WHEN 2 * b{b} > n THEN {1 << b}::UHUGEINT ELSE 0::UHUGEINT END" for b in range(64))}, 0::UHUGEINT) AS UBIGINT) AS f FROM d LEFT JOIN ones ON ones.row = d.row),
+n AS MATERIALIZED (SELECT f, min(doc_id) AS rep FROM p WHERE doc_id IS NOT NULL GROUP BY f),
+l AS MATERIALIZED (SELECT x.f AS a, y.f AS b FROM n x JOIN n y ON x.f <> y.f AND bit_count(CAST(xor(x.f, y.f) AS UHUGEINT)::HUGEINT) <= 4),
+r AS (SELECT f, rep AS other, f AS at FROM n UNION SELECT r.f, n.rep, n.f FROM r JOIN l ON r.at = l.a JOIN n ON n.f = l.b)
+SELECT doc_id, lpad(lower(to_hex(p.f)), 16, '0') AS fingerprint, CASE WHEN doc_id IS NOT NULL THEN c.component_id END AS component_id
+FROM p LEFT JOIN (SELECT f, min(other) AS component_id FROM r GROUP BY f) c ON c.f = p.f
+"""
+
+ORACLES = {"op4_rank_order_language": _LANGUAGE_SQL, "op6_low_discrepancy_mix": _MIX_SQL, "op8_multi_order_jaccard": _JACCARD_SQL, "op11_golay_simhash": _SIMHASH_SQL, "op13_annular_codes": _codes_sql()}
