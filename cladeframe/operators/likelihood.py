@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cladeframe.functions.models import BASES, CONTEXT_TYPES, GAPS, ContextModel, Model, NmerModel, context_nmers, degenerate, exponential, named, nmer_frequencies, nmer_lower
+from cladeframe.operators import alignment
 from cladeframe.operators.alignment import carried, concatenated, left_sites, stretch_of, with_context
 from cladeframe.operators.parsimony import fitch
 from cladeframe.operators.tree import Node, Tree
@@ -33,9 +34,12 @@ def _vector(values) -> Column:
 
 
 def _through_leaf(symbol: Column, p, states: str = BASES) -> Column:
-    """P(parent state -> observed leaf) for all parent states; all ones where the leaf is none of the states. p: array or column."""
-    column = (lambda j: _vector(p[:, j])) if isinstance(p, np.ndarray) else (lambda j: F.transform(p, lambda row: F.get(row, F.lit(j))))
-    return reduce(lambda a, b: a.when(symbol == b, column(states.index(b))), states, F).otherwise(_vector([1] * len(states)))
+    """P(parent state -> observed leaf) for all parent states; all ones where the leaf is none of the states. p: an array, or a
+    column of such arrays turned over, as _p_table has them for leaves."""
+    missing = _vector([1] * len(states))
+    if not isinstance(p, np.ndarray):
+        return F.coalesce(F.get(p, F.position(symbol, F.lit(states)) - 1), missing)
+    return reduce(lambda a, b: a.when(symbol == b, _vector(p[:, states.index(b)])), states, F).otherwise(missing)
 
 
 def _through_node(states: Column, p) -> Column:
@@ -134,10 +138,16 @@ def trimmed(context: Column, model: ContextModel) -> Column:
     return reduce(lambda a, k: a.when((F.length(context) >= k) & suffix(k).isin(*[c for c in known if len(c) == k]), suffix(k)), range(longest, 0, -1), F).otherwise("")
 
 
+def branch_table(model: Model, child: Node, d: float) -> list[list[float]]:
+    """P of a branch as a column holds it: rows by the parent's state, or, where the child is a leaf, by the leaf's."""
+    return [[float(x) for x in row] for row in (model.at(d) if child.children else model.at(d).T)]
+
+
 def _p_table(spark: SparkSession, tree: Tree, model: ContextModel, prefix: str) -> DataFrame:
-    """(<prefix>, [phase,] <prefix><child id>...): P of every branch by context, and by phase in a periodic model."""
+    """(<prefix>, [phase,] <prefix><child id>...): P of every branch by context, and by phase in a periodic model; turned over
+    on the branches of leaves, where one target state is looked up."""
     phases = [(f,) for f in range(3)] if model.periodic else [()]
-    rows = [(c, *f, *([[float(x) for x in row] for row in m.at(d)] for _, _, d in tree.branches())) for f in phases for (g, c), m in model.models.items() if g == (f or (0,))[0]]
+    rows = [(c, *f, *(branch_table(m, child, d) for _, child, d in tree.branches())) for f in phases for (g, c), m in model.models.items() if g == (f or (0,))[0]]
     if len(rows) > TABULATED:
         raise ValueError(f"more than {TABULATED} contexts")
     fields = ", ".join(f"{prefix}{tree.ids[id(c)]} array<array<double>>" for _, c, _ in tree.branches())
@@ -411,6 +421,45 @@ def range_sum(sums: DataFrame, ranges: DataFrame) -> DataFrame:
     return df.select("block", "begin", "end", (F.coalesce("_end", F.lit(0.0)) - F.coalesce("_begin", F.lit(0.0))).alias("total"))
 
 
+def prefix_index(columns: DataFrame, ll: str = "ll") -> DataFrame:
+    """(block, stretch, before, cum): the prefix sums as a file holds them, a row for each stretch: the running sums of its
+    columns as an array, 0 where a column is not there, and the sum of the stretches before it. Written as Parquet in the
+    order of (block, stretch), a range is read from the row groups that hold its two ends."""
+    cells = columns.select("block", stretch_of(F.col("col")).alias("stretch"), F.struct(F.col("col"), F.col(ll).alias("ll")).alias("cell"))
+    rows = cells.groupBy("block", "stretch").agg(F.collect_list("cell").alias("cells"))  # a stretch's columns at most
+    size = alignment.STRETCH
+
+    def run(batches):
+        for batch in batches:
+            sums = []
+            for stretch, cells in zip(batch.column(1).to_pylist(), batch.column(2), strict=True):
+                flat = cells.values
+                at = flat.field("col").to_numpy() - stretch * size
+                each = np.zeros(int(at.max()) + 1)
+                each[at] = flat.field("ll").to_numpy()
+                sums.append(np.cumsum(each))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sums, pa.list_(pa.float64()))], names=["block", "stretch", "cum"])
+
+    found = rows.mapInArrow(run, "block long, stretch int, cum array<double>")
+    every = found.groupBy("block").agg(F.max("stretch").alias("n")).select("block", F.explode(F.sequence(F.lit(0), "n")).alias("stretch"))  # one without columns too
+    index = every.join(found, ["block", "stretch"], "left").withColumn("cum", F.coalesce("cum", F.expr("cast(array() as array<double>)")))
+    sums = index.select("block", "stretch", F.coalesce(F.get("cum", F.size("cum") - 1), F.lit(0.0)).alias("_sum"))
+    return index.join(carried(sums, "_sum", "before"), ["block", "stretch"]).select("block", "stretch", "before", "cum")
+
+
+def indexed_sums(index: DataFrame, ranges: DataFrame) -> DataFrame:
+    """The ranges (block, begin, end, ...) with the total over the columns [begin, end), from two rows of the index each.
+    Columns that the index lacks count as 0; ranges of blocks that it lacks are left out; repeated ranges come once."""
+    last = index.groupBy("block").agg(F.max("stretch").alias("_last"))
+    rows = ranges.join(last, "block").withColumn("_id", F.struct(*ranges.columns))
+    ends = rows.select("block", "_id", "_last", F.explode(F.array(F.struct((F.col("begin") - 1).alias("p"), F.lit(-1.0).alias("sign")), F.struct((F.col("end") - 1).alias("p"), F.lit(1.0).alias("sign")))).alias("e"))
+    ends = ends.select("block", "_id", "e.*", F.least(F.greatest(stretch_of(F.col("e.p")), F.lit(0)), F.col("_last")).alias("stretch"))
+    place = F.least((F.col("p") - F.col("stretch") * alignment.STRETCH).cast("int"), F.size("cum") - 1)
+    value = F.when(F.col("p") >= 0, F.col("before") + F.coalesce(F.get("cum", place), F.lit(0.0))).otherwise(0.0)
+    found = ends.distinct().join(index, ["block", "stretch"]).select("_id", (F.col("sign") * value).alias("v"))
+    return found.groupBy("_id").agg(F.sum("v").alias("total")).select("_id.*", "total")
+
+
 def predict_phase(by_phase: DataFrame) -> DataFrame:
     """(model, frame, total) -> the phase whose shifted assignment of the three models has the highest total."""
     rows = by_phase.withColumn("phase", ((F.col("model") + 3 - F.col("frame")) % 3).cast("int"))

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from cladeframe.functions.models import ContextModel, Model, keys_of, random_model
 from cladeframe.operators import alignment
-from cladeframe.operators.likelihood import TABULATED, column_likelihood, trimmed
+from cladeframe.operators.likelihood import TABULATED, branch_table, column_likelihood, trimmed
 from cladeframe.operators.tree import Tree
 
 LEAST_BRANCH = 0.01
@@ -87,8 +87,8 @@ class Objective:
         rows, tree = [], self.tree
         for k, x, only in asked:
             point, model = self.contexts_of(x)
-            lengths = [d for _, _, d in point.branches()]
-            rows += [(k, c, *([[float(v) for v in row] for row in m.at(d)] for d in lengths)) for (_, c), m in model.models.items() if only in (None, c)]
+            branches = [(child, d) for _, child, d in point.branches()]
+            rows += [(k, c, *(branch_table(m, child, d) for child, d in branches)) for (_, c), m in model.models.items() if only in (None, c)]
         if len(rows) > TABULATED:
             raise ValueError(f"more than {TABULATED} points and contexts at once")
         ids = [tree.ids[id(c)] for _, c, _ in tree.branches()]

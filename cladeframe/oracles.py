@@ -387,6 +387,8 @@ ORACLES = {
     "renamed_target": f"{_WITH} SELECT CASE WHEN track = 0 THEN 'target' ELSE 't' || track END AS name, count(*) AS n FROM tracks GROUP BY 1",
     "range_sums": f"""{_WITH}, c AS (SELECT block, col, {_ll(_plain(JC))} AS ll FROM wide), r AS (SELECT block, b AS begin, CAST(least(200, max(col) + 1) AS INTEGER) AS stop FROM c, (VALUES (0), (10)) v(b) GROUP BY block, b)
       SELECT r.block, CAST(r.begin AS INTEGER) AS begin, r.stop AS "end", round(sum(c.ll), 6) AS total FROM r JOIN c ON c.block = r.block AND c.col >= r.begin AND c.col < r.stop GROUP BY ALL""",
+    "indexed_ranges": f"""{_WITH}, c AS (SELECT block, col, {_ll(_plain(JC))} AS ll FROM wide WHERE {_USABLE}), i AS (SELECT DISTINCT l_orderkey AS block, l_partkey AS b, CAST(l_partkey + 50 * l_quantity AS BIGINT) AS e FROM lineitem)
+      SELECT i.block, i.b AS "begin", i.e AS "end", round(coalesce(sum(c.ll), 0e0), 6) AS total FROM i JOIN (SELECT DISTINCT block FROM c) k ON k.block = i.block LEFT JOIN c ON c.block = i.block AND c.col >= i.b AND c.col < i.e GROUP BY ALL""",
     "phase_prediction": _phases(),
     "lco_likelihood": _own_contexts(),
     "majority_states": _majority(),

@@ -390,6 +390,13 @@ def range_sums(spark, sf_dir):
     return likelihood.range_sum(sums, ranges).select("block", "begin", "end", F.round("total", 6).alias("total"))
 
 
+def indexed_ranges(spark, sf_dir):
+    """Log-likelihood of the ranges that a table gives, by the index of prefix sums, written and read again."""
+    index = materialised(likelihood.prefix_index(_scored(_usable(spark, sf_dir), JC).select("block", "col", "ll")).orderBy("block", "stretch"), "prefix")
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.col("l_orderkey").alias("block"), F.col("l_partkey").alias("begin"), (F.col("l_partkey") + 50 * F.col("l_quantity")).cast("long").alias("end"))
+    return likelihood.indexed_sums(index, lines).select("block", "begin", "end", F.round("total", 6).alias("total"))
+
+
 def phase_prediction(spark, sf_dir):
     """The reading frame of all blocks under three models, one per codon position."""
     counts = _patterns(spark, sf_dir, "frame")
@@ -516,7 +523,7 @@ QUERIES = {
         frame_likelihood, best_frame, rco_likelihood, trco_likelihood, prefix_sums, fitch_states, single_gain_states, majority_states, fitch_likelihood, indel_runs,
         fasta, tree_leaf_distances, tree_clades, tree_graph, tree_leaf_counts, transition_table, maf_round_trip, track_accuracy, renamed_target, range_sums,
         phase_prediction, lco_likelihood, nmer_likelihood, aco_likelihood, hog_likelihood, mp_likelihood, gap_rewriting, aco_difference, context_orders,
-        gap_likelihood, periodic_likelihood, running_likelihood, periodic_leaf_likelihood, fitch_ladder, single_gain_ladder, mp_ladder, interval_identity, distance_matrix, carried_gaps,
+        gap_likelihood, periodic_likelihood, running_likelihood, periodic_leaf_likelihood, fitch_ladder, single_gain_ladder, mp_ladder, interval_identity, distance_matrix, carried_gaps, indexed_ranges,
         combined_columns, attached_tracks, numbered_tracks, cumulative_likelihood, gap_patterns, context_priors, probability_maps, gamma_density, rerooted_distances, pruned_distances, stream_composition, trained_tree,
     )
 }

@@ -299,3 +299,17 @@ def test_tables_of_nmers_symbol_by_symbol():
         assert table.sum(1) == pytest.approx(np.ones(64))
     with pytest.raises(ValueError):
         m.context_nmers(model, 7, 0.1)
+
+
+def test_prefix_index(spark, monkeypatch, tmp_path):
+    rng = np.random.default_rng(10)
+    rows = [(b, c, float(rng.normal())) for b, n in ((0, 23), (3, 1), (7, 40)) for c in range(n) if (rng.random() < 0.8 and not 8 <= c < 20) or n == 1]
+    asked = [(b, i, j) for b in (0, 3, 7, 9) for i in (-4, 0, 1, 8, 25) for j in (0, 1, 9, 24, 60) if i <= j]
+    columns = spark.createDataFrame(rows, "block long, col int, ll double")
+    ranges = spark.createDataFrame([*asked, asked[3]], "block long, begin long, end long")
+    for size in (8192, 4):
+        monkeypatch.setattr(al, "STRETCH", size)
+        index = likelihood.prefix_index(columns)
+        index.orderBy("block", "stretch").write.parquet(str(tmp_path / str(size)))
+        got = {tuple(r[:3]): r.total for r in likelihood.indexed_sums(spark.read.parquet(str(tmp_path / str(size))), ranges).collect()}
+        assert got == {(b, i, j): pytest.approx(sum(v for x, c, v in rows if x == b and i <= c < j), abs=1e-9) for b, i, j in asked if b != 9}, size
