@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cladeframe.llm.common import _STEP, materialise, mix, text_bytes, word_hashes, words
+from cladeframe.llm.common import _STEP, discard, materialise, mix, text_bytes, word_hashes, words
 from cladeframe.llm.jaccard import _bit_map, components, in_bit_map
 
 RUN = 8
@@ -389,7 +389,10 @@ def _groups(repeated: DataFrame, parsed: DataFrame) -> DataFrame:
     pairs = pairs.union(placed.where("not frame and key <> high and key <> low").select(F.col("key").alias("a"), F.col("high").alias("b")))
     pairs = pairs.groupBy("a", "b").agg(F.count("*").alias("shared"))
     sized = pairs.join(own.select(F.col("key").alias("a"), F.col("own").alias("own_a")), "a").join(own.select(F.col("key").alias("b"), F.col("own").alias("own_b")), "b")
-    return components(sized.where(F.col("shared") >= COPY * F.least("own_a", "own_b")).select("a", "b"))
+    found = components(sized.where(F.col("shared") >= COPY * F.least("own_a", "own_b")).select("a", "b"))  # on tables of its own
+    discard(placed)
+    discard(bodies)
+    return found
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -425,6 +428,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     gone = repeated.where("mine").join(across, "suffix").groupBy("key").agg(F.collect_list("suffix").alias("gone"))  # at most a page's words
     # only the pages that lose something are moved; a bit map of fixed size tells most of the others
     gone = materialise(gone, "gone")
+    discard(repeated)
     bits = spark.sparkContext.broadcast(_bit_map(gone.select("key")))
     pages_ = parsed.select("page_id", "url", "text", "host", "key")
     fields = f"page_id {kind}, url string, text %s, host long, key long"
