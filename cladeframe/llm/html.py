@@ -31,7 +31,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cladeframe.llm.common import _STEP, discard, materialise, mix, text_bytes, word_hashes, words
@@ -376,12 +376,13 @@ def _groups(repeated: DataFrame, parsed: DataFrame) -> DataFrame:
     """(node, label): the copy group of every body that is linked with another."""
     bodies = parsed.select("key", "host", "size").distinct()
     bodies = materialise(bodies.join(bodies.groupBy("host").agg(F.count("*").alias("bodies")), "host"), "bodies")
+    # one exchange by suffix serves the counts, the frames and the rows; all of a suffix's rows came from one task, too
+    each = Window.partitionBy("suffix")
     mine = repeated.where("mine").select("suffix", "key")
-    held = mine.groupBy("suffix").agg(F.count("*").alias("held"), F.min("key").alias("low"), F.max("key").alias("high")).where("held > 1")
+    held = mine.select("suffix", "key", F.count("*").over(each).alias("held"), F.min("key").over(each).alias("low"), F.max("key").over(each).alias("high")).where("held > 1")
     # whether a suffix is of the frame is told once for it, by the host of one of its bodies
-    frames = held.where("held > 2").join(bodies.select(F.col("key").alias("low"), "bodies"), "low").where("2 * held > bodies").select("suffix", F.lit(True).alias("frame"))
-    told = held.join(frames, "suffix", "left").select("suffix", "low", "high", F.coalesce("frame", F.lit(False)).alias("frame"))
-    placed = materialise(mine.join(told, "suffix"), "placed")
+    frames = held.where("held > 2 and key = low").join(bodies.select("key", "bodies"), "key").where("2 * held > bodies").select("suffix", F.lit(True).alias("frame"))
+    placed = materialise(held.join(frames, "suffix", "left").select("suffix", "key", "low", "high", F.coalesce("frame", F.lit(False)).alias("frame")), "placed")
     frame = placed.where("frame").groupBy("key").agg(F.count("*").alias("n"))
     own = bodies.join(frame, "key", "left").select("key", (F.col("size") - F.coalesce("n", F.lit(0))).alias("own"))
     # a suffix of two bodies gives its pair once, others one with the least and one with the greatest body
