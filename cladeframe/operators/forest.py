@@ -15,13 +15,16 @@ from cladeframe.plans.shared import materialised
 COLUMNS = ("tree", "node", "name", "kind", "parent", "child_ix", "branch_len")
 
 
-def paths(nodes: DataFrame) -> DataFrame:
-    """(tree, node, ancestor, dist, depth) of every node and each node above it, itself included at depth 0."""
-    up = nodes.select("tree", "node", F.col("node").alias("ancestor"), F.lit(0.0).alias("dist"), F.lit(0).alias("depth"))
+def paths(nodes: DataFrame, start: DataFrame | None = None) -> DataFrame:
+    """(tree, node, ancestor, dist, depth) of every node and each node above it, itself included at depth 0; of the nodes of
+    start (tree, node, ...) alone where it is given, whose other columns come along. A round writes the rows that it adds."""
+    start = nodes.select("tree", "node") if start is None else start
+    fields = start.columns
+    up = start.select(*fields, F.col("node").alias("ancestor"), F.lit(0.0).alias("dist"), F.lit(0).alias("depth"))
     jump = materialised(nodes.where("parent is not null").select("tree", F.col("node").alias("at"), F.col("parent").alias("to"), F.col("branch_len").alias("far"), F.lit(1).alias("steps")), "jump")
     while not jump.isEmpty():
-        more = up.withColumnRenamed("ancestor", "at").join(jump, ["tree", "at"]).select("tree", "node", F.col("to").alias("ancestor"), (F.col("dist") + F.col("far")).alias("dist"), (F.col("depth") + F.col("steps")).alias("depth"))
-        up = materialised(up.union(more), "paths")
+        more = up.withColumnRenamed("ancestor", "at").join(jump, ["tree", "at"]).select(*fields, F.col("to").alias("ancestor"), (F.col("dist") + F.col("far")).alias("dist"), (F.col("depth") + F.col("steps")).alias("depth"))
+        up = up.union(materialised(more, "paths"))
         then = jump.select("tree", F.col("at").alias("to"), F.col("to").alias("end"), F.col("far").alias("more"), F.col("steps").alias("on"))
         jump = materialised(jump.join(then, ["tree", "to"]).select("tree", "at", F.col("end").alias("to"), (F.col("far") + F.col("more")).alias("far"), (F.col("steps") + F.col("on")).alias("steps")), "jump")
     return up
@@ -30,8 +33,9 @@ def paths(nodes: DataFrame) -> DataFrame:
 def leaf_distances(nodes: DataFrame, up: DataFrame | None = None) -> DataFrame:
     """(tree, a, b, d) of all pairs of leaves a < b of each tree, through the nearest node above both. A leaf may also be the
     root, as in a tree that was rerooted at it."""
-    up = paths(nodes) if up is None else up
-    leaves = up.join(nodes.where("kind = 'LEAF'").select("tree", "node", "name"), ["tree", "node"])
+    named = nodes.where("kind = 'LEAF'").select("tree", "node", "name")
+    leaves = paths(nodes, named) if up is None else up.join(named, ["tree", "node"])
+    leaves = leaves.select("tree", "ancestor", "name", "dist")
     other = leaves.select("tree", "ancestor", F.col("name").alias("b"), F.col("dist").alias("e"))
     return leaves.join(other, ["tree", "ancestor"]).where("name < b").groupBy("tree", F.col("name").alias("a"), "b").agg(F.round(F.min(F.col("dist") + F.col("e")), 9).alias("d"))
 
@@ -47,9 +51,9 @@ def clades(nodes: DataFrame, up: DataFrame | None = None) -> DataFrame:
 def rerooted(nodes: DataFrame, leaves: DataFrame, up: DataFrame | None = None) -> DataFrame:
     """The trees with the leaf that leaves (tree, leaf) names as their root: the path from it is turned round, and the old
     root, left with one child, goes; its two branches become one. Trees that leaves lacks stay as they are."""
-    up = paths(nodes) if up is None else up
-    chosen = nodes.join(leaves.select("tree", F.col("leaf").alias("name")), ["tree", "name"]).where("kind = 'LEAF'").select("tree", F.col("node").alias("start"))
-    path = up.join(chosen, ["tree"]).where("node = start").select("tree", F.col("ancestor").alias("node"), "depth")
+    chosen = nodes.join(leaves.select("tree", F.col("leaf").alias("name")), ["tree", "name"]).where("kind = 'LEAF'").select("tree", "node")
+    path = paths(nodes, materialised(chosen, "chosen")) if up is None else up.join(chosen, ["tree", "node"], "left_semi")
+    path = path.select("tree", F.col("ancestor").alias("node"), "depth")
     length = nodes.select("tree", F.col("node").alias("below"), F.col("branch_len").alias("length"))
     before = path.select("tree", F.col("node").alias("below"), (F.col("depth") + 1).alias("depth")).join(length, ["tree", "below"])
     turned = path.join(before, ["tree", "depth"], "left").select("tree", "node", F.lit(True).alias("turned"), F.col("below").alias("up"), F.col("length").alias("len"))
